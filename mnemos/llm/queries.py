@@ -1,18 +1,29 @@
 """Queries of this subpackage: each applies an operator to its whole table."""
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from mnemos.llm import decontaminate, neardup, substrings
+from mnemos.llm import decontaminate, licenses, neardup, quality, substrings, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.trained(documents, _table(spark, sf_dir, "labels"))
+    return quality.scored(documents, model).select("doc_id", (quality.remainder(F.col("doc_id"), 3) == 1).alias("held_out"), "score", "predicted")
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.contamination(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark")))
 
 
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judged(_table(spark, sf_dir, "pages").select("page_id", "url"), urls.trained(urls.labelled_urls(spark))).select("page_id", "host", "path", "rule", "verdict", "score")
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.deduplicated(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
@@ -21,10 +32,17 @@ def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.components_of(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scanned(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
 QUERIES = {
+    "op3_quality_classifier": op3_quality_classifier,
     "op4_decontamination": op4_decontamination,
+    "op7_url_filter": op7_url_filter,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_minhash_dedup": op9_minhash_dedup,
+    "op10_license_scan": op10_license_scan,
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
