@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemos.llm import decontaminate, licenses, neardup, quality, substrings, urls
+from mnemos.llm import decontaminate, language_model, licenses, neardup, quality, substrings, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,11 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.contamination(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark")))
 
 
+def op6_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return language_model.scored(documents, quality.remainder(F.col("doc_id"), 5) != 1)
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judged(_table(spark, sf_dir, "pages").select("page_id", "url"), urls.trained(urls.labelled_urls(spark))).select("page_id", "host", "path", "rule", "verdict", "score")
 
@@ -39,6 +44,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op3_quality_classifier": op3_quality_classifier,
     "op4_decontamination": op4_decontamination,
+    "op6_language_model": op6_language_model,
     "op7_url_filter": op7_url_filter,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_minhash_dedup": op9_minhash_dedup,
