@@ -3,13 +3,22 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemos.llm import decontaminate, language_model, licenses, neardup, quality, substrings, urls
+from mnemos.llm import decontaminate, language_model, licenses, mixing, neardup, quality, search, substrings, token_counts, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.section_counts(_table(spark, sf_dir, "documents").select("doc_id", "text"), token_counts.default_ranks()).drop("text")
+
+
+def op2_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return search.searched(docs, docs.where("doc_id % 100 = 0").withColumnRenamed("doc_id", "query_id"))
+
+
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.trained(documents, _table(spark, sf_dir, "labels"))
@@ -20,6 +29,10 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.contamination(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark")))
 
 
+def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(_table(spark, sf_dir, "documents"))
+
+
 def op6_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return language_model.scored(documents, quality.remainder(F.col("doc_id"), 5) != 1)
@@ -42,8 +55,11 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_token_counts": op1_token_counts,
+    "op2_search": op2_search,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_decontamination": op4_decontamination,
+    "op5_source_mixing": op5_source_mixing,
     "op6_language_model": op6_language_model,
     "op7_url_filter": op7_url_filter,
     "op8_substring_dedup": op8_substring_dedup,
@@ -90,4 +106,11 @@ reach(x, y) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.x, l.y FROM reach r
 comp AS (SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY x)
 SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, component_id, d.doc_id = component_id AS kept
 FROM d JOIN comp USING (doc_id) LEFT JOIN n USING (doc_id)""",
+    "op5_source_mixing": """
+WITH n AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
+r AS (SELECT source, sqrt(n) / sum(sqrt(n)) OVER () * sum(n) OVER () / n AS rate FROM n),
+cdf AS (SELECT source, sum(exp(k * ln(rate) - rate - lgamma(k + 1))) OVER (PARTITION BY source ORDER BY k) AS f FROM r, range(0, 200) AS t(k)),
+u AS (SELECT doc_id, source, (CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':11'), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0 AS u FROM documents),
+c AS (SELECT u.doc_id, count(*) FILTER (cdf.f < u.u) AS copies FROM u JOIN cdf ON u.source IS NOT DISTINCT FROM cdf.source GROUP BY u.doc_id)
+SELECT d.*, CAST(unnest(range(0, copies)) AS INTEGER) AS copy FROM documents d JOIN c USING (doc_id)""",
 }
