@@ -48,8 +48,12 @@ def _parts(url: Column) -> tuple[Column, Column]:
 def _grams(text: Column, tag: str) -> Column:
     """Character n-grams of a marked text, each with a tag for host or path."""
     marked = F.concat(F.lit("^"), text, F.lit("$"))
-    some = [F.when(F.length(text) >= max(1, n - 2), F.transform(F.sequence(F.lit(1), F.length(marked) - (n - 1)), lambda i, n=n: F.concat(F.lit(tag), F.substring(marked, i, F.lit(n))))).otherwise(F.array().cast("array<string>")) for n in NGRAMS]
-    return F.concat(*some)
+
+    def of(n: int) -> Column:
+        grams = F.transform(F.sequence(F.lit(1), F.length(marked) - (n - 1)), lambda i: F.concat(F.lit(tag), F.substring(marked, i, F.lit(n))))
+        return F.when(F.length(text) >= max(1, n - 2), grams).otherwise(F.array().cast("array<string>"))
+
+    return F.concat(*map(of, NGRAMS))
 
 
 def _features(urls: DataFrame) -> DataFrame:
