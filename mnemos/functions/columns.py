@@ -11,7 +11,6 @@ NAMESPACE_IDS = ("tenant_id", "org_id", "user_id", "agent_id", "session_id", "co
 #: The namespace id that a scope's kind stands for.
 SCOPE_IDS = {"session": "session_id", "agent": "agent_id", "project": "project_id", "global": "graph_id"}
 
-_TRUE = F.lit(True)
 
 
 # Namespaces
@@ -19,12 +18,12 @@ _TRUE = F.lit(True)
 
 def in_namespace(wanted: dict[str, str], prefix: str = "") -> Column:
     """Every id that is set in `wanted` equals the row's; a row's null never does."""
-    return reduce(lambda a, b: a & b, (F.coalesce(F.col(prefix + k) == v, F.lit(False)) for k, v in wanted.items()), _TRUE)
+    return reduce(lambda a, b: a & b, (F.coalesce(F.col(prefix + k) == v, F.lit(False)) for k, v in wanted.items()), F.lit(True))
 
 
 def in_any_namespace(wanted: list[dict[str, str]] | None, prefix: str = "") -> Column:
     """At least one of the namespaces matches; no list, or an empty one, matches all."""
-    return reduce(lambda a, b: a | b, (in_namespace(w, prefix) for w in wanted)) if wanted else _TRUE
+    return reduce(lambda a, b: a | b, (in_namespace(w, prefix) for w in wanted)) if wanted else F.lit(True)
 
 
 def namespace_key(ids: tuple = NAMESPACE_IDS) -> Column:
@@ -120,7 +119,7 @@ def haystack(*parts: Column) -> Column:
 
 def contains_text(hay: Column, query: str) -> Column:
     """A substring search without case; a blank query finds all."""
-    return hay.contains(query.strip().lower()) if query.strip() else _TRUE
+    return hay.contains(query.strip().lower()) if query.strip() else F.lit(True)
 
 
 # Vectors

@@ -82,7 +82,11 @@ def summaries(df: DataFrame, wanted: list[tuple[str, str]], by: list[str] | None
 def facets(df: DataFrame, columns: list[str], arrays: list[str] = ()) -> DataFrame:
     """(field, value, count) over several columns in one pass."""
     one = F.array(*(F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias("value")) for c in columns))
-    many = [F.transform(a, lambda x, a=a: F.struct(F.lit(a).alias("field"), x.cast("string").alias("value"))) for a in arrays]
+
+    def exploded(name):
+        return F.transform(name, lambda x: F.struct(F.lit(name).alias("field"), x.cast("string").alias("value")))
+
+    many = [exploded(a) for a in arrays]
     return df.select(F.explode(F.concat(one, *many)).alias("_f")).select("_f.*").where("value is not null").groupBy("field", "value").agg(F.count("*").alias("count"))
 
 
