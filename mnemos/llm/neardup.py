@@ -53,7 +53,7 @@ def similarity_sketch(owner: np.ndarray, h: np.ndarray, n: int, bins: int) -> np
     for i in range(2 * bins):
         if not len(h):
             break
-        z = mix(h + U(i + 1) * _GOLD)
+        z = mix(h + U((i + 1) * int(_GOLD) & (1 << 64) - 1))
         bin_ = ((z >> U(32)) * U(bins) >> U(32)).astype(np.int64) if i < bins else i - bins
         np.minimum.at(out, owner * bins + bin_, (U(i) << U(32)) | (z & U(0xFFFFFFFF)))
         waiting = np.flatnonzero(there)
