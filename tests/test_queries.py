@@ -1,5 +1,6 @@
 """Every query of the library against its SQL in DuckDB, on the smallest tables."""
 
+import numbers
 import os
 
 import duckdb
@@ -15,7 +16,7 @@ def normal(df, columns):
     def text(v):
         if v is None or (not hasattr(v, "__len__") and pd.isna(v)):
             return "null"
-        return repr(round(float(v), 9) + 0.0) if isinstance(v, (float, int)) and not isinstance(v, bool) else str(v)
+        return repr(round(float(v), 9) + 0.0) if isinstance(v, numbers.Number) and not isinstance(v, bool) else str(v)
 
     return sorted(tuple(map(text, row)) for row in df[columns].itertuples(index=False))
 
