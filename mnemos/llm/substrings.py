@@ -11,7 +11,7 @@ windows have in common, so nothing is lost and three quarters of the rows are no
 At each level a task first merges the windows of all documents it sees. A window that it saw in
 several documents is known to be repeated, and only its smallest doc_id still has to be compared with
 other tasks, so a passage that a third of all documents share brings one row per task and batch.
-Windows are compared by 64 bits of hash on the way and by 128 bits at the last level.
+Windows are compared by 64 bits of hash on the way and by 96 bits at the last level.
 """
 
 import hashlib
@@ -141,7 +141,7 @@ def _next_level(found: DataFrame, docs: DataFrame, short: int, length: int, long
             b = a * U(0)
         else:
             at = at[alive[at]]
-            a, b = rolled(words.hash, length)[at], rolled(words.hash, length, _ONE)[at]
+            a, b = rolled(words.hash, length)[at], rolled(words.hash, length, _ONE)[at] >> U(32)
         doc, there, _ = _ids(batch, words, at)
         return doc[there], a[there], b[there]
 
