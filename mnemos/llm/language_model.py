@@ -1,19 +1,17 @@
 """Language-model scoring with a hierarchical Pitman-Yor model.
 
-Every training token is counted. The `SYMBOLS` most frequent words (the end of a text among them) are
-symbols, all others share one more symbol. Each symbol has a context restaurant for the symbols that
-follow it (the end also stands before the first word of a text); all context restaurants share one parent, the
-restaurant of symbols without context, over a uniform base. The words behind the shared symbol are
-drawn from a restaurant of their own over a uniform base with one place for unseen words. So the
-probabilities of all words in a context add up to one.
-
-Seating is sampled by blocked Gibbs sweeps: in each, every context restaurant seats its customers anew
-given the parent's predictive probabilities, every table sends one customer to the parent, and the
-parent is seated anew. After `BURN` sweeps, the predictive probabilities of `SAMPLES` sweeps are averaged.
-
-The context table has at most (SYMBOLS + 1)^2 numbers however large the corpus is and goes to every
-task, and so do the counts of at most `LISTED` frequent words; all other words are counted, seated and
-joined with the texts that have them by shuffles on the word.
+Every training token is counted, and so is every pair of neighbours (context, word); the end of a text is a word, and
+it also stands before the first one. Each word has a context restaurant for the words that follow it; all context
+restaurants share one parent, the restaurant of words without context, over a uniform base with one place for unseen
+words. So the probabilities of all words in a context add up to one.
+
+Seating is sampled by blocked Gibbs sweeps over the pairs: in each, every pair seats its customers given the parent's
+predictive probabilities and the tables that its context had after the sweep before, every table sends one customer to
+the parent, and the parent is seated anew. A pair that occurs once always has one table, so only its sums by word and
+by context take part. After `BURN` sweeps, the predictive probabilities of `SAMPLES` sweeps are averaged.
+
+Pairs and words are counted, seated and joined with the texts by shuffles. The statistics of at most `LISTED` frequent
+words and the probabilities of at most `PAIRS` frequent pairs of them go to every task, which saves their tokens the joins.
 """
 
 import math
@@ -26,10 +24,10 @@ from pyspark.sql import functions as F
 from mnemos.llm.graph import cut
 from mnemos.llm.words import LOWER_SPACES, U, Words, mix, pieces, texts_of
 
-#: Symbols, words whose counts go to every task at most, burn-in sweeps, averaged sweeps, strength of all restaurants, seed.
-SYMBOLS, LISTED, BURN, SAMPLES, STRENGTH, SEED = 2048, 1 << 18, 2, 3, 1.0, 7
-#: Most words that a task counts before it passes the sums on.
-MERGE = 4_000_000
+#: Pairs and words whose numbers go to every task at most, burn-in sweeps, averaged sweeps, strength of all restaurants, seed.
+PAIRS, LISTED, BURN, SAMPLES, STRENGTH, SEED = 1 << 20, 1 << 18, 2, 3, 1.0, 7
+#: Most words and most pairs that a task counts before it passes the sums on.
+MERGE, MERGE_PAIRS = 4_000_000, 1_000_000
 END = mix(np.array([0xE0D], U))[0]
 
 
@@ -74,71 +72,91 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return texts.select("text").mapInArrow(count, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
 
 
-def _listed(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent words, sorted by hash: as many as there are down to a count at which they are no more than `most`."""
+def _listed(counts: DataFrame, most: int) -> int:
+    """The least count of which there are, with all greater ones, no more than `most` rows."""
     level = F.when(F.col("c") < 256, F.col("c")).otherwise(256 + F.floor(16 * F.log2(F.col("c") / 256)))
     steps = sorted(((r[0], r[1], r[2]) for r in counts.groupBy(level.alias("l")).agg(F.count("*"), F.min("c")).collect()), reverse=True)
-    total, least = 0, None
+    total, least = 0, 1 << 62
     for _, n, c in steps:
         total += n
         if total > most:
             break
         least = c
-    table = counts.where(F.col("c") >= (least if least is not None else (1 << 62))).toArrow()
-    h, c = np.asarray(table["h"].to_numpy(), np.int64).view(U), np.asarray(table["c"].to_numpy(), np.int64)
-    order = np.argsort(h)
-    return h[order], c[order]
+    return least
 
 
-def _symbols_of(h: np.ndarray, symbols: np.ndarray) -> np.ndarray:
-    """The number of each token's symbol; len(symbols) for all words that share one."""
-    at = np.searchsorted(symbols, h).clip(max=len(symbols) - 1)
-    return np.where(symbols[at] == h, at, len(symbols))
+def _find(keys: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The place of each value in sorted keys, and whether it is there."""
+    if not len(keys):
+        return np.zeros(len(h), np.int64), np.zeros(len(h), bool)
+    at = np.searchsorted(keys, h).clip(max=len(keys) - 1)
+    return at, keys[at] == h
 
 
-def _contexts(first: np.ndarray, s: np.ndarray, end: int) -> np.ndarray:
-    """The symbol before each token; a text's first token follows an end."""
-    out = np.empty_like(s)
-    out[1:] = s[:-1]
-    out[first[:-1]] = end
+def _contexts(first: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """The word before each token; a text's first token follows an end."""
+    out = np.empty_like(h)
+    out[1:] = h[:-1]
+    out[first[:-1]] = END
     return out
 
 
-def pair_counts(texts: DataFrame, symbols: np.ndarray) -> DataFrame:
-    """(u, ws, cs): for each context its followers and their counts, packed; each task sends each pair once."""
-    k, end = len(symbols) + 1, int(np.searchsorted(symbols, END))
+def _pair(u: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """The hash of a pair."""
+    return ((u << U(23)) | (u >> U(41))) ^ w
+
+
+def _pair_column():
+    """The same of the columns u and w."""
+    return F.shiftleft("u", 23).bitwiseOR(F.shiftrightunsigned("u", 41)).bitwiseXOR(F.col("w"))
+
+
+def pair_counts(texts: DataFrame) -> DataFrame:
+    """(u, w, c): each pair of a context and the word that follows it, and their count."""
 
     def count(batches):
-        total = np.zeros(k * k, np.int64)
+        have, n = [], 0
+
+        def sums():
+            p, u, w, c = (np.concatenate(x) for x in zip(*have, strict=True))
+            p, at, where = np.unique(p, return_index=True, return_inverse=True)
+            return p, u[at], w[at], np.bincount(where, weights=c).astype(np.int64)
+
+        def out():
+            _, u, w, c = have[0]
+            return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(w.view(np.int64)), pa.array(c)], ["u", "w", "c"])
+
         for batch in batches:
             for part in pieces(batch):
                 h, first = tokens(part)
-                s = _symbols_of(h, symbols)
-                keys, n = np.unique(_contexts(first, s, end) * k + s, return_counts=True)
-                total[keys] += n
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array((some // k).astype(np.int32)), pa.array((some % k).astype(np.int32)), pa.array(total[some])], ["u", "w", "c"])
-
-    def pack(table: pa.Table) -> pa.Table:
-        w, c = table["w"].to_numpy(), table["c"].to_numpy()
-        order = np.argsort(w)
-        return pa.table({"u": [table["u"][0].as_py()], "ws": [w[order].astype(np.int32).tobytes()], "cs": [c[order].astype(np.int64).tobytes()]}, schema=pa.schema([("u", pa.int32()), ("ws", pa.binary()), ("cs", pa.binary())]))
+                before = _contexts(first, h)
+                p, at, c = np.unique(_pair(before, h), return_index=True, return_counts=True)
+                have.append((p, before[at], h[at], c))
+                n += len(p)
+                if n > MERGE_PAIRS:
+                    have = [sums()]
+                    n = len(have[0][0])
+                    if n > MERGE_PAIRS // 2:
+                        yield out()
+                        have, n = [], 0
+        if have:
+            have = [sums()]
+            yield out()
 
-    sums = texts.select("text").mapInArrow(count, "u int, w int, c long").groupBy("u", "w").agg(F.sum("c").alias("c"))
-    return sums.groupBy("u").applyInArrow(pack, "u int, ws binary, cs binary")
+    return texts.select("text").mapInArrow(count, "u long, w long, c long").groupBy("u", "w").agg(F.sum("c").alias("c"))
 
 
-def seated(c: np.ndarray, base: np.ndarray | float, discount: float, strength: float, rng, tables: float | None = None, room: np.ndarray | None = None) -> np.ndarray:
+def seated(c: np.ndarray, base: np.ndarray | float, discount: float, strength: float, rng, tables: float | np.ndarray | None = None, room: np.ndarray | None = None) -> np.ndarray:
     """Tables of each dish after its c customers have sat down one after another.
 
     A customer opens a table in proportion to (strength + discount * all tables) * base, and joins one in proportion to
     customers - discount * tables of the dish. From the 64th customer on, up to a sixteenth as many as already
     sit are seated at once. room: the restaurant of each dish, if there are several, numbered from 0. tables: all
-    tables of the restaurant, if c is not all of it.
+    tables of the restaurant (of each dish's restaurant, if an array), if c is not all of it.
     """
     t, n = np.minimum(c, 1).astype(np.int64), np.minimum(c, 1).astype(np.int64)
-    room = np.zeros(len(c), np.int64) if room is None else room
-    total = np.bincount(room, t).astype(float) if tables is None else np.full(1, float(tables))
+    room = room if room is not None else np.arange(len(c)) if np.ndim(tables) else np.zeros(len(c), np.int64)
+    total = np.bincount(room, t).astype(float) if tables is None else np.atleast_1d(np.asarray(tables, float))
     base = np.broadcast_to(np.asarray(base, float), c.shape)
     active = np.flatnonzero(n < c)
     while len(active):
@@ -164,94 +182,64 @@ def _discount(once: float, twice: float) -> float:
 
 
 
-def _unpacked(batch: pa.RecordBatch) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray]:
-    """Contexts of a batch; then follower, count and number of the context in the batch, of all pairs."""
-    ws, cs = (batch.column(x).to_pylist() for x in ("ws", "cs"))
-    return batch.column("u").to_pylist(), np.frombuffer(b"".join(ws), np.int32), np.frombuffer(b"".join(cs), np.int64), np.repeat(np.arange(len(ws)), [len(x) // 4 for x in ws])
-
+def _generator(sweep: int, key: np.ndarray):
+    return np.random.default_rng([SEED, sweep, int(key[0]) % (1 << 63)])
 
-def _sample_contexts(pairs: DataFrame, k: int, unigram: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], float]:
-    """The averaged log10 table, by sweeps over the context restaurants."""
 
-    def once_twice(batches):
-        for b in batches:
-            for x in b.column("cs").to_pylist():
-                c = np.frombuffer(x, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([(c == 1).sum()], pa.int64()), pa.array([(c == 2).sum()], pa.int64())], ["a", "b"])
-
-    row = pairs.mapInArrow(once_twice, "a long, b long").agg(F.sum("a"), F.sum("b")).first()
+def _sampled(pairs: DataFrame, counts: DataFrame, n: int, v: int) -> tuple[DataFrame, DataFrame, list[float], float]:
+    """Pairs (u, w, c, kept: tables summed over the averaged sweeps); words (h, c, p0, t0, ...: probability without
+    context and tables as a context in each of these sweeps); the probabilities of an unseen word; the discount."""
+    once = (F.col("c") == 1).cast("long")
+    row = pairs.agg(F.sum(once), F.sum((F.col("c") == 2).cast("long"))).first()
     d = _discount(row[0] or 0, row[1] or 0)
-    parent = (unigram + 0.5) / (unigram.sum() + 0.5 * k)
-    kept = []
+    follows = pairs.groupBy(F.col("w").alias("h")).agg(F.sum(once).alias("once_f"), F.count("*").alias("customers"))
+    precedes = pairs.groupBy(F.col("u").alias("h")).agg(F.sum(once).alias("once_p"), F.count("*").alias("tables"))
+    base = 1 / (v + 1)
+    vocabulary = cut(counts.join(follows, "h").join(precedes, "h").withColumn("p", (F.col("c") + 0.5) / F.lit(n + 0.5 * (v + 1))))
+    row = vocabulary.agg(F.sum((F.col("customers") == 1).cast("long")), F.sum((F.col("customers") == 2).cast("long"))).first()
+    own = _discount(row[0] or 0, row[1] or 0)
+    unseen, total, kept = 0.5 / (n + 0.5 * (v + 1)), float(v), []
+    multiple = pairs.where("c > 1").withColumn("kept", F.lit(0).cast("long"))
     for sweep in range(BURN + SAMPLES):
 
-        def tables(batches, sweep=sweep, parent=parent):
-            total = np.zeros(k, np.int64)
+        def pairs_seated(batches, sweep=sweep):
             for b in batches:
-                us, w, c, room = _unpacked(b)
-                t = seated(c, parent[w], d, STRENGTH, np.random.default_rng([SEED, sweep, *us[:1]]), room=room)
-                total += np.bincount(w, t, k).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(k, dtype=np.int32)), pa.array(total)], ["w", "t"])
-
-        if sweep >= BURN:
-            kept.append((sweep, parent))
-        sums = dict(pairs.mapInArrow(tables, "w int, t long").groupBy("w").agg(F.sum("t")).collect())
-        customers = np.array([sums.get(i, 0) for i in range(k)], np.int64)
-        t = seated(customers, 1 / k, 0.5, STRENGTH, np.random.default_rng([SEED, sweep, k]))
-        parent = predictive(customers, t, 1 / k, 0.5, STRENGTH)
-
-    def rows(batches):
-        for b in batches:
-            us, w, c, room = _unpacked(b)
-            ts = [seated(c, p[w], d, STRENGTH, np.random.default_rng([SEED, sweep, *us[:1]]), room=room) for sweep, p in kept]
-            out, cuts = [], np.searchsorted(room, np.arange(len(us) + 1))
-            for x, y in zip(cuts[:-1], cuts[1:], strict=True):
-                mean = np.zeros(k)
-                for (_, p), t in zip(kept, ts, strict=True):
-                    full_c, full_t = np.zeros(k), np.zeros(k)
-                    full_c[w[x:y]], full_t[w[x:y]] = c[x:y], t[x:y]
-                    mean += predictive(full_c, full_t, p, d, STRENGTH)
-                out.append(np.log10(mean / len(kept)).astype(np.float32).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(us, pa.int32()), pa.array(out, pa.binary())], ["u", "p"])
-
-    mean = np.mean([p for _, p in kept], axis=0)
-    log = np.tile(np.log10(mean).astype(np.float32), (k, 1))
-    for r in pairs.mapInArrow(rows, "u int, p binary").toLocalIterator():
-        log[r.u] = np.frombuffer(r.p, np.float32)
-    return log
-
-
-def _rare(counts: DataFrame, rare) -> tuple[float, float, float, list[float]]:
-    """The restaurant of the other words: customers, words, discount and all tables in each averaged sweep."""
-    row = counts.where(rare).agg(F.sum("c"), F.count("*"), F.sum((F.col("c") == 1).cast("long")), F.sum((F.col("c") == 2).cast("long"))).first()
-    customers, words, d = float(row[0] or 0), float(row[1] or 0), _discount(row[2] or 0, row[3] or 0)
-    total, kept = words, []
-    for sweep in range(1 + SAMPLES):
-
-        def tables(batches, sweep=sweep, total=total):
-            n = 0
+                u, w, c, p, t, sums = (b.column(x).to_numpy() for x in ("u", "w", "c", "p", "tables", "kept"))
+                if not len(u):
+                    continue
+                order = np.lexsort((w, u))
+                u, w, c, p, t, sums = (x[order] for x in (u, w, c, p, t, sums))
+                t = seated(c, p, d, STRENGTH, _generator(sweep, _pair(u[:1].view(U), w[:1].view(U))), t)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (u, w, c, sums + t if sweep >= BURN else sums, t)], ["u", "w", "c", "kept", "t"])
+
+        def words_seated(batches, sweep=sweep, total=total):
             for b in batches:
-                c = b.column("c").to_numpy()
-                if len(c):
-                    n += int(seated(c, 1 / (words + 1), d, STRENGTH, np.random.default_rng([SEED, sweep, int(b.column("h")[0].as_py()) % (1 << 63)]), total).sum())
-            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["t"])
-
-        if sweep:
-            kept.append(total)
-        total = float(counts.where(rare).select("h", "c").mapInArrow(tables, "t long").agg(F.sum("t")).first()[0] or 0)
-    return customers, words, d, kept
-
-
-def _rare_log(h0: int, c: np.ndarray, customers: float, words: float, d: float, kept: list[float]) -> np.ndarray:
-    """log10 of the averaged probabilities of words with counts c (0: unseen) within the restaurant of other words."""
-    mean = np.zeros(len(c))
-    for sweep, total in enumerate(kept, 1):
-        t = seated(c, 1 / (words + 1), d, STRENGTH, np.random.default_rng([SEED, sweep, h0 % (1 << 63)]), total)
-        mean += (np.maximum(c - d * t, 0) + (STRENGTH + d * total) / (words + 1)) / (STRENGTH + customers)
-    return np.log10(mean / len(kept))
-
-
-def scored(documents: DataFrame, training, symbols_most: int = SYMBOLS, listed_most: int = LISTED) -> DataFrame:
+                if b.num_rows:
+                    t = seated(b.column("customers").to_numpy(), base, own, STRENGTH, _generator(sweep, b.column("h").to_numpy()), total)
+                    yield pa.RecordBatch.from_arrays([*b.columns, pa.array(t)], [*b.schema.names, "own"])
+
+        met = multiple.select("u", "w", "c", "kept").join(vocabulary.select(F.col("h").alias("w"), "p"), "w").join(vocabulary.select(F.col("h").alias("u"), "tables"), "u")
+        multiple = cut(met.mapInArrow(pairs_seated, "u long, w long, c long, kept long, t long"))
+        none = F.lit(0).cast("long")
+        of = multiple.select(F.col("w").alias("h"), F.col("t").alias("f"), none.alias("s")).unionByName(multiple.select(F.col("u").alias("h"), none.alias("f"), F.col("t").alias("s")))
+        sums = of.groupBy("h").agg(F.sum("f").alias("f"), F.sum("s").alias("s"))
+        if sweep >= BURN:
+            kept.append(unseen)
+        had = [x for i in range(len(kept)) for x in (f"p{i}", f"t{i}")]
+        more = [F.col("p").alias(had[-2]), F.col("tables").alias(had[-1])] if sweep >= BURN else []
+        met = vocabulary.drop("customers", "tables").join(sums, "h", "left").withColumns({"customers": F.col("once_f") + F.coalesce("f", none), "tables": F.col("once_p") + F.coalesce("s", none)})
+        met = met.select("h", "c", "once_f", "once_p", "customers", "tables", *had[: len(had) - len(more)], *more)
+        fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in met.schema)
+        vocabulary = cut(met.mapInArrow(words_seated, f"{fields}, own long"))
+        row = vocabulary.agg(F.sum("customers"), F.sum("own")).first()
+        everyone, total = float(row[0] or 0), float(row[1] or 0)
+        unseen = (STRENGTH + own * total) * base / (STRENGTH + everyone)
+        vocabulary = vocabulary.withColumn("p", (F.col("customers") - own * F.col("own")) / F.lit(STRENGTH + everyone) + F.lit(unseen)).drop("own")
+    singles = pairs.where("c = 1").withColumn("kept", F.lit(SAMPLES).cast("long"))
+    return singles.unionByName(multiple.drop("t")), vocabulary.select("h", "c", *had), kept, d
+
+
+def scored(documents: DataFrame, training, pairs_most: int = PAIRS, listed_most: int = LISTED) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), a row for each row of documents.
 
     training: a Column, true for rows to learn from (others, and rows where it is null, are held out). A null text
@@ -263,74 +251,98 @@ def scored(documents: DataFrame, training, symbols_most: int = SYMBOLS, listed_m
     learn = docs.where("_learn")
     counts = cut(word_counts(learn))
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    listed, listed_c = _listed(counts, listed_most)
-    by_count = np.lexsort((listed, -listed_c))[:symbols_most]
-    symbols = np.unique(np.r_[listed[by_count], END])
-    k = len(symbols) + 1
-    unigram = np.zeros(k)
-    unigram[_symbols_of(listed, symbols)] += 0
-    own = np.isin(listed, symbols)
-    unigram[_symbols_of(listed[own], symbols)] = listed_c[own]
-    unigram[-1] = max(0, n - unigram[:-1].sum())
-    pairs = cut(pair_counts(learn, symbols))
-    log = _sample_contexts(pairs, k, unigram)
-    is_symbol = F.col("h").isin([int(x) for x in symbols.view(np.int64)])
-    rare = _rare(counts, ~is_symbol)
-    unseen = float(_rare_log(1, np.zeros(1, np.int64), *rare)[0])
-    listed_log = np.where(np.isin(listed, symbols), 0.0, _rare_log(1, listed_c, *rare))
-    base_log = lambda c: np.log10((c + 0.5) / (n + 0.5 * (v + 1)))
-    shared = documents.sparkSession.sparkContext.broadcast((symbols, log, listed, listed_c, listed_log, base_log(listed_c)))
-    end = int(np.searchsorted(symbols, END))
-    base_unseen = math.log10(0.5 / (n + 0.5 * (v + 1)))
+    pairs, vocabulary, unseen, d = _sampled(cut(pair_counts(learn)), counts, n, v)
+    ps, ts = ([f"{x}{i}" for i in range(SAMPLES)] for x in "pt")
+
+    least = _listed(counts, listed_most)
+    table = vocabulary.where(F.col("c") >= least).orderBy("h").toArrow()
+    listed = table["h"].to_numpy().view(U)
+    order = np.argsort(listed)
+    listed, listed_c = listed[order], table["c"].to_numpy()[order]
+    listed_p, listed_t = (np.array([table[x].to_numpy() for x in names])[:, order] for names in (ps, ts))
+    listed_base = np.log10((listed_c + 0.5) / (n + 0.5 * (v + 1)))
+
+    table = pairs.where(F.col("c") >= _listed(pairs, pairs_most)).toArrow()
+    u, w = (table[x].to_numpy().view(U) for x in "uw")
+    (at_u, known_u), (at_w, known_w) = _find(listed, u), _find(listed, w)
+    both = known_u & known_w
+    at_u, at_w = at_u[both], at_w[both]
+    direct = (table["c"].to_numpy() - d * table["kept"].to_numpy() / SAMPLES)[both]
+    back = ((STRENGTH + d * listed_t[:, at_u]) * listed_p[:, at_w]).mean(axis=0)
+    frequent = _pair(u[both], w[both])
+    order = np.argsort(frequent)
+    shared = documents.sparkSession.sparkContext.broadcast((listed, listed_c, listed_base, listed_p, listed_t, frequent[order], np.log10((direct + back) / (STRENGTH + listed_c[at_u]))[order]))
 
     def parts(part):
-        symbols, log, listed, listed_c, listed_log, listed_base = shared.value
+        """Of each token its context, hash, text and pair, the places of context and word in the lists, and whether its pair is a frequent one."""
         h, first = tokens(part)
-        s = _symbols_of(h, symbols)
-        owner = np.repeat(np.arange(part.num_rows), np.diff(first))
-        at = np.searchsorted(listed, h).clip(max=max(0, len(listed) - 1))
-        known = listed[at] == h if len(listed) else np.zeros(len(h), bool)
-        if not known.all() and not len(listed):
-            at = np.zeros(len(h), np.int64)
-        value = log[_contexts(first, s, end), s].astype(float)
-        base = np.zeros(len(h))
-        value[known] += listed_log[at[known]]
-        base[known] = listed_base[at[known]]
-        return h, owner, known, value, base, np.diff(first)
+        u = _contexts(first, h)
+        pair = _pair(u, h)
+        return u, h, np.repeat(np.arange(part.num_rows), np.diff(first)), pair, _find(shared.value[0], u), _find(shared.value[0], h), _find(shared.value[5], pair), np.diff(first)
 
     def heads(batches):
+        _, _, listed_base, _, _, _, frequent_log = shared.value
         for batch in batches:
             for part in pieces(batch):
-                h, owner, known, value, base, size = parts(part)
-                m = part.num_rows
+                _, h, owner, _, _, (at, known), (place, quick), size = parts(part)
+                m, base, value = part.num_rows, np.zeros(len(h)), np.zeros(len(h))
+                base[known] = listed_base[at[known]]
+                value[quick] = frequent_log[place[quick]]
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), part.column("_learn"), part.column("_key"), pa.array(size, pa.int64()), pa.array(np.bincount(owner, known, m).astype(np.int64)), pa.array(np.bincount(owner, base, m)), pa.array(np.bincount(owner, value, m))],
                     ["doc_id", "_learn", "_key", "n_tokens", "known", "base", "value"],
                 )
 
-    def others(batches):
+    def once_a_text(owner, pair):
+        _, at, n = np.unique(mix(pair + owner.astype(U) * U(0x9E3779B97F4A7C15)), return_index=True, return_counts=True)
+        return at, n.astype(np.int32)
+
+    def of_listed(batches):
+        _, listed_c, _, listed_p, listed_t, _, _ = shared.value
         for batch in batches:
             for part in pieces(batch):
-                h, owner, known, *_ = parts(part)
+                _, _, owner, pair, (at_u, known_u), (at_w, known_w), (_, quick), _ = parts(part)
+                some = np.flatnonzero(known_u & known_w & ~quick)
+                at, n = once_a_text(owner[some], pair[some])
+                some = some[at]
+                x, y = at_u[some], at_w[some]
+                over = STRENGTH + listed_c[x]
+                back = ((STRENGTH + d * listed_t[:, x]) * listed_p[:, y]).mean(axis=0) / over
                 key = part.column("_key").to_numpy()
-                pair, c = np.unique(np.rec.fromarrays([owner[~known], h[~known]], names="o,h"), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(key[pair.o]), pa.array(pair.h.view(np.int64)), pa.array(c.astype(np.int32))], ["_key", "h", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(key[owner[some]]), pa.array(pair[some].view(np.int64)), pa.array(n), pa.array(back), pa.array(over)], ["_key", "pair", "n", "back", "over"])
 
-    def seats(batches):
-        for b in batches:
-            h, c = b.column("h"), b.column("c").to_numpy()
-            if len(c):
-                yield pa.RecordBatch.from_arrays([h, pa.array(c), pa.array(_rare_log(int(h[0].as_py()), c, *rare))], ["h", "c", "p"])
+    def of_others(batches):
+        for batch in batches:
+            for part in pieces(batch):
+                u, h, owner, pair, (_, known_u), (_, known_w), _, _ = parts(part)
+                some = np.flatnonzero(~(known_u & known_w))
+                at, n = once_a_text(owner[some], pair[some])
+                some = some[at]
+                key = part.column("_key").to_numpy()
+                yield pa.RecordBatch.from_arrays([pa.array(key[owner[some]]), pa.array(u[some].view(np.int64)), pa.array(h[some].view(np.int64)), pa.array(n)], ["_key", "u", "w", "n"])
 
     keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
-    least = int(listed_c.min()) if len(listed) else 1 << 62
-    table = counts.where(F.col("c") < least).select("h", "c").mapInArrow(seats, "h long, c long, p double")
-    found = keyed.select("text", "_key").mapInArrow(others, "_key long, h long, n int").join(table, "h", "left")
-    log_base = F.log10((F.col("c") + 0.5) / F.lit(n + 0.5 * (v + 1)))
+    texts = keyed.select("text", "_key")
+    zero = F.lit(0)
+    listed_rows = texts.mapInArrow(of_listed, "_key long, pair long, n int, back double, over double").select("*", zero.cast("double").alias("base"), zero.alias("known"))
+    as_word = vocabulary.select(F.col("h").alias("w"), F.col("c").alias("c_w"), *ps)
+    as_context = vocabulary.select(F.col("h").alias("u"), F.col("c").alias("c_u"), *ts)
+    back = sum(((F.lit(STRENGTH) + d * F.coalesce(F.col(t), zero)) * F.coalesce(F.col(p), F.lit(x)) for p, t, x in zip(ps, ts, unseen, strict=True)), F.lit(0.0)) / SAMPLES
+    over = F.lit(STRENGTH) + F.coalesce("c_u", zero)
+    unlisted = F.coalesce("c_w", zero) < least
+    base_log = F.log10((F.coalesce("c_w", zero) + 0.5) / F.lit(n + 0.5 * (v + 1)))
+    other_rows = (
+        texts.mapInArrow(of_others, "_key long, u long, w long, n int")
+        .join(as_word, "w", "left")
+        .join(as_context, "u", "left")
+        .select("_key", _pair_column().alias("pair"), "n", (back / over).alias("back"), over.cast("double").alias("over"), F.when(unlisted, F.col("n") * base_log).otherwise(0.0).alias("base"), F.when(unlisted & F.col("c_w").isNotNull(), F.col("n")).otherwise(0).alias("known"))
+    )
+    direct = pairs.select(_pair_column().alias("pair"), (F.col("c") - F.lit(d / SAMPLES) * F.col("kept")).alias("direct"))
+    found = listed_rows.unionByName(other_rows).join(direct, "pair", "left")
     rest = found.groupBy("_key").agg(
-        F.sum(F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("r_known"),
-        F.sum(F.col("n") * F.coalesce(log_base, F.lit(base_unseen))).alias("r_base"),
-        F.sum(F.col("n") * F.coalesce(F.col("p"), F.lit(unseen))).alias("r_value"),
+        F.sum("known").alias("r_known"),
+        F.sum("base").alias("r_base"),
+        F.sum(F.col("n") * F.log10(F.coalesce("direct", zero) / F.col("over") + F.col("back"))).alias("r_value"),
     )
     head = keyed.mapInArrow(heads, "doc_id long, _learn boolean, _key long, n_tokens long, known long, base double, value double")
     same = head.groupBy("_key").agg(F.count("*").alias("rows"))

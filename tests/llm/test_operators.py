@@ -230,6 +230,30 @@ def test_probabilities_add_up(spark):
     assert all(r.score <= 1e-9 for r in language_model.scored(one, F.lit(True)).collect())
 
 
+def test_contexts_of_rare_words_are_learned(spark):
+    """However few words are listed, a rare context tells its follower, and its followers' probabilities add up to one."""
+    texts = [(i, f"common rare{i} follow{i}") for i in range(30) for _ in range(3)]
+    probe = [(1000, "common rare7 follow7"), (1001, "common rare7 follow8"), (1002, "common rare8 follow8")]
+    df = spark.createDataFrame(texts + probe, "doc_id long, text string")
+    for pairs, listed in ((3, 2), (1 << 20, 1 << 18)):
+        got = {r.doc_id: r.score for r in language_model.scored(df, F.col("doc_id") < 1000, pairs, listed).collect()}
+        assert got[1000] > got[1001] + 1 and got[1002] > got[1001] + 1
+    vocabulary = [w for i in range(30) for w in (f"rare{i}", f"follow{i}")] + ["common", "unseen"]
+    ends = [(2000 + i, w) for i, w in enumerate(vocabulary)] + [(3000 + i, f"unseen2 {w}") for i, w in enumerate(vocabulary)]
+    df = spark.createDataFrame(texts + ends, "doc_id long, text string")
+    learn = language_model.cut(df.where("doc_id < 1000"))
+    counts = language_model.cut(language_model.word_counts(learn))
+    n, v = counts.agg(F.sum("c"), F.count("*")).first()
+    pairs, words_, unseen, d = language_model._sampled(language_model.cut(language_model.pair_counts(learn)), counts, n, v)
+    assert pairs.count() == len({p for _, t in texts for w in [["", *t.split(), ""]] for p in zip(w[:-1], w[1:])})
+    words_, pairs = words_.collect(), pairs.collect()
+    for i, x in enumerate(unseen):
+        assert sum(r[f"p{i}"] for r in words_) + x == pytest.approx(1)
+    for r in words_:
+        mine = [p for p in pairs if p.u == r.h]
+        assert sum(p.c for p in mine) == r.c and sum(p.kept for p in mine) == sum(r[f"t{i}"] for i in range(language_model.SAMPLES))
+
+
 def test_seating_is_bounded():
     import numpy as np
 
