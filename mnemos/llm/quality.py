@@ -1,6 +1,7 @@
 """Quality classifier by compression.
 
-Two zstandard dictionaries are built from good and from bad labelled texts. A whole text is compressed
+Two zstandard dictionaries are built from good and from bad labelled texts: from every text the same number of
+pieces, as far as it has them, drawn by hash from the whole of it. A whole text is compressed
 block by block with each; the difference of the two sizes as a share of their sum says which kind of
 text it is more like, and a logistic curve fitted on labelled texts that the dictionaries have not
 seen turns it into a probability.
@@ -11,13 +12,13 @@ import math
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mnemos.llm.words import append, texts_of
+from mnemos.llm.words import U, append, mix, pieces, texts_of
 
-#: Labelled rows of each class that the classifier is fitted on at most, bytes of a text used for fitting, bytes of a dictionary, bytes of a block, zstandard level.
-SAMPLE, SAMPLE_BYTES, DICTIONARY, BLOCK, LEVEL = 4000, 2048, 400_000, 1024, 3
+#: Labelled rows of each class that the classifier is fitted on at most, bytes of a piece in a dictionary, bytes of a dictionary, bytes of a block, zstandard level.
+SAMPLE, PIECE, DICTIONARY, BLOCK, LEVEL = 4000, 200, 400_000, 1024, 3
 #: Least number of labelled rows of each class to fit on; with fewer the score is 0.5 for every text.
 LEAST = 4
 
@@ -26,23 +27,24 @@ def remainder(doc_id: Column, by: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % by
 
 
-def labelled_sample(documents: DataFrame, labels: DataFrame, column: str = "quality", most: int = SAMPLE) -> list[tuple[bytes, int]]:
-    """At most `most` texts of each label 0 and 1 for fitting, chosen by a hash of doc_id, with at most SAMPLE_BYTES of each.
-
-    Only the ids that were chosen meet the documents, so their texts are not shuffled.
-    """
+def labelled_sample(labels: DataFrame, column: str = "quality", most: int = SAMPLE) -> DataFrame:
+    """(doc_id, _label, _half): at most `most` ids of each label 0 and 1, chosen by a hash; the dictionaries come from half 0, the curve from half 1."""
     given = labels.where(F.col("doc_id").isNotNull() & F.col(column).isin(0, 1) & (remainder(F.col("doc_id"), 3) != 1)).groupBy("doc_id").agg(F.max(column).cast("int").alias("_label"))
     parts = [given.where(F.col("_label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for k in (0, 1)]
-    chosen = parts[0].unionByName(parts[1])
-    text = F.substring(F.coalesce("text", F.lit("")).cast("binary"), 1, SAMPLE_BYTES)
-    rows = documents.select("doc_id", text.alias("t")).join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "t").limit(2 * most).collect()
-    return [(bytes(r.t), r._label) for r in rows]
+    place = F.row_number().over(Window.partitionBy("_label").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    return parts[0].unionByName(parts[1]).withColumn("_half", (place - 1) % 2)
+
 
+def drawn(text: bytes, seed: int, most: int) -> list[tuple[int, bytes]]:
+    """Hashes and pieces of a whole text, at most `most`, in the order of their hashes."""
+    n = -(-len(text) // PIECE)
+    h = mix(np.arange(n, dtype=U) + mix(np.array([seed % (1 << 64)], U)))
+    return [(int(h[i]) >> 1, text[i * PIECE : (i + 1) * PIECE]) for i in np.argsort(h)[:most]]
 
-def _dictionary(texts: list[bytes], size: int) -> zstandard.ZstdCompressionDict:
-    """The texts' own bytes, as much of each as there is room for."""
-    room = max(64, size // max(1, len(texts)))
-    return zstandard.ZstdCompressionDict(b"\n".join(t[:room] for t in texts)[-size:] or b" ", dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+
+def _dictionary(ranked: list[tuple[int, int, bytes]], size: int) -> bytes:
+    """The first pieces of (rank in the text, hash, piece) that there is room for: all texts' first ones, then their second ones, and so on."""
+    return b"\n".join(p for _, _, p in sorted(ranked))[:size] or b" "
 
 
 def _compressors(good: bytes, bad: bytes) -> tuple:
@@ -74,20 +76,26 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(w[0] / scale), float(w[1])
 
 
+NEUTRAL = {"good": b" ", "bad": b" ", "slope": 0.0, "intercept": 0.0}
+
+
+def _curve(good: bytes, bad: bytes, x: np.ndarray, y: np.ndarray, prior: float | None) -> dict:
+    slope, intercept = _logistic(x, y)
+    if prior is not None and 0 < prior < 1:
+        had = float(y.mean())
+        intercept += math.log(prior / (1 - prior)) - math.log(had / (1 - had))
+    return {"good": good, "bad": bad, "slope": slope, "intercept": intercept}
+
+
 def fitted(sample: list[tuple[bytes, int]], prior: float | None = None) -> dict:
     """Dictionaries from half of the sample, the curve from the other half. prior: the share of label 1, if the sample's is not it."""
     by = {k: [t for t, y in sample if y == k and t.strip()] for k in (0, 1)}
     if min(map(len, by.values())) < LEAST:
-        return {"good": b" ", "bad": b" ", "slope": 0.0, "intercept": 0.0}
-    good, bad = (_dictionary(by[k][0::2], DICTIONARY).as_bytes() for k in (1, 0))
+        return NEUTRAL
+    good, bad = (_dictionary([(r, h, p) for i, t in enumerate(by[k][0::2]) for r, (h, p) in enumerate(drawn(t, i, DICTIONARY // PIECE))], DICTIONARY) for k in (1, 0))
     compressors = _compressors(good, bad)
     x = np.array([difference(t, compressors) for k in (0, 1) for t in by[k][1::2]])
-    y = np.repeat([0.0, 1.0], [len(by[k][1::2]) for k in (0, 1)])
-    slope, intercept = _logistic(x, y)
-    if prior is not None and 0 < prior < 1:
-        had = float(y.mean())
-        intercept += math.log(prior / (1 - prior)) - math.log(had / (1 - had))
-    return {"good": good, "bad": bad, "slope": slope, "intercept": intercept}
+    return _curve(good, bad, x, np.repeat([0.0, 1.0], [len(by[k][1::2]) for k in (0, 1)]), prior)
 
 
 def scored(documents: DataFrame, model: dict) -> DataFrame:
@@ -107,7 +115,42 @@ def scored(documents: DataFrame, model: dict) -> DataFrame:
 
 
 def trained(documents: DataFrame, labels: DataFrame, column: str = "quality") -> dict:
-    """The model of the labelled rows whose crc32(doc_id) mod 3 isn't 1; the share of label 1 comes from all of them."""
+    """The model of the labelled rows whose crc32(doc_id) mod 3 isn't 1; the share of label 1 comes from all of them.
+
+    Whole texts are used: pieces are drawn from them, and differences are computed, where the texts are. Only the chosen
+    ids meet the documents, so texts are not shuffled.
+    """
     given = labels.where(F.col("doc_id").isNotNull() & F.col(column).isin(0, 1) & (remainder(F.col("doc_id"), 3) != 1))
     prior = given.agg(F.avg(column)).first()[0]
-    return fitted(labelled_sample(documents, labels, column), prior)
+    texts = documents.select("doc_id", "text").join(F.broadcast(labelled_sample(labels, column)), "doc_id").select("text", F.xxhash64("doc_id").alias("_seed"), "_label", "_half")
+    room = DICTIONARY // PIECE + 1
+
+    def draw(batches):
+        for batch in batches:
+            for part in pieces(batch):
+                found = [
+                    (y, r, h, p)
+                    for t, seed, y in zip(texts_of(part), part.column("_seed").to_pylist(), part.column("_label").to_pylist(), strict=True)
+                    if t.strip()
+                    for r, (h, p) in enumerate(drawn(t, seed, room))
+                ]
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], kind) for i, kind in enumerate((pa.int32(), pa.int32(), pa.int64(), pa.binary()))], ["y", "r", "h", "p"])
+
+    found = texts.where("_half = 0").mapInArrow(draw, "y int, r int, h long, p binary")
+    ranked = [[(x.r, x.h, bytes(x.p)) for x in found.where(F.col("y") == k).orderBy("r", "h", "p").limit(2 * room).collect()] for k in (1, 0)]
+    if not all(ranked):
+        return NEUTRAL
+    good, bad = (_dictionary(x, DICTIONARY) for x in ranked)
+
+    def differences(batches):
+        compressors = _compressors(good, bad)
+        for batch in batches:
+            for part in pieces(batch):
+                some = [(y, difference(t, compressors)) for t, y in zip(texts_of(part), part.column("_label").to_pylist(), strict=True) if t.strip()]
+                yield pa.RecordBatch.from_arrays([pa.array([y for y, _ in some], pa.int32()), pa.array([x for _, x in some], pa.float64())], ["y", "x"])
+
+    rows = sorted(texts.where("_half = 1").mapInArrow(differences, "y int, x double").collect())
+    y, x = np.array([float(r.y) for r in rows]), np.array([r.x for r in rows])
+    if min((y == 0).sum(), (y == 1).sum()) < LEAST // 2:
+        return NEUTRAL
+    return _curve(good, bad, x, y, prior)

@@ -117,6 +117,21 @@ def test_quality_held_out_accuracy(spark):
     assert all(zlib.crc32(str(x.doc_id).encode()) % 3 == 1 for x in r)
 
 
+def test_quality_learns_from_whole_texts(spark):
+    """What tells good from bad texts stands behind 3,000 bytes that say nothing."""
+    import random
+
+    r = random.Random(3)
+    said = [[f"{kind} " + " ".join(f"{r.randrange(16**6):06x}" for _ in range(9)) + "." for _ in range(40)] for kind in ("bad", "good")]
+    made = [(i, " ".join(f"{r.randrange(16**6):06x}" for _ in range(430)) + " " + " ".join(r.choice(said[i % 2]) for _ in range(60))) for i in range(120)]
+    d = spark.createDataFrame(made, "doc_id long, text string").repartition(3)
+    model = quality.trained(d, spark.createDataFrame([(i, i % 2, 0) for i, _ in made], "doc_id long, quality int, toxic int"))
+    assert b" good " in model["good"] and b" bad " in model["bad"] and b" bad " not in model["good"]
+    assert all(x.predicted == x.doc_id % 2 for x in quality.scored(d, model).collect())
+    pieces = quality.drawn(made[0][1].encode(), 5, 10**6)
+    assert sorted(made[0][1].encode()[i : i + quality.PIECE] for i in range(0, len(made[0][1]), quality.PIECE)) == sorted(p for _, p in pieces)
+
+
 def test_quality_edges(edge, empty, spark):
     model = quality.fitted([(b"good words here %d" % i, 1) for i in range(40)] + [(b"$$$ !!! ### %d" % i, 0) for i in range(40)])
     got = quality.scored(edge("score"), model)
