@@ -83,7 +83,7 @@ class Shard:
         self.max_start = np.append(new, len(term))
 
     def top(self, query: np.ndarray, times: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The documents with the k highest scores above 0 (of equals, those with smaller ids) and their scores."""
+        """The k doc_ids with the highest scores above 0, rounded to 6 digits (of equals, the smaller ids), and these; of rows with one doc_id the best counts."""
         spans = [(a, b) for a, b in zip(self.max_first[query], self.max_first[query + 1], strict=True)]
         parts = [np.arange(a, b) for a, b in spans]
         if not parts:
@@ -104,16 +104,17 @@ class Shard:
             if i % step:
                 continue
             some = order[i : i + step]
-            if not bound[some[0]] or len(best) == k and bound[some[0]] * (1 + 1e-12) < best[-1]:
+            if not bound[some[0]] or len(best) == k and np.round(bound[some[0]] * (1 + 1e-12), 6) < best[-1]:
                 break
             chosen = np.concatenate([np.arange(cuts[x], cuts[x + 1]) for x in some])
             e = entry[chosen]
             size = self.max_start[e + 1] - self.max_start[e]
             place = np.repeat(self.max_start[e] - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())
             docs, where = np.unique(self.doc[place], return_inverse=True)
-            scores = np.bincount(where, self.weight[place] * np.repeat(factor[chosen], size))
+            scores = np.round(np.bincount(where, self.weight[place] * np.repeat(factor[chosen], size)), 6)
             best_doc, best = np.r_[best_doc, docs], np.r_[best, scores]
-            keep = np.lexsort((self.ids[best_doc], -best))[:k]
+            ranked = np.lexsort((self.ids[best_doc], -best))
+            keep = ranked[np.sort(np.unique(self.ids[best_doc[ranked]], return_index=True)[1])][:k]
             best_doc, best = best_doc[keep], best[keep]
         return self.ids[best_doc], best
 
@@ -152,11 +153,11 @@ def _shards(docs: DataFrame, ids: list, owner: np.ndarray, term: np.ndarray, tim
                 shard = Shard(own, texts, terms, idf, mean)
                 q, d, s = [], [], []
                 for i in range(len(ids)):
-                    found, score = shard.top(term[first[i] : first[i + 1]], times[first[i] : first[i + 1]], k + 1)
+                    found, score = shard.top(term[first[i] : first[i + 1]], times[first[i] : first[i + 1]], k)
                     q.append(np.full(len(found), ids[i]))
                     d.append(found)
                     s.append(score)
                 if q:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(q), pa.int64()), pa.array(np.concatenate(d), pa.int64()), pa.array(np.round(np.concatenate(s), 6), pa.float64())], ["query_id", "doc_id", "score"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(q), pa.int64()), pa.array(np.concatenate(d), pa.int64()), pa.array(np.concatenate(s), pa.float64())], ["query_id", "doc_id", "score"])
 
     return docs.select("doc_id", "text").mapInArrow(search, "query_id long, doc_id long, score double")

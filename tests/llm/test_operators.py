@@ -99,6 +99,30 @@ def test_search_edges(edge, empty, spark):
     assert search.searched(edge(), q.limit(0)).count() == 0
 
 
+def test_search_counts_repeated_rows_once(spark):
+    """Twelve rows of one doc_id match best; the other results of their shard stay."""
+    texts = [(1, "apple apple apple")] * 12 + [(i, "apple " + "pear " * i) for i in range(2, 16)] + [(0, "plum")]
+    df = spark.createDataFrame(texts, "doc_id long, text string").coalesce(1)
+    q = spark.createDataFrame([(7, "apple")], "query_id long, text string")
+    got = search.searched(df, q).orderBy("rank").collect()
+    assert [r.doc_id for r in got] == list(range(1, 11))
+
+
+def test_search_ties_of_rounded_scores():
+    """Scores that are equal after rounding go by doc_id, though more than k rows, in blocks with higher bounds, are greater before it."""
+    import numpy as np
+
+    shard = object.__new__(search.Shard)
+    n = 40 * search.BLOCK
+    shard.ids, shard.doc = np.arange(n)[::-1], np.arange(n)
+    shard.weight = 1 + 1e-10 * np.arange(n)[::-1]
+    shard.first = np.array([0, n])
+    shard.max_block, shard.max_start = np.arange(40), np.arange(0, n + 1, search.BLOCK)
+    shard.max_weight, shard.max_first = np.maximum.reduceat(shard.weight, shard.max_start[:-1]), np.array([0, 40])
+    found, scores = shard.top(np.array([0]), np.array([1]), 5)
+    assert found.tolist() == [0, 1, 2, 3, 4] and (scores == 1).all()
+
+
 # 3 quality
 
 
