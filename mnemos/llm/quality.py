@@ -35,16 +35,23 @@ def labelled_sample(labels: DataFrame, column: str = "quality", most: int = SAMP
     return parts[0].unionByName(parts[1]).withColumn("_half", (place - 1) % 2)
 
 
-def drawn(text: bytes, seed: int, most: int) -> list[tuple[int, bytes]]:
-    """Hashes and pieces of a whole text, at most `most`, in the order of their hashes."""
+def drawn(text: bytes, seed: int, most: int) -> list[tuple[int, int, bytes]]:
+    """Hashes, places and pieces of a whole text, at most `most`, in the order of their hashes."""
     n = -(-len(text) // PIECE)
     h = mix(np.arange(n, dtype=U) + mix(np.array([seed % (1 << 64)], U)))
-    return [(int(h[i]) >> 1, text[i * PIECE : (i + 1) * PIECE]) for i in np.argsort(h)[:most]]
+    return [(int(h[i]) >> 1, int(i), text[i * PIECE : (i + 1) * PIECE]) for i in np.argsort(h)[:most]]
 
 
-def _dictionary(ranked: list[tuple[int, int, bytes]], size: int) -> bytes:
-    """The first pieces of (rank in the text, hash, piece) that there is room for: all texts' first ones, then their second ones, and so on."""
-    return b"\n".join(p for _, _, p in sorted(ranked))[:size] or b" "
+def _dictionary(ranked: list[tuple[int, int, int, int, bytes]], size: int) -> bytes:
+    """Of (rank in the text, hash, text, place, piece) the first that there is room for: all texts' first ones, then their second ones, and so on; neighbours are joined again."""
+    chosen, n = [], 0
+    for _, _, text, i, piece in sorted(ranked):
+        n += len(piece) + 1
+        if n > size:
+            break
+        chosen.append((text, i, piece))
+    chosen.sort()
+    return b"".join(p if k and chosen[k - 1][:2] == (text, i - 1) else b"\n" + p for k, (text, i, p) in enumerate(chosen)) or b" "
 
 
 def _compressors(good: bytes, bad: bytes) -> tuple:
@@ -92,7 +99,7 @@ def fitted(sample: list[tuple[bytes, int]], prior: float | None = None) -> dict:
     by = {k: [t for t, y in sample if y == k and t.strip()] for k in (0, 1)}
     if min(map(len, by.values())) < LEAST:
         return NEUTRAL
-    good, bad = (_dictionary([(r, h, p) for i, t in enumerate(by[k][0::2]) for r, (h, p) in enumerate(drawn(t, i, DICTIONARY // PIECE))], DICTIONARY) for k in (1, 0))
+    good, bad = (_dictionary([(r, h, s, i, p) for s, t in enumerate(by[k][0::2]) for r, (h, i, p) in enumerate(drawn(t, s, DICTIONARY // PIECE))], DICTIONARY) for k in (1, 0))
     compressors = _compressors(good, bad)
     x = np.array([difference(t, compressors) for k in (0, 1) for t in by[k][1::2]])
     return _curve(good, bad, x, np.repeat([0.0, 1.0], [len(by[k][1::2]) for k in (0, 1)]), prior)
@@ -129,15 +136,15 @@ def trained(documents: DataFrame, labels: DataFrame, column: str = "quality") ->
         for batch in batches:
             for part in pieces(batch):
                 found = [
-                    (y, r, h, p)
+                    (y, r, h, seed, i, p)
                     for t, seed, y in zip(texts_of(part), part.column("_seed").to_pylist(), part.column("_label").to_pylist(), strict=True)
                     if t.strip()
-                    for r, (h, p) in enumerate(drawn(t, seed, room))
+                    for r, (h, i, p) in enumerate(drawn(t, seed, room))
                 ]
-                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], kind) for i, kind in enumerate((pa.int32(), pa.int32(), pa.int64(), pa.binary()))], ["y", "r", "h", "p"])
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], kind) for k, kind in enumerate((pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))], ["y", "r", "h", "s", "i", "p"])
 
-    found = texts.where("_half = 0").mapInArrow(draw, "y int, r int, h long, p binary")
-    ranked = [[(x.r, x.h, bytes(x.p)) for x in found.where(F.col("y") == k).orderBy("r", "h", "p").limit(2 * room).collect()] for k in (1, 0)]
+    found = texts.where("_half = 0").mapInArrow(draw, "y int, r int, h long, s long, i int, p binary")
+    ranked = [[(x.r, x.h, x.s, x.i, bytes(x.p)) for x in found.where(F.col("y") == k).orderBy("r", "h", "s", "i", "p").limit(2 * room).collect()] for k in (1, 0)]
     if not all(ranked):
         return NEUTRAL
     good, bad = (_dictionary(x, DICTIONARY) for x in ranked)

@@ -153,7 +153,7 @@ def test_quality_learns_from_whole_texts(spark):
     assert b" good " in model["good"] and b" bad " in model["bad"] and b" bad " not in model["good"]
     assert all(x.predicted == x.doc_id % 2 for x in quality.scored(d, model).collect())
     pieces = quality.drawn(made[0][1].encode(), 5, 10**6)
-    assert sorted(made[0][1].encode()[i : i + quality.PIECE] for i in range(0, len(made[0][1]), quality.PIECE)) == sorted(p for _, p in pieces)
+    assert sorted(made[0][1].encode()[i : i + quality.PIECE] for i in range(0, len(made[0][1]), quality.PIECE)) == sorted(p for _, _, p in pieces)
 
 
 def test_quality_edges(edge, empty, spark):
