@@ -108,19 +108,26 @@ def test_search_counts_repeated_rows_once(spark):
     assert [r.doc_id for r in got] == list(range(1, 11))
 
 
-def test_search_ties_of_rounded_scores():
-    """Scores that are equal after rounding go by doc_id, though more than k rows, in blocks with higher bounds, are greater before it."""
-    import numpy as np
+def test_search_ties_of_rounded_scores(spark, monkeypatch):
+    """Forty documents have equal scores: the smaller ids are kept, whatever the order, the shards and the parts; long lists and short ones."""
+    monkeypatch.setattr(search, "PART", 8)
+    monkeypatch.setattr(search, "FIRST", 3)
+    texts = [(100 - i, "apple pear common") for i in range(40)] + [(200 + i, f"common word{i}") for i in range(200)] + [(500 + i, "common apple " + "plum " * 9) for i in range(40)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    ask = [(1, "apple pear common"), (2, "common"), (3, "plum apple apple"), (4, "word7 common")]
+    q = spark.createDataFrame(ask, "query_id long, text string")
+    for shard, long in ((1 << 24, 16), (300, 16), (1 << 24, 1), (700, 10**6)):
+        monkeypatch.setattr(search, "SHARD_BYTES", shard)
+        monkeypatch.setattr(search, "LONG", long)
+        assert rows(search.searched(df.repartition(2), q, 5), "query_id", "doc_id") == bm25(texts, ask, 5)
 
-    shard = object.__new__(search.Shard)
-    n = 40 * search.BLOCK
-    shard.ids, shard.doc = np.arange(n)[::-1], np.arange(n)
-    shard.weight = 1 + 1e-10 * np.arange(n)[::-1]
-    shard.first = np.array([0, n])
-    shard.max_block, shard.max_start = np.arange(40), np.arange(0, n + 1, search.BLOCK)
-    shard.max_weight, shard.max_first = np.maximum.reduceat(shard.weight, shard.max_start[:-1]), np.array([0, 40])
-    found, scores = shard.top(np.array([0]), np.array([1]), 5)
-    assert found.tolist() == [0, 1, 2, 3, 4] and (scores == 1).all()
+
+def test_search_in_groups_of_queries(spark, sf, monkeypatch):
+    d = docs_of(spark, sf)
+    df = spark.createDataFrame(d, "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(search, "GROUP_BYTES", sum(len(t or "") for i, t in d if i % 20 == 0) // 2)
+    got = search.searched(df, df.where("doc_id % 20 = 0").withColumnRenamed("doc_id", "query_id"), 5)
+    assert rows(got, "query_id", "doc_id") == bm25(d, [x for x in d if x[0] % 20 == 0], 5)
 
 
 # 3 quality
