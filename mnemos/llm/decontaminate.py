@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemos.llm.words import LOWER_ALNUM, U, Words, append, covered, pieces, rolled, texts_of, windows
+from mnemos.llm.words import LOWER_ALNUM, U, Words, append, covered, pieces, rolled, sheltered, texts_of, windows
 
 #: Words of a shingle, words of a window, bytes of item text in a block.
 SHINGLE, WINDOW, BLOCK_BYTES = 5, 10, 8 << 20
@@ -158,8 +158,12 @@ def _marked(df: DataFrame, keys: dict, plan: dict) -> DataFrame:
 
 
 def decontaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that no window of an item occurs in, with their own columns."""
-    return contamination(documents, benchmark).where(F.col("hits").isNull()).select(*documents.columns)
+    """The documents that no window of an item occurs in, with their own columns, whatever their names are.
+
+    Documents without words stay, and so do all if the benchmark is empty; long texts are read whole; repeated rows stay or go together.
+    """
+    plain, own = sheltered(documents, ("text",))
+    return own(contamination(plain, benchmark).where(F.col("hits").isNull()).select(*plain.columns))
 
 
 def digest(marked: DataFrame) -> DataFrame:

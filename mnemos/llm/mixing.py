@@ -9,8 +9,11 @@ shuffled globally by ranges of another hash.
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Seed; the exponent of a source's size in its target weight, where no weights are given; most sources whose rates are broadcast.
-SEED, EXPONENT, BROADCAST_SOURCES = 11, 0.5, 100_000
+from mnemos.llm.words import sheltered
+
+#: Seed; the exponent of a source's size in its target weight, where no weights are given; most sources whose rates are broadcast, and
+#: into how many parts each source is split if there are more.
+SEED, EXPONENT, BROADCAST_SOURCES, SALTS = 11, 0.5, 100_000, 64
 
 
 def uniform(*parts: Column | str) -> Column:
@@ -55,20 +58,25 @@ def replicated(docs: DataFrame, rate_table: DataFrame, seed: int = SEED) -> Data
 
     Rows with the same doc_id get the same number of copies at the same rate; a null doc_id is hashed as an empty
     text. A source that is not in the table has no copies. Text is neither read nor changed; a column named copy is
-    replaced, others stay.
+    replaced, others stay whatever their names are. Rates go to every task if they are few; if not, rows are dealt by source and a hash, so that
+    a source with many rows is met in many tasks.
     """
-    small = rate_table.count() <= BROADCAST_SOURCES
+    plain, own = sheltered(docs.drop("copy"), ("doc_id", "source"))
     table = rate_table.select(F.col("source").alias("_source"), poisson_cdf(F.col("rate")).alias("_cdf"))
-    joined = docs.drop("copy").join(F.broadcast(table) if small else table, docs["source"].eqNullSafe(table["_source"]))
-    u = uniform("doc_id", F.lit(seed))
+    same = plain["source"].eqNullSafe(table["_source"])
+    if rate_table.count() <= BROADCAST_SOURCES:
+        joined = plain.join(F.broadcast(table), same)
+    else:
+        salted = plain.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
+        joined = salted.join(table.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), same & (F.col("_salt") == F.col("_part")))
     below = F.size(F.filter("_cdf", lambda x: x < F.col("_u")))
-    return joined.withColumn("_u", u).withColumn("copy", F.explode(F.sequence(F.lit(0), below))).where(F.col("copy") < below).drop("_source", "_cdf", "_u")
+    copies = joined.withColumn("_u", uniform("doc_id", F.lit(seed))).withColumn("copy", F.explode(F.sequence(F.lit(0), below))).where(F.col("copy") < below)
+    return own(copies.select(*plain.columns, "copy"))
 
 
 def shuffled(rows: DataFrame, seed: int = SEED) -> DataFrame:
     """rows in an order that is hashed from doc_id and copy, over all partitions."""
-    order = uniform("doc_id", F.col("copy"), F.lit(f"order{seed}"))
-    return rows.withColumn("_order", order).orderBy("_order", "doc_id", "copy").drop("_order")
+    return rows.orderBy(uniform("doc_id", F.col("copy"), F.lit(f"order{seed}")), "doc_id", "copy")
 
 
 def mixed(docs: DataFrame, weights: dict[str, float] | None = None, exponent: float = EXPONENT, seed: int = SEED) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mnemos.llm.words import SPACES, U, Words, append, covered, mix, packed, pieces, rolled, sliding_min, texts_of, unpacked, windows
+from mnemos.llm.words import SPACES, U, Words, append, covered, mix, packed, pieces, rolled, sheltered, sliding_min, texts_of, unpacked, windows
 
 #: Words of a window; most windows that a task merges at a time.
 WINDOW, MERGE = 13, 4_000_000
@@ -179,8 +179,8 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, first: int | None = None
     windows are judged on the texts as they come in. kept_text is the text itself if no word goes, else
     the kept words joined by one space. Null and empty texts have no words (kept_text null or as it is); texts
     shorter than a window lose nothing; repeats within one document, or in rows with the same doc_id, count
-    for nothing; a row without doc_id is neither compared nor changed. Rows and other columns stay, but columns
-    with these four names, or hs and ks, are replaced.
+    for nothing; a row without doc_id is neither compared nor changed. Rows and other columns stay, whatever their names
+    are, but columns with these four names are replaced. An empty table stays empty.
     """
     names = "n_words long, n_removed long, kept_text string, kept_sha256 string, hs int, ks int"
 
@@ -205,6 +205,5 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, first: int | None = None
         none = pa.nulls(len(texts), pa.int32())
         return [pa.array(words.counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(digests, pa.string()), none, none]
 
-    clash = [c for c in docs.columns if c.lower() in {"n_words", "n_removed", "kept_text", "kept_sha256", "hs", "ks", "_doc"}]
-    docs = docs.drop(*clash)
-    return append(_with(docs, repeated_windows(docs, window, first)), cut, names, ("doc_id", "hs", "ks")).drop("hs", "ks")
+    plain, own = sheltered(docs.select(*(c for c in docs.columns if c.lower() not in {"n_words", "n_removed", "kept_text", "kept_sha256"})))
+    return own(append(_with(plain, repeated_windows(plain, window, first)), cut, names, ("doc_id", "hs", "ks")).drop("hs", "ks"))

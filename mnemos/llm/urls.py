@@ -10,6 +10,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mnemos.llm.words import sheltered
+
 #: Lengths of the n-grams; number of hashed features; strength of the penalty.
 NGRAMS, FEATURES, PENALTY = (3, 4), 1 << 16, 1e-4
 #: (verdict, host and start of the path)
@@ -84,15 +86,15 @@ def judged(pages: DataFrame, model: LogisticRegressionModel, rules=RULES) -> Dat
     """pages with host, path, rule, verdict and score (the classifier's probability of block).
 
     A null url or one without :// has an empty host and path and no features: no rule fits, and the
-    classifier's intercept decides. Repeated rows are judged each; columns of pages with these five names
-    are replaced, others stay.
+    classifier's intercept decides. Long urls are read whole; rules of equal length that fit go by their text; an empty table stays empty.
+    Repeated rows are judged each; columns of pages with these five names are replaced, others stay whatever their names are.
     """
     added = {"host", "path", "rule", "verdict", "score"}
-    kept = [c for c in pages.columns if c.lower() not in added]
-    scored = model.transform(_hashed(pages.select(*kept)))
+    plain, own = sheltered(pages.select(*(c for c in pages.columns if c.lower() not in added)), ("url",))
+    kept = plain.columns
+    scored = model.transform(_hashed(plain))
     verdicts = F.create_map(*(F.lit(x) for action, text in rules for x in (text, action))) if rules else F.lit(None)
     rule = rule_of(F.col("host"), F.col("path"), rules)
     score = vector_to_array("_probability")[1]
-    return scored.select(*kept, "host", "path", rule.alias("rule"), score.alias("score")).select(
-        *kept, "host", "path", "rule", F.when(F.col("rule").isNotNull(), verdicts[F.col("rule")] if rules else F.lit(None)).otherwise(F.when(F.col("score") >= 0.5, "block").otherwise("allow")).alias("verdict"), "score"
-    )
+    verdict = F.when(F.col("rule").isNotNull(), verdicts[F.col("rule")] if rules else F.lit(None)).otherwise(F.when(F.col("score") >= 0.5, "block").otherwise("allow"))
+    return own(scored.select(*kept, "host", "path", rule.alias("rule"), score.alias("score")).select(*kept, "host", "path", "rule", verdict.alias("verdict"), "score"))

@@ -141,6 +141,20 @@ def unpacked(parts) -> np.ndarray:
     return np.frombuffer(b"".join(parts), U) if parts else np.empty(0, U)
 
 
+def sheltered(df, used: tuple = ("doc_id", "text")):
+    """df with all but the used columns under names that no operator has, and a function that gives a result its own names back.
+
+    Columns that the result has besides stand after them.
+    """
+    plain = df.toDF(*(c if c in used else f"_own_{i}" for i, c in enumerate(df.columns)))
+
+    def own(out):
+        more = [c for c in out.columns if c not in plain.columns]
+        return out.select(*plain.columns, *more).toDF(*df.columns, *more)
+
+    return plain, own
+
+
 def append(df, make, fields: str, need: tuple = ()):
     """df with the columns that make(record batch) returns as arrays, in `fields` order.
 
