@@ -10,8 +10,9 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.section_counts(_table(spark, sf_dir, "documents").select("doc_id", "text"), token_counts.default_ranks()).drop("text")
+def op1_token_counts(spark: SparkSession, sf_dir: str, folder: str = token_counts.FOLDER, vocabulary: str = token_counts.VOCABULARY) -> DataFrame:
+    ranks = token_counts.default_ranks(folder, vocabulary)
+    return token_counts.section_counts(_table(spark, sf_dir, "documents").select("doc_id", "text"), ranks).drop("text")
 
 
 def op2_search(spark: SparkSession, sf_dir: str) -> DataFrame:

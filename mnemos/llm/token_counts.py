@@ -9,6 +9,7 @@ to the count of the document.
 
 import base64
 import os
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +22,9 @@ FOLDER, VOCABULARY = "/opt/tokenizers", "byte_bpe_50k.tiktoken"
 #: Splits text into the pieces that are encoded by themselves: the public pattern of byte-level BPE.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
+#: Runs of white space that the splitter isn't given: it would keep a state for each character.
+LONG_RUN = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{1000,}")
+
 
 def load_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
@@ -37,6 +41,21 @@ def encoder(ranks: dict[bytes, int]):
     return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}), sizes
 
 
+def encoded(enc, text: str) -> list[int]:
+    """The tokens of a text of any length.
+
+    The pattern takes a run of white space before a word as one piece but for its last character, and a run at the end of a text whole, so
+    long runs are encoded as such pieces and what stands between them as it is.
+    """
+    out, at = [], 0
+    for run in LONG_RUN.finditer(text):
+        end = run.end() - (run.end() < len(text))
+        out += enc.encode_ordinary(text[at : run.start()])
+        out += enc._encode_single_piece(text[run.start() : end].encode())
+        at = end
+    return out + enc.encode_ordinary(text[at:])
+
+
 def attributed(ends: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Tokens of each section. ends: where tokens end; bounds: where sections begin, and the end of the last."""
     start = np.r_[0, ends[:-1]]
@@ -60,7 +79,8 @@ def section_counts(docs: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     """docs with n_tokens, n_sections and, by section, sections array<struct<start, end, n_tokens>> (byte offsets).
 
     A null or empty text is one empty section without tokens. Repeated rows are counted each; columns with these
-    three names are replaced, others stay. Very long texts are encoded whole.
+    three names are replaced, others stay. Very long texts are encoded whole, long runs of white space as pieces of their own; an empty table
+    stays empty.
     """
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
     built = []
@@ -72,7 +92,7 @@ def section_counts(docs: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
         totals, counts, starts, ends, offsets = [], [], [], [], [0]
         for text in texts_of(batch):
             bounds = line_bounds(text)
-            ids = np.array(enc.encode_ordinary(text.decode()), np.int64)
+            ids = np.array(encoded(enc, text.decode()), np.int64)
             n = attributed(np.cumsum(sizes[ids]), bounds) if len(ids) else np.zeros(len(bounds) - 1, np.int64)
             totals.append(len(ids))
             counts.append(n)
@@ -85,5 +105,5 @@ def section_counts(docs: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     return append(docs, make, "n_tokens long, n_sections long, sections array<struct<start: long, end: long, n_tokens: long>>")
 
 
-def default_ranks() -> dict[bytes, int]:
-    return load_ranks(os.path.join(FOLDER, VOCABULARY))
+def default_ranks(folder: str = FOLDER, vocabulary: str = VOCABULARY) -> dict[bytes, int]:
+    return load_ranks(os.path.join(folder, vocabulary))
