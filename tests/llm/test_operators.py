@@ -469,17 +469,58 @@ def test_licenses_are_exact(spark, edge, empty):
         assert r.base_labels == ",".join(sorted({x for _, x in at})) and set(r.base_labels.split(",")) <= set(r.labels.split(",")) and 0 <= r.score <= 1
 
 
+def licensed(documents):
+    """labels and score by trying every start in every text."""
+    bags = [words(t) for _, t in documents]
+    idf = collections.Counter(w for b in bags for w in set(b))
+    idf = collections.defaultdict(lambda: math.log(1 + (len(bags) + 0.5) / 0.5), {w: math.log(1 + (len(bags) - c + 0.5) / (c + 0.5)) for w, c in idf.items()})
+    out = []
+    for (i, _), w in zip(documents, bags):
+        found = [(label, 1.0) for phrase, label in licenses.BASE.items() for a in range(len(w)) if w[a : a + len(phrase.split())] == phrase.split()]
+        for label, key, text in licenses.TEMPLATES:
+            h, key = words(text), key.split()
+            gap, whole = min(licenses.GAP, len(h) // licenses.PER_GAP), sum(idf[x] for x in h)
+            if sum(idf[x] for x in h if x in set(w)) < licenses.SHARE * whole - 1e-9:
+                continue
+            at = next(k for k in range(len(h)) if h[k : k + len(key)] == key)
+            for s in range(-len(h), len(w)):
+                near = [range(max(0, s + k - gap), max(0, s + k + gap + 1)) for k in range(len(h))]
+                got = sum(idf[x] for x, r in zip(h, near) if x in w[r.start : r.stop]) / whole
+                if got >= licenses.SHARE and any(w[p : p + len(key)] == key for p in near[at]):
+                    found.append((label, min(got, 1.0)))
+        out.append((i, ",".join(sorted({x for x, _ in found})), round(max([s for _, s in found], default=0.0), 9)))
+    return sorted(out)
+
+
+MIT = licenses.TEMPLATES[0][2]
+
+
 def test_license_templates(spark):
+    own = MIT.split()
     texts = [
         (1, "Licensed under CC BY-NC 4.0."),
         (2, "mit mit license apache license gnu General  Public License"),
         (3, "x Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files y"),
         (4, "permission was granted"),
+        (5, "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation"),
+        (6, "before " + " ".join(own[:40] + ["inserted", "words"] + own[40:90] + own[93:]) + " after"),
+        (7, " ".join(own[60:])),
+        (8, "of the to is a " * 300 + "redistribution and use in source and binary forms"),
+        (9, "files documentation associated and software this of copy a obtaining person any to charge of free granted hereby is permission"),
+        (10, licenses.TEMPLATES[3][2].replace("disclaims", "refuses") + " " + licenses.TEMPLATES[9][2]),
     ]
-    got = {r.doc_id: r for r in licenses.scanned(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    for parts in (1, 4):
+        got = {r.doc_id: r for r in licenses.scanned(spark.createDataFrame(texts, "doc_id long, text string").repartition(parts)).collect()}
+        assert sorted((i, r.labels, round(r.score, 9)) for i, r in got.items()) == licensed(texts)
     assert got[1].labels == "cc-by-nc" and got[1].n_base == 0
     assert got[2].base_labels == "apache,gpl,mit" and (got[2].n_base, got[2].first_word, got[2].last_word) == (3, 1, 6)
-    assert got[3].labels == "mit" and got[3].base_labels == "" and got[4].labels == ""
+    assert got[3].labels == got[5].labels == got[6].labels == "mit" and got[3].base_labels == "" and got[4].labels == got[7].labels == got[9].labels == ""
+
+
+def test_license_labels_of_documents(spark, sf):
+    d = [x for x in docs_of(spark, sf) if "icense" in (x[1] or "") or x[0] % 10 == 0]
+    got = licenses.scanned(spark.createDataFrame(d, "doc_id long, text string").repartition(3)).collect()
+    assert sorted((r.doc_id, r.labels, round(r.score, 9)) for r in got) == licensed(d)
 
 
 def test_all_ten_are_registered():
