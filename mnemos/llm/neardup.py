@@ -8,12 +8,16 @@ every bin. Agreement of two sketches is concentrated around the Jaccard similari
 Banding: `BANDS` bands of `ROWS` bins; documents that agree in a band belong to one family (chains
 included). The chance to miss a pair at similarity 0.85 is (1 - 0.85^ROWS)^BANDS, under 4e-6 here.
 
-Verification: documents with the same set are one class beforehand, and one member stands for it.
-Each family is cut into blocks of bounded size, and for each two blocks one task counts the exact
-intersections of all full sets and returns at most a spanning forest of the links, so neither
+Verification: documents with the same set are one class beforehand (sizes and SHA-256 digests of the full
+sets are equal), and one member stands for it. First every document is compared with its hub, the smallest
+document that it agrees with in a band: a hub's documents are cut into blocks of bounded size, the hub's set goes to each, and one task
+counts the exact intersections of all full sets in a block and returns at most a spanning forest of the links. Mostly this joins
+a family to one component. Only families that it leaves in several are compared whole, block by block. So neither
 candidate pairs nor all links of a group become rows. Links are closed to components.
 """
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,8 +26,8 @@ from pyspark.sql import functions as F
 from mnemos.llm.graph import components, cut
 from mnemos.llm.words import LOWER_SPACES, U, Words, append, mix, packed, rolled, texts_of, windows
 
-#: Words of a shingle; bins of a band and bands; least similarity in percent; documents of a block; most rows of ids that are broadcast.
-SHINGLE, ROWS, BANDS, PERCENT, BLOCK, BROADCAST_IDS = 5, 8, 40, 85, 256, 1_000_000
+#: Words of a shingle; bins of a band and bands; least similarity in percent; documents and shingles of a block; most rows of ids that are broadcast.
+SHINGLE, ROWS, BANDS, PERCENT, BLOCK, BLOCK_SHINGLES, BROADCAST_IDS = 5, 8, 40, 85, 256, 4_000_000, 1_000_000
 #: Least similarity in percent, bins of a band and bands of the deduplication of a corpus; a pair at 0.80 is missed with a chance under 6e-6.
 CORPUS_PERCENT, CORPUS_ROWS, CORPUS_BANDS = 80, 6, 40
 _FULL = ~U(0)
@@ -68,24 +72,23 @@ def similarity_sketch(owner: np.ndarray, h: np.ndarray, n: int, bins: int) -> np
 
 
 def sketched(docs: DataFrame, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
-    """(doc_id, n_shingles, s1, s2, bands): size and 128-bit fingerprint of the set, hashes of the bands (none for an empty set)."""
+    """(doc_id, n_shingles, digest, bands): size and SHA-256 of the full set, hashes of the bands (none for an empty set)."""
 
     def make(batch):
         texts = texts_of(batch)
         owner, h = shingle_sets(texts)
         n = np.bincount(owner, minlength=len(texts))
-        total = np.zeros((2, len(texts)), U)
-        np.add.at(total[0], owner, mix(h ^ _GOLD))
-        np.add.at(total[1], owner, mix(h + U(12345)))
+        cuts = np.searchsorted(owner, np.arange(len(texts) + 1))
+        digests = [hashlib.sha256(packed(h[a:b])).digest() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
         sketch = similarity_sketch(owner, h, len(texts), rows * bands).reshape(len(texts), bands, rows)
         key = np.broadcast_to(mix(np.arange(1, bands + 1, dtype=U)), sketch.shape[:2])
         for r in range(rows):
             key = mix(key * _GOLD + sketch[:, :, r])
         size = np.where(n > 0, bands, 0)
         lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size)].astype(np.int32)), pa.array(key[n > 0].reshape(-1).view(np.int64)))
-        return [pa.array(n, pa.int64()), pa.array(total[0].view(np.int64)), pa.array(total[1].view(np.int64)), lists]
+        return [pa.array(n, pa.int64()), pa.array(digests, pa.binary()), lists]
 
-    return append(docs.select("doc_id", "text"), make, "n_shingles long, s1 long, s2 long, bands array<long>").drop("text")
+    return append(docs.select("doc_id", "text"), make, "n_shingles long, digest binary, bands array<long>").drop("text")
 
 
 def _forest(percent: int):
@@ -131,6 +134,25 @@ def _on_ids(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", how)
 
 
+def _links(docs: DataFrame, placed: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) within groups, from rows placed (doc_id, blocks: array of struct<group, lo, hi>): a forest of each of these blocks."""
+
+    def make(batch):
+        texts = texts_of(batch)
+        owner, h = shingle_sets(texts)
+        cuts = np.searchsorted(owner, np.arange(len(texts) + 1))
+        return [pa.array([packed(h[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())]
+
+    sets = append(_on_ids(docs.select("doc_id", "text").where("text is not null"), placed, "inner"), make, "shingles binary").drop("text")
+    return sets.select("doc_id", "shingles", F.inline("blocks")).groupBy("group", "lo", "hi").applyInArrow(_forest(percent), "a long, b long")
+
+
+def _cut_in_blocks(members: DataFrame) -> DataFrame:
+    """members (doc_id, group, n_shingles) with `blocks`, how many blocks their group needs, and `block`, theirs."""
+    need = members.groupBy("group").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    return members.join(need, "group").withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int"))
+
+
 def components_of(docs: DataFrame, percent: int = PERCENT, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), a row for each row of docs (doc_id, text).
 
@@ -140,34 +162,42 @@ def components_of(docs: DataFrame, percent: int = PERCENT, rows: int = ROWS, ban
     """
     sketches = cut(sketched(docs, rows, bands))
     known = sketches.where("n_shingles > 0 and doc_id is not null")
-    classes = cut(known.groupBy("n_shingles", "s1", "s2").agg(F.min("doc_id").alias("rep")))
+    classes = cut(known.groupBy("n_shingles", "digest").agg(F.min("doc_id").alias("rep")))
     standing = known.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("doc_id", F.explode("bands").alias("band"))
     hubs = standing.groupBy("band").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("most")).where("hub < most")
-    families = components(standing.join(hubs, "band").where("doc_id <> hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b")))
-    families = families.select(F.col("node").alias("doc_id"), F.col("label").alias("family"))
-
-    def make(batch):
-        texts = texts_of(batch)
-        owner, h = shingle_sets(texts)
-        cuts = np.searchsorted(owner, np.arange(len(texts) + 1))
-        return [pa.array([packed(h[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())]
-
-    blocks = families.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    placed = cut(families.join(blocks, "family").withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int")))
-    sets = append(_on_ids(docs.select("doc_id", "text").where("text is not null"), placed, "inner"), make, "shingles binary").drop("text")
-    paired = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("doc_id", "shingles", "family", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
-    links = paired.groupBy("family", "lo", "hi").applyInArrow(_forest(percent), "a long, b long")
-    labels = components(links)
-    of_class = classes.join(labels, classes["rep"] == labels["node"], "left").select(F.col("n_shingles"), F.col("s1"), F.col("s2"), F.coalesce("label", "rep").alias("of"))
+    stars = cut(standing.join(hubs, "band").where("doc_id <> hub").select("doc_id", "hub").distinct())
+    sizes = classes.select(F.col("rep").alias("doc_id"), "n_shingles")
+    part = lambda lo, hi: F.struct("group", F.lit(lo).alias("lo") if isinstance(lo, int) else lo.alias("lo"), hi.alias("hi"))
+
+    nearest = _cut_in_blocks(stars.groupBy("doc_id").agg(F.min("hub").alias("group")).join(sizes, "doc_id"))
+    own = nearest.select("doc_id", part(0, F.col("block")).alias("place"))
+    of_hub = nearest.groupBy("group").agg(F.max("blocks").alias("blocks")).select(F.col("group").alias("doc_id"), F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: part(0, i))).alias("place"))
+    placed = cut(own.unionByName(of_hub).groupBy("doc_id").agg(F.collect_list("place").alias("blocks")))
+    first = cut(_links(docs, placed, percent))
+
+    families = components(stars.select(F.col("doc_id").alias("a"), F.col("hub").alias("b"))).select(F.col("node").alias("doc_id"), F.col("label").alias("group"))
+    joined = components(first).withColumnRenamed("node", "doc_id")
+    members = families.join(joined, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
+    open_ = members.groupBy("group").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most").select("group")
+    rest = _cut_in_blocks(members.join(open_, "group", "left_semi").join(sizes, "doc_id").select("doc_id", "group", "n_shingles"))
+    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: part(F.least("block", i), F.greatest("block", i)))
+    placed = cut(rest.select("doc_id", pairs.alias("blocks")))
+    labels = components(first.unionByName(_links(docs, placed, percent)))
+
+    of_class = classes.join(labels, classes["rep"] == labels["node"], "left").select("n_shingles", "digest", F.coalesce("label", "rep").alias("of"))
     return (
         sketches.drop("bands")
-        .join(of_class, ["n_shingles", "s1", "s2"], "left")
+        .join(of_class, ["n_shingles", "digest"], "left")
         .select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.when(F.col("doc_id").isNotNull(), F.col("of"))).otherwise(F.col("doc_id")).alias("component_id"))
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
     )
 
 
 def representatives(docs: DataFrame, percent: int = CORPUS_PERCENT, rows: int = CORPUS_ROWS, bands: int = CORPUS_BANDS) -> DataFrame:
-    """docs without those that are linked, directly or by others, with a document of smaller doc_id."""
+    """docs without those that are linked, directly or by others, with a document of smaller doc_id.
+
+    Texts without words and rows without doc_id are linked with nothing and stay; long texts are read whole; rows with one doc_id are one
+    document and stay or go together; all columns pass unchanged; an empty table stays empty.
+    """
     gone = cut(components_of(docs.select("doc_id", "text"), percent, rows, bands).where("not kept").select("doc_id").distinct())
     return _on_ids(docs, gone, "left_anti").select(*docs.columns)
