@@ -8,9 +8,10 @@ scores do not depend on the shards.
 A document can be the pivot of a query only if the bounds of the lists that meet there reach the k-th score so far. Lists
 that are rare in the shard are merged, so their share in a document is known exactly; lists that most documents are
 in count with their block's maximum. Where the sum stays below the k-th score, the long lists are not read: their cursors
-skip to the next part of the shard with a pivot. Pivots are scored in document order, but until there are k results the `FIRST` most
-promising documents go before; the k-th score goes on from shard to shard of a task. Documents of a shard are ordered by their heaviest
-frequent term and length, which makes neighbours alike and the maxima tight. Only each task's top k leave it, and they are merged exactly.
+skip to the next part of the shard with a pivot. There the lists are added up; pivots that still can reach the k-th score are scored in
+double precision, always in the order of the terms, the most promising `FIRST` at a time. The k-th score goes on from shard to shard of a
+task. Documents of a shard are ordered by their heaviest frequent term and length, which makes neighbours alike and the maxima tight.
+Only each task's top k leave it, and they are merged exactly.
 
 Queries go to the tasks in groups of bounded size, each with a pass over the documents and a result of its own.
 """
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from mnemos.llm.graph import cut
 from mnemos.llm.words import LOWER_ALNUM, U, Words, pieces, texts_of
 
-#: BM25's saturation and length weight; results of a query; documents of a block and of a part; pivots scored first; queries whose bounds are added up at once.
+#: BM25's saturation and length weight; results of a query; documents of a block and of a part; pivots scored at a time; queries whose bounds are added up at once.
 K1, B, TOP, BLOCK, PART, FIRST, TOGETHER = 1.2, 0.75, 10, 16, 512, 32, 256
 #: Bytes of query text in a group; bytes of a shard; bytes whose words are counted at once; a list is long if it has one in so many documents of the shard.
 GROUP_BYTES, SHARD_BYTES, FEW_BYTES, LONG = 48 << 20, 24 << 20, 1 << 20, 16
@@ -158,29 +159,24 @@ class Shard:
             asked_long[there[there >= 0], j] = times[there >= 0]
             place, size = _runs(self.first[term], self.first[term + 1])
             merged[j] = np.bincount(self.list_doc[place], self.list_weight[place] * np.repeat(times, size), n)
-        bound = merged + np.repeat(self.blocks @ asked_long, BLOCK, axis=0)[:n].T
-        asked = np.zeros(self.terms)
-
-        def score(j: int, docs: np.ndarray) -> None:
-            term, times = queries[j]
-            asked[term] = times
-            best[j].add(self.ids[docs], self.scores(docs, asked))
-            asked[term] = 0
-
-        for j in range(len(queries)):
-            if len(best[j].ids) < best[j].k:
-                ahead = np.argpartition(-bound[j], FIRST)[:FIRST] if n > FIRST else np.arange(n)
-                score(j, ahead[bound[j, ahead] > 0])
         least = np.array([b.least for b in best])
-        pivot = bound * wide >= least[:, None]
+        pivot = (merged + np.repeat(self.blocks @ asked_long, BLOCK, axis=0)[:n].T) * wide >= least[:, None]
         # The long lists move to the parts of the shard with a pivot only.
+        full = np.zeros_like(merged)
         for a in range(0, n, PART):
             which = np.flatnonzero(pivot[:, a : a + PART].any(axis=1))
-            if len(which):
-                full = merged[which, a : a + PART] + (self.table[a : a + PART] @ asked_long[:, which]).T
-                rows, docs = np.nonzero(pivot[which, a : a + PART] & (full * wide >= least[which, None]))
-                for j, d in zip(which[np.unique(rows)].tolist(), np.split(docs + a, np.flatnonzero(np.diff(rows)) + 1), strict=True) if len(rows) else ():
-                    score(j, d)
+            full[which, a : a + PART] = (merged[which, a : a + PART] + (self.table[a : a + PART] @ asked_long[:, which]).T) * wide
+        pivot &= full >= least[:, None]
+        asked = np.zeros(self.terms)
+        for j in np.flatnonzero(pivot.any(axis=1)).tolist():
+            docs, term = np.flatnonzero(pivot[j]), queries[j][0]
+            asked[term] = queries[j][1]
+            while len(docs):  # the most promising ones first, until no other can be among the best
+                some = np.argpartition(-full[j, docs], FIRST)[:FIRST] if len(docs) > FIRST else np.arange(len(docs))
+                best[j].add(self.ids[docs[some]], self.scores(docs[some], asked))
+                docs = np.delete(docs, some)
+                docs = docs[full[j, docs] >= best[j].least]
+            asked[term] = 0
 
 
 def searched(docs: DataFrame, queries: DataFrame, k: int = TOP) -> DataFrame:
