@@ -1,34 +1,43 @@
 """Language-model scoring with a hierarchical Pitman-Yor model.
 
-Every training token is counted, and so is every pair of neighbours (context, word); the end of a text is a word, and
-it also stands before the first one. Each word has a context restaurant for the words that follow it; all context
-restaurants share one parent, the restaurant of words without context, over a uniform base with one place for unseen
-words. So the probabilities of all words in a context add up to one.
-
-Seating is sampled by blocked Gibbs sweeps over the pairs: in each, every pair seats its customers given the parent's
-predictive probabilities and the tables that its context had after the sweep before, every table sends one customer to
-the parent, and the parent is seated anew. A pair that occurs once always has one table, so only its sums by word and
-by context take part. After `BURN` sweeps, the predictive probabilities of `SAMPLES` sweeps are averaged.
-
-Pairs and words are counted, seated and joined with the texts by shuffles. The statistics of at most `LISTED` frequent
-words and the probabilities of at most `PAIRS` frequent pairs of them go to every task, which saves their tokens the joins.
+Restaurants stand in three levels. A context of two words, the word before and a class of the one before that (one of
+65,536, by a hash), has a restaurant whose parent is that of the word before alone, and all of these share one parent, the words
+without context, over a uniform base with one place for unseen words. The end of a text is a word; it also stands twice
+before the first one. A word before that is so frequent that its restaurant would not fit in a task (`PER_BUCKET`) has several,
+each for a part of the classes. Every training token is a customer, so what is gathered grows with the corpus.
+
+Seating is sampled by Gibbs sweeps. Customers first sit down one after another. Then in each round one customer of every dish, drawn at
+random, is unseated - whether a table falls free depends on customers and tables of the dish, the sizes of its tables are summed out by
+generalised Stirling numbers - and seated again given all others and the parent. Customers that tables send to the parent or take
+back follow in the same round. After `BURN` sweeps the predictive probabilities of `SAMPLES` sweeps are averaged. Random numbers
+are hashes of the dish and the round, so a score depends on the texts alone and not on partitions or on tasks that run again.
+
+Plan: (1) words are counted, for the corpus size and the frequent words. (2) Tasks cut their texts to chunks, count each
+chunk's context-word triples, and deal them by context to buckets of about `PER_BUCKET` tokens, packed, one row for a chunk and bucket. A bucket seats
+its restaurants over its own word frequencies and passes the tables of each word on. (3) These are summed by word, the root is seated, and
+buckets get the words' probabilities and counts back. (4) Buckets sample again over these, score the triples, and
+give each chunk's texts their sums, which are added up by text.
 """
 
-import math
-
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mnemos.llm.graph import cut
 from mnemos.llm.words import LOWER_SPACES, U, Words, mix, pieces, texts_of
 
-#: Pairs and words whose numbers go to every task at most, burn-in sweeps, averaged sweeps, strength of all restaurants, seed.
-PAIRS, LISTED, BURN, SAMPLES, STRENGTH, SEED = 1 << 20, 1 << 18, 2, 3, 1.0, 7
-#: Most words and most pairs that a task counts before it passes the sums on.
-MERGE, MERGE_PAIRS = 4_000_000, 1_000_000
+#: Tokens of a bucket and of a chunk; burn-in sweeps, averaged sweeps and rounds of a sweep; strength of all restaurants; seed.
+PER_BUCKET, CHUNK, BURN, SAMPLES, ROUNDS, STRENGTH, SEED = 3_000_000, 2_000_000, 2, 3, 2, 1.0, 7
+#: Bytes of all texts that a bucket has at least one token for: more texts make larger buckets, so that the list of frequent words stays bounded.
+BYTES_A_TOKEN_OF_BUCKET = 1 << 22
+#: Customers of a dish up to which the chance that one sits alone is exact; discounts before they are estimated.
+EXACT, DISCOUNT = 128, 0.75
+#: Most words that a task counts before it passes the sums on; most texts of a chunk.
+MERGE, TEXTS = 4_000_000, 65_000
 END = mix(np.array([0xE0D], U))[0]
+_GOLD = U(0x9E3779B97F4A7C15)
 
 
 def tokens(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -51,8 +60,10 @@ def word_counts(texts: DataFrame) -> DataFrame:
 
         def sums():
             h, where = np.unique(np.concatenate([x for x, _ in have]), return_inverse=True)
-            c = np.bincount(where, weights=np.concatenate([y for _, y in have])).astype(np.int64)
-            return h, c
+            return h, np.bincount(where, weights=np.concatenate([y for _, y in have])).astype(np.int64)
+
+        def rows(h, c):
+            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c)], ["h", "c"])
 
         for batch in batches:
             for part in pieces(batch):
@@ -63,26 +74,27 @@ def word_counts(texts: DataFrame) -> DataFrame:
                     have = [sums()]
                     n = len(have[0][0])
                     if n > MERGE // 2:
-                        yield pa.RecordBatch.from_arrays([pa.array(have[0][0].view(np.int64)), pa.array(have[0][1])], ["h", "c"])
+                        yield rows(*have[0])
                         have, n = [], 0
         if have:
-            h, c = sums()
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c)], ["h", "c"])
+            yield rows(*sums())
 
     return texts.select("text").mapInArrow(count, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
 
 
-def _listed(counts: DataFrame, most: int) -> int:
-    """The least count of which there are, with all greater ones, no more than `most` rows."""
-    level = F.when(F.col("c") < 256, F.col("c")).otherwise(256 + F.floor(16 * F.log2(F.col("c") / 256)))
-    steps = sorted(((r[0], r[1], r[2]) for r in counts.groupBy(level.alias("l")).agg(F.count("*"), F.min("c")).collect()), reverse=True)
-    total, least = 0, 1 << 62
-    for _, n, c in steps:
-        total += n
-        if total > most:
-            break
-        least = c
-    return least
+def packed(*arrays: np.ndarray) -> bytes:
+    """Arrays in one compressed value."""
+    head = np.array([len(a) for a in arrays], np.int64).tobytes()
+    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(np.ascontiguousarray(a).tobytes() for a in arrays))
+
+
+def unpacked(data: bytes, *types) -> list[np.ndarray]:
+    raw = zstandard.ZstdDecompressor().decompress(data)
+    out, at = [], 8 * len(types)
+    for n, t in zip(np.frombuffer(raw, np.int64, len(types)).tolist(), types, strict=True):
+        out.append(np.frombuffer(raw, t, n, at))
+        at += n * np.dtype(t).itemsize
+    return out
 
 
 def _find(keys: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -93,268 +105,348 @@ def _find(keys: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, keys[at] == h
 
 
-def _contexts(first: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """The word before each token; a text's first token follows an end."""
-    out = np.empty_like(h)
-    out[1:] = h[:-1]
-    out[first[:-1]] = END
+def _changes(*arrays: np.ndarray) -> np.ndarray:
+    """Which entries differ in one of the arrays from the entry before."""
+    out = np.ones(len(arrays[0]), bool)
+    out[1:] = False
+    for a in arrays:
+        out[1:] |= a[1:] != a[:-1]
     return out
 
 
-def _pair(u: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """The hash of a pair."""
-    return ((u << U(23)) | (u >> U(41))) ^ w
+def contexts(h: np.ndarray, first: np.ndarray, hot: np.ndarray, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each token the restaurant of the word before it and the class of the word before that. parts: restaurants of each word in hot."""
+    before, two = np.empty_like(h), np.empty_like(h)
+    before[1:] = h[:-1]
+    before[first[:-1]] = END
+    two[1:] = before[:-1]
+    two[first[:-1]] = END
+    kind = (mix(two + U(1)) >> U(48)).astype(np.uint16)
+    place, known = _find(hot, before)
+    share = kind % np.where(known, parts[place] if len(parts) else 1, 1)
+    return mix(before + share.astype(U) * _GOLD), kind
+
+
+def _dealt(r: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of a hash; it grows with the hash."""
+    return ((r >> U(32)) * U(buckets) >> U(32)).astype(np.int64)
+
+
+def chunk_rows(docs: DataFrame, buckets: int, hot: np.ndarray, parts: np.ndarray) -> DataFrame:
+    """(bucket, part, data): the triples of a chunk in a bucket, their training counts, and the texts they stand in."""
+    shared = docs.sparkSession.sparkContext.broadcast((hot, parts))
+
+    def emit(have):
+        h, r, kind, owner, learn, k1, k2 = (np.concatenate(x) for x in zip(*have, strict=True))
+        order = np.lexsort((h, kind, r))
+        h, r, kind, owner = h[order], r[order], kind[order], owner[order]
+        new = _changes(r, kind, h)
+        at = np.flatnonzero(new)
+        r, kind, h, times = r[at], kind[at], h[at], np.diff(np.append(at, len(owner)))
+        counts = np.add.reduceat(learn[owner].astype(np.int64), at)
+        edge = np.searchsorted(_dealt(r, buckets), np.arange(buckets + 1))
+        token_edge = np.append(at, len(owner))[edge]
+        for b in np.flatnonzero(np.diff(edge)).tolist():
+            s, e = edge[b], edge[b + 1]
+            run = np.flatnonzero(_changes(r[s:e]))
+            own, text = np.unique(owner[token_edge[b] : token_edge[b + 1]], return_inverse=True)
+            data = packed(r[s:e][run], np.diff(np.append(run, e - s)).astype(np.uint32), kind[s:e], h[s:e], times[s:e].astype(np.uint32), counts[s:e].astype(np.uint32), text.astype(np.uint16), k1[own], k2[own])
+            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([-1], pa.int32()), pa.array([data], pa.binary())], ["bucket", "part", "data"])
+
+    def deal(batches):
+        have, n, texts = [], 0, 0
+        for batch in batches:
+            for part in pieces(batch):
+                h, first = tokens(part)
+                r, kind = contexts(h, first, *shared.value)
+                columns = (part.column(c).to_numpy(zero_copy_only=False) for c in ("_learn", "_k1", "_k2"))
+                have.append((h, r, kind, np.repeat(np.arange(part.num_rows), np.diff(first)) + texts, *columns))
+                n, texts = n + len(h), texts + part.num_rows
+                if n >= CHUNK or texts + 10_000 > TEXTS:
+                    yield from emit(have)
+                    have, n, texts = [], 0, 0
+        if have:
+            yield from emit(have)
 
+    return docs.select("text", "_learn", "_k1", "_k2").mapInArrow(deal, "bucket int, part int, data binary")
 
-def _pair_column():
-    """The same of the columns u and w."""
-    return F.shiftleft("u", 23).bitwiseOR(F.shiftrightunsigned("u", 41)).bitwiseXOR(F.col("w"))
 
+# Seating
 
-def pair_counts(texts: DataFrame) -> DataFrame:
-    """(u, w, c): each pair of a context and the word that follows it, and their count."""
 
-    def count(batches):
-        have, n = [], 0
+def uniform(key: np.ndarray, step: int) -> np.ndarray:
+    """Numbers in [0, 1) that depend on key and step alone."""
+    return (mix(key + U((step * 1_000_003 + SEED) * int(_GOLD) & (1 << 64) - 1)) >> U(11)).astype(float) / (1 << 53)
 
-        def sums():
-            p, u, w, c = (np.concatenate(x) for x in zip(*have, strict=True))
-            p, at, where = np.unique(p, return_index=True, return_inverse=True)
-            return p, u[at], w[at], np.bincount(where, weights=c).astype(np.int64)
 
-        def out():
-            _, u, w, c = have[0]
-            return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(w.view(np.int64)), pa.array(c)], ["u", "w", "c"])
+def alone_table(discount: float) -> np.ndarray:
+    """[c, t]: the chance that a customer sits alone if c customers sit at t tables, by generalised Stirling numbers."""
+    log = np.full((EXACT + 1, EXACT + 2), -np.inf)
+    out = np.zeros((EXACT + 1, EXACT + 2))
+    log[1, 1], out[1, 1] = 0.0, 1.0
+    t = np.arange(1, EXACT + 2)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        for c in range(2, EXACT + 1):
+            joined = log[c - 1, 1:] + np.log(np.maximum(c - 1 - discount * t, 0))
+            log[c, 1:] = np.logaddexp(log[c - 1, :-1], joined)
+            out[c, 1:] = np.where(np.isfinite(log[c, 1:]), np.exp(log[c - 1, :-1] - log[c, 1:]), 0.0)
+    return np.nan_to_num(out)
 
-        for batch in batches:
-            for part in pieces(batch):
-                h, first = tokens(part)
-                before = _contexts(first, h)
-                p, at, c = np.unique(_pair(before, h), return_index=True, return_counts=True)
-                have.append((p, before[at], h[at], c))
-                n += len(p)
-                if n > MERGE_PAIRS:
-                    have = [sums()]
-                    n = len(have[0][0])
-                    if n > MERGE_PAIRS // 2:
-                        yield out()
-                        have, n = [], 0
-        if have:
-            have = [sums()]
-            yield out()
-
-    return texts.select("text").mapInArrow(count, "u long, w long, c long").groupBy("u", "w").agg(F.sum("c").alias("c"))
 
+class Seating:
+    """Customers c and tables t of dishes, in restaurants `room`; key: what a dish's random numbers are hashed from.
 
-def seated(c: np.ndarray, base: np.ndarray | float, discount: float, strength: float, rng, tables: float | np.ndarray | None = None, room: np.ndarray | None = None) -> np.ndarray:
-    """Tables of each dish after its c customers have sat down one after another.
-
-    A customer opens a table in proportion to (strength + discount * all tables) * base, and joins one in proportion to
-    customers - discount * tables of the dish. From the 64th customer on, up to a sixteenth as many as already
-    sit are seated at once. room: the restaurant of each dish, if there are several, numbered from 0. tables: all
-    tables of the restaurant (of each dish's restaurant, if an array), if c is not all of it.
+    A customer opens a table in proportion to (strength + discount * all tables of the room) * base, and joins one in proportion to
+    customers - discount * tables of the dish.
     """
-    t, n = np.minimum(c, 1).astype(np.int64), np.minimum(c, 1).astype(np.int64)
-    room = room if room is not None else np.arange(len(c)) if np.ndim(tables) else np.zeros(len(c), np.int64)
-    total = np.bincount(room, t).astype(float) if tables is None else np.atleast_1d(np.asarray(tables, float))
-    base = np.broadcast_to(np.asarray(base, float), c.shape)
-    active = np.flatnonzero(n < c)
-    while len(active):
-        step = np.minimum(np.where(n[active] < 64, 1, n[active] // 16), c[active] - n[active])
-        new = (strength + discount * total[room[active]]) * base[active]
-        old = n[active] - discount * t[active]
-        opened = rng.binomial(step, np.clip(new / (new + old), 0, 1))
-        t[active] += opened
-        n[active] += step
-        if tables is None:
-            total += np.bincount(room[active], opened, len(total))
-        active = active[n[active] < c[active]]
-    return t
-
-
-def predictive(c: np.ndarray, t: np.ndarray, base, discount: float, strength: float) -> np.ndarray:
-    """The probability of each dish for the next customer."""
-    return (np.maximum(c - discount * t, 0) + (strength + discount * t.sum()) * base) / (strength + c.sum())
-
-
-def _discount(once: float, twice: float) -> float:
-    return min(0.95, max(0.05, once / (once + 2 * twice))) if once and twice else 0.5
 
+    def __init__(self, c: np.ndarray, room: np.ndarray, rooms: int, key: np.ndarray, discount: float):
+        self.c, self.room, self.rooms, self.key, self.discount = c.astype(np.int64), room, rooms, key, discount
+        self.t = np.minimum(self.c, 1)
+        self.alone = alone_table(discount)
+        self.total = np.bincount(room, self.t, rooms)
+
+    def _opens(self, i: np.ndarray, t: np.ndarray, n: np.ndarray, base: np.ndarray, left=0) -> np.ndarray:
+        """The chance that a further customer of dish i, of which n sit at t tables, opens one."""
+        new = (STRENGTH + self.discount * (self.total[self.room[i]] - left)) * base[i]
+        return np.where(n > 0, new / (new + np.maximum(n - self.discount * t, 1e-9)), 1.0)
+
+    def _lone(self, c: np.ndarray, t: np.ndarray) -> np.ndarray:
+        """The chance that one of c customers at t tables sits alone; beyond EXACT customers the limit for many."""
+        return np.where(c <= EXACT, self.alone[c.clip(0, EXACT), t.clip(0, EXACT + 1)], np.minimum(1.0, self.discount * (t - 1) / np.maximum(c, 1)))
+
+    def start(self, base: np.ndarray) -> None:
+        """All customers sit down one after another; from the 64th of a dish on, up to a sixteenth as many as sit already at once."""
+        n, active, step = np.minimum(self.c, 1), np.flatnonzero(self.c > 1), 0
+        while len(active):
+            many = np.minimum(np.where(n[active] < 64, 1, n[active] // 16), self.c[active] - n[active])
+            opened = np.floor(many * self._opens(active, self.t[active], n[active], base) + uniform(self.key[active], -1 - step)).astype(np.int64)
+            self.t[active] += opened
+            n[active] += many
+            self.total += np.bincount(self.room[active], opened, self.rooms)
+            active, step = active[n[active] < self.c[active]], step + 1
+
+    def round(self, base: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """One customer of each dish with several is unseated and seated again. Gives these dishes, and whether a table fell free and was opened."""
+        i = np.flatnonzero(self.c > 1)
+        left = uniform(self.key[i], 2 * step) < self._lone(self.c[i], self.t[i])
+        t = self.t[i] - left
+        opened = uniform(self.key[i], 2 * step + 1) < self._opens(i, t, self.c[i] - 1, base, left)
+        self.t[i] = t + opened
+        self.total += np.bincount(self.room[i], opened.astype(np.int64) - left, self.rooms)
+        return i, left, opened
+
+    def moved(self, leaving: np.ndarray, coming: np.ndarray, base: np.ndarray, step: int) -> None:
+        """Customers of dishes go and others come, those of a dish at once."""
+        i = np.flatnonzero(leaving)
+        if len(i):
+            rest = self.c[i] - leaving[i]
+            gone = np.floor(leaving[i] * self._lone(self.c[i], self.t[i]) + uniform(self.key[i], 2 * step)).astype(np.int64)
+            t = np.minimum(np.maximum(self.t[i] - gone, np.minimum(rest, 1)), rest)
+            self.total += np.bincount(self.room[i], t - self.t[i], self.rooms)
+            self.c[i], self.t[i] = rest, t
+        i = np.flatnonzero(coming)
+        if len(i):
+            opened = np.floor(coming[i] * self._opens(i, self.t[i], self.c[i], base) + uniform(self.key[i], 2 * step + 1)).astype(np.int64)
+            opened = np.minimum(np.where(self.c[i] == 0, np.maximum(opened, 1), opened), coming[i])
+            self.total += np.bincount(self.room[i], opened, self.rooms)
+            self.c[i], self.t[i] = self.c[i] + coming[i], self.t[i] + opened
+
+    def predictive(self, base: np.ndarray, customers: np.ndarray) -> np.ndarray:
+        """The probability of each dish for the next customer. customers: of each room."""
+        return (np.maximum(self.c - self.discount * self.t, 0) + (STRENGTH + self.discount * self.total[self.room]) * base) / (STRENGTH + customers[self.room])
+
+
+class Bucket:
+    """The restaurants of a bucket: its triples from all chunks, merged, and who they belong to."""
+
+    def __init__(self, rows: list[bytes]):
+        parts = [unpacked(x, U, np.uint32, np.uint16, U, np.uint32, np.uint32, np.uint16, np.int64, np.int32) for x in rows]
+        r = np.concatenate([np.repeat(p[0], p[1]) for p in parts])
+        kind, h, counts = (np.concatenate([p[k] for p in parts]) for k in (2, 3, 5))
+        order = np.lexsort((kind, h, r))
+        r, kind, h, counts = r[order], kind[order], h[order], counts[order]
+        new = _changes(r, h, kind)
+        at = np.flatnonzero(new)
+        self.place = np.empty(len(order), np.int64)
+        self.place[order] = np.cumsum(new) - 1
+        self.chunks = [(p[4], p[6], p[7], p[8]) for p in parts]
+        self.c = np.add.reduceat(counts.astype(np.int64), at)
+        r, kind, h = r[at], kind[at], h[at]
+        # Pairs (the word before, word) are runs; so are the restaurants of the word before.
+        pair = _changes(r, h)
+        self.pair, first = np.cumsum(pair) - 1, np.flatnonzero(pair)
+        self.room1 = (np.cumsum(_changes(r)) - 1)[first]
+        self.words, self.word = np.unique(h[first], return_inverse=True)
+        context = mix(r + (kind.astype(U) + U(1)) * _GOLD)
+        _, self.room2 = np.unique(context, return_inverse=True)
+        self.key1 = mix(r[first] ^ mix(h[first]))
+        self.key2 = mix(context ^ mix(h + _GOLD))
+
+    def seated(self, base: np.ndarray, discounts: tuple[float, float]) -> None:
+        """All customers sit down, for the first time. base: probability of each of the words."""
+        self.base = base[self.word]
+        rooms1, rooms2 = int(self.room1[-1]) + 1, int(self.room2.max()) + 1
+        self.low = Seating(self.c, self.room2, rooms2, self.key2, discounts[1])
+        self.low.start(self.base[self.pair])
+        self.high = Seating(np.bincount(self.pair, self.low.t), self.room1, rooms1, self.key1, discounts[0])
+        self.high.start(self.base)
+        self.customers2 = np.bincount(self.room2, self.c, rooms2)
+
+    def above(self) -> np.ndarray:
+        """The probability of each pair's word after the word before alone."""
+        return self.high.predictive(self.base, np.bincount(self.room1, self.high.c, self.high.rooms))
+
+    def sweep(self, number: int) -> None:
+        for k in range(ROUNDS):
+            step = 2 * (number * ROUNDS + k)
+            i, left, opened = self.low.round(self.above()[self.pair], step)
+            pair = self.pair[i]
+            self.high.moved(np.bincount(pair, left, len(self.base)).astype(np.int64), np.bincount(pair, opened, len(self.base)).astype(np.int64), self.base, step)
+            self.high.round(self.base, step + 1)
+
+    def scores(self) -> np.ndarray:
+        """The probability of each triple."""
+        return self.low.predictive(self.above()[self.pair], self.customers2)
+
+
+def _shared_out(a: np.ndarray, buckets: int) -> list[tuple[int, slice]]:
+    """The parts of sorted hashes by bucket."""
+    edge = np.searchsorted(_dealt(a, buckets), np.arange(buckets + 1))
+    return [(b, slice(edge[b], edge[b + 1])) for b in np.flatnonzero(np.diff(edge)).tolist()]
+
+
+def _estimated(once: int, twice: int) -> float:
+    return min(0.95, max(0.05, once / (once + 2 * twice))) if once and twice else 0.5
 
 
-def _generator(sweep: int, key: np.ndarray):
-    return np.random.default_rng([SEED, sweep, int(key[0]) % (1 << 63)])
-
-
-def _sampled(pairs: DataFrame, counts: DataFrame, n: int, v: int) -> tuple[DataFrame, DataFrame, list[float], float]:
-    """Pairs (u, w, c, kept: tables summed over the averaged sweeps); words (h, c, p0, t0, ...: probability without
-    context and tables as a context in each of these sweeps); the probabilities of an unseen word; the discount."""
-    once = (F.col("c") == 1).cast("long")
-    row = pairs.agg(F.sum(once), F.sum((F.col("c") == 2).cast("long"))).first()
-    d = _discount(row[0] or 0, row[1] or 0)
-    follows = pairs.groupBy(F.col("w").alias("h")).agg(F.sum(once).alias("once_f"), F.count("*").alias("customers"))
-    precedes = pairs.groupBy(F.col("u").alias("h")).agg(F.sum(once).alias("once_p"), F.count("*").alias("tables"))
-    base = 1 / (v + 1)
-    vocabulary = cut(counts.join(follows, "h").join(precedes, "h").withColumn("p", (F.col("c") + 0.5) / F.lit(n + 0.5 * (v + 1))))
-    row = vocabulary.agg(F.sum((F.col("customers") == 1).cast("long")), F.sum((F.col("customers") == 2).cast("long"))).first()
-    own = _discount(row[0] or 0, row[1] or 0)
-    unseen, total, kept = 0.5 / (n + 0.5 * (v + 1)), float(v), []
-    multiple = pairs.where("c > 1").withColumn("kept", F.lit(0).cast("long"))
-    for sweep in range(BURN + SAMPLES):
-
-        def pairs_seated(batches, sweep=sweep):
-            for b in batches:
-                u, w, c, p, t, sums = (b.column(x).to_numpy() for x in ("u", "w", "c", "p", "tables", "kept"))
-                if not len(u):
-                    continue
-                order = np.lexsort((w, u))
-                u, w, c, p, t, sums = (x[order] for x in (u, w, c, p, t, sums))
-                t = seated(c, p, d, STRENGTH, _generator(sweep, _pair(u[:1].view(U), w[:1].view(U))), t)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (u, w, c, sums + t if sweep >= BURN else sums, t)], ["u", "w", "c", "kept", "t"])
-
-        def words_seated(batches, sweep=sweep, total=total):
-            for b in batches:
-                if b.num_rows:
-                    t = seated(b.column("customers").to_numpy(), base, own, STRENGTH, _generator(sweep, b.column("h").to_numpy()), total)
-                    yield pa.RecordBatch.from_arrays([*b.columns, pa.array(t)], [*b.schema.names, "own"])
-
-        met = multiple.select("u", "w", "c", "kept").join(vocabulary.select(F.col("h").alias("w"), "p"), "w").join(vocabulary.select(F.col("h").alias("u"), "tables"), "u")
-        multiple = cut(met.mapInArrow(pairs_seated, "u long, w long, c long, kept long, t long"))
-        none = F.lit(0).cast("long")
-        of = multiple.select(F.col("w").alias("h"), F.col("t").alias("f"), none.alias("s")).unionByName(multiple.select(F.col("u").alias("h"), none.alias("f"), F.col("t").alias("s")))
-        sums = of.groupBy("h").agg(F.sum("f").alias("f"), F.sum("s").alias("s"))
-        if sweep >= BURN:
-            kept.append(unseen)
-        had = [x for i in range(len(kept)) for x in (f"p{i}", f"t{i}")]
-        more = [F.col("p").alias(had[-2]), F.col("tables").alias(had[-1])] if sweep >= BURN else []
-        met = vocabulary.drop("customers", "tables").join(sums, "h", "left").withColumns({"customers": F.col("once_f") + F.coalesce("f", none), "tables": F.col("once_p") + F.coalesce("s", none)})
-        met = met.select("h", "c", "once_f", "once_p", "customers", "tables", *had[: len(had) - len(more)], *more)
-        fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in met.schema)
-        vocabulary = cut(met.mapInArrow(words_seated, f"{fields}, own long"))
-        row = vocabulary.agg(F.sum("customers"), F.sum("own")).first()
-        everyone, total = float(row[0] or 0), float(row[1] or 0)
-        unseen = (STRENGTH + own * total) * base / (STRENGTH + everyone)
-        vocabulary = vocabulary.withColumn("p", (F.col("customers") - own * F.col("own")) / F.lit(STRENGTH + everyone) + F.lit(unseen)).drop("own")
-    singles = pairs.where("c = 1").withColumn("kept", F.lit(SAMPLES).cast("long"))
-    return singles.unionByName(multiple.drop("t")), vocabulary.select("h", "c", *had), kept, d
-
-
-def scored(documents: DataFrame, training, pairs_most: int = PAIRS, listed_most: int = LISTED) -> DataFrame:
+def tables_of(chunks: DataFrame, buckets: int) -> DataFrame:
+    """(part, bucket, data, c0, a1, a2, b1, b2): for each bucket and part of the words, the words and, of each, its tables in the bucket and its training count;
+    tables in all; dishes of one and of two customers in the restaurants of one word and of two."""
+
+    def sums(table: pa.Table) -> pa.Table:
+        bucket = Bucket(table.column("data").to_pylist())
+        n = np.bincount(bucket.word[bucket.pair], bucket.c, len(bucket.words)).astype(np.int64)
+        bucket.seated((n + 0.5) / (n.sum() + 0.5 * (len(n) + 1)), (DISCOUNT, DISCOUNT))
+        for i in range(BURN):
+            bucket.sweep(i)
+        tables = np.bincount(bucket.word, bucket.high.t, len(bucket.words)).astype(np.int64)
+        few = [int((x == k).sum()) for x in (bucket.high.c, bucket.c) for k in (1, 2)]
+        out = []
+        for part, s in _shared_out(bucket.words, buckets):
+            out.append((part, table.column("bucket")[0].as_py(), packed(bucket.words[s], tables[s].astype(np.uint32), n[s].astype(np.uint32)), int(tables[s].sum()), *few))
+            few = [0, 0, 0, 0]
+        names = ("part", "bucket", "data", "c0", "a1", "a2", "b1", "b2")
+        return pa.table({c: pa.array([x[k] for x in out], pa.int32() if k < 2 else pa.binary() if k == 2 else pa.int64()) for k, c in enumerate(names)})
+
+    return chunks.groupBy("bucket").applyInArrow(sums, "part int, bucket int, data binary, c0 long, a1 long, a2 long, b1 long, b2 long")
+
+
+class Root:
+    """The words without context of one part: customers are the tables of all buckets. v: distinct training words, all in all (a guess at first)."""
+
+    def __init__(self, rows: list[bytes], discount: float):
+        parts = [unpacked(x, U, np.uint32, np.uint32) for x in rows]
+        self.sizes = [len(p[0]) for p in parts]
+        words, self.place = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+        customers, self.counts = (np.bincount(self.place, np.concatenate([p[k] for p in parts]), len(words)).astype(np.int64) for k in (1, 2))
+        # The base is uniform and has about as many places as there are tables: a new table's weight is close to the discount.
+        self.seating = Seating(customers, np.arange(len(words)), len(words), mix(words + _GOLD), discount)
+        self.seating.total = np.zeros(len(words))
+        base = np.full(len(words), discount / STRENGTH)
+        self.seating.start(base)
+        for i in range((BURN + SAMPLES) * ROUNDS):
+            self.seating.total = np.zeros(len(words))
+            self.seating.round(base, i)
+
+
+def word_shares(tables: DataFrame) -> tuple[DataFrame, tuple, int, int]:
+    """(bucket, part, data): probabilities and counts of the words of each row of tables, in its order; discounts of the restaurants of one
+    word and of two; training tokens; distinct training words."""
+    a1, a2, b1, b2, c0 = (x or 0 for x in tables.agg(*(F.sum(c) for c in ("a1", "a2", "b1", "b2", "c0"))).first())
+
+    def totals(table: pa.Table) -> pa.Table:
+        root = Root(table.column("data").to_pylist(), DISCOUNT)
+        return pa.table({"t": [int(root.seating.t.sum())], "v": [int((root.counts > 0).sum())], "n": [int(root.counts.sum())]})
+
+    t, v, n = (x or 0 for x in tables.select("part", "data").groupBy("part").applyInArrow(totals, "t long, v long, n long").agg(F.sum("t"), F.sum("v"), F.sum("n")).first())
+    unseen = (STRENGTH + DISCOUNT * t) / (v + 1) / (STRENGTH + c0)
+
+    def shares(table: pa.Table) -> pa.Table:
+        root = Root(table.column("data").to_pylist(), DISCOUNT)
+        p = np.maximum(root.seating.c - DISCOUNT * root.seating.t, 0) / (STRENGTH + c0) + unseen
+        p, counts = p[root.place], root.counts[root.place].astype(np.uint32)
+        cuts = np.r_[0, np.cumsum(root.sizes)]
+        data = [packed(p[a:b].astype(np.float32), counts[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        return pa.table({"bucket": table.column("bucket"), "part": table.column("part"), "data": pa.array(data, pa.binary())})
+
+    rows = tables.select("part", "bucket", "data").groupBy("part").applyInArrow(shares, "bucket int, part int, data binary")
+    return rows, (_estimated(a1, a2), _estimated(b1, b2)), n, v
+
+
+def text_sums(chunks: DataFrame, shares: DataFrame, discounts: tuple, n: int, v: int) -> DataFrame:
+    """(_k1, _k2, tokens, known, base, value): a text's sums over the tokens of one bucket."""
+
+    def score(table: pa.Table) -> pa.Table:
+        part, data = np.array(table.column("part").to_pylist()), table.column("data").to_pylist()
+        bucket = Bucket([data[i] for i in np.flatnonzero(part < 0)])
+        answers = [unpacked(data[i], np.float32, np.uint32) for i in np.argsort(part, kind="stable") if part[i] >= 0]
+        p, counts = (np.concatenate([a[k] for a in answers]) for k in (0, 1))
+        bucket.seated(p.astype(float), discounts)
+        total = np.zeros(len(bucket.c))
+        for i in range(BURN + SAMPLES):
+            bucket.sweep(i)
+            if i >= BURN:
+                total += bucket.scores()
+        value = np.log10(total / SAMPLES)
+        c = counts[bucket.word[bucket.pair]].astype(float)
+        base, known = np.log10((c + 0.5) / (n + 0.5 * (v + 1))), c > 0
+        out, at = [], 0
+        for times, text, k1, k2 in bucket.chunks:
+            triple = np.repeat(bucket.place[at : at + len(times)], times)
+            at += len(times)
+            out.append((k1, k2, *(np.bincount(text, x, len(k1)) for x in (None, known[triple], base[triple], value[triple]))))
+        columns = [np.concatenate(x) for x in zip(*out, strict=True)]
+        return pa.table({c: pa.array(x.astype(t)) for c, x, t in zip(("_k1", "_k2", "tokens", "known", "base", "value"), columns, (np.int64, np.int32, np.int64, np.int64, float, float), strict=True)})
+
+    rows = chunks.unionByName(shares)
+    return rows.groupBy("bucket").applyInArrow(score, "_k1 long, _k2 int, tokens long, known long, base double, value double")
+
+
+def scored(documents: DataFrame, training, per_bucket: int = PER_BUCKET) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), a row for each row of documents.
 
     training: a Column, true for rows to learn from (others, and rows where it is null, are held out). A null text
     is an empty one: its end is its only token. base_score is the sum of the tokens' log10 add-a-half unigram
-    probabilities, score the model's log10 probability of the text. Repeated rows are learned and scored each. With
-    nothing to learn from, every word is unseen.
+    probabilities, score the model's log10 probability of the text. Repeated rows are learned and scored each; equal texts have equal
+    scores. Long texts are scored whole. With nothing to learn from, every word is unseen. Other columns are neither read nor
+    returned; an empty table gives no rows.
     """
-    docs = documents.select("doc_id", "text", F.coalesce(training, F.lit(False)).alias("_learn"))
-    learn = docs.where("_learn")
-    counts = cut(word_counts(learn))
-    n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    pairs, vocabulary, unseen, d = _sampled(cut(pair_counts(learn)), counts, n, v)
-    ps, ts = ([f"{x}{i}" for i in range(SAMPLES)] for x in "pt")
-
-    least = _listed(counts, listed_most)
-    table = vocabulary.where(F.col("c") >= least).orderBy("h").toArrow()
-    listed = table["h"].to_numpy().view(U)
-    order = np.argsort(listed)
-    listed, listed_c = listed[order], table["c"].to_numpy()[order]
-    listed_p, listed_t = (np.array([table[x].to_numpy() for x in names])[:, order] for names in (ps, ts))
-    listed_base = np.log10((listed_c + 0.5) / (n + 0.5 * (v + 1)))
-
-    table = pairs.where(F.col("c") >= _listed(pairs, pairs_most)).toArrow()
-    u, w = (table[x].to_numpy().view(U) for x in "uw")
-    (at_u, known_u), (at_w, known_w) = _find(listed, u), _find(listed, w)
-    both = known_u & known_w
-    at_u, at_w = at_u[both], at_w[both]
-    direct = (table["c"].to_numpy() - d * table["kept"].to_numpy() / SAMPLES)[both]
-    back = ((STRENGTH + d * listed_t[:, at_u]) * listed_p[:, at_w]).mean(axis=0)
-    frequent = _pair(u[both], w[both])
-    order = np.argsort(frequent)
-    shared = documents.sparkSession.sparkContext.broadcast((listed, listed_c, listed_base, listed_p, listed_t, frequent[order], np.log10((direct + back) / (STRENGTH + listed_c[at_u]))[order]))
-
-    def parts(part):
-        """Of each token its context, hash, text and pair, the places of context and word in the lists, and whether its pair is a frequent one."""
-        h, first = tokens(part)
-        u = _contexts(first, h)
-        pair = _pair(u, h)
-        return u, h, np.repeat(np.arange(part.num_rows), np.diff(first)), pair, _find(shared.value[0], u), _find(shared.value[0], h), _find(shared.value[5], pair), np.diff(first)
-
-    def heads(batches):
-        _, _, listed_base, _, _, _, frequent_log = shared.value
-        for batch in batches:
-            for part in pieces(batch):
-                _, h, owner, _, _, (at, known), (place, quick), size = parts(part)
-                m, base, value = part.num_rows, np.zeros(len(h)), np.zeros(len(h))
-                base[known] = listed_base[at[known]]
-                value[quick] = frequent_log[place[quick]]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("_learn"), part.column("_key"), pa.array(size, pa.int64()), pa.array(np.bincount(owner, known, m).astype(np.int64)), pa.array(np.bincount(owner, base, m)), pa.array(np.bincount(owner, value, m))],
-                    ["doc_id", "_learn", "_key", "n_tokens", "known", "base", "value"],
-                )
-
-    def once_a_text(owner, pair):
-        _, at, n = np.unique(mix(pair + owner.astype(U) * U(0x9E3779B97F4A7C15)), return_index=True, return_counts=True)
-        return at, n.astype(np.int32)
-
-    def of_listed(batches):
-        _, listed_c, _, listed_p, listed_t, _, _ = shared.value
-        for batch in batches:
-            for part in pieces(batch):
-                _, _, owner, pair, (at_u, known_u), (at_w, known_w), (_, quick), _ = parts(part)
-                some = np.flatnonzero(known_u & known_w & ~quick)
-                at, n = once_a_text(owner[some], pair[some])
-                some = some[at]
-                x, y = at_u[some], at_w[some]
-                over = STRENGTH + listed_c[x]
-                back = ((STRENGTH + d * listed_t[:, x]) * listed_p[:, y]).mean(axis=0) / over
-                key = part.column("_key").to_numpy()
-                yield pa.RecordBatch.from_arrays([pa.array(key[owner[some]]), pa.array(pair[some].view(np.int64)), pa.array(n), pa.array(back), pa.array(over)], ["_key", "pair", "n", "back", "over"])
-
-    def of_others(batches):
-        for batch in batches:
-            for part in pieces(batch):
-                u, h, owner, pair, (_, known_u), (_, known_w), _, _ = parts(part)
-                some = np.flatnonzero(~(known_u & known_w))
-                at, n = once_a_text(owner[some], pair[some])
-                some = some[at]
-                key = part.column("_key").to_numpy()
-                yield pa.RecordBatch.from_arrays([pa.array(key[owner[some]]), pa.array(u[some].view(np.int64)), pa.array(h[some].view(np.int64)), pa.array(n)], ["_key", "u", "w", "n"])
-
-    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
-    texts = keyed.select("text", "_key")
-    zero = F.lit(0)
-    listed_rows = texts.mapInArrow(of_listed, "_key long, pair long, n int, back double, over double").select("*", zero.cast("double").alias("base"), zero.alias("known"))
-    as_word = vocabulary.select(F.col("h").alias("w"), F.col("c").alias("c_w"), *ps)
-    as_context = vocabulary.select(F.col("h").alias("u"), F.col("c").alias("c_u"), *ts)
-    back = sum(((F.lit(STRENGTH) + d * F.coalesce(F.col(t), zero)) * F.coalesce(F.col(p), F.lit(x)) for p, t, x in zip(ps, ts, unseen, strict=True)), F.lit(0.0)) / SAMPLES
-    over = F.lit(STRENGTH) + F.coalesce("c_u", zero)
-    unlisted = F.coalesce("c_w", zero) < least
-    base_log = F.log10((F.coalesce("c_w", zero) + 0.5) / F.lit(n + 0.5 * (v + 1)))
-    other_rows = (
-        texts.mapInArrow(of_others, "_key long, u long, w long, n int")
-        .join(as_word, "w", "left")
-        .join(as_context, "u", "left")
-        .select("_key", _pair_column().alias("pair"), "n", (back / over).alias("back"), over.cast("double").alias("over"), F.when(unlisted, F.col("n") * base_log).otherwise(0.0).alias("base"), F.when(unlisted & F.col("c_w").isNotNull(), F.col("n")).otherwise(0).alias("known"))
-    )
-    direct = pairs.select(_pair_column().alias("pair"), (F.col("c") - F.lit(d / SAMPLES) * F.col("kept")).alias("direct"))
-    found = listed_rows.unionByName(other_rows).join(direct, "pair", "left")
-    rest = found.groupBy("_key").agg(
-        F.sum("known").alias("r_known"),
-        F.sum("base").alias("r_base"),
-        F.sum(F.col("n") * F.log10(F.coalesce("direct", zero) / F.col("over") + F.col("back"))).alias("r_value"),
-    )
-    head = keyed.mapInArrow(heads, "doc_id long, _learn boolean, _key long, n_tokens long, known long, base double, value double")
-    same = head.groupBy("_key").agg(F.count("*").alias("rows"))
-    none = F.lit(0)
+    text = F.coalesce("text", F.lit(""))
+    docs = documents.select("doc_id", text.alias("text"), F.coalesce(training, F.lit(False)).alias("_learn"), F.xxhash64(text).alias("_k1"), F.hash(text).alias("_k2"))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    per_bucket = max(per_bucket, size // BYTES_A_TOKEN_OF_BUCKET)
+    hot = max(2, per_bucket // 4)
+    listed = F.collect_list(F.when(F.col("c") >= hot, F.struct("h", "c")))
+    rows, frequent = word_counts(docs).agg(F.coalesce(F.sum("c"), F.lit(0)), listed).first()
+    hot_words = np.array([x.h for x in frequent], np.int64).view(U)
+    order = np.argsort(hot_words)
+    parts = -(-np.array([x.c for x in frequent], np.int64)[order] // hot)
+    buckets = 1 + rows // per_bucket
+    chunks = chunk_rows(docs, buckets, hot_words[order], parts)
+    shares, discounts, n, v = word_shares(cut(tables_of(chunks, buckets)))
+    sums = text_sums(chunks, shares, discounts, n, v).groupBy("_k1", "_k2").agg(*(F.sum(c).alias(c) for c in ("tokens", "known", "base", "value")))
+    head = docs.drop("text")
+    same = head.groupBy("_k1", "_k2").agg(F.count("*").alias("rows"))
+    each = lambda c: F.col(c) / F.col("rows")
     return (
-        head.join(same, "_key").join(rest, "_key", "left").select(
+        head.join(sums.join(same, ["_k1", "_k2"]), ["_k1", "_k2"]).select(
             "doc_id",
             (~F.col("_learn")).alias("held_out"),
-            "n_tokens",
-            (F.col("known") + (F.coalesce("r_known", none) / F.col("rows")).cast("long")).alias("n_known"),
+            each("tokens").cast("long").alias("n_tokens"),
+            each("known").cast("long").alias("n_known"),
             F.lit(n).cast("long").alias("train_tokens"),
-            (F.col("base") + F.coalesce("r_base", none) / F.col("rows")).alias("base_score"),
-            (F.col("value") + F.coalesce("r_value", none) / F.col("rows")).alias("score"),
+            each("base").alias("base_score"),
+            each("value").alias("score"),
         )
     )

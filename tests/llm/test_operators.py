@@ -245,79 +245,169 @@ def test_mixing_edges(edge, empty):
 # 6 language model
 
 
+def learned(i):
+    return zlib.crc32(str(i).encode()) % 5 != 1
+
+
 def test_base_scores_and_counts(spark, sf):
     d = docs_of(spark, sf)
-    learn = lambda i: zlib.crc32(str(i).encode()) % 5 != 1
     tokens = {i: words(t, WORDS) + [None] for i, t in d}
-    c = collections.Counter(w for i, t in d if learn(i) for w in tokens[i])
+    c = collections.Counter(w for i, t in d if learned(i) for w in tokens[i])
     n, v = sum(c.values()), len(c)
     df = spark.createDataFrame(d, "doc_id long, text string")
-    for symbols, listed in ((64, 1 << 18), (20, 100)):
-        got = language_model.scored(df.repartition(3), quality.remainder(F.col("doc_id"), 5) != 1, symbols, listed).collect()
+    for bucket in (1 << 20, 9000):
+        got = language_model.scored(df.repartition(3), quality.remainder(F.col("doc_id"), 5) != 1, bucket).collect()
         assert len(got) == len(d)
         for r in got:
             base = sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in tokens[r.doc_id])
-            assert r.n_tokens == len(tokens[r.doc_id]) and r.n_known == sum(w in c for w in tokens[r.doc_id]) and r.train_tokens == n and r.held_out == (not learn(r.doc_id))
+            assert r.n_tokens == len(tokens[r.doc_id]) and r.n_known == sum(w in c for w in tokens[r.doc_id]) and r.train_tokens == n and r.held_out == (not learned(r.doc_id))
             assert abs(r.base_score - base) < 1e-6 * max(1, abs(base)) and r.score < 0
         held = [r for r in got if r.held_out]
         assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def test_scores_do_not_depend_on_partitions(spark, sf, monkeypatch):
+    df = spark.createDataFrame(docs_of(spark, sf), "doc_id long, text string")
+    found = []
+    for parts, chunk in ((1, 1 << 21), (7, 3000)):
+        monkeypatch.setattr(language_model, "CHUNK", chunk)
+        found.append({r.doc_id: r.score for r in language_model.scored(df.repartition(parts), quality.remainder(F.col("doc_id"), 5) != 1, 20_000).collect()})
+    assert found[0] == pytest.approx(found[1], rel=1e-9)
+
+
 def test_probabilities_add_up(spark):
-    """Over all one-word texts, known and one unseen, the probabilities of (word, end) add up to one less that of other texts."""
+    """Texts that are one word longer than another, and that text, have no more than all probability."""
     texts = [(i, t) for i, t in enumerate(["a b", "a", "b a c", "", "c", "a b", "d e f g"])]
     vocabulary = sorted({w for _, t in texts for w in t.split()})
-    probe = [(100 + i, w) for i, w in enumerate([*vocabulary, "unseen"])]
-    df = spark.createDataFrame(texts + probe, "doc_id long, text string")
-    got = {r.doc_id: r.score for r in language_model.scored(df, F.col("doc_id") < 100, 3, 100).collect()}
-    total = sum(10 ** got[100 + i] for i in range(len(probe))) + 10 ** got[3]
-    assert 0 < total < 1 + 1e-6
+    for start in ("", "a ", "e f ", "unknown "):
+        probe = [(100 + i, start + w) for i, w in enumerate([*vocabulary, "unseen"])]
+        df = spark.createDataFrame([*texts, *probe, (99, start)], "doc_id long, text string")
+        got = {r.doc_id: r.score for r in language_model.scored(df, F.col("doc_id") < 99).collect()}
+        total = sum(10 ** got[100 + i] for i in range(len(probe))) + 10 ** got[99]
+        assert 0 < total < 1 + 1e-6
     one = spark.createDataFrame([(0, ""), (1, ""), (2, "")], "doc_id long, text string")
-    assert all(r.score <= 1e-9 for r in language_model.scored(one, F.lit(True)).collect())
+    assert all(r.score <= 1e-7 for r in language_model.scored(one, F.lit(True)).collect())
+
+
+def triples(documents):
+    out = collections.Counter()
+    for t in documents:
+        w = ["", "", *t.split(), ""]
+        out.update(zip(w[:-2], w[1:-1], w[2:]))
+    return out
+
 
+def bucket_of(spark, texts, learn=lambda i: True):
+    docs = spark.createDataFrame([(t, learn(i), i, i) for i, t in enumerate(texts)], "text string, _learn boolean, _k1 long, _k2 int")
+    import numpy as np
+
+    rows_ = language_model.chunk_rows(docs.repartition(3), 1, np.empty(0, np.uint64), np.empty(0, np.int64)).collect()
+    return language_model.Bucket([bytes(r.data) for r in rows_])
+
+
+def test_restaurants_are_whole(spark):
+    """Every context's probabilities of all words, seen there or not, add up to one at both levels, after any sweep; counts are those of plain loops."""
+    import numpy as np
+
+    texts = ["a b c a b d"] * 4 + ["b c d", "a b c", "", "e a b e", "c c c c c c"]
+    bucket = bucket_of(spark, texts)
+    want = triples(texts)
+    assert sorted(bucket.c.tolist()) == sorted(want.values())
+    assert len(bucket.pair) == len(want) and bucket.pair[-1] + 1 == len({x[1:] for x in want}) and bucket.room2.max() + 1 == len({x[:2] for x in want})
+    n = len(bucket.words)
+    bucket.seated(np.full(n, 0.9 / n), (0.6, 0.7))
+    for i in range(6):
+        bucket.sweep(i)
+        low, high = bucket.low, bucket.high
+        for x in (low, high):
+            assert (x.t >= np.minimum(x.c, 1)).all() and (x.t <= x.c).all() and np.array_equal(np.bincount(x.room, x.t, x.rooms), x.total)
+        assert np.array_equal(np.bincount(bucket.pair, low.t), high.c)
+        above = bucket.above()
+        customers = np.bincount(bucket.room1, high.c, high.rooms)
+        rest = (1 + high.discount * high.total) / (1 + customers)
+        seen = np.bincount(bucket.room1, bucket.base, high.rooms)
+        all1 = np.bincount(bucket.room1, above, high.rooms) + rest * (1 - seen)
+        assert all1 == pytest.approx(1)
+        room_of_low = np.zeros(low.rooms, int)
+        room_of_low[bucket.room2] = bucket.room1[bucket.pair]
+        rest = (1 + low.discount * low.total) / (1 + bucket.customers2)
+        assert np.bincount(bucket.room2, bucket.scores(), low.rooms) + rest * (1 - np.bincount(bucket.room2, above[bucket.pair], low.rooms)) == pytest.approx(1)
+
+
+def test_seating_is_sampled_from_its_posterior():
+    """Tables of a dish, sampled by unseating and seating, against all ways to seat its customers."""
+    import numpy as np
 
-def test_contexts_of_rare_words_are_learned(spark):
-    """However few words are listed, a rare context tells its follower, and its followers' probabilities add up to one."""
-    texts = [(i, f"common rare{i} follow{i}") for i in range(30) for _ in range(3)]
-    probe = [(1000, "common rare7 follow7"), (1001, "common rare7 follow8"), (1002, "common rare8 follow8")]
+    c, d, p, many = 6, 0.4, 0.3, 40_000
+    want = collections.Counter()
+
+    def partitions(n):
+        if n == 0:
+            yield []
+            return
+        for rest in partitions(n - 1):
+            for i in range(len(rest)):
+                yield [*rest[:i], rest[i] + 1, *rest[i + 1 :]]
+            yield [*rest, 1]
+
+    for sizes in partitions(c):
+        weight = math.prod(1.0 + d * i for i in range(len(sizes))) * p ** len(sizes) * math.prod(k - d for s in sizes for k in range(1, s))
+        want[len(sizes)] += weight
+    whole = sum(want.values())
+    alone = language_model.alone_table(d)
+    for t in range(1, c + 1):
+        ways = [(math.prod(k - d for s in sizes for k in range(1, s)), sizes) for sizes in partitions(c) if len(sizes) == t]
+        assert alone[c, t] == pytest.approx(sum(w * sum(s == 1 for s in sizes) / c for w, sizes in ways) / sum(w for w, _ in ways))
+    x = language_model.Seating(np.full(many, c), np.arange(many), many, language_model.mix(np.arange(many, dtype=np.uint64)), d)
+    base = np.full(many, p)
+    x.start(base)
+    for i in range(30):
+        x.round(base, i)
+    got = np.bincount(x.t, minlength=c + 1) / many
+    assert max(abs(got[t] - want[t] / whole) for t in range(1, c + 1)) < 0.01
+    assert got[0] == 0
+
+
+def test_a_frequent_word_has_several_restaurants(spark):
+    texts = [f"w{i % 50} the x{i % 7} the" for i in range(400)] + ["a b"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in language_model.scored(df, F.col("doc_id") % 5 != 1, 200).collect()}
+    assert len(got) == len(texts) and all(r.n_tokens == len(texts[i].split()) + 1 for i, r in got.items())
+    assert all(r.score > r.base_score for i, r in got.items() if i < 400)
+
+
+def test_contexts_are_learned(spark):
+    """A context of one word tells its follower, and one of two words tells more."""
+    texts = [(i, f"common rare{i} follow{i}") for i in range(30) for _ in range(3)] + [(100 + i, f"p{i % 2} mid q{i % 2}") for i in range(60)]
+    probe = [(1000, "common rare7 follow7"), (1001, "common rare7 follow8"), (1002, "new rare8 follow8"), (1003, "new rare8 follow7"), (1004, "p0 mid q0"), (1005, "p0 mid q1")]
     df = spark.createDataFrame(texts + probe, "doc_id long, text string")
-    for pairs, listed in ((3, 2), (1 << 20, 1 << 18)):
-        got = {r.doc_id: r.score for r in language_model.scored(df, F.col("doc_id") < 1000, pairs, listed).collect()}
-        assert got[1000] > got[1001] + 1 and got[1002] > got[1001] + 1
-    vocabulary = [w for i in range(30) for w in (f"rare{i}", f"follow{i}")] + ["common", "unseen"]
-    ends = [(2000 + i, w) for i, w in enumerate(vocabulary)] + [(3000 + i, f"unseen2 {w}") for i, w in enumerate(vocabulary)]
-    df = spark.createDataFrame(texts + ends, "doc_id long, text string")
-    learn = language_model.cut(df.where("doc_id < 1000"))
-    counts = language_model.cut(language_model.word_counts(learn))
-    n, v = counts.agg(F.sum("c"), F.count("*")).first()
-    pairs, words_, unseen, d = language_model._sampled(language_model.cut(language_model.pair_counts(learn)), counts, n, v)
-    assert pairs.count() == len({p for _, t in texts for w in [["", *t.split(), ""]] for p in zip(w[:-1], w[1:])})
-    words_, pairs = words_.collect(), pairs.collect()
-    for i, x in enumerate(unseen):
-        assert sum(r[f"p{i}"] for r in words_) + x == pytest.approx(1)
-    for r in words_:
-        mine = [p for p in pairs if p.u == r.h]
-        assert sum(p.c for p in mine) == r.c and sum(p.kept for p in mine) == sum(r[f"t{i}"] for i in range(language_model.SAMPLES))
+    for bucket in (1 << 20, 100):
+        got = {r.doc_id: r.score for r in language_model.scored(df, F.col("doc_id") < 1000, bucket).collect()}
+        assert got[1000] > got[1001] + 1 and got[1002] > got[1003] + 1 and got[1004] > got[1005] + 1
 
 
 def test_seating_is_bounded():
     import numpy as np
 
     c = np.array([0, 1, 2, 1000, 10**9])
-    t = language_model.seated(c, np.full(5, 0.2), 0.5, 1.0, np.random.default_rng(1))
-    assert t[0] == 0 and t[1] == 1 and (t <= c).all() and (t[1:] >= 1).all()
-    p = language_model.predictive(c, t, np.full(5, 0.2), 0.5, 1.0)
-    assert abs(p.sum() - 1) < 1e-9 and (p > 0).all()
+    x = language_model.Seating(c, np.zeros(5, int), 1, language_model.mix(np.arange(5, dtype=np.uint64)), 0.5)
+    base = np.full(5, 0.2)
+    x.start(base)
+    for i in range(5):
+        assert x.t[0] == 0 and x.t[1] == 1 and (x.t <= c).all() and (x.t[1:] >= 1).all() and x.total[0] == x.t.sum()
+        p = x.predictive(base, np.array([c.sum()]))
+        assert abs(p.sum() - 1) < 1e-9 and (p > 0).all()
+        x.round(base, i)
 
 
 def test_language_model_edges(edge, empty):
-    got = language_model.scored(edge("held_out"), F.col("doc_id") != 1, 8, 50)
+    got = language_model.scored(edge("held_out"), F.col("doc_id") != 1, 50)
     assert got.count() == len(EDGE) and got.where("doc_id is null").first().held_out
     twice = got.where("doc_id = 9").collect()
     assert len(twice) == 2 and twice[0].score == pytest.approx(twice[1].score) and twice[0].n_known == 4
     assert {r.n_tokens for r in got.where("doc_id in (2, 3, 4)").collect()} == {1}
     assert language_model.scored(empty, F.lit(True)).count() == 0
-    blind = language_model.scored(edge(), F.lit(False), 8, 50).collect()
+    blind = language_model.scored(edge(), F.lit(False), 50).collect()
     assert len(blind) == len(EDGE) and {r.train_tokens for r in blind} == {0}
 
 
