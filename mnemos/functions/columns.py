@@ -104,8 +104,8 @@ def uuid5(namespace: str, name: Column) -> Column:
 
 
 def slug(heading: Column) -> Column:
-    """Lower case, nothing but letters, digits, spaces and hyphens, each run of spaces one hyphen."""
-    return F.regexp_replace(F.regexp_replace(F.trim(F.lower(heading)), "[^a-z0-9 -]", ""), " +", "-")
+    """Lower case, nothing but letters, digits, spaces and hyphens; then no spaces at the ends, and each run of spaces one hyphen."""
+    return F.regexp_replace(F.trim(F.regexp_replace(F.lower(heading), "[^a-z0-9 -]", "")), " +", "-")
 
 
 def squeezed(text: Column) -> Column:
@@ -122,6 +122,17 @@ def contains_text(hay: Column, query: str) -> Column:
     return hay.contains(query.strip().lower()) if query.strip() else F.lit(True)
 
 
+def shortened(text: Column, tokens: Column, budget: Column) -> Column:
+    """A text cut to the share of its estimated tokens that a budget leaves, without spaces at its end; whole if it fits."""
+    share = F.floor(F.length(text) * F.greatest(F.lit(0), budget) / F.greatest(F.lit(1), tokens)).cast("int")
+    return F.when(tokens <= budget, text).otherwise(F.rtrim(F.substring(text, F.lit(1), share)))
+
+
+def iso_time(text: Column) -> Column:
+    """The time that an ISO text names, with Z, an offset or none (UTC then, if the session's zone is UTC); null for other texts."""
+    return F.try_to_timestamp(F.regexp_replace(F.trim(text), "[zZ]$", "+00:00"))
+
+
 # Vectors
 
 

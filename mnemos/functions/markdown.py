@@ -3,36 +3,54 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from mnemos.functions.columns import slug
+from mnemos.functions.columns import slug, squeezed
 
 #: The forms of links, tags and headings.
-WIKILINK = r"!?\[\[([^\]|]+)(?:\|([^\]]*))?\]\]"
-LINK = r"\[([^\]]*)\]\(([^)\s]+)\)"
-TAG = r"(?:^|\s)#([A-Za-z0-9_/-]+)"
+WIKILINK = r"(!?)\[\[([^\]|]+)(?:\|([^\]]*))?\]\]"
+LINK = r"(?<!!)\[([^\]]*)\]\(([^)]+)\)"
+TAG = r"(?<![A-Za-z0-9_/])#([A-Za-z0-9_/-]+)"
 HEADING = r"^(#{1,6})\s+(.*\S)\s*$"
 HREF = 'href="([^"]*)"'
+BLOCK_ID = r"\^([A-Za-z0-9_-]+)"
+LIST_ITEM = r"^\s*[-*+]\s+(.*)$"
+EXTERNAL = r"^[A-Za-z][A-Za-z0-9+.-]*:"
+#: Characters before and after a link in its context.
+AROUND = 40
 
 
 def wikilinks(body: Column) -> Column:
-    """array<struct<raw, display, target, heading, block>> of [[target#heading|display]]."""
-    return F.transform(F.regexp_extract_all(body, F.lit(WIKILINK), F.lit(0)), lambda m: _link(m))
+    """array<struct<embed, raw, display, target, heading, block, context>> of [[target#heading|display]] and ![[embedded]].
+
+    context: the text around the link, with white space squeezed.
+    """
+    return F.transform(F.regexp_extract_all(body, F.lit(WIKILINK), F.lit(0)), lambda m: _link(m, body))
 
 
-def _link(m: Column) -> Column:
-    raw = F.trim(F.regexp_extract(m, WIKILINK, 1))
-    anchor = F.when(raw.contains("#"), F.substring_index(raw, "#", -1))
+def _link(m: Column, body: Column) -> Column:
+    raw = F.trim(F.regexp_extract(m, WIKILINK, 2))
+    at = F.call_function("instr", body, m)
+    start = F.greatest(F.lit(1), at - AROUND)
     return F.struct(
+        (F.regexp_extract(m, WIKILINK, 1) == "!").alias("embed"),
         raw.alias("raw"),
-        F.nullif(F.regexp_extract(m, WIKILINK, 2), F.lit("")).alias("display"),
-        F.substring_index(raw, "#", 1).alias("target"),
-        F.when(~anchor.startswith("^"), slug(anchor)).alias("heading"),
-        F.when(anchor.startswith("^"), F.substring(anchor, 2, 1_000_000)).alias("block"),
+        F.nullif(F.regexp_extract(m, WIKILINK, 3), F.lit("")).alias("display"),
+        target_parts(raw)["target"].alias("target"),
+        target_parts(raw)["heading"].alias("heading"),
+        target_parts(raw)["block"].alias("block"),
+        squeezed(F.substring(body, start, at - start + F.length(m) + AROUND)).alias("context"),
     )
 
 
+def target_parts(raw: Column) -> dict[str, Column]:
+    """Target, heading (its slug) and block of target#heading or target#^block."""
+    anchor = F.when(raw.contains("#"), F.regexp_extract(raw, "#(.*)$", 1))
+    is_block = anchor.startswith("^")
+    return {"target": squeezed(F.substring_index(raw, "#", 1)), "heading": F.when(~is_block, F.nullif(slug(anchor), F.lit(""))), "block": F.when(is_block, F.trim(F.substring(anchor, 2, 1_000_000)))}
+
+
 def links(body: Column) -> Column:
-    """array<struct<text, url>> of [text](url)."""
-    return F.transform(F.regexp_extract_all(body, F.lit(LINK), F.lit(0)), lambda m: F.struct(F.regexp_extract(m, LINK, 1).alias("text"), F.regexp_extract(m, LINK, 2).alias("url")))
+    """array<struct<text, url>> of [text](url); images are none, and targets may have spaces."""
+    return F.transform(F.regexp_extract_all(body, F.lit(LINK), F.lit(0)), lambda m: F.struct(F.regexp_extract(m, LINK, 1).alias("text"), F.trim(F.regexp_extract(m, LINK, 2)).alias("url")))
 
 
 def hrefs(html: Column) -> Column:
@@ -62,12 +80,61 @@ def without_frontmatter(text: Column) -> Column:
 
 
 def resolved(links_df, records):
-    """links (link_id, raw_target) with target_record_id and resolution_status, by path, title or alias without case.
+    """links (link_id, raw_target) with target_record_id and resolution_status.
 
-    records: id, path, title, aliases[]. One record found: resolved; several: ambiguous; none: unresolved; URLs: external.
+    records: id, path, title, aliases[]. What stands before # is looked up, white space squeezed and without case: a target with / or that ends
+    in .md only among paths (with or without .md), others among titles and aliases. One record found: resolved; several:
+    ambiguous; none: unresolved; with a scheme such as https: or mailto: external. Other columns stay.
     """
-    names = records.select("id", F.explode(F.array_distinct(F.transform(F.array_compact(F.concat(F.array("path", "title"), F.coalesce("aliases", F.array().cast("array<string>")))), F.lower))).alias("_name"))
-    found = links_df.select("link_id", F.lower("raw_target").alias("_name")).join(names, "_name").groupBy("link_id").agg(F.count_distinct("id").alias("_n"), F.min("id").alias("_id"))
-    external = F.col("raw_target").rlike("^[A-Za-z][A-Za-z0-9+.-]*://|^mailto:")
-    status = F.when(external, "external").when(F.col("_n") == 1, "resolved").when(F.col("_n") > 1, "ambiguous").otherwise("unresolved")
-    return links_df.drop("target_record_id", "resolution_status").join(found, "link_id", "left").withColumns({"resolution_status": status, "target_record_id": F.when(status == "resolved", F.col("_id"))}).drop("_n", "_id")
+    name = lambda c: F.lower(squeezed(c))
+    bare = lambda c: F.regexp_replace(name(c), r"\.md$", "")
+    by_name = F.transform(F.array_compact(F.concat(F.array("title"), F.coalesce("aliases", F.array().cast("array<string>")))), lambda x: F.struct(F.lit("name").alias("kind"), name(x).alias("name")))
+    by_path = F.transform(F.array_compact(F.array("path")), lambda x: F.struct(F.lit("path").alias("kind"), bare(x).alias("name")))
+    names = records.select("id", F.inline(F.array_distinct(F.concat(by_name, by_path))).alias("_kind", "_name"))
+    target = F.substring_index("raw_target", "#", 1)
+    is_path = target.contains("/") | name(target).endswith(".md")
+    asked = links_df.select("link_id", F.when(is_path, "path").otherwise("name").alias("_kind"), F.when(is_path, bare(target)).otherwise(name(target)).alias("_name"))
+    found = asked.join(names, ["_kind", "_name"]).groupBy("link_id").agg(F.min("id").alias("_id"), F.max("id").alias("_last"))
+    status = F.when(F.col("raw_target").rlike(EXTERNAL), "external").when(F.col("_id") == F.col("_last"), "resolved").when(F.col("_id").isNotNull(), "ambiguous").otherwise("unresolved")
+    return links_df.drop("target_record_id", "resolution_status").join(found, "link_id", "left").withColumns({"resolution_status": status}).withColumn("target_record_id", F.when(F.col("resolution_status") == "resolved", F.col("_id"))).drop("_id", "_last")
+
+
+def block_ids(body: Column) -> Column:
+    """array<struct<line, block>> of the first ^block of each line that has one, lines from 1."""
+    lines = F.transform(F.split(body, "\n"), lambda x, i: F.struct((i + 1).alias("line"), F.regexp_extract(x, BLOCK_ID, 1).alias("block")))
+    return F.filter(lines, lambda b: b["block"] != "")
+
+
+def rendered(title: Column, body: Column, fields: dict[str, Column]) -> Column:
+    """A note: frontmatter with the fields that aren't null, in the given order (lists as [a, b]), a heading and the body."""
+    lines = F.array_compact(F.array(*(F.when(c.isNotNull(), F.concat(F.lit(f"{k}: "), c)) for k, c in fields.items())))
+    return F.concat(F.lit("---\n"), F.array_join(F.transform(lines, lambda x: F.concat(x, F.lit("\n"))), ""), F.lit("---\n"), F.coalesce(F.concat(F.lit("# "), title, F.lit("\n\n")), F.lit("")), F.coalesce(body, F.lit("")))
+
+
+def scalar(value: Column) -> Column:
+    """struct<kind, text, number, flag, list> of a frontmatter value: bool, list ([a, b]), int, float or str; quotes around texts go."""
+    v = F.trim(value)
+    bare = lambda x: F.regexp_replace(F.regexp_replace(F.trim(x), '^"+|"+$', ""), "^'+|'+$", "")
+    inner = F.trim(F.substring(v, F.lit(2), F.length(v) - 2))
+    kind = (
+        F.when(F.lower(v).isin("true", "false"), "bool").when(v.startswith("[") & v.endswith("]"), "list").when(v.rlike(r"^[+-]?[0-9]+$"), "int").when(v.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"), "float").otherwise("str")
+    )
+    return F.struct(
+        kind.alias("kind"),
+        F.when(kind == "str", bare(v)).alias("text"),
+        F.when(kind.isin("int", "float"), v.try_cast("double")).alias("number"),
+        F.when(kind == "bool", F.lower(v) == "true").alias("flag"),
+        F.when(kind == "list", F.when(inner == "", F.array().cast("array<string>")).otherwise(F.transform(F.split(inner, ","), bare))).alias("list"),
+    )
+
+
+def list_items(body: Column) -> Column:
+    """array<struct<line, item, label, target, rest>> of list items, lines from 1; label, target and what follows of the first link in one."""
+
+    def of(x, i):
+        item = F.trim(F.regexp_extract(x, LIST_ITEM, 1))
+        link = r"^(.*?)" + LINK + "(.*)$"
+        return F.struct((i + 1).alias("line"), item.alias("item"), F.when(item.rlike(LINK), F.trim(F.regexp_extract(item, link, 2))).alias("label"), F.when(item.rlike(LINK), F.trim(F.regexp_extract(item, link, 3))).alias("target"), F.when(item.rlike(LINK), F.regexp_replace(F.regexp_extract(item, link, 4), "^[ :-]+", "")).alias("rest"))
+
+    lines = F.transform(F.split(body, "\n"), lambda x, i: F.when(x.rlike(LIST_ITEM), of(x, i)))
+    return F.array_compact(lines)

@@ -9,6 +9,9 @@ from mnemos.operators.policy import first_of
 BLOCK_CLASSES, STALE_MARK, STALE_TOKENS = ("agent_identity", "active_mission", "session_pin"), "[stale] ", 1
 #: The scores at which a candidate turns provisional and a provisional memory trusted.
 PROVISIONAL, TRUSTED = 0.6, 0.8
+#: Kinds of disagreement; states of trust that are retrieved, and those that are if a narrow retrieval is asked for.
+DISAGREEMENTS = ("claim_key_polarity", "explicit_upstream_metadata", "exact_key_contradiction_fact")
+ACTIVE_STATES, NARROW_STATES = ("trusted", "pinned"), ("provisional",)
 
 
 def local_context(records: DataFrame, seeds: DataFrame, edges: DataFrame, most_paths: int, most_items: int) -> DataFrame:
@@ -150,7 +153,7 @@ def described(records: DataFrame, relations: DataFrame) -> DataFrame:
 def namespaces_intersected(left: DataFrame, right: DataFrame, ids: tuple) -> DataFrame:
     """The selectors that two lists allow together: compatible pairs merged, without repeats. Both lists are small; null in an id allows any.
 
-    Pairs meet on a shared id where both name it, else as a pair of lists of bounded size.
+    Every pair is looked at, so lists are of a stated size at most.
     """
     most = 10_000
     a, b = left.limit(most + 1), right.limit(most + 1)
@@ -162,3 +165,83 @@ def namespaces_intersected(left: DataFrame, right: DataFrame, ids: tuple) -> Dat
         test = F.col(i).isNull() | F.col(f"_{i}").isNull() | (F.col(i) == F.col(f"_{i}"))
         fits = test if fits is None else fits & test
     return a.join(r, fits).select(*(F.coalesce(i, f"_{i}").alias(i) for i in ids)).distinct()
+
+
+# Modes of a context package: items (id, kind, score, snippet) with whether they are in the budget.
+
+
+def budgeted(items: DataFrame, most: int, order: list) -> DataFrame:
+    """items with `included`: whether they are among the first `most`."""
+    kept = items.orderBy(*order).limit(most).select("id", "kind", F.lit(True).alias("_in"))
+    return items.join(kept, ["id", "kind"], "left").withColumn("included", F.coalesce("_in", F.lit(False))).drop("_in")
+
+
+def search_context(found: DataFrame, limit: int, most: int, chars: int) -> DataFrame:
+    """structural_search mode: found records (id, content, position from 0) scored by their position."""
+    items = found.select("id", F.lit("record").alias("kind"), F.greatest(F.lit(0.0), 1 - F.col("position") / F.lit(max(1, limit))).alias("score"), F.left("content", F.lit(chars)).alias("snippet"), "position")
+    return budgeted(items, most, ["position", "id"])
+
+
+def fact_context(facts: DataFrame, most: int) -> DataFrame:
+    """temporal_fact mode: listed facts (fact_id, confidence, observed_at), scored by their confidence, in the list's order."""
+    items = facts.select(F.col("fact_id").alias("id"), F.lit("fact").alias("kind"), F.coalesce("confidence", F.lit(0.5)).cast("double").alias("score"), F.lit(None).cast("string").alias("snippet"), F.col("observed_at").alias("position"))
+    return budgeted(items, most, ["position", "id"])
+
+
+def hybrid_context(found: DataFrame, vector_scores: DataFrame, facts: DataFrame, limit: int, most: int, chars: int) -> DataFrame:
+    """hybrid mode: records (id, content, position) scored by position and, if they have one, by their vector (id, value), the greater of both; and
+    facts (fact_id, record_id, confidence) of these records. By score, records before facts of the same score, then by position and id."""
+    keyword = F.greatest(F.lit(0.0), 1 - F.col("position") / F.lit(max(1, limit)))
+    records = found.join(vector_scores, "id", "left").select("id", F.lit("record").alias("kind"), F.greatest(keyword, F.coalesce("value", keyword)).alias("score"), F.left("content", F.lit(chars)).alias("snippet"), F.lit(0).alias("_after"), "position")
+    more = facts.join(found.select(F.col("id").alias("record_id"), "position"), "record_id").select(F.col("fact_id").alias("id"), F.lit("fact").alias("kind"), F.coalesce("confidence", F.lit(0.5)).cast("double").alias("score"), F.lit(None).cast("string").alias("snippet"), F.lit(1).alias("_after"), "position")
+    return budgeted(records.unionByName(more), most, [F.desc("score"), "_after", "position", "id"]).drop("_after")
+
+
+def summary_references(wanted: DataFrame, summaries: DataFrame, most: int) -> DataFrame:
+    """global mode: the summaries (summary_id, text) that are referred to (position, summary_id), in order; unknown ones are left out."""
+    items = wanted.join(summaries, "summary_id").select(F.col("summary_id").alias("id"), F.lit("summary").alias("kind"), F.lit(1.0).alias("score"), F.col("text").alias("snippet"), "position")
+    return budgeted(items, most, ["position", "id"])
+
+
+def drift_context(steps: DataFrame, wanted: DataFrame, summaries: DataFrame, records: DataFrame, most: int) -> DataFrame:
+    """drift mode: recorded steps (step, kind summary or record, id), in order, each with what it points to; steps to nothing are left out. wanted:
+    (position, summary_id) that the first step starts from."""
+    begin = wanted.select((F.col("position") - 1_000_000).cast("long").alias("position"), F.lit("summary").alias("kind"), F.col("summary_id").alias("id"))
+    all_ = begin.unionByName(steps.select(F.col("step").cast("long").alias("position"), "kind", "id"))
+    there = summaries.select(F.lit("summary").alias("kind"), F.col("summary_id").alias("id"), F.col("text").alias("snippet")).unionByName(records.select(F.lit("record").alias("kind"), "id", F.col("content").alias("snippet")))
+    first = all_.groupBy("kind", "id").agg(F.min("position").alias("position"))
+    items = first.join(there, ["kind", "id"]).select("id", "kind", F.lit(1.0).alias("score"), "snippet", "position")
+    return budgeted(items, most, ["position", "id"])
+
+
+def with_communities(items: DataFrame, community_items: DataFrame, most: int) -> DataFrame:
+    """Items of a package that were in, then a community's (id, kind, score, snippet, position), under the budget again."""
+    old = items.where("included").select("id", "kind", "score", "snippet", F.lit(0).alias("_after"), F.col("position").cast("long").alias("position"))
+    new = community_items.select("id", "kind", "score", "snippet", F.lit(1).alias("_after"), F.col("position").cast("long").alias("position"))
+    return budgeted(old.unionByName(new), most, ["_after", "position", "id"]).drop("_after")
+
+
+def disagreements(signals: DataFrame) -> DataFrame:
+    """signals (kind, block_id, record_id, claim_key, block_polarity, retrieval_polarity) with `refusal`, null for those to be recorded.
+
+    A disagreement in the polarity of a claim needs the claim and two polarities that differ; other kinds need block and record only.
+    """
+    of_claim = F.col("kind") == "claim_key_polarity"
+    blank = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
+    rules = [
+        (~F.coalesce(F.col("kind").isin(*DISAGREEMENTS), F.lit(False)), "unknown_kind"),
+        (blank("block_id"), "block_required"),
+        (blank("record_id"), "record_required"),
+        (of_claim & blank("claim_key"), "claim_required"),
+        (of_claim & (F.col("block_polarity").isNull() | F.col("retrieval_polarity").isNull()), "polarity_required"),
+        (of_claim & (F.col("block_polarity") == F.col("retrieval_polarity")), "polarities_agree"),
+    ]
+    return signals.withColumn("refusal", first_of(rules))
+
+
+def memory_packets(memories: DataFrame, narrow: bool = False) -> DataFrame:
+    """memories (memory_id, trust_state, refs) with reason (trusted_retrieval or narrow_retrieval) and refs, or omitted_reason and no refs."""
+    state = F.col("trust_state")
+    reason = F.when(state.isin(*ACTIVE_STATES), "trusted_retrieval").when(state.isin(*NARROW_STATES) & F.lit(narrow), "narrow_retrieval")
+    omitted = F.when(reason.isNull(), F.concat(F.lit("trust_state_"), state))
+    return memories.withColumns({"reason": reason, "omitted_reason": omitted, "refs": F.when(reason.isNull(), F.array().cast("array<string>")).otherwise(F.col("refs"))})

@@ -3,6 +3,9 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: A subject has at most two to the power LEVELS times at which its facts begin and end; characters of a time that name its day.
+LEVELS, DAY = 40, 10
+
 
 def is_invalidated() -> Column:
     return F.col("invalidated_at").isNotNull() | F.col("superseded_by_fact_id").isNotNull()
@@ -30,17 +33,43 @@ def list_facts(
 
 
 def facts_as_of(probes: DataFrame, facts: DataFrame) -> DataFrame:
-    """For each probe (subject_entity_id, at) the fact that was valid then, the latest begun of several: an as-of join by one sort.
+    """For each probe (subject_entity_id, at) the active fact that is valid then, of several the latest begun (then the greatest id).
 
-    Facts and probes of a subject are laid out in time order and each probe takes the last fact before it, so no
-    pairs are made.
+    Facts may overlap and are half open. A probe without a subject or a time has no fact; repeated probes are answered each; times that don't
+    come after their begin are never valid. The times of a subject's facts cut its line into stretches, numbered day by day; a fact is laid
+    on the stretches it covers as a few dyadic runs, and a probe looks up the runs that its own stretch is in. So there are rows for facts times
+    the logarithm of facts, never pairs of all facts and all probes, and a subject with many facts isn't sorted in one task.
     """
-    f = facts.select("subject_entity_id", F.col("valid_from").alias("at"), F.lit(0).alias("_probe"), F.struct("valid_from", "fact_id", "object_literal", "valid_to").alias("_f"))
-    p = probes.select("subject_entity_id", "at", F.lit(1).alias("_probe"), F.lit(None).cast(f.schema["_f"].dataType).alias("_f"))
-    w = Window.partitionBy("subject_entity_id").orderBy("at", "_probe", "_f.fact_id").rowsBetween(Window.unboundedPreceding, 0)
-    last = f.unionByName(p).withColumn("_last", F.last("_f", ignorenulls=True).over(w)).where("_probe = 1")
-    valid = F.col("_last.valid_to").isNull() | (F.col("at") < F.col("_last.valid_to"))
-    return last.select("subject_entity_id", "at", F.when(valid, F.col("_last.fact_id")).alias("fact_id"), F.when(valid, F.col("_last.object_literal")).alias("object_literal"))
+    f = facts.where(~is_invalidated() & (F.col("valid_to").isNull() | (F.col("valid_to") > F.coalesce("valid_from", F.lit(""))))).select("subject_entity_id", F.coalesce("valid_from", F.lit("")).alias("valid_from"), "valid_to", "fact_id", "object_literal")
+    starts = f.select("subject_entity_id", F.col("valid_from").alias("at")).unionByName(f.where("valid_to is not null").select("subject_entity_id", F.col("valid_to").alias("at"))).distinct()
+    asked = probes.where("subject_entity_id is not null and `at` is not null").select("subject_entity_id", "at").distinct()
+    line = starts.select("*", F.lit(0).alias("_probe")).unionByName(asked.select("*", F.lit(1).alias("_probe")))
+    line = line.withColumn("_day", F.substring("at", 1, DAY))
+    days = line.groupBy("subject_entity_id", "_day").agg(F.sum(1 - F.col("_probe")).alias("_n"))
+    before = days.select("subject_entity_id", "_day", F.coalesce(F.sum("_n").over(Window.partitionBy("subject_entity_id").orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    within = F.sum(1 - F.col("_probe")).over(Window.partitionBy("subject_entity_id", "_day").orderBy("at", "_probe"))
+    place = line.withColumn("_within", within).join(before, ["subject_entity_id", "_day"]).withColumn("_place", F.col("_before") + F.col("_within"))
+    of_start = place.where("_probe = 0").select("subject_entity_id", F.col("at").alias("_at"), "_place")
+    begin, end = of_start.withColumnsRenamed({"_at": "valid_from", "_place": "_a"}), of_start.withColumnsRenamed({"_at": "valid_to", "_place": "_b"})
+    laid = f.join(begin, ["subject_entity_id", "valid_from"]).join(end, ["subject_entity_id", "valid_to"], "left").withColumn("_b", F.coalesce("_b", F.lit(1 << LEVELS)))
+    best = laid.select("subject_entity_id", F.struct("valid_from", "fact_id", "object_literal").alias("_f"), F.inline(dyadic(F.col("_a"), F.col("_b")))).groupBy("subject_entity_id", "level", "run").agg(F.max("_f").alias("_f"))
+    levels = F.transform(F.sequence(F.lit(0), F.lit(LEVELS)), lambda k: F.struct(k.alias("level"), F.call_function("shiftright", F.col("_place"), k).alias("run")))
+    looked = place.where("_probe = 1").select("subject_entity_id", "at", F.inline(levels)).join(best, ["subject_entity_id", "level", "run"]).groupBy("subject_entity_id", "at").agg(F.max("_f").alias("_f"))
+    out = probes.select("subject_entity_id", "at").join(looked, ["subject_entity_id", "at"], "left")
+    return out.select("subject_entity_id", "at", F.col("_f.fact_id").alias("fact_id"), F.col("_f.object_literal").alias("object_literal"))
+
+
+def dyadic(a: Column, b: Column) -> Column:
+    """array<struct<level, run>>: the runs [run << level, (run + 1) << level) that together are [a, b), at most two for each level."""
+
+    def at(k: Column) -> Column:
+        low, high = F.call_function("shiftright", a + F.call_function("shiftleft", F.lit(1).cast("long"), k) - 1, k), F.call_function("shiftright", b, k)
+        odd_low = (low % 2 == 1) & (low < high)
+        odd_high = (high % 2 == 1) & (low < high)
+        run = lambda r: F.struct(k.alias("level"), r.alias("run"))
+        return F.array_compact(F.array(F.when(odd_low, run(low)), F.when(odd_high & (high - 1 >= low), run(high - 1))))
+
+    return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(LEVELS)), at)))
 
 
 def apply_contradictions(facts: DataFrame, decisions: DataFrame) -> DataFrame:

@@ -4,6 +4,8 @@ Paths are arrays of hops struct<node, edge> without the source. Comparing such a
 search that visits neighbours by (node, edge) finds them, so the first path found is the least one.
 """
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,8 +14,6 @@ from mnemos.functions.shared import settled
 
 #: The most sweeps of label propagation; the namespace of URL-named UUIDs.
 SWEEPS, URL_NAMESPACE = 25, "6ba7b811-9dad-11d1-80b4-00c04fd430c8"
-#: No path search goes deeper: the number of paths can grow by the degree with each hop.
-DEEPEST = 6
 
 
 def neighbours(edges: DataFrame, direction: str = "both") -> DataFrame:
@@ -69,10 +69,28 @@ def local_graph(edges: DataFrame, root: str, depth: int, direction: str = "both"
     return found
 
 
-def snapshot(nodes: DataFrame, edges: DataFrame, most_nodes: int, most_edges: int) -> tuple[DataFrame, DataFrame]:
-    """The first nodes and, of the edges between them, the first, by id."""
+def snapshot(nodes: DataFrame, edges: DataFrame, most_nodes: int, most_edges: int, dangling: bool = False, orphans_too: bool = True) -> tuple[DataFrame, DataFrame]:
+    """The first nodes, with their degrees, and of the edges between them the first, by id.
+
+    dangling: also edges whose target is unknown (null); they don't count as degrees. orphans_too: nodes without an edge stay.
+    """
     n = nodes.orderBy("node_id").limit(most_nodes)
-    return n, visible(edges, n).orderBy("edge_id").limit(most_edges)
+    inside = visible(edges, n)
+    if dangling:
+        inside = inside.unionByName(edges.where("dst is null").join(n.select(F.col("node_id").alias("src")), "src", "left_semi").select(*edges.columns))
+    kept = inside.orderBy("edge_id").limit(most_edges)
+    counted = n.join(degrees(n, kept.where("dst is not null"), False).select("node_id", "in_degree", "out_degree"), "node_id")
+    return counted if orphans_too else counted.where("in_degree + out_degree > 0"), kept
+
+
+def local_snapshot(edges: DataFrame, root: str, depth: int, most_nodes: int, most_edges: int, direction: str = "both") -> tuple[DataFrame, DataFrame]:
+    """(nodes with depth and degrees, edges) around a root: nodes by depth and id, up to a limit, and the first edges, by the depth they are met at and
+    id, of those that nodes nearer than `depth` have. Degrees count the edges that are kept."""
+    near = local_graph(edges, root, depth, direction).orderBy("depth", "node_id").limit(most_nodes)
+    open_ = near.where(F.col("depth") < depth).select("node_id", "depth")
+    met = neighbours(edges, direction).select("node", "edge").join(open_, F.col("node") == F.col("node_id")).groupBy(F.col("edge").alias("edge_id")).agg(F.min("depth").alias("_d"))
+    kept = edges.join(met, "edge_id").orderBy("_d", "edge_id").limit(most_edges).drop("_d")
+    return near.join(degrees(near, kept, False).select("node_id", "in_degree", "out_degree"), "node_id"), kept
 
 
 def _grown(paths: DataFrame, near: DataFrame) -> DataFrame:
@@ -86,15 +104,15 @@ def _started(sources: DataFrame) -> DataFrame:
     return sources.select(F.col("node_id").alias("source"), F.col("node_id").alias("last"), F.array().cast("array<struct<node: string, edge: string>>").alias("hops"))
 
 
-def shortest_paths(edges: DataFrame, sources: DataFrame, targets: DataFrame | None = None, depth: int = 16, direction: str = "both") -> DataFrame:
+def shortest_paths(edges: DataFrame, sources: DataFrame, targets: DataFrame | None = None, depth: int | None = None, direction: str = "both") -> DataFrame:
     """(source, target, hops): one shortest path from each source to each node reached, that which sorts first.
 
-    One path is kept for each node and level, so levels stay as small as the graph.
+    One path is kept for each node and level, so levels stay as small as the graph. Without a depth all nodes that can be reached are.
     """
     near = settled(neighbours(edges, direction))
     level = settled(_started(sources.distinct()))
     found = level
-    for _ in range(depth):
+    for _ in itertools.count() if depth is None else range(depth):
         best = _grown(level, near).groupBy("source", "last").agg(F.min("hops").alias("hops"))
         level = settled(best.join(found.select("source", "last"), ["source", "last"], "left_anti"))
         if level.isEmpty():
@@ -105,14 +123,19 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, targets: DataFrame | No
 
 
 def simple_paths(edges: DataFrame, source: str, target: str, depth: int = 4, most: int | None = None, direction: str = "both") -> DataFrame:
-    """Paths without repeated nodes from source to target, by hops, nodes and edges; `most`: only the first that a depth-first search finds."""
-    if depth > DEEPEST:
-        raise ValueError(f"paths are searched up to {DEEPEST} hops")
+    """Paths without repeated nodes from source to target, by hops, nodes and edges; `most`: only the first that a depth-first search finds.
+
+    Only nodes from which the target can still be reached in the hops that are left are gone to, so what is kept are beginnings of walks that end there.
+    """
     near = settled(neighbours(edges, direction))
-    level = _started(edges.sparkSession.createDataFrame([(source,)], "node_id string"))
+    start = edges.sparkSession.createDataFrame([(source,)], "node_id string")
+    level = _started(start)
+    back = {"out": "in", "in": "out"}.get(direction, "both")
+    left = local_graph(edges, target, depth, back).select(F.col("node_id").alias("last"), F.col("depth").alias("_left"))
     done = None
-    for _ in range(depth):
-        level = settled(_grown(level, near))
+    for i in range(depth):
+        level = _grown(level, near).join(left, "last").where(F.col("_left") <= depth - i - 1).select("source", "last", "hops")
+        level = settled(level)
         ends = level.where(F.col("last") == target)
         done = ends if done is None else done.unionByName(ends)
         level = level.where(F.col("last") != target)
@@ -151,50 +174,88 @@ def components(nodes: DataFrame, edges: DataFrame, rounds: int = 64) -> DataFram
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
-def label_propagation(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node_id, label): sweeps in id order, each node takes the commonest label of its neighbours, the least of equals.
+def label_propagation(nodes: DataFrame, edges: DataFrame, sweeps: int = SWEEPS) -> DataFrame:
+    """(node_id, label) after sweeps in which every node takes the commonest label among its neighbours and itself, the least of equals.
 
-    Sweeps never leave a component, so components are swept apart from each other; one component is swept in one
-    task, as each step depends on the one before.
+    All nodes look at the labels of the sweep before (its own label keeps a node from swapping with its neighbour for ever), so a sweep is one
+    join and one count and no component has to fit in a task. Ends when no label changes, or after the last sweep.
     """
-    labels = components(nodes, edges)
-    pairs = neighbours(edges).join(labels, F.col("node") == labels["node_id"]).select("component", "node", "neighbour")
-    alone = labels.join(pairs.select(F.col("node").alias("node_id")).distinct(), "node_id", "left_anti")
-
-    def sweep(pdf):
-        near = pdf.groupby("node")["neighbour"].agg(list).to_dict()
-        label = {n: n for n in near}
-        for _ in range(SWEEPS):
-            changed = False
-            for n in sorted(near):
-                counts: dict = {}
-                for m in near[n]:
-                    counts[label[m]] = counts.get(label[m], 0) + 1
-                best = min(counts, key=lambda x: (-counts[x], x))
-                changed |= best != label[n]
-                label[n] = best
-            if not changed:
-                break
-        import pandas as pd
-
-        return pd.DataFrame({"node_id": list(label), "label": list(label.values())})
-
-    swept = pairs.groupBy("component").applyInPandas(sweep, "node_id string, label string")
-    return swept.unionByName(alone.select("node_id", F.col("component").alias("label")))
-
-
-def communities(labels: DataFrame, edges: DataFrame, least: int = 2, name: Column | None = None) -> DataFrame:
-    """(community_id, members, size, internal_edges, score) of groups (node_id, label) with at least `least` members, largest first.
-
-    The score is the edges inside over size - 1; the id is a UUID of the members.
+    near = neighbours(edges).select("node", "neighbour").unionByName(nodes.select(F.col("node_id").alias("node"), F.col("node_id").alias("neighbour")))
+    near = settled(near.join(nodes.select(F.col("node_id").alias("node")), "node", "left_semi").groupBy("node", "neighbour").agg(F.count("*").alias("_n")))
+    labels = settled(nodes.select("node_id", F.col("node_id").alias("label")))
+    for _ in range(sweeps):
+        votes = near.join(labels, F.col("neighbour") == F.col("node_id")).groupBy("node", "label").agg(F.sum("_n").alias("_v"))
+        best = votes.groupBy("node").agg(F.min(F.struct(-F.col("_v"), F.col("label"))).alias("_b"))
+        new = settled(labels.join(best, F.col("node") == F.col("node_id")).select("node_id", F.col("label").alias("_was"), F.col("_b.label").alias("label")))
+        labels = new.select("node_id", "label")
+        if new.where("_was <> label").isEmpty():
+            break
+    return labels
+
+
+def communities(labels: DataFrame, edges: DataFrame, least: int = 2) -> DataFrame:
+    """(label, community_id, size, seed, internal_edges, score) of groups (node_id, label) with at least `least` members, largest first.
+
+    The score is the edges inside over size - 1. The id is a UUID of the size and two sums over the members' hashes, so members are never gathered;
+    they are the rows of labels. seed: the member with the greatest degree, the least id of equals.
     """
-    groups = labels.groupBy("label").agg(F.sort_array(F.collect_list("node_id")).alias("members"))
+    ends = neighbours(edges).groupBy(F.col("node").alias("node_id")).agg(F.count("*").alias("_degree"))
+    h = lambda seed: F.pmod(F.xxhash64(F.lit(seed), "node_id"), F.lit(1 << 53))
+    members = labels.join(ends, "node_id", "left").groupBy("label")
+    groups = members.agg(F.count("*").cast("int").alias("size"), F.min_by("node_id", F.struct(-F.coalesce("_degree", F.lit(0)), F.col("node_id"))).alias("seed"), F.min("node_id").alias("_first"), F.sum(h(1).cast("decimal(38,0)")).alias("_x"), F.sum(h(2).cast("decimal(38,0)")).alias("_y"))
     a, b = labels.select(F.col("node_id").alias("src"), F.col("label").alias("_a")), labels.select(F.col("node_id").alias("dst"), F.col("label").alias("_b"))
     inside = edges.join(a, "src").join(b, "dst").where("_a = _b").groupBy(F.col("_a").alias("label")).agg(F.count("*").alias("internal_edges"))
-    size = F.size("members")
-    out = groups.where(size >= least).join(inside, "label", "left").withColumn("internal_edges", F.coalesce("internal_edges", F.lit(0)))
-    key = F.array_join("members", ",") if name is None else name
-    return out.select(uuid5(URL_NAMESPACE, key).alias("community_id"), "members", size.alias("size"), "internal_edges", (F.col("internal_edges") / F.greatest(F.lit(1), size - 1)).alias("score")).orderBy(F.desc("size"), "members")
+    out = groups.where(F.col("size") >= least).join(inside, "label", "left").withColumn("internal_edges", F.coalesce("internal_edges", F.lit(0)))
+    key = F.concat_ws("|", F.col("size").cast("string"), F.col("_x").cast("string"), F.col("_y").cast("string"))
+    score = F.col("internal_edges") / F.greatest(F.lit(1), F.col("size") - 1)
+    return out.orderBy(F.desc("size"), "_first").select("label", uuid5(URL_NAMESPACE, key).alias("community_id"), "size", "seed", "internal_edges", score.alias("score"))
+
+
+def community_status(changes: DataFrame, pinned: int) -> DataFrame:
+    """One row: whether communities that were computed at a cursor are stale, the last cursor that matters, and the kinds of objects that changed since."""
+    since = changes.where((F.col("cursor") > pinned) & F.col("object_type").isin("record", "relation", "link"))
+    return since.agg((F.count("*") > 0).alias("stale"), F.coalesce(F.max("cursor"), F.lit(pinned)).alias("latest_cursor"), F.array_sort(F.collect_set("object_type")).alias("stale_reasons"))
+
+
+def community_hits(labels: DataFrame, records: DataFrame, edges: DataFrame, ids: list[str] | None = None, limit: int | None = None) -> DataFrame:
+    """(id, label, score) of records (id, source_id, updated_at) in communities, latest first: the degree, and a tenth more with a source."""
+    ends = neighbours(edges).groupBy(F.col("node").alias("id")).agg(F.count("*").alias("_degree"))
+    chosen = labels if ids is None else labels.where(F.col("label").isin(ids))
+    found = records.join(chosen.withColumnRenamed("node_id", "id"), "id").join(ends, "id", "left")
+    score = F.coalesce("_degree", F.lit(0)) + F.when(F.col("source_id").isNotNull(), 0.1).otherwise(0.0)
+    out = found.orderBy(F.desc("updated_at"), "id").select("id", "label", score.alias("score"))
+    return out.limit(limit) if limit is not None else out
+
+
+def community_paths(labels: DataFrame, seeds: DataFrame, edges: DataFrame) -> DataFrame:
+    """(source, target, hops): from each community's seed (label, seed) to each other member the first path of up to two hops, as a depth-first search finds it.
+
+    Paths of two hops are only built between members that are asked for.
+    """
+    asked = labels.join(seeds, "label").where("node_id <> seed").select(F.col("seed").alias("source"), F.col("node_id").alias("target"))
+    near = neighbours(edges)
+    one = asked.join(near, (F.col("source") == F.col("node")) & (F.col("target") == F.col("neighbour"))).select("source", "target", F.array(F.struct(F.col("neighbour").alias("node"), F.col("edge").alias("edge"))).alias("hops"))
+    first = near.join(asked.select(F.col("source").alias("node")).distinct(), "node", "left_semi").select(F.col("node").alias("source"), F.col("neighbour").alias("_mid"), F.col("edge").alias("_e"))
+    last = near.select(F.col("node").alias("_mid"), F.col("neighbour").alias("target"), F.col("edge").alias("_f"))
+    two = first.join(last, "_mid").where("source <> _mid and target <> source and target <> _mid").join(asked, ["source", "target"], "left_semi")
+    two = two.select("source", "target", F.array(F.struct(F.col("_mid").alias("node"), F.col("_e").alias("edge")), F.struct(F.col("target").alias("node"), F.col("_f").alias("edge"))).alias("hops"))
+    # The search looks at the ends of a path after its beginnings, and at the last hop from the greatest edge down.
+    both = one.unionByName(two).withColumn("_k", F.slice("hops", 1, F.size("hops") - 1))
+    best = both.groupBy("source", "target").agg(F.min("_k").alias("_k"))
+    return both.join(best, ["source", "target", "_k"]).groupBy("source", "target").agg(F.max_by("hops", F.element_at("hops", -1)["edge"]).alias("hops"))
+
+
+def source_sets(labels: DataFrame, records: DataFrame) -> DataFrame:
+    """(label, key, n): how many members of each community come from each source, and have each source id."""
+    m = records.join(labels.withColumnRenamed("node_id", "id"), "id")
+    keys = F.array_compact(F.array(F.concat(F.lit("source:"), "source"), F.concat(F.lit("source_id:"), "source_id")))
+    return m.select("label", F.explode(keys).alias("key")).groupBy("label", "key").agg(F.count("*").alias("n"))
+
+
+def layout(labels: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node_id, label, weight, radius): the degree, and one more."""
+    d = degrees(nodes, edges, False).select("node_id", F.col("degree").cast("double").alias("weight"))
+    return d.join(labels, "node_id", "left").select("node_id", "label", "weight", (F.col("weight") + 1).alias("radius"))
 
 
 def membership_ranks(labels: DataFrame, degree: DataFrame) -> DataFrame:

@@ -147,3 +147,66 @@ def publish_plan(records: DataFrame, most: int) -> DataFrame:
     """(id, place): records whose export isn't hidden, by title and id, up to a cap."""
     kept = records.where(F.coalesce(F.col("export_visibility") != "hidden", F.lit(True))).orderBy("title", "id").limit(most)
     return kept.select("id", F.row_number().over(Window.orderBy("title", "id")).alias("place"))  # of `most` rows
+
+
+# Hooks, gateway and audit
+
+
+def hook_decision(requests: DataFrame, hooks: list[tuple[str, Column]]) -> DataFrame:
+    """requests with action, policy_id and reason_code: hooks (policy id, Column with the reason to deny, null to allow) go from left to right and
+    the first that denies decides; if none does, the request is allowed."""
+    policy = first_of([(reason.isNotNull(), name) for name, reason in hooks])
+    reason = F.coalesce(*(r for _, r in hooks), F.lit(None).cast("string"))
+    return requests.withColumns({"policy_id": F.coalesce(policy, F.lit("<aggregate>")), "reason_code": reason, "action": F.when(policy.isNotNull(), "deny").otherwise("allow")})
+
+
+def behind_gateway(table: DataFrame, decisions: DataFrame, actor: str, operation: str, at: Column) -> tuple[DataFrame, DataFrame]:
+    """What an actor may read of a table with a namespace, under its decisions (actor, operation, allowed, reason, namespaces: null for all, max_results),
+    and an audit row of the access. Without an allowing decision nothing is read; several decisions add up."""
+    mine = decisions.where((F.col("actor") == actor) & (F.col("operation") == operation))
+    go = mine.where("allowed")
+    spaces = go.select(F.explode_outer("namespaces").alias("_ns")).distinct()
+    seen = table.join(F.broadcast(spaces), F.col("_ns").isNull() | (F.col("namespace") == F.col("_ns")), "left_semi")
+    row = mine.agg(F.coalesce(F.max("allowed"), F.lit(False)).alias("allowed"), F.max("max_results").alias("max_results"), F.min(F.when(~F.col("allowed"), F.col("reason"))).alias("reason"))
+    audit = row.select(F.lit(actor).alias("actor"), F.lit(operation).alias("operation"), F.when(F.col("allowed"), "memory.access.allowed").otherwise("memory.access.denied").alias("event_type"), F.when(~F.col("allowed"), F.coalesce("reason", F.lit("grant_required"))).alias("reason"), at.alias("recorded_at"))
+    most = row.first()["max_results"]
+    return (seen.orderBy("id").limit(most) if most is not None else seen), audit
+
+
+def audit_events(rows: DataFrame, event_type: Column, target: Column, at: Column, details: list[str]) -> DataFrame:
+    """(event_id, event_type, target_id, recorded_at, details): an event of each row, its id a hash of what it says, so that a replay writes the same."""
+    said = F.to_json(F.struct(*sorted(details)))
+    return rows.select(F.sha2(F.concat_ws("|", event_type, target, at.cast("string"), said).cast("binary"), 256).alias("event_id"), event_type.alias("event_type"), target.alias("target_id"), at.alias("recorded_at"), said.alias("details"))
+
+
+def retained(records: DataFrame, now: Column, columns: list[str]) -> DataFrame:
+    """records after their retention outcome: erased ones are gone, tombstones are closed and emptied, redacted ones emptied, hidden ones hidden."""
+    kept = records.withColumn("_o", retention_outcome()).where("_o <> 'erase'")
+    kept = redacted(kept, F.col("_o").isin("tombstone", "redact_and_retain"), columns)
+    return kept.withColumns({"valid_to": F.when(F.col("_o") == "tombstone", now).otherwise(F.col("valid_to")), "retrieval_visibility": F.when(F.col("_o") == "hide", "hidden").otherwise(F.col("retrieval_visibility"))}).drop("_o")
+
+
+def profile_plan(fields: DataFrame, mappings: DataFrame) -> DataFrame:
+    """(field, target, diagnostic) of fields under a pack's mappings (source_field, target_field, lossy, required): unknown_field, lossy_field,
+    required_missing or null."""
+    m = mappings.select(F.col("source_field").alias("field"), F.col("target_field").alias("target"), "lossy", "required", F.lit(True).alias("_m"))
+    j = fields.select("field", F.lit(True).alias("_f")).join(m, "field", "full")
+    rules = [(F.col("_m").isNull(), "unknown_field"), (F.col("_f").isNull() & F.col("required"), "required_missing"), (F.col("_f") & F.col("lossy"), "lossy_field")]
+    return j.withColumn("diagnostic", first_of(rules)).where(F.col("_f").isNotNull() | F.col("diagnostic").isNotNull()).select("field", F.when(F.col("_f"), F.col("target")).alias("target"), "diagnostic")
+
+
+def default_policy_id(namespace: Column) -> Column:
+    """The id of the policy that a namespace has if it has none of its own."""
+    return F.concat(F.lit("default:"), F.translate(namespace, "|", ","))
+
+
+def template_plan(forms: DataFrame, fields: DataFrame) -> DataFrame:
+    """(form_id, problems) of filled forms (form_id, template, values map<string, string>) against fields (template, name, required, choices array, null: any):
+    missing:name, choice:name and unknown:name, sorted; no problems: the form can become a record."""
+    spec = fields.groupBy("template").agg(F.collect_list(F.struct("name", "required", "choices")).alias("_s"))
+    have = lambda x: F.col("values")[x["name"]]
+    wrong = lambda x: F.when(F.coalesce(have(x), F.lit("")) == "", F.when(x["required"], F.concat(F.lit("missing:"), x["name"]))).when(~F.array_contains(x["choices"], have(x)), F.concat(F.lit("choice:"), x["name"]))
+    names = F.transform("_s", lambda x: x["name"])
+    more = F.transform(F.array_except(F.map_keys("values"), names), lambda k: F.concat(F.lit("unknown:"), k))
+    found = F.array_sort(F.array_compact(F.concat(F.transform("_s", wrong), more)))
+    return forms.join(F.broadcast(spec), "template", "left").select("form_id", F.when(F.col("_s").isNull(), F.array(F.lit("unknown_template"))).otherwise(found).alias("problems"))

@@ -1,6 +1,6 @@
 """Record listings, searches, versions and the event-sourced tables behind them."""
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mnemos.functions.columns import believed_at, contains_text, current_at, effective_during, haystack, in_any_namespace, valid_at
@@ -50,10 +50,14 @@ def search_records(df: DataFrame, query: str, limit: int | None = None, offset:
     return list_records(df.where(contains_text(search_text(), query)), limit=limit, offset=offset, **options)
 
 
-def latest(df: DataFrame, key: list[str], order: list) -> DataFrame:
-    """The first row of each key in the given order."""
-    w = Window.partitionBy(*key).orderBy(*order)
-    return df.withColumn("_rank", F.row_number().over(w)).where("_rank = 1").drop("_rank")
+def latest(df: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
+    """The row of each key that is first in ascending order of the given columns (negate numbers and times to have the greatest first).
+
+    An aggregate with partial sums: the versions of a key never come together in one task.
+    """
+    rest = [c for c in df.columns if c not in key]
+    best = df.groupBy(*key).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_row"))
+    return best.select(*(c if c in key else F.col(f"_row.{c}").alias(c) for c in df.columns))
 
 
 def live(changes: DataFrame) -> DataFrame:
@@ -64,8 +68,12 @@ def live(changes: DataFrame) -> DataFrame:
 
 
 def superseded(records: DataFrame, replacements: DataFrame) -> DataFrame:
-    """records with those that have a row in replacements (old_id, new_id, created_at) closed at its created_at and pointing to it."""
-    r = replacements.select(F.col("old_id").alias("_old"), F.col("new_id").alias("superseded_by_id"), F.col("created_at").alias("_end"))
+    """records with those that have a row in replacements (old_id, new_id, created_at) closed at its created_at and pointing to it.
+
+    Of several replacements of one record the latest counts, and of equals that with the greatest new_id.
+    """
+    last = replacements.groupBy(F.col("old_id").alias("_old")).agg(F.max(F.struct("created_at", "new_id")).alias("_r"))
+    r = last.select("_old", F.col("_r.new_id").alias("superseded_by_id"), F.col("_r.created_at").alias("_end"))
     base = records.drop("superseded_by_id")
     return base.join(r, base["id"] == r["_old"], "left").withColumn("valid_to", F.coalesce("_end", "valid_to")).drop("_old", "_end")
 

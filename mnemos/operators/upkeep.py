@@ -120,3 +120,40 @@ def batches(findings: DataFrame, order: list[str], size: int, after: tuple | Non
     before = sizes.withColumn("_before", F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)))  # a row for each partition
     out = local.join(F.broadcast(before.select("_p", F.coalesce("_before", F.lit(0)).alias("_before"))), "_p")
     return out.withColumn("batch", F.floor((F.col("_before") + F.col("_i") - 1) / size).cast("int")).drop("_p", "_k", "_i", "_before")
+
+
+def mirrored(mirrors: DataFrame, sources: DataFrame) -> DataFrame:
+    """mirrors (block_id, mirror_hash, ...) of shared blocks with source_hash and status: fresh if the source (block_id, hash) is as mirrored, else stale."""
+    s = sources.select("block_id", F.col("hash").alias("source_hash"))
+    status = F.when(F.col("source_hash") == F.col("mirror_hash"), "fresh").otherwise("stale")
+    return mirrors.drop("source_hash", "status").join(s, "block_id", "left").withColumn("status", status)
+
+
+def shared_conflicts(edits: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Edits (block_id, attempted_by, base_hash, proposed_hash) of shared blocks (block_id, hash) that start from another text than stands, and would change it."""
+    j = edits.join(blocks.select("block_id", F.col("hash").alias("_now")), "block_id")
+    return j.where((F.col("_now") != F.col("base_hash")) & (F.col("_now") != F.col("proposed_hash"))).drop("_now")
+
+
+def restored(current: DataFrame, revision: DataFrame, key: str) -> DataFrame:
+    """(key, action) that take a table back to a revision (key, content_hash): create what is gone, update what differs, delete what came later."""
+    a, b = current.select(key, F.col("content_hash").alias("_a"), F.lit(True).alias("_x")), revision.select(key, F.col("content_hash").alias("_b"), F.lit(True).alias("_y"))
+    action = F.when(F.col("_x").isNull(), "create").when(F.col("_y").isNull(), "delete").when(~F.col("_a").eqNullSafe(F.col("_b")), "update")
+    return a.join(b, key, "full").select(key, action.alias("action")).where("action is not null")
+
+
+def consolidation_summary(decisions: DataFrame) -> DataFrame:
+    """(transition, n): how many records went from one phase to another; those that stayed aren't counted."""
+    return decisions.where("phase <> next_phase").groupBy(F.concat_ws("_to_", "phase", "next_phase").alias("transition")).agg(F.count("*").alias("n"))
+
+
+def accepted(items: DataFrame, ledger: DataFrame) -> DataFrame:
+    """Items of a connector (source_id, content_hash, cursor) with `decision`: skip if the ledger (source_id, content_hash, status) has the same hash and didn't fail."""
+    had = ledger.select("source_id", F.col("content_hash").alias("_had"), F.col("status").alias("_status"))
+    same = (F.col("_had") == F.col("content_hash")) & (F.col("_status") != "failed")
+    return items.join(had, "source_id", "left").withColumn("decision", F.when(F.coalesce(same, F.lit(False)), "skip").otherwise("accept")).drop("_had", "_status")
+
+
+def to_ingest(items: DataFrame, completed: DataFrame) -> DataFrame:
+    """Items (item_id, ...) that a checkpoint (item_id) has not completed; repeated ones once."""
+    return items.join(completed.select("item_id"), "item_id", "left_anti").dropDuplicates(["item_id"])

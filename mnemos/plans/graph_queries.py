@@ -3,7 +3,6 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemos.functions.columns import haystack
 from mnemos.operators import graph as g
 from mnemos.operators import retrieval as r
 from mnemos.operators.records import search_text
@@ -24,8 +23,7 @@ def query(sql: str | None = None):
 
 
 _NODES = "n AS (SELECT 'r' || r_regionkey AS id FROM region UNION ALL SELECT 'n' || n_nationkey FROM nation UNION ALL SELECT 's' || s_suppkey FROM supplier UNION ALL SELECT 'c' || c_custkey FROM customer)"
-_FEW = """e AS (SELECT 'n' || n_nationkey AS src, 'r' || n_regionkey AS dst FROM nation UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier)"""
-_EDGES = _FEW[:-1] + " UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer)"
+_EDGES = """e AS (SELECT 'n' || n_nationkey AS src, 'r' || n_regionkey AS dst FROM nation UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer)"""
 _BOTH = "b AS (SELECT src || '>' || dst AS edge, src AS u, dst AS v FROM e UNION ALL SELECT src || '>' || dst, dst, src FROM e)"
 _PARTS = "e AS (SELECT DISTINCT 'p' || l_partkey AS src, 's' || l_suppkey AS dst FROM lineitem)"
 
@@ -39,9 +37,11 @@ def degree_metrics(spark, sf) -> DataFrame:
     return g.degrees(t.nodes(spark, sf), t.edges(spark, sf)).select("node_id", F.col("in_degree").cast("long"), F.col("out_degree").cast("long"), F.round("centrality", 9).alias("centrality"))
 
 
-@query(f"WITH {_NODES}, {_FEW} SELECT id AS node_id FROM n WHERE id NOT IN (SELECT src FROM e) AND id NOT IN (SELECT dst FROM e)")
+@query("SELECT 'c' || c_custkey AS node_id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
 def orphan_nodes(spark, sf) -> DataFrame:
-    return g.orphans(t.nodes(spark, sf), t.edges(spark, sf, customers=False)).select("node_id")
+    """Customers without an order, in the graph of customers and orders."""
+    edges = t.table(spark, sf, "orders").select(F.concat(F.lit("c"), "o_custkey").alias("src"), F.concat(F.lit("o"), "o_orderkey").alias("dst"))
+    return g.orphans(t.nodes(spark, sf).where("label = 'customer'"), edges).select("node_id")
 
 
 @query(f"WITH {_EDGES}, {_BOTH} SELECT u AS node, edge, v AS neighbour FROM b WHERE u IN ('n1', 'r2', 's3')")
@@ -73,12 +73,12 @@ def graph_snapshot(spark, sf) -> DataFrame:
 
 
 @query(
-    f"""WITH RECURSIVE {_FEW}, {_BOTH}, p(id, d, hops) AS (SELECT 's1', 0, CAST([] AS STRUCT(node VARCHAR, edge VARCHAR)[]) UNION ALL SELECT v, d + 1, list_append(hops, {{'node': v, 'edge': edge}}) FROM p JOIN b ON u = id WHERE d < 4 AND NOT list_contains(list_transform(hops, lambda x: x.node), v) AND v <> 's1'),
+    f"""WITH RECURSIVE {_EDGES}, {_BOTH}, p(id, d, hops) AS (SELECT 's1', 0, CAST([] AS STRUCT(node VARCHAR, edge VARCHAR)[]) UNION ALL SELECT v, d + 1, list_append(hops, {{'node': v, 'edge': edge}}) FROM p JOIN b ON u = id WHERE d < 8 AND NOT list_contains(list_transform(hops, lambda x: x.node), v) AND v <> 's1'),
 best AS (SELECT id, d, hops, row_number() OVER (PARTITION BY id ORDER BY d, hops) AS n FROM p)
 SELECT 's1' AS source, id AS target, array_to_string(list_transform(hops, lambda x: x.node), ',') AS path FROM best WHERE n = 1"""
 )
 def shortest_paths(spark, sf) -> DataFrame:
-    return g.shortest_paths(t.edges(spark, sf, customers=False), spark.createDataFrame([("s1",)], "node_id string"), depth=4).select("source", "target", _hops().alias("path"))
+    return g.shortest_paths(t.edges(spark, sf), spark.createDataFrame([("s1",)], "node_id string")).select("source", "target", _hops().alias("path"))
 
 
 @query(
@@ -90,13 +90,13 @@ def simple_paths(spark, sf) -> DataFrame:
 
 
 @query(
-    f"""WITH RECURSIVE {_FEW}, {_BOTH}, p(source, id, hops) AS (SELECT u, u, CAST([] AS STRUCT(node VARCHAR, edge VARCHAR)[]) FROM (SELECT DISTINCT u FROM b WHERE u LIKE 'r%') UNION ALL SELECT source, v, list_append(hops, {{'node': v, 'edge': edge}}) FROM p JOIN b ON u = id WHERE len(hops) < 2 AND v <> source AND NOT list_contains(list_transform(hops, lambda x: x.node), v)),
+    f"""WITH RECURSIVE {_EDGES}, {_BOTH}, p(source, id, hops) AS (SELECT u, u, CAST([] AS STRUCT(node VARCHAR, edge VARCHAR)[]) FROM (SELECT DISTINCT u FROM b WHERE u LIKE 'r%') UNION ALL SELECT source, v, list_append(hops, {{'node': v, 'edge': edge}}) FROM p JOIN b ON u = id WHERE len(hops) < 2 AND v <> source AND NOT list_contains(list_transform(hops, lambda x: x.node), v)),
 first AS (SELECT source, id, hops, row_number() OVER (PARTITION BY source, id ORDER BY hops[1:len(hops) - 1], hops[len(hops)].edge DESC) AS n FROM p WHERE id LIKE 's%' AND len(hops) > 0)
 SELECT source, id AS target, array_to_string(list_transform(hops, lambda x: x.node), ',') AS path FROM first WHERE n = 1 AND len(hops) >= 1"""
 )
 def pattern_match(spark, sf) -> DataFrame:
     n = t.nodes(spark, sf)
-    return g.patterns(t.edges(spark, sf, customers=False), n.where("label = 'region'"), n.where("label = 'supplier'")).select("source", "target", _hops().alias("path"))
+    return g.patterns(t.edges(spark, sf), n.where("label = 'region'"), n.where("label = 'supplier'")).select("source", "target", _hops().alias("path"))
 
 
 @query(f"WITH RECURSIVE {_NODES}, {_EDGES}, {_BOTH}, reach(x, y) AS (SELECT id, id FROM n WHERE id LIKE 'r%' OR id LIKE 'n%' UNION SELECT x, v FROM reach JOIN b ON u = y WHERE x LIKE 'r%'), c AS (SELECT y AS id, min(x) AS r FROM reach WHERE x LIKE 'r%' GROUP BY y) SELECT n.id AS node_id, min(m.id) OVER (PARTITION BY coalesce(c.r, n.id)) AS component FROM n LEFT JOIN c USING (id) JOIN n m ON m.id = n.id")
@@ -106,7 +106,7 @@ def connected_components(spark, sf) -> DataFrame:
 
 @query()
 def label_propagation(spark, sf) -> DataFrame:
-    return g.label_propagation(t.nodes(spark, sf).where("label <> 'customer'"), t.edges(spark, sf, customers=False))
+    return g.label_propagation(t.nodes(spark, sf), t.edges(spark, sf))
 
 
 @query(f"WITH {_EDGES}, l AS (SELECT id, 'x' || (length(id) % 3) AS label FROM (SELECT src AS id FROM e UNION SELECT dst FROM e)) SELECT label_a AS label, size, internal_edges, round(internal_edges / greatest(1, size - 1), 9) AS score FROM (SELECT label AS label_a, CAST(count(*) AS INTEGER) AS size FROM l GROUP BY label) JOIN (SELECT a.label, count(*) AS internal_edges FROM e JOIN l a ON a.id = src JOIN l b ON b.id = dst AND a.label = b.label GROUP BY a.label) k ON k.label = label_a WHERE size >= 2")
@@ -114,7 +114,7 @@ def community_scores(spark, sf) -> DataFrame:
     e = t.edges(spark, sf)
     ends = e.select(F.col("src").alias("node_id")).union(e.select("dst")).distinct()
     c = g.communities(ends.withColumn("label", F.concat(F.lit("x"), F.length("node_id") % 3)), e, 2)
-    return c.where("internal_edges > 0").select(F.concat(F.lit("x"), F.length(F.col("members")[0]) % 3).alias("label"), "size", "internal_edges", F.round("score", 9).alias("score"))
+    return c.where("internal_edges > 0").select("label", "size", "internal_edges", F.round("score", 9).alias("score"))
 
 
 @query(f"WITH {_EDGES}, d AS (SELECT id, count(*) AS degree FROM (SELECT src AS id FROM e UNION ALL SELECT dst FROM e) GROUP BY id) SELECT id AS node_id, left(id, 1) AS label, degree, CAST(row_number() OVER (PARTITION BY left(id, 1) ORDER BY degree DESC, id) AS INTEGER) AS rank FROM d")
@@ -125,7 +125,9 @@ def membership_ranks(spark, sf) -> DataFrame:
 
 @query(f"WITH {_RECORDS} SELECT lang AS community, 'source:' || source AS key, count(*) AS n FROM r GROUP BY ALL")
 def community_sources(spark, sf) -> DataFrame:
-    return t.records(spark, sf).groupBy(F.col("lang").alias("community"), F.concat(F.lit("source:"), "source").alias("key")).agg(F.count("*").alias("n"))
+    records = t.records(spark, sf)
+    sets = g.source_sets(records.select(F.col("id").alias("node_id"), F.col("lang").alias("label")), records.withColumn("source_id", F.lit(None).cast("string")))
+    return sets.withColumnRenamed("label", "community")
 
 
 # Vectors
@@ -209,16 +211,3 @@ def graph_expansion(spark, sf) -> DataFrame:
 @query(f"WITH {_RECORDS} SELECT id, row_number() OVER (ORDER BY confidence DESC, id) <= 30 AS included FROM r")
 def item_budget(spark, sf) -> DataFrame:
     return r.item_budget(t.records(spark, sf).select("id", "confidence"), 30, [F.desc("confidence"), "id"]).select("id", "included")
-
-
-@query(
-    f"""WITH {_RECORDS}, m AS (SELECT lower(title) AS name, id FROM r WHERE doc_id IN (1, 2, 3))
-SELECT r.id AS source_id, m.id AS target_id FROM r JOIN m ON contains(lower(r.content || ' document 2'), m.name) AND r.id <> m.id"""
-)
-def unlinked_mentions(spark, sf) -> DataFrame:
-    """Mentions of the titles of a bounded list of records; a literal join on a stated set of names."""
-    records = t.records(spark, sf)
-    names = records.where("doc_id in (1, 2, 3)").select(F.lower("title").alias("name"), F.col("id").alias("target_id"))
-    wanted = names.limit(1000).collect()
-    hits = F.array_compact(F.array(*(F.when(haystack(F.concat("content", F.lit(" document 2"))).contains(w["name"]) & (F.col("id") != w["target_id"]), F.lit(w["target_id"])) for w in wanted)))
-    return records.select(F.col("id").alias("source_id"), F.explode(hits).alias("target_id"))

@@ -87,3 +87,73 @@ def notes(spark: SparkSession, folder: str) -> DataFrame:
     """(path, text, hash) of the Markdown files below a folder."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").load(folder)
     return files.select("path", F.decode("content", "UTF-8").alias("text"), F.sha2("content", 256).alias("hash"))
+
+
+def imported(existing: DataFrame, incoming: DataFrame, rewrites: dict[str, str] | None = None, namespaces: list[dict] | None = None, on_conflict: str = "skip", direct: bool = True) -> tuple[DataFrame, DataFrame]:
+    """A snapshot's records with what becomes of each: (records to put, or candidates if not direct; (id, action) of all).
+
+    Scopes are rewritten first, then records outside the allowed namespaces are skipped, then those that are there already are, or overwrite, or are an error.
+    """
+    from mnemos.functions.columns import in_any_namespace
+
+    scope = F.col("scope")
+    for old, new in (rewrites or {}).items():
+        scope = F.when(F.col("scope") == old, F.lit(new)).otherwise(scope)
+    moved = incoming.withColumn("scope", scope)
+    allowed = moved.withColumn("_in", in_any_namespace(namespaces))
+    plan = import_plan(allowed.where("_in"), existing, on_conflict)
+    action = F.when(~F.col("_in"), "outside").when(F.col("action").isin("create", "overwrite"), F.col("action") if direct else F.lit("stage")).otherwise(F.col("action"))
+    judged = allowed.join(plan, "id", "left").withColumn("action", action)
+    return judged.where(F.col("action").isin("create", "overwrite", "stage")).select(*incoming.columns), judged.select("id", "action")
+
+
+def delta_applied(existing: DataFrame, events: DataFrame, fields: str) -> DataFrame:
+    """A table (id, ...) after change events (cursor, object_id, operation, payload: JSON of `fields`): the last event of each object counts, deleted objects go."""
+    last = events.groupBy(F.col("object_id").alias("id")).agg(F.max_by(F.struct("operation", "payload"), "cursor").alias("_e"))
+    rest = existing.join(last.select("id"), "id", "left_anti")
+    new = last.where("_e.operation <> 'delete'").select("id", F.from_json("_e.payload", fields).alias("_p")).select("id", "_p.*")
+    return rest.unionByName(new.select(*existing.columns))
+
+
+def retention_snapshot(tables: dict[str, DataFrame], namespace: str, name: str, existing: DataFrame, at: Column, overwrite: bool = False) -> DataFrame:
+    """Rows (namespace_key, name, created_at, table, row_count, byte_size, checksum) of a named snapshot; ValueError if the name is taken."""
+    if not overwrite and not existing.where((F.col("namespace_key") == namespace) & (F.col("name") == name)).isEmpty():
+        raise ValueError(f"there is a snapshot {name!r} already")
+    m = manifest(tables).withColumnRenamed("name", "table")
+    return m.select(F.lit(namespace).alias("namespace_key"), F.lit(name).alias("name"), at.alias("created_at"), "table", "row_count", "byte_size", "checksum")
+
+
+def review(tables: dict[str, DataFrame], evidence: str = "evidence_refs") -> DataFrame:
+    """(section, row_count, checksum, warnings) of a bundle to review, by section: warnings count rows without evidence where a table has that column."""
+    none = None
+    for name, df in sorted(tables.items()):
+        n = F.count_if(F.coalesce(F.size(F.col(evidence)), F.lit(0)) <= 0) if evidence in df.columns else F.lit(0).cast("long")
+        line = df.agg(F.lit(name).alias("section"), n.alias("warnings"))
+        none = line if none is None else none.unionByName(line)
+    return manifest(tables).select(F.col("name").alias("section"), "row_count", "checksum").join(none, "section").orderBy("section")
+
+
+def encoded(df: DataFrame, key: str) -> DataFrame:
+    """(key, payload): rows as JSON with their columns in alphabetical order, nulls kept."""
+    return df.select(key, F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}).alias("payload"))
+
+
+def decoded(rows: DataFrame, schema: str) -> DataFrame:
+    """Rows of encoded again; ValueError at run time is left to Spark: a payload that isn't JSON gives nulls."""
+    return rows.select(F.from_json("payload", schema).alias("_p")).select("_p.*")
+
+
+def restored(spark: SparkSession, folder: str, was: DataFrame, names: list[str]) -> dict[str, DataFrame]:
+    """The tables of a backup folder, if each is as its manifest says."""
+    tables = {n: spark.read.parquet(f"{folder}/{n}") for n in names}
+    wrong = [r.name for r in verified(was, manifest(tables)).where("status <> 'ok'").collect()]
+    if wrong:
+        raise ValueError(f"not as backed up: {sorted(wrong)}")
+    return tables
+
+
+def backed_up(tables: dict[str, DataFrame], folder: str) -> DataFrame:
+    """Writes tables as parquet and gives their manifest."""
+    for name, df in tables.items():
+        df.write.mode("overwrite").parquet(f"{folder}/{name}")
+    return manifest(tables)

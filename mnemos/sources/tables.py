@@ -67,14 +67,14 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return of("region", "r", "r_regionkey", "region").unionByName(of("nation", "n", "n_nationkey", "nation")).unionByName(of("supplier", "s", "s_suppkey", "supplier")).unionByName(of("customer", "c", "c_custkey", "customer"))
 
 
-def edges(spark: SparkSession, sf_dir: str, customers: bool = True) -> DataFrame:
+def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Graph edges: customer and supplier -> nation -> region."""
     def of(name, prefix, key, to_prefix, to, kind):
         s, t = F.concat(F.lit(prefix), key), F.concat(F.lit(to_prefix), to)
         return table(spark, sf_dir, name).select(F.concat_ws(">", s, t).alias("edge_id"), s.alias("src"), t.alias("dst"), F.lit(kind).alias("relation_type"))
 
     out = of("nation", "n", "n_nationkey", "r", "n_regionkey", "depends_on").unionByName(of("supplier", "s", "s_suppkey", "n", "s_nationkey", "supports"))
-    return out.unionByName(of("customer", "c", "c_custkey", "n", "c_nationkey", "related_to")) if customers else out
+    return out.unionByName(of("customer", "c", "c_custkey", "n", "c_nationkey", "related_to"))
 
 
 def supply_edges(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -61,3 +61,42 @@ def health(events: DataFrame, checkpoint: int, failures: DataFrame) -> DataFrame
 def retry_at(failed_at, attempts):
     """When to try again after `attempts` failures: 1, 2, 4 .. seconds later, 300 at most."""
     return F.timestamp_seconds(failed_at.cast("double") + F.least(F.lit(300.0), F.pow(F.lit(2.0), attempts - 1)))
+
+
+def vector_changes(events: DataFrame, embeddings: DataFrame) -> DataFrame:
+    """(cursor, point_id, action, record_id, vector_space, vector): what a vector target has to do for embedding events.
+
+    events: cursor, object_type, object_id, operation, record_id, vector_space. The last event of each point counts; vectors are read from embeddings as they
+    stand, and an event whose vector isn't there is `unavailable`, a failure that is tried again.
+    """
+    own = events.where("object_type = 'embedding'")
+    last = own.groupBy(F.col("object_id").alias("point_id")).agg(F.max_by(F.struct("cursor", "operation", "record_id", "vector_space"), "cursor").alias("_e")).select("point_id", "_e.*")
+    met = last.join(embeddings.select("record_id", "vector_space", "vector"), ["record_id", "vector_space"], "left")
+    action = F.when(F.col("operation") == "delete", "delete").when(F.col("vector").isNull(), "unavailable").otherwise("upsert")
+    return met.select("cursor", "point_id", action.alias("action"), "record_id", "vector_space", F.when(action == "upsert", F.col("vector")).alias("vector"))
+
+
+def out_of_order(batch: DataFrame, after: int) -> DataFrame:
+    """Events that a batch may not have: cursors that are null, not past `after`, or there twice."""
+    twice = batch.groupBy("cursor").agg(F.count("*").alias("_n")).where("_n > 1").select("cursor")
+    return batch.where(F.col("cursor").isNull() | (F.col("cursor") <= after)).unionByName(batch.join(twice, "cursor", "left_semi").select(*batch.columns)).distinct()
+
+
+def batch_plan(events: DataFrame, failures: DataFrame, checkpoint: int, most: int, now, attempts: int = 8) -> DataFrame:
+    """(cursor, event_id, decision) of the next events after a checkpoint: apply, wait (an earlier try failed and its time hasn't come), or blocked behind such a one.
+
+    failures: event_id, failed_attempts, failed_at. An event that failed `attempts` times is a dead letter and doesn't hold up the others. Only `most` events are looked at.
+    """
+    ahead = events.where(F.col("cursor") > checkpoint).orderBy("cursor").limit(most)
+    j = ahead.join(failures, "event_id", "left")
+    dead = F.coalesce(F.col("failed_attempts") >= attempts, F.lit(False))
+    waits = F.col("failed_attempts").isNotNull() & ~dead & (retry_at(F.col("failed_at"), F.col("failed_attempts")) > now)
+    first = j.where(waits).agg(F.min("cursor").alias("_stop"))
+    decision = F.when(dead, "dead_letter").when(F.col("cursor") == F.col("_stop"), "wait").when(F.col("cursor") > F.col("_stop"), "blocked").otherwise("apply")
+    return j.crossJoin(F.broadcast(first)).select("cursor", "event_id", decision.alias("decision"))  # one row by one row
+
+
+def after_batch(plan: DataFrame, checkpoint: int) -> DataFrame:
+    """One row: the checkpoint after a batch's events up to the first that waits, how many were applied and how many are dead letters."""
+    done = F.col("decision").isin("apply", "dead_letter")
+    return plan.agg(F.coalesce(F.max(F.when(done, F.col("cursor"))), F.lit(checkpoint)).alias("checkpoint"), F.count_if(F.col("decision") == "apply").alias("applied"), F.count_if(F.col("decision") == "dead_letter").alias("dead_letters"))

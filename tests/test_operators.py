@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mnemos.functions import columns, markdown
-from mnemos.operators import context, graph, policy, records, upkeep, views
+from mnemos.operators import context, explorer, facts, graph, lists, policy, records, upkeep, vault, views
 from mnemos.sources import bundles
 from mnemos.streaming import changes
 
@@ -65,16 +65,18 @@ def test_paths(spark, seed):
     assert short == best
 
 
-def test_label_propagation(spark):
-    edges = multigraph(5, 12, 14)
-    nodes = sorted({x for _, a, b in edges for x in (a, b)})
+@pytest.mark.parametrize("seed", range(3))
+def test_label_propagation(spark, seed):
+    """Sweeps in which all nodes look at the labels before, their own among them."""
+    edges = multigraph(seed, 12, 14)
+    nodes = [f"v{i}" for i in range(13)]
     adjacent, label = near(edges), {n: n for n in nodes}
     for _ in range(25):
         before = dict(label)
         for n in nodes:
-            votes = {}
-            for m, _ in adjacent[n]:
-                votes[label[m]] = votes.get(label[m], 0) + 1
+            votes = {before[n]: 1}
+            for m, _ in adjacent.get(n, []):
+                votes[before[m]] = votes.get(before[m], 0) + 1
             label[n] = min(votes, key=lambda k: (-votes[k], k))
         if label == before:
             break
@@ -82,9 +84,49 @@ def test_label_propagation(spark):
     assert {r.node_id: r.label for r in got.collect()} == label
 
 
-def test_path_depth_is_bounded(spark):
-    with pytest.raises(ValueError):
-        graph.simple_paths(frame(spark, multigraph(1)), "v0", "v1", 9)
+def test_deep_paths(spark):
+    chain = [(f"e{i:02d}", f"v{i:02d}", f"v{i + 1:02d}") for i in range(24)]
+    got = graph.simple_paths(frame(spark, chain), "v00", "v09", 9).collect()
+    assert len(got) == 1 and len(got[0].hops) == 9
+    assert graph.shortest_paths(frame(spark, chain), spark.createDataFrame([("v00",)], "node_id string")).where("size(hops) = 24").count() == 1
+
+
+def test_communities_are_named_by_their_members(spark):
+    edges = frame(spark, [("e1", "a", "b"), ("e2", "b", "c"), ("e3", "d", "e")])
+    labels = spark.createDataFrame([("a", 1), ("b", 1), ("c", 1), ("d", 2), ("e", 2), ("f", 3)], "node_id string, label int")
+    got = {r.label: r for r in graph.communities(labels, edges).collect()}
+    assert {k: (r.size, r.seed, r.internal_edges, r.score) for k, r in got.items()} == {1: (3, "b", 2, 1.0), 2: (2, "d", 1, 1.0)}
+    again = {r.label: r.community_id for r in graph.communities(labels.withColumn("label", F.col("label") + 10).repartition(3), edges).collect()}
+    assert again == {k + 10: r.community_id for k, r in got.items()} and uuid.UUID(got[1].community_id).version == 5
+    fewer = {r.label: r.community_id for r in graph.communities(labels.where("node_id <> 'a'"), edges).collect()}
+    assert fewer[1] != got[1].community_id and fewer[2] == got[2].community_id
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_facts_as_of_with_overlaps(spark, seed):
+    r = random.Random(seed)
+    day = lambda k: f"2024-01-{k:02d}T{r.randrange(3):02d}:00:00Z"
+    rows = []
+    for i in range(40):
+        start = r.randrange(1, 25)
+        rows.append((f"f{i:02d}", f"s{r.randrange(3)}", day(start) if r.random() > 0.1 else None, day(start + r.randrange(0, 6)) if r.random() > 0.3 else None, "x" if r.random() < 0.15 else None))
+    probes = [(f"s{r.randrange(4)}", day(r.randrange(1, 31))) for _ in range(30)] + [("s0", None), (None, day(3))] + [("s1", "2024-01-05T00:00:00Z")] * 2
+    facts_ = spark.createDataFrame([(*x, None, x[0].upper()) for x in rows], "fact_id string, subject_entity_id string, valid_from string, valid_to string, invalidated_at string, superseded_by_fact_id string, object_literal string")
+    got = facts.facts_as_of(spark.createDataFrame(probes, "subject_entity_id string, at string"), facts_).collect()
+    want = []
+    for s, at in probes:
+        ok = [(b or "", i) for i, of, b, e, gone in rows if of == s and at is not None and not gone and (b or "") <= at and (e is None or at < e) and (e is None or (b is None or e > b))]
+        want.append((s, at, max(ok)[1] if ok else None))
+    key = lambda t: tuple(str(v) for v in t)
+    assert sorted(((x.subject_entity_id, x["at"], x.fact_id) for x in got), key=key) == sorted(want, key=key)
+
+
+def test_dyadic_runs_cover_each_stretch_once(spark):
+    pairs = [(a, b) for a in range(0, 20, 3) for b in range(0, 22, 4)] + [(5, 1 << 40)]
+    got = spark.createDataFrame(pairs, "a long, b long").select("a", "b", facts.dyadic(F.col("a"), F.col("b")).alias("r")).collect()
+    for x in got:
+        covered = [k for y in x.r for k in range(y.run << y.level, min((y.run + 1) << y.level, 64))]
+        assert sorted(covered) == list(range(x.a, min(x.b, 64)))
 
 
 def budget(blocks, ceiling, floor):
@@ -128,6 +170,7 @@ def test_uuid5_and_slug(spark):
     r = spark.createDataFrame([("a",), ("é|x",), ("",)], "x string").select("x", columns.uuid5(ns, F.col("x")).alias("u")).collect()
     assert all(x.u == str(uuid.uuid5(uuid.UUID(ns), x.x)) for x in r)
     assert spark.range(1).select(columns.slug(F.lit("  Hello,  World! A-b "))).first()[0] == "hello-world-a-b"
+    assert [spark.range(1).select(columns.slug(F.lit(x))).first()[0] for x in ("Notes &", "\U0001f389 Party")] == ["notes", "party"]
 
 
 def test_similarity(spark):
@@ -174,6 +217,71 @@ def test_markdown(spark):
     assert [(x.text, x.url) for x in r.l] == [("site", "http://x.y/z")] and [(h.level, h.title, h.anchor) for h in r.h] == [(1, "Head One", "head-one"), (2, "Two", "two")]
 
 
+def test_links_of_rich_notes(spark):
+    text = "![pic](a.png) [two words](my note.md#A b) (#tag) x#no [[A | shown]] ![[B]]\nline ^b-1\n- [Lab](t.md): why\n"
+    t_ = F.col("t")
+    r = spark.createDataFrame([(text,)], "t string").select(markdown.links(t_).alias("l"), markdown.tags(t_).alias("g"), markdown.wikilinks(t_).alias("w"), markdown.block_ids(t_).alias("b"), markdown.list_items(t_).alias("i")).first()
+    assert [(x.text, x.url) for x in r.l] == [("two words", "my note.md#A b"), ("Lab", "t.md")] and r.g == ["tag"]
+    assert [(w.embed, w.raw, w.display) for w in r.w] == [(False, "A", " shown"), (True, "B", None)] and "two words" in r.w[0].context
+    assert [(b.line, b.block) for b in r.b] == [(2, "b-1")] and [(i.line, i.label, i.target, i.rest) for i in r.i] == [(3, "Lab", "t.md", "why")]
+
+
+def test_links_are_resolved_by_path_or_by_name(spark):
+    notes = spark.createDataFrame([("r1", "dir/Note.md", "First  one", ["alias"]), ("r2", "b.md", "Second", ["alias", "x/y"]), ("r3", "second.md", "third", None)], "id string, path string, title string, aliases array<string>")
+    links = [("a", "Dir/note#Part"), ("b", "first one"), ("c", "ALIAS"), ("d", "second"), ("e", "second.md"), ("f", "x/y"), ("g", "https://a/b"), ("h", "mailto:me"), ("i", "nowhere"), ("j", "b")]
+    got = {r.link_id: (r.resolution_status, r.target_record_id) for r in markdown.resolved(spark.createDataFrame(links, "link_id string, raw_target string"), notes).collect()}
+    assert got["a"] == got["b"] == ("resolved", "r1") and got["c"] == ("ambiguous", None) and got["d"] == ("resolved", "r2") and got["e"] == ("resolved", "r3")
+    assert got["f"] == got["i"] == got["j"] == ("unresolved", None) and got["g"] == got["h"] == ("external", None)
+
+
+def test_notes_are_written_and_read_again(spark):
+    files = spark.createDataFrame([("a.md", "---\nk: v\n---\nbody"), ("b.md", "plain")], "path string, content string").withColumns({"content_hash": F.sha2(F.col("content").cast("binary"), 256), "deleted": F.lit(False)})
+    out = vault.exported(vault.notes(files)).join(files.select("path", F.col("content").alias("was")), "path").collect()
+    assert all(r.content == r.was for r in out)
+
+
+def test_rename_conflicts(spark):
+    renames = spark.createDataFrame([("a.md", "b.md"), ("c.md", "d.md")], "old_path string, new_path string")
+    none = spark.createDataFrame([], "link_id string, raw_target string, target_path string")
+    touched, conflicts = vault.rename_plan(none, renames, spark.createDataFrame([("b.md",), ("b.md",)], "path string"))
+    assert touched.count() == 0 and [r.path for r in conflicts.collect()] == ["b.md"]
+
+
+def test_cursors_belong_to_their_request():
+    request = {"query": "x", "limit": 3, "cursor": None}
+    cursor = explorer.next_cursor(request, 3)
+    assert explorer.cursor_offset(request | {"cursor": cursor}) == 3 and explorer.cursor_offset(request) == 0
+    for bad in (request | {"query": "y", "cursor": cursor}, request | {"cursor": "??"}):
+        with pytest.raises(ValueError):
+            explorer.cursor_offset(bad)
+
+
+def test_lists_refuse_unknown_filters(spark):
+    with pytest.raises(ValueError):
+        lists.listing(spark.createDataFrame([], "decision_id string"), "decision", color="red")
+
+
+def test_context_bounds(spark):
+    at, n = F.lit(4), F.lit(2)
+    r = spark.range(1).select(*explorer.around(F.lit("abcdefgh"), 2, 2, at, n), *explorer.around(F.lit("abcdefgh"), 0, 0, at, n), explorer.bounded(F.lit("ab\ncdefgh"), at, n, 4)).first()
+    assert tuple(r) == ("bc", "fg", "", "", "\ncde".replace("\n", " "))
+
+
+def test_backup_and_restore(spark, tmp_path):
+    t1 = spark.range(5).withColumn("x", F.col("id") * 2)
+    was = bundles.backed_up({"t": t1}, str(tmp_path))
+    assert bundles.restored(spark, str(tmp_path), was, ["t"])["t"].exceptAll(t1).count() == 0
+    with pytest.raises(ValueError):
+        bundles.restored(spark, str(tmp_path), bundles.manifest({"t": t1.limit(2)}), ["t"])
+
+
+def test_snapshot_names_are_taken_once(spark):
+    had = spark.createDataFrame([("ns", "a")], "namespace_key string, name string")
+    with pytest.raises(ValueError):
+        bundles.retention_snapshot({"t": spark.range(2)}, "ns", "a", had, F.current_timestamp())
+    assert bundles.retention_snapshot({"t": spark.range(2)}, "ns", "a", had, F.current_timestamp(), True).count() == 1
+
+
 def test_bundle_round_trip(spark, sf, tmp_path):
     d = spark.read.parquet(f"{sf}/nation.parquet")
     bundles.write_bundle({"nation": d}, str(tmp_path / "b"))
@@ -225,6 +333,9 @@ def test_batches_resume(spark):
 
 def test_superseded_latest_and_empty_tables(spark):
     df = spark.createDataFrame([("a", 1), ("a", 2), ("b", 1)], "key string, n int")
-    assert {(r.key, r.n) for r in records.latest(df, ["key"], [F.desc("n")]).collect()} == {("a", 2), ("b", 1)}
+    assert {(r.key, r.n) for r in records.latest(df, ["key"], [-F.col("n")]).collect()} == {("a", 2), ("b", 1)}
+    old = spark.createDataFrame([("a", None, None), ("b", None, None)], "id string, valid_to string, superseded_by_id string")
+    twice = spark.createDataFrame([("a", "x", "2024"), ("a", "y", "2025")], "old_id string, new_id string, created_at string")
+    assert [(r.id, r.valid_to, r.superseded_by_id) for r in records.superseded(old, twice).orderBy("id").collect()] == [("a", "2025", "y"), ("b", None, None)]
     assert records.live(log(spark, [])).count() == 0
     assert graph.components(spark.createDataFrame([("x",)], "node_id string"), frame(spark, [])).first().component == "x"
