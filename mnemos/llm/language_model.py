@@ -16,7 +16,7 @@ Plan: (1) words are counted, for the corpus size and the frequent words. (2) Tas
 chunk's context-word triples, and deal them by context to buckets of about `PER_BUCKET` tokens, packed, one row for a chunk and bucket. A bucket seats
 its restaurants over its own word frequencies and passes the tables of each word on. (3) These are summed by word, the root is seated, and
 buckets get the words' probabilities and counts back. (4) Buckets sample again over these, score the triples, and
-give each chunk's texts their sums, which are added up by text.
+give each chunk's texts their sums, which are added up by chunk and place; a row of each chunk says which texts these are.
 """
 
 import numpy as np
@@ -29,7 +29,7 @@ from mnemos.llm.graph import cut
 from mnemos.llm.words import LOWER_SPACES, U, Words, mix, pieces, texts_of
 
 #: Tokens of a bucket and of a chunk; burn-in sweeps, averaged sweeps and rounds of a sweep; strength of all restaurants; seed.
-PER_BUCKET, CHUNK, BURN, SAMPLES, ROUNDS, STRENGTH, SEED = 3_000_000, 2_000_000, 2, 3, 2, 1.0, 7
+PER_BUCKET, CHUNK, BURN, SAMPLES, ROUNDS, STRENGTH, SEED = 2_000_000, 2_000_000, 2, 3, 2, 1.0, 7
 #: Bytes of all texts that a bucket has at least one token for: more texts make larger buckets, so that the list of frequent words stays bounded.
 BYTES_A_TOKEN_OF_BUCKET = 1 << 22
 #: Customers of a dish up to which the chance that one sits alone is exact; discounts before they are estimated.
@@ -83,20 +83,27 @@ def word_counts(texts: DataFrame) -> DataFrame:
 
 
 def packed(*arrays: np.ndarray) -> bytes:
-    """Arrays in one compressed value."""
+    """Arrays in one compressed value, byte by byte: all first bytes of an array's numbers, then all second ones, and so on."""
     head = np.array([len(a) for a in arrays], np.int64).tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(np.ascontiguousarray(a).tobytes() for a in arrays))
+    planes = (np.ascontiguousarray(a).view(np.uint8).reshape(len(a), -1).T.tobytes() if len(a) else b"" for a in arrays)
+    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(planes))
 
 
 def unpacked(data: bytes, *types) -> list[np.ndarray]:
     raw = zstandard.ZstdDecompressor().decompress(data)
     out, at = [], 8 * len(types)
     for n, t in zip(np.frombuffer(raw, np.int64, len(types)).tolist(), types, strict=True):
-        out.append(np.frombuffer(raw, t, n, at))
-        at += n * np.dtype(t).itemsize
+        size = np.dtype(t).itemsize
+        out.append(np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * size, at).reshape(size, n).T).view(t).reshape(n))
+        at += n * size
     return out
 
 
+def _steps(a: np.ndarray) -> np.ndarray:
+    """Sorted hashes as the steps between them; a running sum takes them back."""
+    return np.diff(a, prepend=U(0))
+
+
 def _find(keys: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The place of each value in sorted keys, and whether it is there."""
     if not len(keys):
@@ -133,15 +140,21 @@ def _dealt(r: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def chunk_rows(docs: DataFrame, buckets: int, hot: np.ndarray, parts: np.ndarray) -> DataFrame:
-    """(bucket, part, data): the triples of a chunk in a bucket, their training counts, and the texts they stand in."""
+    """(bucket, part, data): the triples of a chunk in a bucket and their training counts (part -1), the places in the chunk of the texts they stand
+    in (part -3), and of each chunk, in any bucket, its texts' keys (part -2)."""
     shared = docs.sparkSession.sparkContext.broadcast((hot, parts))
 
+    def row(bucket, part, data):
+        return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([part], pa.int32()), pa.array([data], pa.binary())], ["bucket", "part", "data"])
+
     def emit(have):
         h, r, kind, owner, learn, k1, k2 = (np.concatenate(x) for x in zip(*have, strict=True))
-        order = np.lexsort((h, kind, r))
+        chunk = np.bitwise_xor.reduce(mix(k1.view(U) + np.arange(len(k1), dtype=U) * _GOLD), keepdims=True)
+        yield row(int(_dealt(chunk, buckets)[0]), -2, packed(chunk, k1, k2))
+        # Equal triples mostly come together, all of a bucket's surely; what doesn't is merged in the bucket.
+        order = np.argsort((r >> U(24) << U(24)) | (mix(h + kind * _GOLD) >> U(40)), kind="stable")
         h, r, kind, owner = h[order], r[order], kind[order], owner[order]
-        new = _changes(r, kind, h)
-        at = np.flatnonzero(new)
+        at = np.flatnonzero(_changes(r, kind, h))
         r, kind, h, times = r[at], kind[at], h[at], np.diff(np.append(at, len(owner)))
         counts = np.add.reduceat(learn[owner].astype(np.int64), at)
         edge = np.searchsorted(_dealt(r, buckets), np.arange(buckets + 1))
@@ -149,9 +162,9 @@ def chunk_rows(docs: DataFrame, buckets: int, hot: np.ndarray, parts: np.ndarray
         for b in np.flatnonzero(np.diff(edge)).tolist():
             s, e = edge[b], edge[b + 1]
             run = np.flatnonzero(_changes(r[s:e]))
-            own, text = np.unique(owner[token_edge[b] : token_edge[b + 1]], return_inverse=True)
-            data = packed(r[s:e][run], np.diff(np.append(run, e - s)).astype(np.uint32), kind[s:e], h[s:e], times[s:e].astype(np.uint32), counts[s:e].astype(np.uint32), text.astype(np.uint16), k1[own], k2[own])
-            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([-1], pa.int32()), pa.array([data], pa.binary())], ["bucket", "part", "data"])
+            words, word = np.unique(h[s:e], return_inverse=True)
+            yield row(b, -1, packed(chunk, _steps(r[s:e][run]), np.diff(np.append(run, e - s)).astype(np.uint32), kind[s:e], _steps(words), word.astype(np.uint32), counts[s:e].astype(np.uint32)))
+            yield row(b, -3, packed(chunk, times[s:e].astype(np.uint32), owner[token_edge[b] : token_edge[b + 1]].astype(np.uint16)))
 
     def deal(batches):
         have, n, texts = [], 0, 0
@@ -261,32 +274,41 @@ class Bucket:
     """The restaurants of a bucket: its triples from all chunks, merged, and who they belong to."""
 
     def __init__(self, rows: list[bytes]):
-        parts = [unpacked(x, U, np.uint32, np.uint16, U, np.uint32, np.uint32, np.uint16, np.int64, np.int32) for x in rows]
-        r = np.concatenate([np.repeat(p[0], p[1]) for p in parts])
-        kind, h, counts = (np.concatenate([p[k] for p in parts]) for k in (2, 3, 5))
-        order = np.lexsort((kind, h, r))
-        r, kind, h, counts = r[order], kind[order], h[order], counts[order]
-        new = _changes(r, h, kind)
-        at = np.flatnonzero(new)
-        self.place = np.empty(len(order), np.int64)
+        parts = [unpacked(x, U, U, np.uint32, np.uint16, U, np.uint32, np.uint32) for x in rows]
+        self.chunks = [(int(p[0][0]), len(p[3])) for p in parts]
+        names, room = np.unique(np.concatenate([np.cumsum(p[1]) for p in parts]), return_inverse=True)
+        room = np.repeat(room, np.concatenate([p[2] for p in parts])).astype(U)
+        h = np.concatenate([np.cumsum(p[4])[p[5]] for p in parts])
+        kind, counts = np.concatenate([p[3] for p in parts]), np.concatenate([p[6] for p in parts])
+        del parts
+        # By restaurant and word, and then by class.
+        bits = U(max(1, int(len(names) - 1).bit_length()))
+        order = np.argsort((room << (U(64) - bits)) | (mix(h) >> bits)).astype(np.int32)
+        pair = (np.cumsum(_changes(room[order], h[order])) - 1).astype(np.int32)
+        again = np.argsort(pair.astype(U) << U(16) | kind[order]).astype(np.int32)
+        order, pair = order[again], pair[again]
+        del again
+        new = _changes(pair, kind[order])
+        self.place = np.empty(len(order), np.int32)
         self.place[order] = np.cumsum(new) - 1
-        self.chunks = [(p[4], p[6], p[7], p[8]) for p in parts]
-        self.c = np.add.reduceat(counts.astype(np.int64), at)
-        r, kind, h = r[at], kind[at], h[at]
-        # Pairs (the word before, word) are runs; so are the restaurants of the word before.
-        pair = _changes(r, h)
-        self.pair, first = np.cumsum(pair) - 1, np.flatnonzero(pair)
-        self.room1 = (np.cumsum(_changes(r)) - 1)[first]
+        at = np.flatnonzero(new)
+        self.c = np.add.reduceat(counts[order].astype(np.int64), at)
+        self.pair = pair[at]
+        order = order[at]
+        room, kind, h = room[order].astype(np.int64), kind[order], h[order]
+        del order, pair, counts, new, at
+        first = np.flatnonzero(_changes(self.pair))
+        self.room1 = room[first]
         self.words, self.word = np.unique(h[first], return_inverse=True)
-        context = mix(r + (kind.astype(U) + U(1)) * _GOLD)
-        _, self.room2 = np.unique(context, return_inverse=True)
+        _, self.room2 = np.unique(room << 16 | kind, return_inverse=True)
+        r = names[room]
         self.key1 = mix(r[first] ^ mix(h[first]))
-        self.key2 = mix(context ^ mix(h + _GOLD))
+        self.key2 = mix(mix(r + (kind.astype(U) + U(1)) * _GOLD) ^ mix(h + _GOLD))
 
     def seated(self, base: np.ndarray, discounts: tuple[float, float]) -> None:
         """All customers sit down, for the first time. base: probability of each of the words."""
         self.base = base[self.word]
-        rooms1, rooms2 = int(self.room1[-1]) + 1, int(self.room2.max()) + 1
+        rooms1, rooms2 = int(self.room1.max()) + 1, int(self.room2.max()) + 1
         self.low = Seating(self.c, self.room2, rooms2, self.key2, discounts[1])
         self.low.start(self.base[self.pair])
         self.high = Seating(np.bincount(self.pair, self.low.t), self.room1, rooms1, self.key1, discounts[0])
@@ -328,18 +350,17 @@ def tables_of(chunks: DataFrame, buckets: int) -> DataFrame:
         bucket = Bucket(table.column("data").to_pylist())
         n = np.bincount(bucket.word[bucket.pair], bucket.c, len(bucket.words)).astype(np.int64)
         bucket.seated((n + 0.5) / (n.sum() + 0.5 * (len(n) + 1)), (DISCOUNT, DISCOUNT))
-        for i in range(BURN):
-            bucket.sweep(i)
+        bucket.sweep(0)
         tables = np.bincount(bucket.word, bucket.high.t, len(bucket.words)).astype(np.int64)
         few = [int((x == k).sum()) for x in (bucket.high.c, bucket.c) for k in (1, 2)]
         out = []
         for part, s in _shared_out(bucket.words, buckets):
-            out.append((part, table.column("bucket")[0].as_py(), packed(bucket.words[s], tables[s].astype(np.uint32), n[s].astype(np.uint32)), int(tables[s].sum()), *few))
+            out.append((part, table.column("bucket")[0].as_py(), packed(_steps(bucket.words[s]), tables[s].astype(np.uint32), n[s].astype(np.uint32)), int(tables[s].sum()), *few))
             few = [0, 0, 0, 0]
         names = ("part", "bucket", "data", "c0", "a1", "a2", "b1", "b2")
         return pa.table({c: pa.array([x[k] for x in out], pa.int32() if k < 2 else pa.binary() if k == 2 else pa.int64()) for k, c in enumerate(names)})
 
-    return chunks.groupBy("bucket").applyInArrow(sums, "part int, bucket int, data binary, c0 long, a1 long, a2 long, b1 long, b2 long")
+    return chunks.where("part = -1").groupBy("bucket").applyInArrow(sums, "part int, bucket int, data binary, c0 long, a1 long, a2 long, b1 long, b2 long")
 
 
 class Root:
@@ -348,7 +369,7 @@ class Root:
     def __init__(self, rows: list[bytes], discount: float):
         parts = [unpacked(x, U, np.uint32, np.uint32) for x in rows]
         self.sizes = [len(p[0]) for p in parts]
-        words, self.place = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+        words, self.place = np.unique(np.concatenate([np.cumsum(p[0]) for p in parts]), return_inverse=True)
         customers, self.counts = (np.bincount(self.place, np.concatenate([p[k] for p in parts]), len(words)).astype(np.int64) for k in (1, 2))
         # The base is uniform and has about as many places as there are tables: a new table's weight is close to the discount.
         self.seating = Seating(customers, np.arange(len(words)), len(words), mix(words + _GOLD), discount)
@@ -385,32 +406,51 @@ def word_shares(tables: DataFrame) -> tuple[DataFrame, tuple, int, int]:
 
 
 def text_sums(chunks: DataFrame, shares: DataFrame, discounts: tuple, n: int, v: int) -> DataFrame:
-    """(_k1, _k2, tokens, known, base, value): a text's sums over the tokens of one bucket."""
+    """(_k1, _k2, tokens, known, base, value): the sums of a chunk's texts over all their tokens."""
 
     def score(table: pa.Table) -> pa.Table:
         part, data = np.array(table.column("part").to_pylist()), table.column("data").to_pylist()
-        bucket = Bucket([data[i] for i in np.flatnonzero(part < 0)])
-        answers = [unpacked(data[i], np.float32, np.uint32) for i in np.argsort(part, kind="stable") if part[i] >= 0]
-        p, counts = (np.concatenate([a[k] for a in answers]) for k in (0, 1))
-        bucket.seated(p.astype(float), discounts)
-        total = np.zeros(len(bucket.c))
-        for i in range(BURN + SAMPLES):
-            bucket.sweep(i)
-            if i >= BURN:
-                total += bucket.scores()
-        value = np.log10(total / SAMPLES)
-        c = counts[bucket.word[bucket.pair]].astype(float)
-        base, known = np.log10((c + 0.5) / (n + 0.5 * (v + 1))), c > 0
-        out, at = [], 0
-        for times, text, k1, k2 in bucket.chunks:
-            triple = np.repeat(bucket.place[at : at + len(times)], times)
-            at += len(times)
-            out.append((k1, k2, *(np.bincount(text, x, len(k1)) for x in (None, known[triple], base[triple], value[triple]))))
-        columns = [np.concatenate(x) for x in zip(*out, strict=True)]
-        return pa.table({c: pa.array(x.astype(t)) for c, x, t in zip(("_k1", "_k2", "tokens", "known", "base", "value"), columns, (np.int64, np.int32, np.int64, np.int64, float, float), strict=True)})
-
-    rows = chunks.unionByName(shares)
-    return rows.groupBy("bucket").applyInArrow(score, "_k1 long, _k2 int, tokens long, known long, base double, value double")
+        out = []  # chunk, its texts' keys, sums of its texts in this bucket
+        for i in np.flatnonzero(part == -2):
+            chunk, k1, k2 = unpacked(data[i], U, np.int64, np.int32)
+            out.append((int(chunk[0]), packed(k1, k2), None))
+        rows = [data[i] for i in np.flatnonzero(part == -1)]
+        if rows:
+            bucket = Bucket(rows)
+            answers = [unpacked(data[i], np.float32, np.uint32) for i in np.argsort(part, kind="stable") if part[i] >= 0]
+            p, counts = (np.concatenate([a[k] for a in answers]) for k in (0, 1))
+            bucket.seated(p.astype(float), discounts)
+            total = np.zeros(len(bucket.c))
+            for i in range(BURN + SAMPLES):
+                bucket.sweep(i)
+                if i >= BURN:
+                    total += bucket.scores()
+            value = np.log10(total / SAMPLES)
+            c = counts[bucket.word[bucket.pair]].astype(float)
+            base, known = np.log10((c + 0.5) / (n + 0.5 * (v + 1))), c > 0
+            at = 0
+            place = {int(c[0]): rest for c, *rest in (unpacked(data[i], U, np.uint32, np.uint16) for i in np.flatnonzero(part == -3))}
+            for chunk, n_triples in bucket.chunks:
+                times, text = place[chunk]
+                triple = np.repeat(bucket.place[at : at + n_triples], times)
+                at += n_triples
+                size = np.bincount(text)
+                there = np.flatnonzero(size)
+                known_here, *sums = (np.bincount(text, x[triple])[there] for x in (known, base, value))
+                out.append((chunk, None, packed(there.astype(np.uint16), size[there].astype(np.uint32), known_here.astype(np.uint32), *sums)))
+        return pa.table({"chunk": pa.array(np.array([x[0] for x in out], U).view(np.int64)), "keys": pa.array([x[1] for x in out], pa.binary()), "sums": pa.array([x[2] for x in out], pa.binary())})
+
+    def added(table: pa.Table) -> pa.Table:
+        k1, k2 = next(unpacked(x, np.int64, np.int32) for x in table.column("keys").to_pylist() if x)
+        total = np.zeros((4, len(k1)))
+        parts = [unpacked(x, np.uint16, np.uint32, np.uint32, np.float64, np.float64) for x in table.column("sums").to_pylist() if x]
+        for text, *sums in sorted(parts, key=lambda x: tuple(y[0] for y in x)):  # always in the same order
+            total[:, text] += np.array(sums, float)
+        columns = [k1, k2, total[0].astype(np.int64), total[1].astype(np.int64), total[2], total[3]]
+        return pa.table({c: pa.array(x) for c, x in zip(("_k1", "_k2", "tokens", "known", "base", "value"), columns, strict=True)})
+
+    rows = chunks.unionByName(shares).groupBy("bucket").applyInArrow(score, "chunk long, keys binary, sums binary")
+    return rows.groupBy("chunk").applyInArrow(added, "_k1 long, _k2 int, tokens long, known long, base double, value double")
 
 
 def scored(documents: DataFrame, training, per_bucket: int = PER_BUCKET) -> DataFrame:
