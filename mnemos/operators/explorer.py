@@ -198,3 +198,12 @@ def packet(records: DataFrame, edges: DataFrame, links: DataFrame, query: str, f
         "facets": facets.groupBy("field", "value").agg(F.count("*").alias("n")).orderBy("field", "value"),
         "mentions": unlinked_mentions(kept, mention_targets(kept), links, context_chars),
     }
+
+
+def saved(requests: DataFrame, name: str, records: DataFrame, edges: DataFrame, links: DataFrame) -> dict[str, DataFrame]:
+    """The packet of a stored request (name, request: JSON of query, filters, limit); ValueError if there is none of this name."""
+    found = requests.where(F.col("name") == name).select("request").first()
+    if found is None:
+        raise ValueError(f"no saved view {name!r}")
+    request = json.loads(found["request"])
+    return packet(records, edges, links, request["query"], request.get("filters", {}), request.get("limit", 50))

@@ -99,3 +99,30 @@ def episode_replay(steps: DataFrame, since: int | None = None, until: int | None
         s = s.where(F.col("sequence") < until)
     rows = F.array_sort(F.collect_list(F.struct("sequence", "kind", "content", "tool_id")))
     return s.groupBy("episode_id").agg(rows.alias("steps")).select("episode_id", "steps", F.size("steps").alias("n_steps"), F.array_distinct(F.filter(F.transform("steps", lambda x: x["tool_id"]), lambda x: x.isNotNull())).alias("tools"))
+
+
+def full_replay(steps: DataFrame, outcomes: DataFrame, decisions: DataFrame, episode: str, since=None, until=None, limit: int | None = None) -> DataFrame:
+    """(kind, position, id, at, artifact_ids, tool_id) of an episode: steps by sequence, then outcomes and decisions, by their time.
+
+    A limit counts steps from the first, and outcomes and decisions from the newest, before the time window (since inclusive, until exclusive) is looked at.
+    """
+
+    def part(df: DataFrame, kind: str, order: list) -> DataFrame:
+        own = df.where(F.col("episode_id") == episode).orderBy(*order)
+        own = own.limit(limit) if limit is not None else own
+        own = own.where(F.col("at") >= since) if since is not None else own
+        return (own.where(F.col("at") < until) if until is not None else own).select(F.lit(kind).alias("kind"), "position", "id", "at", "artifact_ids", "tool_id")
+
+    newest = [F.desc("at"), F.desc("id")]
+    return part(steps, "step", ["position", "id"]).unionByName(part(outcomes, "outcome", newest)).unionByName(part(decisions, "decision", newest))
+
+
+def replay_summary(rows: DataFrame) -> DataFrame:
+    """One row: how many steps, outcomes and decisions, and artifacts and tools in the order in which steps, outcomes and decisions first name them."""
+    rank = F.when(F.col("kind") == "step", 0).when(F.col("kind") == "outcome", 1).otherwise(2)
+    first = lambda c: F.transform(F.array_sort(F.collect_list(c)), lambda s: s["v"])
+    named = rows.withColumn("_rank", rank)
+    artifacts = named.select("_rank", "position", "at", "id", F.explode("artifact_ids").alias("v")).groupBy("v").agg(F.min(F.struct("_rank", "position", "at", "id")).alias("k")).agg(first(F.struct("k", "v")).alias("artifacts"))
+    tools = named.where("tool_id is not null").groupBy(F.col("tool_id").alias("v")).agg(F.min(F.struct("_rank", "position", "at", "id")).alias("k")).agg(first(F.struct("k", "v")).alias("tools"))
+    n = rows.agg(*(F.count_if(F.col("kind") == k).alias(f"{k}s") for k in ("step", "outcome", "decision")))
+    return n.crossJoin(artifacts).crossJoin(tools)  # one row each

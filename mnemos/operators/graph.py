@@ -262,3 +262,77 @@ def membership_ranks(labels: DataFrame, degree: DataFrame) -> DataFrame:
     """Place of each node in its group, by degree and then id."""
     w = Window.partitionBy("label").orderBy(F.desc("degree"), "node_id")
     return labels.join(degree.select("node_id", "degree"), "node_id").withColumn("rank", F.row_number().over(w))
+
+
+# What an external graph store answers, on the tables
+
+
+def node_filter(nodes: DataFrame, labels: list[str] | None = None, namespace: str | None = None, properties: dict | None = None, limit: int | None = None) -> DataFrame:
+    """Nodes (node_id, labels array, namespace, properties map) with one of the labels, in a namespace (a null one never matches) and with all properties; by id."""
+    out = nodes
+    if labels:
+        out = out.where(F.arrays_overlap("labels", F.array(*map(F.lit, labels))))
+    if namespace is not None:
+        out = out.where(F.col("namespace") == namespace)
+    for k, v in (properties or {}).items():
+        out = out.where(F.col("properties")[k] == str(v))
+    out = out.orderBy("node_id")
+    return out.limit(limit) if limit is not None else out
+
+
+def store_neighbours(edges: DataFrame, nodes: DataFrame, node: str, types: list[str] | None = None, namespace: str | None = None, limit: int | None = None) -> DataFrame:
+    """(target, edge_id, relation_type) over the edges that go out of a node, by target and edge. A namespace must be the edge's and the target's."""
+    out = edges.where(F.col("src") == node)
+    out = out.where(F.col("relation_type").isin(types)) if types else out
+    there = nodes
+    if namespace is not None:
+        out, there = out.where(F.col("namespace") == namespace), nodes.where(F.col("namespace") == namespace)
+    out = out.join(there.select(F.col("node_id").alias("dst")), "dst", "left_semi").select(F.col("dst").alias("target"), "edge_id", "relation_type").orderBy("target", "edge_id")
+    return out.limit(limit) if limit is not None else out
+
+
+def store_patterns(edges: DataFrame, seeds: DataFrame, candidates: DataFrame, least: int = 1, most: int = 2, limit: int | None = None) -> DataFrame:
+    """(source, target, hops): the shortest path over out edges from each seed to each candidate, if it has from `least` to `most` hops, in order of both."""
+    found = shortest_paths(edges, seeds, candidates, most, "out").where((F.size("hops") >= least) & (F.size("hops") > 0)).orderBy("source", "target")
+    return found.limit(limit) if limit is not None else found
+
+
+def record_nodes(records: DataFrame, links: DataFrame) -> DataFrame:
+    """(node_id, label, title, in_degree, out_degree, orphan) of records; degrees count resolved links, and an orphan has none."""
+    d = degrees(records.select(F.col("id").alias("node_id")), link_edges(links).where("dst is not null").select("edge_id", "src", "dst"), False)
+    n = records.select(F.col("id").alias("node_id"), F.col("type").alias("label"), "title")
+    return n.join(d.select("node_id", "in_degree", "out_degree"), "node_id").withColumn("orphan", F.col("in_degree") + F.col("out_degree") == 0)
+
+
+def link_edges(links: DataFrame) -> DataFrame:
+    """(edge_id, src, dst, relation_type, unresolved_target) of links; an edge without a target keeps what the link says."""
+    return links.select(F.col("link_id").alias("edge_id"), F.col("source_record_id").alias("src"), F.col("target_record_id").alias("dst"), F.col("link_kind").alias("relation_type"), F.when(F.col("target_record_id").isNull(), F.col("raw_target")).alias("unresolved_target"))
+
+
+def export_batch(records: DataFrame, relations: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes of records, and edges of relations and of resolved links with a relation type; relations from unknown records, and edges to nowhere, are dropped."""
+    ids = records.select(F.col("id").alias("src"))
+    of_relations = relations.join(ids, "src", "left_semi").select("edge_id", "src", "dst", "relation_type")
+    of_links = links.where("resolution_status = 'resolved' and relation_type is not null").select(F.col("link_id").alias("edge_id"), F.col("source_record_id").alias("src"), F.col("target_record_id").alias("dst"), "relation_type")
+    edges = of_relations.unionByName(of_links.join(ids, "src", "left_semi").select("edge_id", "src", "dst", "relation_type")).where("dst is not null")
+    return records.select(F.col("id").alias("node_id"), F.col("type").alias("label"), "title"), edges
+
+
+def related_records(edges: DataFrame, records: DataFrame, record: str, direction: str = "both", types: list[str] | None = None, limit: int | None = None, scopes: list[str] | None = None) -> DataFrame:
+    """(edge_id, id): records at the other end of a record's edges (edge_id, src, dst, relation_type, created_at), the newest first. The limit counts
+    edges before scopes are looked at."""
+    out = edges.where((F.col("src") == record) & F.lit(direction in ("out", "both")) | (F.col("dst") == record) & F.lit(direction in ("in", "both")))
+    out = (out.where(F.col("relation_type").isin(types)) if types else out).orderBy(F.desc("created_at"), "edge_id")
+    out = out.limit(limit) if limit is not None else out
+    other = F.when(F.col("src") == record, F.col("dst")).otherwise(F.col("src"))
+    there = records.where(F.col("scope").isin(scopes)) if scopes else records
+    return out.select("edge_id", other.alias("id")).join(there.select("id"), "id", "left_semi").select("edge_id", "id")
+
+
+def planned(stages: dict[str, DataFrame]) -> DataFrame:
+    """(stage, n) of a query's stages, in order: how many rows each had."""
+    out = None
+    for i, (name, df) in enumerate(stages.items()):
+        line = df.agg(F.lit(i).alias("_i"), F.lit(name).alias("stage"), F.count("*").alias("n"))
+        out = line if out is None else out.unionByName(line)
+    return out.orderBy("_i").drop("_i")

@@ -210,3 +210,39 @@ def template_plan(forms: DataFrame, fields: DataFrame) -> DataFrame:
     more = F.transform(F.array_except(F.map_keys("values"), names), lambda k: F.concat(F.lit("unknown:"), k))
     found = F.array_sort(F.array_compact(F.concat(F.transform("_s", wrong), more)))
     return forms.join(F.broadcast(spec), "template", "left").select("form_id", F.when(F.col("_s").isNull(), F.array(F.lit("unknown_template"))).otherwise(found).alias("problems"))
+
+
+#: The field of a record's meta that holds its privacy policy.
+PRIVACY_FIELD = "privacy"
+
+
+def privacy_of(meta: Column) -> Column:
+    """struct<retrieval_visibility, export_visibility, erase> of a record's meta (JSON); visible and kept where it says nothing."""
+    at = lambda k: F.get_json_object(meta, f"$.{PRIVACY_FIELD}.{k}")
+    return F.struct(F.coalesce(at("retrieval"), F.lit("visible")).alias("retrieval_visibility"), F.coalesce(at("export"), F.lit("visible")).alias("export_visibility"), (F.coalesce(at("erase"), F.lit("false")) == "true").alias("erase"))
+
+
+def with_privacy(meta: Column, retrieval: Column, export: Column) -> Column:
+    """A record's meta with this policy in the place of the one it had; its other fields as texts."""
+    rest = F.map_filter(F.coalesce(F.from_json(meta, "map<string,string>"), F.create_map().cast("map<string,string>")), lambda k, v: k != PRIVACY_FIELD)
+    policy = F.to_json(F.struct(retrieval.alias("retrieval"), export.alias("export")))
+    return F.to_json(F.map_concat(rest, F.create_map(F.lit(PRIVACY_FIELD), policy)))
+
+
+def scratch_namespace(namespace: Column, actor: Column, task: Column) -> Column:
+    """The child namespace in which a delegate may write."""
+    return F.concat_ws("|", namespace, F.concat(F.lit("agent_id="), actor), F.concat(F.lit("session_id=delegated:"), task))
+
+
+def review_requests(changes: DataFrame, roles: list[str]) -> DataFrame:
+    """(request_id, target_id, requested_by, status) of changes (target_id, actor, role) whose role may only propose."""
+    asked = changes.where(~F.col("role").isin(roles))
+    return asked.select(F.sha2(F.concat_ws("|", "target_id", "actor").cast("binary"), 256).alias("request_id"), "target_id", F.col("actor").alias("requested_by"), F.lit("open").alias("status")).distinct()
+
+
+def validated(rows: DataFrame, ontologies: DataFrame, types: DataFrame, properties: DataFrame) -> DataFrame:
+    """(id, violations) of rows (id, ontology_id, version, category, properties) under the ontology each names: unknown_ontology first of all."""
+    known = ontologies.select("ontology_id", "version", F.lit(True).alias("_o"))
+    j = rows.join(F.broadcast(known), ["ontology_id", "version"], "left")
+    lost = j.where("_o is null").select("id", F.array(F.lit("unknown_ontology")).alias("violations"))
+    return lost.unionByName(ontology_violations(j.where("_o").select("id", "category", "properties"), types, properties))

@@ -1,5 +1,7 @@
 """Record listings, searches, versions and the event-sourced tables behind them."""
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -151,3 +153,46 @@ def structural_search(
     if sort == "title":
         out = out.orderBy("title", "id")
     return out.limit(limit) if limit is not None else out
+
+
+def word_index(records: DataFrame) -> DataFrame:
+    """(word, id): the words of each record's title, key, scope, type, tags and content, each once; a table to write and to search by key."""
+    text = F.lower(F.concat_ws(" ", "title", "key", "scope", "type", F.array_join("tags", " "), "content"))
+    words = F.array_distinct(F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)))
+    return records.select(F.explode(words).alias("word"), "id")
+
+
+def with_words(index: DataFrame, query: str) -> DataFrame:
+    """ids of the records that have all words of a query; a query without words finds none."""
+    wanted = sorted({w for w in re.findall(r"\w+", query.lower())})
+    hit = index.where(F.col("word").isin(wanted)) if wanted else index.limit(0)
+    return hit.groupBy("id").agg(F.count_distinct("word").alias("_n")).where(F.col("_n") == len(wanted)).select("id")
+
+
+def got(df: DataFrame, key: str, value: str) -> DataFrame:
+    """The row of a key, or none."""
+    return df.where(F.col(key) == value).limit(1)
+
+
+def counts(tables: dict[str, DataFrame]) -> DataFrame:
+    """(name, n) of tables."""
+    out = None
+    for name, df in tables.items():
+        line = df.agg(F.lit(name).alias("name"), F.count("*").alias("n"))
+        out = line if out is None else out.unionByName(line)
+    return out
+
+
+def notes_after(notes: DataFrame, edits: DataFrame, now: Column) -> DataFrame:
+    """Notes (id, title, content, updated_at, archived) after edits (id, action create, update or archive, title, content): one for each note."""
+    e = edits.select("id", F.struct("action", "title", "content").alias("_e"))
+    met = notes.join(e, "id", "full")
+    action = F.col("_e.action")
+    new = {
+        "title": F.when(action.isin("create", "update"), F.coalesce("_e.title", "title")).otherwise(F.col("title")),
+        "content": F.when(action.isin("create", "update"), F.coalesce("_e.content", "content")).otherwise(F.col("content")),
+        "updated_at": F.when(action.isNotNull(), now).otherwise(F.col("updated_at")),
+        "archived": F.when(action == "archive", True).otherwise(F.coalesce("archived", F.lit(False))),
+    }
+    there = F.col("updated_at").isNotNull() | (action == "create")
+    return met.where(there).select(*(new.get(c, F.col(c)).alias(c) for c in notes.columns))

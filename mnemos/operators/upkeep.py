@@ -157,3 +157,15 @@ def accepted(items: DataFrame, ledger: DataFrame) -> DataFrame:
 def to_ingest(items: DataFrame, completed: DataFrame) -> DataFrame:
     """Items (item_id, ...) that a checkpoint (item_id) has not completed; repeated ones once."""
     return items.join(completed.select("item_id"), "item_id", "left_anti").dropDuplicates(["item_id"])
+
+
+def version_hash(columns: list[str]) -> Column:
+    """The hash by which an inventory tells versions of a row apart."""
+    return F.sha2(F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"}).cast("binary"), 256)
+
+
+def revisions(history: DataFrame, key: str) -> DataFrame:
+    """(key, revision, content_hash, at): the versions of each key (key, content_hash, at) whose content differs from the one before, numbered from 1."""
+    w = Window.partitionBy(key).orderBy("at")
+    changed = history.withColumn("_was", F.lag("content_hash").over(w)).where("_was is null or _was <> content_hash")
+    return changed.withColumn("revision", F.row_number().over(w)).select(key, "revision", "content_hash", "at")

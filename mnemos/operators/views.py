@@ -108,3 +108,8 @@ def percentile(df: DataFrame, column: str, share: float, by: list[str]) -> DataF
     w = Window.partitionBy(*by)
     ranked = df.withColumns({"_n": F.count("*").over(w), "_i": F.row_number().over(w.orderBy(column)) - 1})
     return ranked.where(F.col("_i") == F.bround((F.col("_n") - 1) * share, 0).cast("int")).select(*by, F.col(column).alias("value"))
+
+
+def panel(view: DataFrame, order: list, rows: int) -> DataFrame:
+    """What a live panel shows of a view: the first rows in a total order."""
+    return view.orderBy(*order).limit(rows)
