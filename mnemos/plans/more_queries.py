@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mnemos import schemas
 from mnemos.operators import explorer, facts, policy, upkeep, views
 from mnemos.operators import graph as g
 from mnemos.operators import records as ops
@@ -179,3 +180,23 @@ def workspace_history(spark, sf) -> DataFrame:
 @query("SELECT count(DISTINCT (provider, model)) AS versions FROM (SELECT CASE WHEN vec_id % 3 = 0 THEN 'alpha' ELSE 'beta' END AS provider, 'm' || (vec_id % 4) AS model FROM embeddings)")
 def embedding_versions(spark, sf) -> DataFrame:
     return t.embeddings(spark, sf).select(upkeep.version_hash(["provider", "model"]).alias("h")).agg(F.count_distinct("h").alias("versions"))
+
+
+@query("SELECT 'doc-' || doc_id AS id, CASE WHEN doc_id % 6 = 0 THEN 'type,confidence' WHEN doc_id % 2 = 0 THEN 'type' WHEN doc_id % 3 = 0 THEN 'confidence' ELSE '' END AS broken FROM documents")
+def record_rules(spark, sf) -> DataFrame:
+    k = F.col("doc_id")
+    rows = t.records(spark, sf).withColumns({"type": F.when(k % 2 > 0, F.col("type")), "confidence": F.when(k % 3 == 0, 1.5).otherwise(F.col("confidence"))})
+    return rows.select("id", F.array_join(schemas.record_violations(), ",").alias("broken"))
+
+
+@query("SELECT count(*) FILTER (event_type = 'click') AS broken, count(*) AS n FROM events")
+def change_rules(spark, sf) -> DataFrame:
+    rows = t.changes(spark, sf).withColumn("operation", F.when(F.col("object_type") == "link", "rename").otherwise(F.col("operation")))
+    return rows.agg(F.count_if(F.size(schemas.change_violations()) > 0).alias("broken"), F.count("*").alias("n"))
+
+
+@query("SELECT doc_id, CASE doc_id % 4 WHEN 1 THEN 'link_kind' WHEN 2 THEN 'target' WHEN 3 THEN 'relation_type,resolution_status,target' ELSE '' END AS broken FROM documents")
+def edge_rules(spark, sf) -> DataFrame:
+    k = F.col("doc_id") % 4
+    rows = t.table(spark, sf, "documents").select("doc_id", F.when(k == 3, "hates").alias("relation_type"), F.when(k == 1, "smell").otherwise("embed").alias("link_kind"), F.when(k == 2, "unresolved").when(k == 3, "odd").otherwise("resolved").alias("resolution_status"), F.lit("r").alias("target_record_id"))
+    return rows.select("doc_id", F.array_join(schemas.edge_violations(), ",").alias("broken"))

@@ -1,4 +1,4 @@
-"""Closed vocabularies and the schemas of tables that are read from files."""
+"""Closed vocabularies, the schema of the change log, and what rows of the typed tables must hold."""
 
 #: What a change event may be about, and what it may say.
 CHANGE_OBJECTS = (
@@ -18,12 +18,7 @@ RELATION_TYPES = ("related_to", "depends_on", "supports", "corrects")
 LINK_KINDS = ("wikilink", "markdown", "embed", "property", "external")
 LINK_STATUSES = ("resolved", "unresolved", "ambiguous", "external")
 
-SCHEMA_VERSION = 1
 CHANGES = "cursor long, event_id string, object_type string, object_id string, operation string, changed_at timestamp, payload string, user_id string, idempotency_key string"
-FACTS = "fact_id string, subject_entity_id string, predicate string, object_entity_id string, object_literal string, confidence double, valid_from string, valid_to string, observed_at string, invalidated_at string, superseded_by_fact_id string, source_episode_ids array<string>, project_id string"
-LINKS = "link_id string, source_record_id string, raw_target string, link_kind string, resolution_status string, target_record_id string, created_at timestamp"
-BLOCKS = "block_id string, document_id string, record_id string, block_type string, anchor string, line_start long, excerpt string"
-EMBEDDINGS = "record_id string, vector_space string, dimension int, provider string, model string, updated_at timestamp, vector array<double>, external_vector_id string"
 
 
 def violations(**rules):
@@ -31,3 +26,42 @@ def violations(**rules):
     from pyspark.sql import functions as F
 
     return F.array_compact(F.array(*(F.when(F.coalesce(ok, F.lit(False)), None).otherwise(F.lit(name)) for name, ok in rules.items())))
+
+
+def _among(column, allowed):
+    from pyspark.sql import functions as F
+
+    return F.col(column).isin(list(allowed))
+
+
+def record_violations():
+    """Rules that a record breaks: id, type, source, tier, confidence from 0 to 1, and an end after its beginning."""
+    from pyspark.sql import functions as F
+
+    return violations(
+        id=F.col("id") != "",
+        type=_among("type", MEMORY_TYPES),
+        source=_among("source", SOURCES),
+        tier=_among("tier", TIERS),
+        confidence=F.col("confidence").isNull() | F.col("confidence").between(0, 1),
+        valid_to=F.col("valid_to").isNull() | (F.col("valid_to") >= F.col("created_at")),
+    )
+
+
+def change_violations():
+    """Rules that a change event breaks: a cursor, an object of a known type, a known operation."""
+    from pyspark.sql import functions as F
+
+    return violations(cursor=F.col("cursor") > 0, object_type=_among("object_type", CHANGE_OBJECTS), object_id=F.col("object_id") != "", operation=_among("operation", CHANGE_OPERATIONS))
+
+
+def edge_violations():
+    """Rules that a link (link_kind, resolution_status) or relation (relation_type) breaks; a resolved link has a target and others have none."""
+    from pyspark.sql import functions as F
+
+    return violations(
+        relation_type=F.col("relation_type").isNull() | _among("relation_type", RELATION_TYPES),
+        link_kind=F.col("link_kind").isNull() | _among("link_kind", LINK_KINDS),
+        resolution_status=F.col("resolution_status").isNull() | _among("resolution_status", LINK_STATUSES),
+        target=(F.coalesce(F.col("resolution_status"), F.lit("resolved")) == "resolved") == F.col("target_record_id").isNotNull(),
+    )
