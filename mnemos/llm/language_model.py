@@ -148,12 +148,17 @@ def chunk_rows(docs: DataFrame, buckets: int, hot: np.ndarray, parts: np.ndarray
         return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([part], pa.int32()), pa.array([data], pa.binary())], ["bucket", "part", "data"])
 
     def emit(have):
-        h, r, kind, owner, learn, k1, k2 = (np.concatenate(x) for x in zip(*have, strict=True))
+        columns = list(zip(*have, strict=True))
+        have.clear()
+        h, r, kind, owner, learn, k1, k2 = (np.concatenate(columns.pop(0)) for _ in range(7))
         chunk = np.bitwise_xor.reduce(mix(k1.view(U) + np.arange(len(k1), dtype=U) * _GOLD), keepdims=True)
         yield row(int(_dealt(chunk, buckets)[0]), -2, packed(chunk, k1, k2))
         # Equal triples mostly come together, all of a bucket's surely; what doesn't is merged in the bucket.
-        order = np.argsort((r >> U(24) << U(24)) | (mix(h + kind * _GOLD) >> U(40)), kind="stable")
-        h, r, kind, owner = h[order], r[order], kind[order], owner[order]
+        order = np.argsort((r >> U(24) << U(24)) | (mix(h + kind * _GOLD) >> U(40)), kind="stable").astype(np.int32)
+        h = h[order]
+        r = r[order]
+        kind, owner = kind[order], owner[order]
+        del order
         at = np.flatnonzero(_changes(r, kind, h))
         r, kind, h, times = r[at], kind[at], h[at], np.diff(np.append(at, len(owner)))
         counts = np.add.reduceat(learn[owner].astype(np.int64), at)
@@ -173,11 +178,11 @@ def chunk_rows(docs: DataFrame, buckets: int, hot: np.ndarray, parts: np.ndarray
                 h, first = tokens(part)
                 r, kind = contexts(h, first, *shared.value)
                 columns = (part.column(c).to_numpy(zero_copy_only=False) for c in ("_learn", "_k1", "_k2"))
-                have.append((h, r, kind, np.repeat(np.arange(part.num_rows), np.diff(first)) + texts, *columns))
+                have.append((h, r, kind, np.repeat(np.arange(texts, texts + part.num_rows, dtype=np.int32), np.diff(first)), *columns))
                 n, texts = n + len(h), texts + part.num_rows
                 if n >= CHUNK or texts + 10_000 > TEXTS:
                     yield from emit(have)
-                    have, n, texts = [], 0, 0
+                    n, texts = 0, 0
         if have:
             yield from emit(have)
 
@@ -277,13 +282,13 @@ class Bucket:
         parts = [unpacked(x, U, U, np.uint32, np.uint16, U, np.uint32, np.uint32) for x in rows]
         self.chunks = [(int(p[0][0]), len(p[3])) for p in parts]
         names, room = np.unique(np.concatenate([np.cumsum(p[1]) for p in parts]), return_inverse=True)
-        room = np.repeat(room, np.concatenate([p[2] for p in parts])).astype(U)
+        room = np.repeat(room.astype(np.int32), np.concatenate([p[2] for p in parts]))
         h = np.concatenate([np.cumsum(p[4])[p[5]] for p in parts])
         kind, counts = np.concatenate([p[3] for p in parts]), np.concatenate([p[6] for p in parts])
         del parts
         # By restaurant and word, and then by class.
         bits = U(max(1, int(len(names) - 1).bit_length()))
-        order = np.argsort((room << (U(64) - bits)) | (mix(h) >> bits)).astype(np.int32)
+        order = np.argsort((room.astype(U) << (U(64) - bits)) | (mix(h) >> bits)).astype(np.int32)
         pair = (np.cumsum(_changes(room[order], h[order])) - 1).astype(np.int32)
         again = np.argsort(pair.astype(U) << U(16) | kind[order]).astype(np.int32)
         order, pair = order[again], pair[again]
@@ -298,9 +303,10 @@ class Bucket:
         room, kind, h = room[order].astype(np.int64), kind[order], h[order]
         del order, pair, counts, new, at
         first = np.flatnonzero(_changes(self.pair))
-        self.room1 = room[first]
-        self.words, self.word = np.unique(h[first], return_inverse=True)
-        _, self.room2 = np.unique(room << 16 | kind, return_inverse=True)
+        self.room1 = room[first].astype(np.int32)
+        self.words, word = np.unique(h[first], return_inverse=True)
+        self.word = word.astype(np.int32)
+        self.room2 = np.unique(room << 16 | kind, return_inverse=True)[1].astype(np.int32)
         r = names[room]
         self.key1 = mix(r[first] ^ mix(h[first]))
         self.key2 = mix(mix(r + (kind.astype(U) + U(1)) * _GOLD) ^ mix(h + _GOLD))
