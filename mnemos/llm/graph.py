@@ -1,17 +1,9 @@
 """Cutting lineage, and connected components."""
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def cut(df: DataFrame) -> DataFrame:
-    """df, written to the checkpoint folder that the session names (a temporary one where none is set, as in local tests)."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint"))
-    return df.checkpoint()
+from mnemos.functions.shared import settled as cut
 
 
 def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
