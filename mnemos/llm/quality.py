@@ -4,7 +4,8 @@ Two zstandard dictionaries are built from good and from bad labelled texts: from
 pieces, as far as it has them, drawn by hash from the whole of it. A whole text is compressed
 block by block with each; the difference of the two sizes as a share of their sum says which kind of
 text it is more like, and a logistic curve fitted on labelled texts that the dictionaries have not
-seen turns it into a probability.
+seen turns it into a probability. For the curve, dictionaries are made of either half of the labelled texts and each
+half is compared by the other's; texts are scored by those of the first half.
 """
 
 import math
@@ -19,8 +20,8 @@ from mnemos.llm.words import U, append, mix, pieces, texts_of
 
 #: Labelled rows of each class that the classifier is fitted on at most, bytes of a piece in a dictionary, bytes of a dictionary, bytes of a block, zstandard level.
 SAMPLE, PIECE, DICTIONARY, BLOCK, LEVEL = 4000, 200, 400_000, 1024, 3
-#: Least number of labelled rows of each class to fit on; with fewer the score is 0.5 for every text.
-LEAST = 4
+#: Least number of labelled rows of each class to fit on; with fewer the score is 0.5 for every text. Penalty of the curve's slope, which only tells with few rows.
+LEAST, RIDGE = 4, 0.1
 
 
 def remainder(doc_id: Column, by: int) -> Column:
@@ -28,7 +29,7 @@ def remainder(doc_id: Column, by: int) -> Column:
 
 
 def labelled_sample(labels: DataFrame, column: str = "quality", most: int = SAMPLE) -> DataFrame:
-    """(doc_id, _label, _half): at most `most` ids of each label 0 and 1, chosen by a hash; the dictionaries come from half 0, the curve from half 1."""
+    """(doc_id, _label, _half): at most `most` ids of each label 0 and 1, chosen by a hash, in two halves."""
     given = labels.where(F.col("doc_id").isNotNull() & F.col(column).isin(0, 1) & (remainder(F.col("doc_id"), 3) != 1)).groupBy("doc_id").agg(F.max(column).cast("int").alias("_label"))
     parts = [given.where(F.col("_label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for k in (0, 1)]
     place = F.row_number().over(Window.partitionBy("_label").orderBy(F.xxhash64("doc_id"), "doc_id"))
@@ -73,13 +74,13 @@ def difference(text: bytes, compressors: tuple) -> float:
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and intercept by Newton's method, with a little ridge."""
+    """Slope and intercept by Newton's method, the slope of standardised differences with a ridge."""
     scale = max(1e-9, float(x.std()))
     z, w = np.stack([x / scale, np.ones_like(x)], 1), np.zeros(2)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        h = (z * (p * (1 - p))[:, None]).T @ z + np.diag([1e-3, 1e-9])
-        w = w + np.linalg.solve(h, z.T @ (y - p) - np.array([1e-3, 0]) * w)
+        h = (z * (p * (1 - p))[:, None]).T @ z + np.diag([RIDGE, 1e-9])
+        w = w + np.linalg.solve(h, z.T @ (y - p) - np.array([RIDGE, 0]) * w)
     return float(w[0] / scale), float(w[1])
 
 
@@ -95,14 +96,14 @@ def _curve(good: bytes, bad: bytes, x: np.ndarray, y: np.ndarray, prior: float |
 
 
 def fitted(sample: list[tuple[bytes, int]], prior: float | None = None) -> dict:
-    """Dictionaries from half of the sample, the curve from the other half. prior: the share of label 1, if the sample's is not it."""
+    """The model of texts and labels that are at hand. prior: the share of label 1, if the sample's is not it."""
     by = {k: [t for t, y in sample if y == k and t.strip()] for k in (0, 1)}
     if min(map(len, by.values())) < LEAST:
         return NEUTRAL
-    good, bad = (_dictionary([(r, h, s, i, p) for s, t in enumerate(by[k][0::2]) for r, (h, i, p) in enumerate(drawn(t, s, DICTIONARY // PIECE))], DICTIONARY) for k in (1, 0))
-    compressors = _compressors(good, bad)
-    x = np.array([difference(t, compressors) for k in (0, 1) for t in by[k][1::2]])
-    return _curve(good, bad, x, np.repeat([0.0, 1.0], [len(by[k][1::2]) for k in (0, 1)]), prior)
+    pairs = [[_dictionary([(r, h, s, i, p) for s, t in enumerate(by[k][half::2]) for r, (h, i, p) in enumerate(drawn(t, s, DICTIONARY // PIECE))], DICTIONARY) for k in (1, 0)] for half in (0, 1)]
+    compressors = [_compressors(*x) for x in pairs]
+    found = [(difference(t, compressors[1 - half]), float(k)) for half in (0, 1) for k in (0, 1) for t in by[k][half::2]]
+    return _curve(*pairs[0], np.array([x for x, _ in found]), np.array([y for _, y in found]), prior)
 
 
 def scored(documents: DataFrame, model: dict) -> DataFrame:
@@ -136,28 +137,28 @@ def trained(documents: DataFrame, labels: DataFrame, column: str = "quality") ->
         for batch in batches:
             for part in pieces(batch):
                 found = [
-                    (y, r, h, seed, i, p)
-                    for t, seed, y in zip(texts_of(part), part.column("_seed").to_pylist(), part.column("_label").to_pylist(), strict=True)
+                    (half, y, r, h, seed, i, p)
+                    for t, seed, y, half in zip(texts_of(part), *(part.column(c).to_pylist() for c in ("_seed", "_label", "_half")), strict=True)
                     if t.strip()
                     for r, (h, i, p) in enumerate(drawn(t, seed, room))
                 ]
-                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], kind) for k, kind in enumerate((pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))], ["y", "r", "h", "s", "i", "p"])
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], kind) for k, kind in enumerate((pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))], ["half", "y", "r", "h", "s", "i", "p"])
 
-    found = texts.where("_half = 0").mapInArrow(draw, "y int, r int, h long, s long, i int, p binary")
-    ranked = [[(x.r, x.h, x.s, x.i, bytes(x.p)) for x in found.where(F.col("y") == k).orderBy("r", "h", "s", "i", "p").limit(2 * room).collect()] for k in (1, 0)]
-    if not all(ranked):
+    found = texts.mapInArrow(draw, "half int, y int, r int, h long, s long, i int, p binary")
+    ranked = [[[(x.r, x.h, x.s, x.i, bytes(x.p)) for x in found.where((F.col("half") == half) & (F.col("y") == k)).orderBy("r", "h", "s", "i", "p").limit(2 * room).collect()] for k in (1, 0)] for half in (0, 1)]
+    if not all(map(all, ranked)):
         return NEUTRAL
-    good, bad = (_dictionary(x, DICTIONARY) for x in ranked)
+    pairs = [[_dictionary(x, DICTIONARY) for x in of_half] for of_half in ranked]
 
     def differences(batches):
-        compressors = _compressors(good, bad)
+        compressors = [_compressors(*x) for x in pairs]
         for batch in batches:
             for part in pieces(batch):
-                some = [(y, difference(t, compressors)) for t, y in zip(texts_of(part), part.column("_label").to_pylist(), strict=True) if t.strip()]
+                some = [(y, difference(t, compressors[1 - half])) for t, y, half in zip(texts_of(part), *(part.column(c).to_pylist() for c in ("_label", "_half")), strict=True) if t.strip()]
                 yield pa.RecordBatch.from_arrays([pa.array([y for y, _ in some], pa.int32()), pa.array([x for _, x in some], pa.float64())], ["y", "x"])
 
-    rows = sorted(texts.where("_half = 1").mapInArrow(differences, "y int, x double").collect())
+    rows = sorted(texts.mapInArrow(differences, "y int, x double").collect())
     y, x = np.array([float(r.y) for r in rows]), np.array([r.x for r in rows])
-    if min((y == 0).sum(), (y == 1).sum()) < LEAST // 2:
+    if min((y == 0).sum(), (y == 1).sum()) < LEAST:
         return NEUTRAL
-    return _curve(good, bad, x, y, prior)
+    return _curve(*pairs[0], x, y, prior)

@@ -19,7 +19,7 @@ def test_stages_do_their_part(spark, sf):
     before, after = out["quality"]
     assert 0.8 * len(before) < len(after) < len(before) and set(after) <= set(before)
     before, after = out["near_duplicates"]
-    label = families(before)[1]
+    label = families(before, 80)[1]
     assert sorted(i for i, _ in after) == sorted(i for i, _ in before if label[i] == i)
     before, after = out["repeated_passages"]
     removed = {d: n for d, _, n, _ in cut(before, 13)}
