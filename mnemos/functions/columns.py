@@ -133,6 +133,49 @@ def iso_time(text: Column) -> Column:
     return F.try_to_timestamp(F.regexp_replace(F.trim(text), "[zZ]$", "+00:00"))
 
 
+# Places in texts
+
+#: Sums are made in blocks of so many sizes, so that long lists cost in proportion to their length.
+BLOCK = 256
+
+
+def let(value: Column, of) -> Column:
+    """of(value), with the value worked out once however often `of` uses it, also within other lambdas."""
+    return F.transform(F.array(value), of)[0]
+
+
+def running(sizes: Column) -> Column:
+    """array<bigint>: the sums of an array's values up to each of them."""
+    nothing = F.array().cast("array<bigint>")
+
+    def summed(block: Column) -> Column:
+        step = lambda acc, x: F.struct((acc["sum"] + x).alias("sum"), F.concat(acc["sums"], F.array(acc["sum"] + x)).alias("sums"))
+        return F.aggregate(block, F.struct(F.lit(0).cast("bigint").alias("sum"), nothing.alias("sums")), step)
+
+    def joined(blocks: Column) -> Column:
+        before = summed(F.transform(blocks, lambda b: b["sum"]))["sums"]
+        return F.flatten(F.zip_with(blocks, before, lambda b, end: F.transform(b["sums"], lambda x: x + end - b["sum"])))
+
+    last = lambda s: F.call_function("div", F.size(s) - 1, F.lit(BLOCK)).cast("int")
+    blocks = lambda s: F.transform(F.sequence(F.lit(0), last(s)), lambda b: summed(F.slice(s, b * BLOCK + 1, BLOCK)))
+    return let(F.transform(sizes, lambda x: x.cast("bigint")), lambda s: let(blocks(s), joined))
+
+
+def places(text: Column, pattern: str) -> Column:
+    """array<struct<start, end, match>> of the leftmost matches that don't overlap; places count characters from 0, the end is exclusive.
+
+    The text is cut at the matches once, and their places are running sums over what lies between. Null for a null text.
+    """
+    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+
+    def placed(m: Column) -> Column:
+        sizes = F.zip_with(F.slice(F.split(text, pattern, -1), 1, F.size(m)), m, lambda a, b: F.length(a) + F.length(b))
+        return F.zip_with(m, running(sizes), lambda x, end: F.struct((end - F.length(x)).alias("start"), end.alias("end"), x.alias("match")))
+
+    nothing = F.array().cast("array<struct<start:bigint,end:bigint,match:string>>")
+    return let(matches, lambda m: F.when(F.size(m) > 0, placed(m)).when(m.isNotNull(), nothing))
+
+
 # Vectors
 
 
