@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemos.llm import decontaminate, language_model, licenses, mixing, neardup, quality, search, substrings, token_counts, urls
+from mnemos.llm import decontaminate, language_model, licenses, mixing, neardup, quality, search, secret_scan, substrings, token_counts, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +55,10 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scanned(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digest(secret_scan.scanned(_table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_search": op2_search,
@@ -66,11 +70,35 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_minhash_dedup": op9_minhash_dedup,
     "op10_license_scan": op10_license_scan,
+    "op11_secret_scan": op11_secret_scan,
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+
+
+def _secrets_of_rule(number: int, rule: secret_scan.Rule) -> str:
+    """SQL of (doc_id, k, kind, s, e): every text is searched with the rule."""
+    p = rule.pattern.replace("'", "''")
+    long_enough = f"length(regexp_extract(x, '{p}', {rule.group})) >= {rule.least}"
+    return f"""
+SELECT doc_id, {number} AS k, '{rule.kind}' AS kind, ends[i] - length(x) AS s, ends[i] AS e
+FROM (SELECT doc_id, m, i, m[i] AS x, list_transform(range(1, len(m) + 1), lambda n: list_sum(cut[1:n]) + list_sum(found[1:n])) AS ends
+      FROM (SELECT doc_id, m, [length(x) FOR x IN m] AS found, [length(x) FOR x IN string_split_regex(t, '{p}')] AS cut, unnest(range(1, len(m) + 1)) AS i
+            FROM (SELECT doc_id, t, regexp_extract_all(t, '{p}') AS m FROM d WHERE regexp_matches(t, '{p}'))))
+WHERE {long_enough}"""
+
+
 ORACLES = {
+    "op11_secret_scan": f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+f AS ({" UNION ALL ".join(_secrets_of_rule(i, rule) for i, rule in enumerate(secret_scan.RULES))}),
+g AS (SELECT doc_id, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
+             string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k) FILTER (k < 3) AS base, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k) AS spans
+      FROM f GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256,
+       coalesce(spans, '') AS spans
+FROM d LEFT JOIN g USING (doc_id)""",
     "op4_decontamination": rf"""
 WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 b AS (SELECT item_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE item_id IS NOT NULL),
