@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemos.llm import decontaminate, language_model, licenses, mixing, neardup, quality, search, secret_scan, substrings, token_counts, urls
+from mnemos.llm import decontaminate, importance, language_model, licenses, mixing, neardup, quality, search, secret_scan, substrings, token_counts, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,6 +59,10 @@ def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scanned(_table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resampled(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_search": op2_search,
@@ -71,6 +75,7 @@ QUERIES = {
     "op9_minhash_dedup": op9_minhash_dedup,
     "op10_license_scan": op10_license_scan,
     "op11_secret_scan": op11_secret_scan,
+    "op12_importance_resampling": op12_importance_resampling,
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -99,6 +104,26 @@ g AS (SELECT doc_id, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1
 SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256,
        coalesce(spans, '') AS spans
 FROM d LEFT JOIN g USING (doc_id)""",
+    "op12_importance_resampling": rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT unnest(regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS g FROM benchmark),
+f AS (SELECT doc_id, unnest(w) AS g FROM d),
+steps AS (SELECT range AS i, list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, range) AS t FROM range(256)),
+tab AS (SELECT list(t ORDER BY i) AS t FROM steps),
+bytes AS (SELECT g, [CAST('0x' || hex(g)[2 * i - 1 : 2 * i] AS BIGINT) FOR i IN range(1, strlen(g) + 1)] AS bs FROM (SELECT g FROM f UNION SELECT g FROM b)),
+bucket AS (SELECT g, xor(list_reduce(bs, lambda c, x: xor(c >> 8, tab.t[CAST(xor(c & 255, x) AS INTEGER) + 1]), 4294967295), 4294967295) % 10000 AS b FROM bytes, tab),
+s AS (SELECT b, count(*) AS s FROM f JOIN bucket USING (g) GROUP BY b),
+t AS (SELECT b, count(*) AS t FROM b AS x JOIN bucket USING (g) GROUP BY b),
+total AS (SELECT (SELECT count(*) FROM f) AS s, (SELECT count(*) FROM b) AS t),
+gain AS (SELECT bs.b, CAST(floor(1000 * ln(CAST(coalesce(t.t, 0) + 1 AS DOUBLE) * CAST(total.s + 10000 AS DOUBLE) / (CAST(coalesce(s.s, 0) + 1 AS DOUBLE) * CAST(total.t + 10000 AS DOUBLE)))) AS BIGINT) AS gain
+         FROM (SELECT DISTINCT b FROM bucket) bs LEFT JOIN s USING (b) LEFT JOIN t USING (b), total),
+w AS (SELECT doc_id, CAST(sum(gain) AS BIGINT) AS total, count(*) AS n FROM f JOIN bucket USING (g) JOIN gain USING (b) GROUP BY doc_id),
+scored AS (SELECT doc_id, coalesce(n, 0) AS n_features,
+                  coalesce((total - ((total % n) + n) % n) // n, 0) AS weight,
+                  CAST(floor(-1000 * ln(-ln((CAST('0x' || sha256('2024:' || doc_id)[1:8] AS BIGINT) + 0.5) / 4294967296.0::DOUBLE))) AS BIGINT) AS noise
+           FROM d LEFT JOIN w USING (doc_id)),
+may AS (SELECT doc_id, row_number() OVER (ORDER BY weight + noise DESC, doc_id) AS r, count(*) OVER () AS n FROM scored WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, weight + noise AS score, CASE WHEN r <= n * 10 // 100 THEN r END AS rank FROM scored LEFT JOIN may USING (doc_id)""",
     "op4_decontamination": rf"""
 WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 b AS (SELECT item_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE item_id IS NOT NULL),
