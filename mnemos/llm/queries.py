@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemos.llm import decontaminate, importance, language_model, licenses, mixing, neardup, quality, search, secret_scan, substrings, token_counts, urls
+from mnemos.llm import collocations, decontaminate, importance, language_model, licenses, mixing, neardup, quality, search, secret_scan, substrings, token_counts, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +63,10 @@ def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resampled(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).select("doc_id", "n_features", "weight", "score", "rank")
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_search": op2_search,
@@ -76,6 +80,7 @@ QUERIES = {
     "op10_license_scan": op10_license_scan,
     "op11_secret_scan": op11_secret_scan,
     "op12_importance_resampling": op12_importance_resampling,
+    "op13_collocations": op13_collocations,
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -124,6 +129,22 @@ scored AS (SELECT doc_id, coalesce(n, 0) AS n_features,
            FROM d LEFT JOIN w USING (doc_id)),
 may AS (SELECT doc_id, row_number() OVER (ORDER BY weight + noise DESC, doc_id) AS r, count(*) OVER () AS n FROM scored WHERE n_features >= 20)
 SELECT doc_id, n_features, weight, weight + noise AS score, CASE WHEN r <= n * 10 // 100 THEN r END AS rank FROM scored LEFT JOIN may USING (doc_id)""",
+    "op13_collocations": rf"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, row_number() OVER () AS row, unnest(regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^.,;:!?\x0A-\x0D]+')) AS p FROM documents),
+w AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM p),
+g AS (SELECT lang, k, array_to_string(w[i : i + k - 1], ' ') AS g FROM (SELECT lang, k, w, unnest(range(1, len(w) - k + 2)) AS i FROM w, range(1, 4) AS t(k))),
+f AS (SELECT lang, k, g, CAST(count(*) AS HUGEINT) AS f FROM g GROUP BY ALL),
+n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, g, f AS a, string_split(g, ' ') AS w, unnest(range(1, k)) AS cut_at FROM f WHERE k > 1 AND f >= 10),
+parts AS (SELECT lang, k, g, a, cut_at, array_to_string(w[1 : cut_at], ' ') AS g1, array_to_string(w[cut_at + 1 : k], ' ') AS g2 FROM c),
+cut AS (SELECT parts.*, x.f AS l, y.f AS r, 1000000 * a * a // (x.f * y.f) AS score
+        FROM parts JOIN f x ON x.lang = parts.lang AND x.g = parts.g1 JOIN f y ON y.lang = parts.lang AND y.g = parts.g2),
+best AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, cut_at) = 1),
+longer AS (SELECT lang, string_split(g, ' ') AS w, f FROM f WHERE k = 3 AND f >= 10),
+inner_of AS (SELECT lang, g, max(f) AS most FROM (SELECT lang, array_to_string(w[i : i + 1], ' ') AS g, f FROM (SELECT lang, w, f, unnest([1, 2]) AS i FROM longer)) GROUP BY ALL),
+left_over AS (SELECT best.*, g AS phrase FROM best LEFT JOIN inner_of USING (lang, g) WHERE most IS NULL OR 100 * most < 50 * a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM left_over)
+SELECT lang, rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, n, CAST(score AS BIGINT) AS score FROM ranked JOIN n USING (lang) WHERE rank <= 2000""",
     "op4_decontamination": rf"""
 WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 b AS (SELECT item_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE item_id IS NOT NULL),
