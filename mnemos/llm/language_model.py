@@ -35,7 +35,7 @@ BYTES_A_TOKEN_OF_BUCKET = 1 << 22
 #: Customers of a dish up to which the chance that one sits alone is exact; discounts before they are estimated.
 EXACT, DISCOUNT = 128, 0.75
 #: Most words that a task counts before it passes the sums on; most texts of a chunk.
-MERGE, TEXTS = 4_000_000, 65_000
+MERGE, TEXTS, ROWS = 4_000_000, 65_000, 10_000
 END = mix(np.array([0xE0D], U))[0]
 _GOLD = U(0x9E3779B97F4A7C15)
 
@@ -174,13 +174,13 @@ def chunk_rows(docs: DataFrame, buckets: int, hot: np.ndarray, parts: np.ndarray
     def deal(batches):
         have, n, texts = [], 0, 0
         for batch in batches:
-            for part in pieces(batch):
+            for part in (p.slice(i, ROWS) for p in pieces(batch) for i in range(0, p.num_rows, ROWS)):
                 h, first = tokens(part)
                 r, kind = contexts(h, first, *shared.value)
                 columns = (part.column(c).to_numpy(zero_copy_only=False) for c in ("_learn", "_k1", "_k2"))
                 have.append((h, r, kind, np.repeat(np.arange(texts, texts + part.num_rows, dtype=np.int32), np.diff(first)), *columns))
                 n, texts = n + len(h), texts + part.num_rows
-                if n >= CHUNK or texts + 10_000 > TEXTS:
+                if n >= CHUNK or texts + ROWS > TEXTS:
                     yield from emit(have)
                     n, texts = 0, 0
         if have:
