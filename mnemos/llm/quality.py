@@ -5,7 +5,7 @@ pieces, as far as it has them, drawn by hash from the whole of it. A whole text
 block by block with each; the difference of the two sizes as a share of their sum says which kind of
 text it is more like, and a logistic curve fitted on labelled texts that the dictionaries have not
 seen turns it into a probability. For the curve, dictionaries are made of either half of the labelled texts and each
-half is compared by the other's; texts are scored by those of the first half.
+half is compared by the other's; texts are scored by dictionaries of all labelled texts.
 """
 
 import math
@@ -16,10 +16,11 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mnemos.llm.graph import cut
 from mnemos.llm.words import U, append, mix, pieces, texts_of
 
-#: Labelled rows of each class that the classifier is fitted on at most, bytes of a piece in a dictionary, bytes of a dictionary, bytes of a block, zstandard level.
-SAMPLE, PIECE, DICTIONARY, BLOCK, LEVEL = 4000, 200, 400_000, 1024, 3
+#: Labelled rows of each class that the classifier is fitted on at most, bytes of a piece in a dictionary, bytes of a dictionary for each text of its class, bytes of a block, zstandard level.
+SAMPLE, PIECE, SHARE, BLOCK, LEVEL = 4000, 200, 1000, 1024, 3
 #: Least number of labelled rows of each class to fit on; with fewer the score is 0.5 for every text. Penalty of the curve's slope, which only tells with few rows.
 LEAST, RIDGE = 4, 0.1
 
@@ -36,11 +37,11 @@ def labelled_sample(labels: DataFrame, column: str = "quality", most: int = SAMP
     return parts[0].unionByName(parts[1]).withColumn("_half", (place - 1) % 2)
 
 
-def drawn(text: bytes, seed: int, most: int) -> list[tuple[int, int, bytes]]:
-    """Hashes, places and pieces of a whole text, at most `most`, in the order of their hashes."""
+def drawn(text: bytes, seed: int) -> list[tuple[int, int, bytes]]:
+    """Hashes, places and pieces of a whole text, in the order of their hashes."""
     n = -(-len(text) // PIECE)
     h = mix(np.arange(n, dtype=U) + mix(np.array([seed % (1 << 64)], U)))
-    return [(int(h[i]) >> 1, int(i), text[i * PIECE : (i + 1) * PIECE]) for i in np.argsort(h)[:most]]
+    return [(int(h[i]) >> 1, int(i), text[i * PIECE : (i + 1) * PIECE]) for i in np.argsort(h)]
 
 
 def _dictionary(ranked: list[tuple[int, int, int, int, bytes]], size: int) -> bytes:
@@ -100,10 +101,14 @@ def fitted(sample: list[tuple[bytes, int]], prior: float | None = None) -> dict:
     by = {k: [t for t, y in sample if y == k and t.strip()] for k in (0, 1)}
     if min(map(len, by.values())) < LEAST:
         return NEUTRAL
-    pairs = [[_dictionary([(r, h, s, i, p) for s, t in enumerate(by[k][half::2]) for r, (h, i, p) in enumerate(drawn(t, s, DICTIONARY // PIECE))], DICTIONARY) for k in (1, 0)] for half in (0, 1)]
+
+    def of(texts: list[bytes]) -> bytes:
+        return _dictionary([(r, h, s, i, p) for s, t in enumerate(texts) for r, (h, i, p) in enumerate(drawn(t, s))], SHARE * len(texts))
+
+    pairs = [[of(by[k][half::2]) for k in (1, 0)] for half in (0, 1)]
     compressors = [_compressors(*x) for x in pairs]
     found = [(difference(t, compressors[1 - half]), float(k)) for half in (0, 1) for k in (0, 1) for t in by[k][half::2]]
-    return _curve(*pairs[0], np.array([x for x, _ in found]), np.array([y for _, y in found]), prior)
+    return _curve(*(of(by[k]) for k in (1, 0)), np.array([x for x, _ in found]), np.array([y for _, y in found]), prior)
 
 
 def scored(documents: DataFrame, model: dict) -> DataFrame:
@@ -130,8 +135,9 @@ def trained(documents: DataFrame, labels: DataFrame, column: str = "quality") ->
     """
     given = labels.where(F.col("doc_id").isNotNull() & F.col(column).isin(0, 1) & (remainder(F.col("doc_id"), 3) != 1))
     prior = given.agg(F.avg(column)).first()[0]
-    texts = documents.select("doc_id", "text").join(F.broadcast(labelled_sample(labels, column)), "doc_id").select("text", F.xxhash64("doc_id").alias("_seed"), "_label", "_half")
-    room = DICTIONARY // PIECE + 1
+    chosen = documents.select("doc_id", "text").join(F.broadcast(labelled_sample(labels, column)), "doc_id")
+    texts = cut(chosen.select("text", F.xxhash64("doc_id").alias("_seed"), "_label", "_half"))
+    sizes = {(r["_half"], r["_label"]): r["n"] for r in texts.where(F.col("text").rlike(r"[^\x09-\x0D\x20]")).groupBy("_half", "_label").agg(F.count("*").alias("n")).collect()}
 
     def draw(batches):
         for batch in batches:
@@ -140,15 +146,20 @@ def trained(documents: DataFrame, labels: DataFrame, column: str = "quality") ->
                     (half, y, r, h, seed, i, p)
                     for t, seed, y, half in zip(texts_of(part), *(part.column(c).to_pylist() for c in ("_seed", "_label", "_half")), strict=True)
                     if t.strip()
-                    for r, (h, i, p) in enumerate(drawn(t, seed, room))
+                    for r, (h, i, p) in enumerate(drawn(t, seed))
                 ]
                 yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], kind) for k, kind in enumerate((pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))], ["half", "y", "r", "h", "s", "i", "p"])
 
     found = texts.mapInArrow(draw, "half int, y int, r int, h long, s long, i int, p binary")
-    ranked = [[[(x.r, x.h, x.s, x.i, bytes(x.p)) for x in found.where((F.col("half") == half) & (F.col("y") == k)).orderBy("r", "h", "s", "i", "p").limit(2 * room).collect()] for k in (1, 0)] for half in (0, 1)]
-    if not all(map(all, ranked)):
+
+    def dictionary(label: int, halves: tuple) -> bytes:
+        size = SHARE * sum(sizes.get((half, label), 0) for half in halves)
+        first = found.where((F.col("y") == label) & F.col("half").isin(*halves)).orderBy("r", "h", "s", "i", "p").limit(2 * size // PIECE + 2)
+        return _dictionary([(x.r, x.h, x.s, x.i, bytes(x.p)) for x in first.collect()], size)
+
+    if any(not sizes.get((half, label)) for half in (0, 1) for label in (0, 1)):
         return NEUTRAL
-    pairs = [[_dictionary(x, DICTIONARY) for x in of_half] for of_half in ranked]
+    pairs = [[dictionary(k, (half,)) for k in (1, 0)] for half in (0, 1)]
 
     def differences(batches):
         compressors = [_compressors(*x) for x in pairs]
@@ -161,4 +172,4 @@ def trained(documents: DataFrame, labels: DataFrame, column: str = "quality") ->
     y, x = np.array([float(r.y) for r in rows]), np.array([r.x for r in rows])
     if min((y == 0).sum(), (y == 1).sum()) < LEAST:
         return NEUTRAL
-    return _curve(*pairs[0], x, y, prior)
+    return _curve(*(dictionary(k, (0, 1)) for k in (1, 0)), x, y, prior)

@@ -194,7 +194,7 @@ def test_quality_learns_from_whole_texts(spark):
     model = quality.trained(d, spark.createDataFrame([(i, i % 2, 0) for i, _ in made], "doc_id long, quality int, toxic int"))
     assert b" good " in model["good"] and b" bad " in model["bad"] and b" bad " not in model["good"]
     assert all(x.predicted == x.doc_id % 2 for x in quality.scored(d, model).collect())
-    pieces = quality.drawn(made[0][1].encode(), 5, 10**6)
+    pieces = quality.drawn(made[0][1].encode(), 5)
     assert sorted(made[0][1].encode()[i : i + quality.PIECE] for i in range(0, len(made[0][1]), quality.PIECE)) == sorted(p for _, _, p in pieces)
 
 
@@ -444,6 +444,18 @@ def test_seating_is_bounded():
         x.round(base, i)
 
 
+def test_language_model_of_very_many_texts_in_a_batch(spark):
+    """More texts in one Arrow batch than a chunk may have."""
+    was = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "200000")
+    try:
+        docs = spark.range(0, 140_000, 1, 1).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, "").otherwise("one").alias("text"))
+        got = language_model.scored(docs, F.lit(True)).groupBy(F.col("doc_id") % 2 == 0, "n_tokens").agg(F.count("*").alias("n"), F.countDistinct("score").alias("scores"))
+        assert sorted(tuple(r)[1:] for r in got.collect()) == [(1, 70_000, 1), (2, 70_000, 1)]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
+
+
 def test_language_model_edges(edge, empty):
     got = language_model.scored(edge("held_out"), F.col("doc_id") != 1, 50)
     assert got.count() == len(EDGE) and got.where("doc_id is null").first().held_out
