@@ -26,13 +26,15 @@ ENDS = b".,;:!?\n\x0b\x0c\r"
 TABLE = bytes(32 if b in ENDS or b == 9 else b + 32 if 65 <= b <= 90 else b for b in range(256))
 _END = np.isin(np.arange(256), list(ENDS))
 #: Bytes of texts that a task counts at a time.
-PART = 8 << 20
+PART = 2 << 20
 
 
 def _gathered(raw: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of slices one after another, and where each begins and the last ends."""
     at = np.concatenate(([0], np.cumsum(size)))
-    return raw[np.repeat(start - at[:-1], size) + np.arange(at[-1])], at
+    place = np.arange(at[-1], dtype=np.int32 if max(at[-1], len(raw)) < 1 << 31 else np.int64)
+    place += np.repeat((start - at[:-1]).astype(place.dtype), size)
+    return raw[place], at
 
 
 def _language_hash(names: list[bytes]) -> np.ndarray:
