@@ -3,42 +3,41 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from mnemos.functions.columns import slug, squeezed
+from mnemos.functions.columns import let, places, slug, squeezed
 
 #: The forms of links, tags and headings.
-WIKILINK = r"(!?)\[\[([^\]|]+)(?:\|([^\]]*))?\]\]"
+WIKILINK = r"(!?)\[\[([^\]]+)\]\]"
 LINK = r"(?<!!)\[([^\]]*)\]\(([^)]+)\)"
 TAG = r"(?<![A-Za-z0-9_/])#([A-Za-z0-9_/-]+)"
 HEADING = r"^(#{1,6})\s+(.*\S)\s*$"
 HREF = 'href="([^"]*)"'
 BLOCK_ID = r"\^([A-Za-z0-9_-]+)"
 LIST_ITEM = r"^\s*[-*+]\s+(.*)$"
-EXTERNAL = r"^[A-Za-z][A-Za-z0-9+.-]*:"
-#: Characters before and after a link in its context.
-AROUND = 40
+EXTERNAL = r"^[A-Za-z][A-Za-z0-9+.-]*://"
+FRONTMATTER = r"(?s)\A---\n(.*?)\n---\n?"
+#: Characters before and after a link that are its context.
+AROUND = 80
 
 
-def wikilinks(body: Column) -> Column:
-    """array<struct<embed, raw, display, target, heading, block, context>> of [[target#heading|display]] and ![[embedded]].
+def _linked(body: Column, pattern: str, kind, raw, display, around: int) -> Column:
+    """array<struct<kind, raw, display, target, heading, block, original, start, end, before, after>> of a pattern's matches; kind, raw and display are made from a match."""
 
-    context: the text around the link, with white space squeezed.
-    """
-    return F.transform(F.regexp_extract_all(body, F.lit(WIKILINK), F.lit(0)), lambda m: _link(m, body))
+    def of(text: Column, p: Column) -> Column:
+        m = p["match"]
+        part = target_parts(F.substring_index(raw(m), "|", 1))
+        first = F.greatest(F.lit(0).cast("bigint"), p["start"] - around)
+        before, after = F.substring(text, (first + 1).cast("int"), (p["start"] - first).cast("int")), F.substring(text, (p["end"] + 1).cast("int"), F.lit(around))
+        fields = {"kind": kind(m), "raw": raw(m), "display": display(m), **part, "original": m, "start": p["start"], "end": p["end"], "before": before, "after": after}
+        return F.struct(*(v.alias(k) for k, v in fields.items()))
 
+    return let(body, lambda text: F.transform(places(text, pattern), lambda p: of(text, p)))
 
-def _link(m: Column, body: Column) -> Column:
-    raw = F.trim(F.regexp_extract(m, WIKILINK, 2))
-    at = F.call_function("instr", body, m)
-    start = F.greatest(F.lit(1), at - AROUND)
-    return F.struct(
-        (F.regexp_extract(m, WIKILINK, 1) == "!").alias("embed"),
-        raw.alias("raw"),
-        F.nullif(F.regexp_extract(m, WIKILINK, 3), F.lit("")).alias("display"),
-        target_parts(raw)["target"].alias("target"),
-        target_parts(raw)["heading"].alias("heading"),
-        target_parts(raw)["block"].alias("block"),
-        squeezed(F.substring(body, start, at - start + F.length(m) + AROUND)).alias("context"),
-    )
+
+def wikilinks(body: Column, around: int = AROUND) -> Column:
+    """The [[target#heading|display]] and ![[embedded]] of a text with their places, as `_linked` has them. raw: all between the brackets."""
+    inner = lambda m: F.trim(F.regexp_extract(m, WIKILINK, 2))
+    kind = lambda m: F.when(m.startswith("!"), "embed").otherwise("wikilink")
+    return _linked(body, WIKILINK, kind, inner, lambda m: F.when(inner(m).contains("|"), F.trim(F.regexp_extract(inner(m), r"\|(.*)$", 1))), around)
 
 
 def target_parts(raw: Column) -> dict[str, Column]:
@@ -48,9 +47,11 @@ def target_parts(raw: Column) -> dict[str, Column]:
     return {"target": squeezed(F.substring_index(raw, "#", 1)), "heading": F.when(~is_block, F.nullif(slug(anchor), F.lit(""))), "block": F.when(is_block, F.trim(F.substring(anchor, 2, 1_000_000)))}
 
 
-def links(body: Column) -> Column:
-    """array<struct<text, url>> of [text](url); images are none, and targets may have spaces."""
-    return F.transform(F.regexp_extract_all(body, F.lit(LINK), F.lit(0)), lambda m: F.struct(F.regexp_extract(m, LINK, 1).alias("text"), F.trim(F.regexp_extract(m, LINK, 2)).alias("url")))
+def links(body: Column, around: int = AROUND) -> Column:
+    """The [text](url) of a text with their places, as `_linked` has them; kind: external with a scheme and ://, else markdown. Images are none, and urls may have spaces."""
+    url = lambda m: F.trim(F.regexp_extract(m, r"\]\(([^)]+)\)$", 1))
+    kind = lambda m: F.when(url(m).rlike(EXTERNAL), "external").otherwise("markdown")
+    return _linked(body, LINK, kind, url, lambda m: F.nullif(F.trim(F.regexp_extract(m, r"^\[([^\]]*)\]", 1)), F.lit("")), around)
 
 
 def hrefs(html: Column) -> Column:
@@ -68,33 +69,40 @@ def headings(body: Column) -> Column:
 
 
 def frontmatter(text: Column) -> Column:
-    """map<string, string> of the `key: value` lines between two lines of --- at the start; null without them."""
-    block = F.regexp_extract(text, r"(?s)\A---\n(.*?)\n---(?:\n|\z)", 1)
-    lines = F.filter(F.split(block, "\n"), lambda x: x.rlike(r"^[A-Za-z0-9_-]+:\s*\S"))
-    pairs = F.transform(lines, lambda x: F.struct(F.substring_index(x, ":", 1).alias("key"), F.trim(F.regexp_replace(x, r"^[^:]*:\s*", "")).alias("value")))
-    return F.when(block != "", F.map_from_entries(pairs))
+    """map<string, string> of the `key: value` lines between two lines of --- at the start; null without them.
+
+    Each line with a colon counts, but those that begin with #; spaces around keys and values go, a value may be empty, and of lines with one key the last stands.
+    """
+    lines = F.filter(F.transform(F.split(F.regexp_extract(text, FRONTMATTER, 1), r"\r\n|[\n\r]"), lambda x: F.trim(F.regexp_replace(x, r"^\s+|\s+$", ""))), lambda x: x.contains(":") & ~x.startswith("#"))
+    pairs = F.transform(lines, lambda x: F.struct(F.trim(F.substring_index(x, ":", 1)).alias("key"), F.trim(F.regexp_replace(x, r"^[^:]*:", "")).alias("value")))
+    last = lambda all_: F.filter(all_, lambda x, i: ~F.exists(F.slice(all_, i + 2, F.size(all_)), lambda y: y["key"] == x["key"]))
+    return F.when(text.rlike(FRONTMATTER), F.map_from_entries(let(pairs, last)))
 
 
 def without_frontmatter(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?s)\A---\n.*?\n---(?:\n|\z)", "")
+    return F.regexp_replace(text, FRONTMATTER, "")
 
 
-def resolved(links_df, records):
+def resolved(links_df, records, ids: tuple = ()):
     """links (link_id, raw_target) with target_record_id and resolution_status.
 
     records: id, path, title, aliases[]. What stands before # is looked up, white space squeezed and without case: a target with / or that ends
     in .md only among paths (with or without .md), others among titles and aliases. One record found: resolved; several:
-    ambiguous; none: unresolved; with a scheme such as https: or mailto: external. Other columns stay.
+    ambiguous; none: unresolved; with a scheme and :// external. Other columns stay. ids: columns of both that name a namespace; a record is only
+    found by links that have its ids, where it has any.
     """
     name = lambda c: F.lower(squeezed(c))
     bare = lambda c: F.regexp_replace(name(c), r"\.md$", "")
     by_name = F.transform(F.array_compact(F.concat(F.array("title"), F.coalesce("aliases", F.array().cast("array<string>")))), lambda x: F.struct(F.lit("name").alias("kind"), name(x).alias("name")))
     by_path = F.transform(F.array_compact(F.array("path")), lambda x: F.struct(F.lit("path").alias("kind"), bare(x).alias("name")))
-    names = records.select("id", F.inline(F.array_distinct(F.concat(by_name, by_path))).alias("_kind", "_name"))
-    target = F.substring_index("raw_target", "#", 1)
+    names = records.select("id", *(F.col(c).alias(f"_r_{c}") for c in ids), F.inline(F.array_distinct(F.concat(by_name, by_path))).alias("_kind", "_name"))
+    target = F.substring_index(F.substring_index("raw_target", "|", 1), "#", 1)
     is_path = target.contains("/") | name(target).endswith(".md")
-    asked = links_df.select("link_id", F.when(is_path, "path").otherwise("name").alias("_kind"), F.when(is_path, bare(target)).otherwise(name(target)).alias("_name"))
-    found = asked.join(names, ["_kind", "_name"]).groupBy("link_id").agg(F.min("id").alias("_id"), F.max("id").alias("_last"))
+    asked = links_df.select("link_id", *ids, F.when(is_path, "path").otherwise("name").alias("_kind"), F.when(is_path, bare(target)).otherwise(name(target)).alias("_name"))
+    met = asked.join(names, ["_kind", "_name"])
+    for c in ids:
+        met = met.where(F.col(f"_r_{c}").isNull() | (F.col(f"_r_{c}") == F.col(c)))
+    found = met.groupBy("link_id").agg(F.min("id").alias("_id"), F.max("id").alias("_last"))
     status = F.when(F.col("raw_target").rlike(EXTERNAL), "external").when(F.col("_id") == F.col("_last"), "resolved").when(F.col("_id").isNotNull(), "ambiguous").otherwise("unresolved")
     return links_df.drop("target_record_id", "resolution_status").join(found, "link_id", "left").withColumns({"resolution_status": status}).withColumn("target_record_id", F.when(F.col("resolution_status") == "resolved", F.col("_id"))).drop("_id", "_last")
 

@@ -3,8 +3,8 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: A subject has at most two to the power LEVELS times at which its facts begin and end; characters of a time that name its day.
-LEVELS, DAY = 40, 10
+#: Characters of a time that name its day.
+DAY = 10
 
 
 def is_invalidated() -> Column:
@@ -36,40 +36,43 @@ def facts_as_of(probes: DataFrame, facts: DataFrame) -> DataFrame:
     """For each probe (subject_entity_id, at) the active fact that is valid then, of several the latest begun (then the greatest id).
 
     Facts may overlap and are half open. A probe without a subject or a time has no fact; repeated probes are answered each; times that don't
-    come after their begin are never valid. The times of a subject's facts cut its line into stretches, numbered day by day; a fact is laid
-    on the stretches it covers as a few dyadic runs, and a probe looks up the runs that its own stretch is in. So there are rows for facts times
-    the logarithm of facts, never pairs of all facts and all probes, and a subject with many facts isn't sorted in one task.
+    come after their begin are never valid. A time's place is how many begins and ends of its subject's facts it has reached, counted day by day. A fact
+    covers the places from its begin to its end as a few dyadic runs, and a probe looks up the runs that its own place is in. So there are rows for facts
+    times the logarithm of a subject's facts, never pairs of all facts and all probes, and a subject with many facts isn't sorted in one task.
     """
-    f = facts.where(~is_invalidated() & (F.col("valid_to").isNull() | (F.col("valid_to") > F.coalesce("valid_from", F.lit(""))))).select("subject_entity_id", F.coalesce("valid_from", F.lit("")).alias("valid_from"), "valid_to", "fact_id", "object_literal")
-    starts = f.select("subject_entity_id", F.col("valid_from").alias("at")).unionByName(f.where("valid_to is not null").select("subject_entity_id", F.col("valid_to").alias("at"))).distinct()
-    asked = probes.where("subject_entity_id is not null and `at` is not null").select("subject_entity_id", "at").distinct()
-    line = starts.select("*", F.lit(0).alias("_probe")).unionByName(asked.select("*", F.lit(1).alias("_probe")))
-    line = line.withColumn("_day", F.substring("at", 1, DAY))
-    days = line.groupBy("subject_entity_id", "_day").agg(F.sum(1 - F.col("_probe")).alias("_n"))
-    before = days.select("subject_entity_id", "_day", F.coalesce(F.sum("_n").over(Window.partitionBy("subject_entity_id").orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    within = F.sum(1 - F.col("_probe")).over(Window.partitionBy("subject_entity_id", "_day").orderBy("at", "_probe"))
-    place = line.withColumn("_within", within).join(before, ["subject_entity_id", "_day"]).withColumn("_place", F.col("_before") + F.col("_within"))
-    of_start = place.where("_probe = 0").select("subject_entity_id", F.col("at").alias("_at"), "_place")
-    begin, end = of_start.withColumnsRenamed({"_at": "valid_from", "_place": "_a"}), of_start.withColumnsRenamed({"_at": "valid_to", "_place": "_b"})
-    laid = f.join(begin, ["subject_entity_id", "valid_from"]).join(end, ["subject_entity_id", "valid_to"], "left").withColumn("_b", F.coalesce("_b", F.lit(1 << LEVELS)))
-    best = laid.select("subject_entity_id", F.struct("valid_from", "fact_id", "object_literal").alias("_f"), F.inline(dyadic(F.col("_a"), F.col("_b")))).groupBy("subject_entity_id", "level", "run").agg(F.max("_f").alias("_f"))
-    levels = F.transform(F.sequence(F.lit(0), F.lit(LEVELS)), lambda k: F.struct(k.alias("level"), F.call_function("shiftright", F.col("_place"), k).alias("run")))
-    looked = place.where("_probe = 1").select("subject_entity_id", "at", F.inline(levels)).join(best, ["subject_entity_id", "level", "run"]).groupBy("subject_entity_id", "at").agg(F.max("_f").alias("_f"))
-    out = probes.select("subject_entity_id", "at").join(looked, ["subject_entity_id", "at"], "left")
-    return out.select("subject_entity_id", "at", F.col("_f.fact_id").alias("fact_id"), F.col("_f.object_literal").alias("object_literal"))
-
-
-def dyadic(a: Column, b: Column) -> Column:
-    """array<struct<level, run>>: the runs [run << level, (run + 1) << level) that together are [a, b), at most two for each level."""
-
-    def at(k: Column) -> Column:
-        low, high = F.call_function("shiftright", a + F.call_function("shiftleft", F.lit(1).cast("long"), k) - 1, k), F.call_function("shiftright", b, k)
-        odd_low = (low % 2 == 1) & (low < high)
-        odd_high = (high % 2 == 1) & (low < high)
-        run = lambda r: F.struct(k.alias("level"), r.alias("run"))
-        return F.array_compact(F.array(F.when(odd_low, run(low)), F.when(odd_high & (high - 1 >= low), run(high - 1))))
-
-    return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(LEVELS)), at)))
+    subject = "subject_entity_id"
+    f = facts.where(~is_invalidated() & F.col(subject).isNotNull() & (F.col("valid_to").isNull() | (F.col("valid_to") > F.coalesce("valid_from", F.lit("")))))
+    f = f.select(subject, F.struct(F.coalesce("valid_from", F.lit("")).alias("valid_from"), "fact_id", "object_literal", "valid_to").alias("_f"))
+    most = f.groupBy(subject).count().agg(F.max("count")).first()[0] or 0
+    top = int(2 * most).bit_length()
+    ends = F.array_compact(F.array(F.struct(F.col("_f.valid_from").alias("at"), F.lit(0).alias("side")), F.when(F.col("_f.valid_to").isNotNull(), F.struct(F.col("_f.valid_to").alias("at"), F.lit(1).alias("side")))))
+    asked = probes.where(F.col(subject).isNotNull() & F.col("at").isNotNull()).select(subject, "at").distinct()
+    line = f.select(subject, "_f", F.inline(ends)).unionByName(asked.select(subject, "at", F.lit(2).alias("side")), allowMissingColumns=True)
+    line = line.withColumns({"_day": F.substring("at", 1, DAY), "_mark": (F.col("side") < 2).cast("long")})
+    days = line.groupBy(subject, "_day").agg(F.sum("_mark").alias("_n"))
+    earlier = Window.partitionBy(subject).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
+    before = days.select(subject, "_day", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    within = F.sum("_mark").over(Window.partitionBy(subject, "_day").orderBy("at"))
+    placed = line.withColumn("_within", within).join(before, [subject, "_day"]).select(subject, "at", "side", "_f", (F.col("_before") + F.col("_within")).alias("_place"))
+    both = placed.where("side < 2").groupBy(subject, "_f").agg(F.min("_place").alias("_a"), F.max(F.when(F.col("side") == 1, F.col("_place"))).alias("_b"))
+    runs = both.select(subject, "_f", F.inline(dyadic(F.col("_a"), F.coalesce("_b", F.lit(1 << top)), top)))
+    best = runs.groupBy(subject, "level", "run").agg(F.max("_f").alias("_f"))
+    levels = F.array(*(F.struct(F.lit(k).alias("level"), F.shiftright("_place", k).alias("run")) for k in range(top + 1)))
+    looked = placed.where("side = 2").select(subject, "at", F.inline(levels)).join(best, [subject, "level", "run"]).groupBy(subject, "at").agg(F.max("_f").alias("_f"))
+    return probes.select(subject, "at").join(looked, [subject, "at"], "left").select(subject, "at", F.col("_f.fact_id").alias("fact_id"), F.col("_f.object_literal").alias("object_literal"))
+
+
+def dyadic(a: Column, b: Column, top: int) -> Column:
+    """array<struct<level, run>>: the runs [run << level, (run + 1) << level) that together are [a, b), at most two for each level up to top; b is at most 1 << top."""
+
+    def at(k: int) -> list[Column]:
+        low, high = F.shiftright(a + ((1 << k) - 1), k), F.shiftright(b, k)
+        run = lambda r: F.struct(F.lit(k).alias("level"), r.alias("run"))
+        first = F.when((low % 2 == 1) & (low < high), run(low))
+        last = F.when((high % 2 == 1) & (low < high) & ~((low % 2 == 1) & (low == high - 1)), run(high - 1))
+        return [first, last]
+
+    return F.array_compact(F.array(*(x for k in range(top + 1) for x in at(k))))
 
 
 def apply_contradictions(facts: DataFrame, decisions: DataFrame) -> DataFrame:

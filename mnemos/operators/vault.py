@@ -21,7 +21,7 @@ def stable_id(prefix: str, *parts: Column | str) -> Column:
 
 def normal_path(path: Column) -> Column:
     """Slashes forward, and no empty or `.` parts."""
-    slashes = F.regexp_replace(path, r"\\\\", "/")
+    slashes = F.translate(path, "\\", "/")
     parts = F.filter(F.split(slashes, "/"), lambda x: ~x.isin("", "."))
     return F.concat(F.when(slashes.startswith("/"), "/").otherwise(""), F.array_join(parts, "/"))
 
@@ -38,9 +38,15 @@ def file_kind(path: Column) -> Column:
 
 
 def folded(path: Column) -> Column:
-    """A path with `..` taken back where it can be."""
-    step = lambda acc, x: F.when((x == "..") & (F.size(acc) > 0), F.slice(acc, 1, F.size(acc) - 1)).when(x.isin("", ".", ".."), acc).otherwise(F.concat(acc, F.array(x)))
-    return F.array_join(F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step), "/")
+    """A path with `..` taken back; null if it goes above its root. Slashes forward, and no empty or `.` parts."""
+
+    def step(acc: Column, x: Column) -> Column:
+        up, stays = x == "..", x.isin("", ".")
+        parts = F.when(up, F.slice(acc["parts"], 1, F.greatest(F.lit(0), F.size(acc["parts"]) - 1))).when(stays, acc["parts"]).otherwise(F.concat(acc["parts"], F.array(x)))
+        return F.struct(parts.alias("parts"), (acc["above"] | (up & (F.size(acc["parts"]) == 0))).alias("above"))
+
+    start = F.struct(F.array().cast("array<string>").alias("parts"), F.lit(False).alias("above"))
+    return F.aggregate(F.split(F.translate(path, "\\", "/"), "/"), start, step, lambda acc: F.when(~acc["above"], F.array_join(acc["parts"], "/")))
 
 
 # Import and export
@@ -101,16 +107,16 @@ def notes(files: DataFrame) -> DataFrame:
     )
 
 
-def note_links(notes: DataFrame) -> DataFrame:
-    """(link_id, source_record_id, position, raw_target, link_kind, display, heading, block) of the notes' wiki links, embeds and Markdown links."""
-    wiki = notes.select(F.col("record_id").alias("source_record_id"), F.posexplode(markdown.wikilinks(F.col("body"))).alias("position", "_l")).select(
-        "source_record_id", "position", F.col("_l.raw").alias("raw_target"), F.when(F.col("_l.embed"), "embed").otherwise("wikilink").alias("link_kind"), F.col("_l.display").alias("display"), F.col("_l.heading").alias("heading"), F.col("_l.block").alias("block")
-    )
-    url = F.col("_l.url")
-    inline = notes.select(F.col("record_id").alias("source_record_id"), F.posexplode(markdown.links(F.col("body"))).alias("position", "_l"))
-    inline = inline.select("source_record_id", "position", url.alias("raw_target"), F.when(url.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), "external").otherwise("markdown").alias("link_kind"), F.nullif(F.col("_l.text"), F.lit("")).alias("display"), markdown.target_parts(url)["heading"].alias("heading"), markdown.target_parts(url)["block"].alias("block"))
-    both = wiki.unionByName(inline)
-    return both.select(stable_id("link", "source_record_id", "link_kind", F.col("position").cast("string"), "raw_target").alias("link_id"), "*")
+def note_links(notes: DataFrame, around: int = markdown.AROUND) -> DataFrame:
+    """(link_id, source_record_id, start, end, raw_target, link_kind, display, heading, block, context_before, context_after) of the notes' wiki links, embeds and Markdown links.
+
+    start and end count the body's characters from 0, the end is exclusive; a link's id is that of its note and start; up to `around` characters on either side are its context.
+    """
+    body = F.col("body")
+    found = F.concat(markdown.wikilinks(body, around), markdown.links(body, around))
+    out = notes.select(F.col("record_id").alias("source_record_id"), F.explode(found).alias("_l")).select("source_record_id", "_l.*")
+    fields = ("source_record_id", "start", "end", F.col("raw").alias("raw_target"), F.col("kind").alias("link_kind"), "display", "heading", "block", F.col("before").alias("context_before"), F.col("after").alias("context_after"))
+    return out.select(stable_id("link", "source_record_id", F.col("start").cast("string")).alias("link_id"), *fields)
 
 
 def note_blocks(notes: DataFrame) -> DataFrame:
@@ -164,10 +170,10 @@ def document_kind(path: Column) -> Column:
 
 
 def bundle_target(path: Column, raw: Column) -> Column:
-    """The bundle path that a target in a document means; null for external and empty ones. Alias and anchor are cut."""
+    """The bundle path that a target in a document means; null for external and empty ones and for those above the bundle's root. Alias and anchor are cut."""
     t = F.trim(F.substring_index(F.substring_index(raw, "|", 1), "#", 1))
     folder = F.regexp_replace(path, "[^/]*$", "")
-    return F.when((t == "") | t.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), None).when(t.startswith("/"), folded(t)).otherwise(folded(F.concat(folder, t)))
+    return F.when((t == "") | t.rlike(markdown.EXTERNAL), None).when(t.startswith("/"), folded(t)).otherwise(folded(F.concat(folder, t)))
 
 
 def findings(documents: DataFrame, links: DataFrame) -> DataFrame:
@@ -203,7 +209,7 @@ def citations(documents: DataFrame) -> DataFrame:
     d = documents.select("path", F.explode(markdown.list_items(F.col("body"))).alias("_i"), state.alias("_s"))
     inside = (F.col("_s.first") > 0) & (F.col("_i.line") > F.col("_s.first")) & ((F.col("_s.last") == 0) | (F.col("_i.line") < F.col("_s.last")))
     target = F.coalesce("_i.target", "_i.item")
-    external = target.rlike("^[A-Za-z][A-Za-z0-9+.-]*://")
+    external = target.rlike(markdown.EXTERNAL)
     return d.where(inside).select("path", F.col("_i.line").alias("line"), F.col("_i.label").alias("label"), F.when(external, target).otherwise(F.coalesce(bundle_target(F.col("path"), target), target)).alias("target"), F.when(external, "external").otherwise("bundle_path").alias("target_kind"))
 
 

@@ -3,8 +3,11 @@
 Nothing is changed in place. Each function gives the table as it stands afterwards, or the rows to append to the change log.
 """
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from mnemos.functions.columns import uuid5
 from mnemos.functions.shared import settled
@@ -16,25 +19,41 @@ BLOCK_MODES, LATER_MODES = ("read_only", "pinned"), ("shared", "writable")
 IDS = "6ba7b811-9dad-11d1-80b4-00c04fd430c8"
 
 
-def put(table: DataFrame, rows: DataFrame, key: list[str]) -> DataFrame:
-    """table with rows in the place of those that have their key. Of several new rows with one key any one stands; give one."""
-    return table.join(rows.select(*key), key, "left_anti").select(*table.columns).unionByName(rows.select(*table.columns))
+def same_key(a: DataFrame, b: DataFrame, key: list[str]) -> Column:
+    """The keys of two tables are equal; nulls equal nulls."""
+    return reduce(lambda x, y: x & y, (a[c].eqNullSafe(b[c]) for c in key))
+
+
+def last_of(rows: DataFrame, key: list[str], order: str | None = None) -> DataFrame:
+    """The last row of each key (null is a key too) by a column; without one, or among equals, the greatest by its columns as they come."""
+    rest = [c for c in rows.columns if c not in key]
+    by = F.struct(*([order] if order else []), *(c for c in rest if not isinstance(rows.schema[c].dataType, (T.MapType, T.VariantType))), F.lit(0).alias("_end"))
+    best = rows.groupBy(*key).agg(F.max_by(F.struct(*rest, F.lit(0).alias("_end")), by).alias("_row"))
+    return best.select(*(c if c in key else F.col(f"_row.{c}").alias(c) for c in rows.columns))
+
+
+def put(table: DataFrame, rows: DataFrame, key: list[str], order: str | None = None) -> DataFrame:
+    """table with rows in the place of those that have their key, nulls included. Of several new rows with one key the last by `order` stands."""
+    new = last_of(rows, key, order)
+    return table.join(new.select(*key), same_key(table, new, key), "left_anti").select(*table.columns).unionByName(new.select(*table.columns))
 
 
-def upserted(records: DataFrame, patches: DataFrame, now: Column) -> DataFrame:
+def upserted(records: DataFrame, patches: DataFrame, now: Column, order: str | None = None) -> DataFrame:
     """records after patches (scope, type, key and any columns of records; null: not patched).
 
-    A patch changes the newest version of its scope, type and key (by updated_at, then the smallest id) and its updated_at. Where there is none, it becomes
-    a record: with the id of a hash of the three unless it has one, working tier, and created, updated and begun now.
+    A patch changes the newest version of its scope, type and key (by updated_at, then the smallest id; nulls equal nulls) and its updated_at. Where there
+    is none, it becomes a record: with the id of a hash of the three unless it has one, working tier, and created, updated and begun now. Several patches of a
+    key are one after another by `order`, a column of patches: of each column the last that isn't null stands. Without an order the greatest does.
     """
     key = ["scope", "type", "key"]
-    patched = [c for c in patches.columns if c not in key]
-    p = patches.select(*key, F.struct(*patched).alias("_p"))
+    patched = [c for c in patches.columns if c not in key and c != order]
+    fold = lambda c: F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(order))) if order else F.max(c)
+    p = patches.groupBy(*key).agg(F.struct(*(fold(c).alias(c) for c in patched), F.lit(0).alias("_end")).alias("_p"))
     newest = records.groupBy(*key).agg(F.min_by("id", F.struct(-F.unix_micros(F.col("updated_at").cast("timestamp")), F.col("id"))).alias("_newest"))
-    p = p.join(newest, key, "left")
-    met = p.where("_newest is not null").select(F.col("_newest").alias("id"), "_p")
+    p = p.join(newest, same_key(p, newest, key), "left").select(*(p[c] for c in key), "_p", "_newest")
+    met = p.where("_newest is not null").select(F.col("_newest").alias("_id"), F.col("_p"))
     value = lambda c: F.coalesce(F.col(f"_p.{c}"), F.col(c)) if c in patched and c != "id" else F.col(c)
-    changed = records.join(met, "id", "left").select(*((F.when(F.col("_p").isNotNull(), now).otherwise(F.col(c)) if c == "updated_at" else value(c)).alias(c) for c in records.columns))
+    changed = records.join(met, records["id"] == met["_id"], "left").select(*((F.when(F.col("_p").isNotNull(), now).otherwise(F.col(c)) if c == "updated_at" else value(c)).alias(c) for c in records.columns))
     defaults = {
         "id": uuid5(IDS, F.concat_ws("|", *key)),
         "tier": F.lit("working"),

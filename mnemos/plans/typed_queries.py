@@ -209,7 +209,7 @@ def vault_notes(spark, sf) -> DataFrame:
 
 
 @query(
-    f"""WITH x AS ({_NOTES}) SELECT doc_id, 'wikilink' AS link_kind, 'Note ' || (doc_id % 50) || '#Part One' AS raw_target, 'part-one' AS heading, NULL AS block FROM x
+    f"""WITH x AS ({_NOTES}) SELECT doc_id, 'wikilink' AS link_kind, 'Note ' || (doc_id % 50) || '#Part One|shown' AS raw_target, 'part-one' AS heading, NULL AS block FROM x
 UNION ALL SELECT doc_id, 'embed', 'n' || (doc_id % 9), NULL, NULL FROM x UNION ALL SELECT doc_id, 'external', 'https://x.org/a b', NULL, NULL FROM x UNION ALL SELECT doc_id, 'markdown', 'sub/n1.md#^b1', NULL, 'b1' FROM x"""
 )
 def vault_links(spark, sf) -> DataFrame:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mnemos.functions import columns, markdown
-from mnemos.operators import context, explorer, facts, graph, lists, policy, records, upkeep, vault, views
+from mnemos.operators import context, explorer, facts, graph, lists, policy, records, upkeep, vault, views, writes
 from mnemos.sources import bundles
 from mnemos.streaming import changes
 
@@ -122,8 +122,8 @@ def test_facts_as_of_with_overlaps(spark, seed):
 
 
 def test_dyadic_runs_cover_each_stretch_once(spark):
-    pairs = [(a, b) for a in range(0, 20, 3) for b in range(0, 22, 4)] + [(5, 1 << 40)]
-    got = spark.createDataFrame(pairs, "a long, b long").select("a", "b", facts.dyadic(F.col("a"), F.col("b")).alias("r")).collect()
+    pairs = [(a, b) for a in range(0, 20, 3) for b in range(0, 22, 4)] + [(5, 1 << 10)]
+    got = spark.createDataFrame(pairs, "a long, b long").select("a", "b", facts.dyadic(F.col("a"), F.col("b"), 10).alias("r")).collect()
     for x in got:
         covered = [k for y in x.r for k in range(y.run << y.level, min((y.run + 1) << y.level, 64))]
         assert sorted(covered) == list(range(x.a, min(x.b, 64)))
@@ -214,15 +214,15 @@ def test_markdown(spark):
     ).first()
     assert r.f == {"title": "A note", "tags": "x"} and r.g == ["tag/one"]
     assert [(w.target, w.display, w.heading, w.block) for w in r.w] == [("Other Note", "that", "part-2", None), ("img", None, None, "b1")]
-    assert [(x.text, x.url) for x in r.l] == [("site", "http://x.y/z")] and [(h.level, h.title, h.anchor) for h in r.h] == [(1, "Head One", "head-one"), (2, "Two", "two")]
+    assert [(x.display, x.raw, x.kind) for x in r.l] == [("site", "http://x.y/z", "external")] and [(h.level, h.title, h.anchor) for h in r.h] == [(1, "Head One", "head-one"), (2, "Two", "two")]
 
 
 def test_links_of_rich_notes(spark):
     text = "![pic](a.png) [two words](my note.md#A b) (#tag) x#no [[A | shown]] ![[B]]\nline ^b-1\n- [Lab](t.md): why\n"
     t_ = F.col("t")
     r = spark.createDataFrame([(text,)], "t string").select(markdown.links(t_).alias("l"), markdown.tags(t_).alias("g"), markdown.wikilinks(t_).alias("w"), markdown.block_ids(t_).alias("b"), markdown.list_items(t_).alias("i")).first()
-    assert [(x.text, x.url) for x in r.l] == [("two words", "my note.md#A b"), ("Lab", "t.md")] and r.g == ["tag"]
-    assert [(w.embed, w.raw, w.display) for w in r.w] == [(False, "A", " shown"), (True, "B", None)] and "two words" in r.w[0].context
+    assert [(x.display, x.raw, x.heading) for x in r.l] == [("two words", "my note.md#A b", "a-b"), ("Lab", "t.md", None)] and r.g == ["tag"]
+    assert [(w.kind, w.raw, w.target, w.display) for w in r.w] == [("wikilink", "A | shown", "A", "shown"), ("embed", "B", "B", None)] and "two words" in r.w[0].before
     assert [(b.line, b.block) for b in r.b] == [(2, "b-1")] and [(i.line, i.label, i.target, i.rest) for i in r.i] == [(3, "Lab", "t.md", "why")]
 
 
@@ -231,7 +231,48 @@ def test_links_are_resolved_by_path_or_by_name(spark):
     links = [("a", "Dir/note#Part"), ("b", "first one"), ("c", "ALIAS"), ("d", "second"), ("e", "second.md"), ("f", "x/y"), ("g", "https://a/b"), ("h", "mailto:me"), ("i", "nowhere"), ("j", "b")]
     got = {r.link_id: (r.resolution_status, r.target_record_id) for r in markdown.resolved(spark.createDataFrame(links, "link_id string, raw_target string"), notes).collect()}
     assert got["a"] == got["b"] == ("resolved", "r1") and got["c"] == ("ambiguous", None) and got["d"] == ("resolved", "r2") and got["e"] == ("resolved", "r3")
-    assert got["f"] == got["i"] == got["j"] == ("unresolved", None) and got["g"] == got["h"] == ("external", None)
+    assert got["f"] == got["i"] == got["j"] == got["h"] == ("unresolved", None) and got["g"] == ("external", None)
+
+
+def test_a_colon_in_a_title_makes_no_external_link_and_namespaces_are_kept_apart(spark):
+    notes = spark.createDataFrame([("r1", None, "Project: Alpha", None, "a"), ("r2", None, "Same", None, "a"), ("r3", None, "Same", None, "b"), ("r4", None, "Free", None, None)], "id string, path string, title string, aliases array<string>, project_id string")
+    links = spark.createDataFrame([("a", "project: alpha|shown", "a"), ("b", "Same", "b"), ("c", "Same", "c"), ("d", "free", "c"), ("e", "Project: Alpha", "b")], "link_id string, raw_target string, project_id string")
+    got = {r.link_id: (r.resolution_status, r.target_record_id) for r in markdown.resolved(links, notes, ("project_id",)).collect()}
+    assert got == {"a": ("resolved", "r1"), "b": ("resolved", "r3"), "c": ("unresolved", None), "d": ("resolved", "r4"), "e": ("unresolved", None)}
+
+
+def test_links_have_the_places_of_a_regular_expression(spark):
+    import re
+
+    text = "é😀 [[A]] x [[A]] ![[B|b]] [t](u v) ![no](x) [[C#h]] " * 30 + "[[A]]"
+    got = spark.createDataFrame([(text,)], "t string").select(markdown.wikilinks(F.col("t"), 5).alias("w"), markdown.links(F.col("t"), 5).alias("l")).first()
+    for found, pattern in ((got.w, r"(!)?\[\[([^\]]+)\]\]"), (got.l, r"(?<!!)\[([^\]]*)\]\(([^)]+)\)")):
+        want = [(m.start(), m.end(), m[0], text[max(0, m.start() - 5) : m.start()], text[m.end() : m.end() + 5]) for m in re.finditer(pattern, text)]
+        assert [(x.start, x.end, x.original, x.before, x.after) for x in found] == want and len(want) >= 30
+
+
+def test_frontmatter_keeps_every_key_and_the_last_of_equals(spark):
+    text = "---\ntitle: A\n# no: comment\ncreated at: x:y\n  indented :  v  \nempty:\ntitle: B\nno colon\n---\nbody"
+    r = spark.createDataFrame([(text,), ("plain",), ("---\n\n---\nx",)], "t string").select(markdown.frontmatter(F.col("t")).alias("f"), markdown.without_frontmatter(F.col("t")).alias("b")).collect()
+    assert r[0].f == {"created at": "x:y", "indented": "v", "empty": "", "title": "B"} and r[0].b == "body" and r[1].f is None and r[2].f == {} and r[2].b == "x"
+
+
+def test_paths_that_go_above_their_root(spark):
+    cases = [("a/b.md", "../../../x.md", None), ("a/b.md", "../x.md", "x.md"), ("a/b.md", "..\\c/./d.md", "c/d.md"), ("b.md", "/../x.md", None), ("b.md", "/x//y.md#h|s", "x/y.md")]
+    got = spark.createDataFrame(cases, "p string, r string, w string").select("w", vault.bundle_target(F.col("p"), F.col("r")).alias("g")).collect()
+    assert all(x.g == x.w for x in got)
+    paths = spark.createDataFrame([("a\\b.md", "a/b.md", None), ("..\\x", "../x", "path_outside"), ("/a", "/a", "path_outside"), (".//", "", "path_required")], "p string, n string, r string")
+    assert all(x.n == x.g and x.r == x.f for x in paths.select("n", "r", vault.normal_path(F.col("p")).alias("g"), vault.path_refusal(F.col("p")).alias("f")).collect())
+
+
+def test_one_row_a_key_after_puts_and_patches(spark):
+    table = spark.createDataFrame([("a", None, 1), ("b", "k", 2)], "x string, y string, v int")
+    rows = spark.createDataFrame([("a", None, 5, 2), ("a", None, 9, 1), ("c", "k", 3, 1), ("c", "k", 4, 2)], "x string, y string, v int, n int")
+    assert sorted(map(str, writes.put(table, rows, ["x", "y"], "n").collect())) == sorted(["Row(x='a', y=None, v=5)", "Row(x='b', y='k', v=2)", "Row(x='c', y='k', v=4)"])
+    had = spark.createDataFrame([("i1", "s", "t", "k", "old", "c0", "2024-01-01", "2024-01-01"), ("i2", "s", "t", None, "n", "c1", "2024-01-01", "2024-01-01")], "id string, scope string, type string, key string, title string, content string, created_at string, updated_at string")
+    patches = spark.createDataFrame([(1, "s", "t", "k", "one", "c2"), (2, "s", "t", "k", "two", None), (3, "s", "t", None, None, "c3"), (4, "s", "t", "new", "x", None), (5, "s", "t", "new", "y", "z")], "n int, scope string, type string, key string, title string, content string")
+    got = writes.upserted(had, patches, F.lit("2024-02-02"), "n").collect()
+    assert sorted((r.key or "", r.title, r.content, r.updated_at) for r in got) == [("", "n", "c3", "2024-02-02"), ("k", "two", "c2", "2024-02-02"), ("new", "y", "z", "2024-02-02")]
 
 
 def test_notes_are_written_and_read_again(spark):
