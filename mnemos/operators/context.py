@@ -151,20 +151,26 @@ def described(records: DataFrame, relations: DataFrame) -> DataFrame:
 
 
 def namespaces_intersected(left: DataFrame, right: DataFrame, ids: tuple) -> DataFrame:
-    """The selectors that two lists allow together: compatible pairs merged, without repeats. Both lists are small; null in an id allows any.
+    """The selectors that two lists allow together: compatible pairs merged, without repeats; null in an id allows any.
 
-    Every pair is looked at, so lists are of a stated size at most.
+    Selectors meet by the ids that both have set, for each pair of the patterns of set ids that there are (at most two to the number of ids on a side): joins by key, no
+    pairs of all selectors.
     """
-    most = 10_000
-    a, b = left.limit(most + 1), right.limit(most + 1)
-    if a.count() > most or b.count() > most:
-        raise ValueError(f"at most {most} selectors")
-    r = F.broadcast(b.select(*(F.col(i).alias(f"_{i}") for i in ids)))
-    fits = None
-    for i in ids:
-        test = F.col(i).isNull() | F.col(f"_{i}").isNull() | (F.col(i) == F.col(f"_{i}"))
-        fits = test if fits is None else fits & test
-    return a.join(r, fits).select(*(F.coalesce(i, f"_{i}").alias(i) for i in ids)).distinct()
+    pattern = F.concat(*(F.when(F.col(i).isNull(), "0").otherwise("1") for i in ids))
+    a, b = left.select(*ids, pattern.alias("_p")).distinct(), right.select(*ids, pattern.alias("_p")).distinct()
+    patterns = [[r["_p"] for r in side.select("_p").distinct().collect()] for side in (a, b)]
+    if not all(patterns):
+        return a.select(*ids).limit(0)
+
+    def keyed(side: DataFrame, others: list[str], mine_first: bool) -> DataFrame:
+        out = side.withColumn("_o", F.explode(F.array(*map(F.lit, sorted(others)))))
+        both = [F.when((F.substring("_p", i + 1, 1) == "1") & (F.substring("_o", i + 1, 1) == "1"), F.col(x)) for i, x in enumerate(ids)]
+        pair = ("_p", "_o") if mine_first else ("_o", "_p")
+        return out.withColumn("_k", F.to_json(F.struct(*(F.col(c).alias(f"p{j}") for j, c in enumerate(pair)), *(c.alias(f"c{i}") for i, c in enumerate(both)))))
+
+    x, y = keyed(a, patterns[1], True), keyed(b, patterns[0], False)
+    met = x.select("_k", *ids).join(y.select("_k", *(F.col(i).alias(f"_{i}") for i in ids)), "_k")
+    return met.select(*(F.coalesce(i, f"_{i}").alias(i) for i in ids)).distinct()
 
 
 # Modes of a context package: items (id, kind, score, snippet) with whether they are in the budget.

@@ -8,10 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mnemos.operators.graph import visible
+from mnemos.operators.needles import met
 from mnemos.operators.vault import stable_id
 
 #: Least characters of a name that is looked for, and characters that a name is first looked up by.
-LEAST, PROBE = 3, 3
+LEAST = 3
 
 
 # Properties of a record come from three maps; the last one that has a key wins.
@@ -131,19 +132,14 @@ def mention_targets(records: DataFrame, blocks: DataFrame | None = None) -> Data
 def unlinked_mentions(records: DataFrame, targets: DataFrame, links: DataFrame, context_chars: int = 80) -> DataFrame:
     """(candidate_id, source_id, target_id, matched_text, kind, context): texts that have a target's name, without case, and no link to it.
 
-    A text meets a name on the name's first characters, of which each text has every run once, so names and texts are joined by key; the
-    names found are then looked for in full. A record doesn't mention itself; the first place counts.
+    Names are met by the rarest of their runs of characters, so a beginning that all names share costs nothing. A record doesn't mention itself; the first place counts.
     """
-    n = targets.withColumn("_low", F.lower("matched_text")).withColumn("_probe", F.substring("_low", 1, PROBE))
-    probes = n.select("_probe").distinct()
-    text = F.lower(F.coalesce("content", F.lit("")))
-    runs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - (PROBE - 1))), lambda i: F.substring(text, i, F.lit(PROBE))))
-    near = records.select(F.col("id").alias("source_id"), F.explode(runs).alias("_probe")).join(probes, "_probe", "left_semi")
-    pairs = near.join(n, "_probe").where("source_id <> target_id").drop("_probe")
+    names = targets.withColumn("_low", F.lower("matched_text"))
+    texts = records.select("id", F.lower("content").alias("text"))
+    pairs = met(texts, names.select(F.col("_low").alias("needle_id"), F.col("_low").alias("needle"))).select(F.col("id").alias("source_id"), F.col("needle_id").alias("_low"))
+    pairs = pairs.join(names, "_low").where("source_id <> target_id")
     pairs = pairs.join(links.select(F.col("source_record_id").alias("source_id"), F.col("target_record_id").alias("target_id")), ["source_id", "target_id"], "left_anti")
-    met = pairs.join(records.select(F.col("id").alias("source_id"), "content"), "source_id")
-    at = F.call_function("instr", F.lower("content"), F.col("_low"))
-    found = met.withColumn("_at", at).where("_at > 0")
+    found = pairs.join(records.select(F.col("id").alias("source_id"), "content"), "source_id").withColumn("_at", F.call_function("instr", F.lower("content"), F.col("_low")))
     return found.select(stable_id("mention", "source_id", "target_id", "kind", "matched_text").alias("candidate_id"), "source_id", "target_id", "matched_text", "kind", bounded(F.col("content"), F.col("_at"), F.length("matched_text"), context_chars).alias("context"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from mnemos.operators import context as c
 from mnemos.plans.graph_queries import _BOTH, _EDGES
 from mnemos.plans.record_queries import _RECORDS
+from mnemos.plans.typed_queries import made
 from mnemos.sources import bundles
 from mnemos.sources import tables as t
 
@@ -104,12 +105,16 @@ def schema_description(spark, sf) -> DataFrame:
     return c.described(r, relations).withColumn("types", F.concat_ws(",", "types"))
 
 
-@query("SELECT * FROM (VALUES ('t1', 'u1', NULL), ('t1', 'u2', 'p1')) AS x(tenant_id, user_id, project_id)")
+_LEFT = "SELECT DISTINCT CAST(c_nationkey AS VARCHAR(9)) AS tenant_id, CASE WHEN c_acctbal > 5000 THEN substr(c_mktsegment, 1, 4) END AS user_id, CAST(NULL AS VARCHAR(9)) AS project_id FROM customer"
+_RIGHT = "SELECT DISTINCT CASE WHEN s_acctbal > 2000 THEN CAST(s_nationkey AS VARCHAR(9)) END AS tenant_id, CASE WHEN s_acctbal > 6000 THEN 'BUIL' WHEN s_acctbal > 3000 THEN 'AUTO' END AS user_id, CASE WHEN s_acctbal < 5000 THEN concat('p', s_nationkey) END AS project_id FROM supplier"
+
+
+@query(
+    f"""SELECT DISTINCT coalesce(a.tenant_id, b.tenant_id) AS tenant_id, coalesce(a.user_id, b.user_id) AS user_id, coalesce(a.project_id, b.project_id) AS project_id FROM ({_LEFT}) a JOIN ({_RIGHT}) b
+ON (a.tenant_id IS NULL OR b.tenant_id IS NULL OR a.tenant_id = b.tenant_id) AND (a.user_id IS NULL OR b.user_id IS NULL OR a.user_id = b.user_id) AND (a.project_id IS NULL OR b.project_id IS NULL OR a.project_id = b.project_id)"""
+)
 def namespace_intersect(spark, sf) -> DataFrame:
-    schema = "tenant_id string, user_id string, project_id string"
-    left = spark.createDataFrame([("t1", None, None), ("t2", None, "p2")], schema)
-    right = spark.createDataFrame([("t1", "u1", None), (None, "u2", "p1"), ("t3", None, None)], schema)
-    return c.namespaces_intersected(left, right, ("tenant_id", "user_id", "project_id"))
+    return c.namespaces_intersected(made(spark, sf, _LEFT), made(spark, sf, _RIGHT), ("tenant_id", "user_id", "project_id"))
 
 
 @query(f"WITH {_RECORDS}, k AS (SELECT id FROM r WHERE lang = 'en' ORDER BY id LIMIT 200), e AS (SELECT 'doc-' || doc_id AS src, 'doc-' || (doc_id * 2 % 1000) AS dst FROM documents) SELECT src, dst FROM e WHERE src IN (SELECT id FROM k) AND dst IN (SELECT id FROM k)")

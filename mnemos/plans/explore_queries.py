@@ -271,10 +271,17 @@ def retention_applied(spark, sf) -> DataFrame:
     return out.select("doc_id", "lang", F.col("valid_to").isNotNull().alias("closed"), F.col("retrieval_visibility").alias("visibility"))
 
 
-@query("SELECT * FROM (VALUES ('name', 'title', NULL), ('when', 'at', 'lossy_field'), ('odd', NULL, 'unknown_field'), ('must', NULL, 'required_missing')) AS v(field, target, diagnostic)")
+_FIELDS = "SELECT DISTINCT p_brand AS field FROM part WHERE p_size < 20"
+_MAPPINGS = "SELECT p_brand AS source_field, concat('to-', p_brand) AS target_field, min(p_retailprice) < 950 AS lossy, max(p_size) > 45 AS required FROM part WHERE p_retailprice > 940 AND p_partkey % 3 = 0 GROUP BY p_brand"
+
+
+@query(
+    f"""WITH f AS ({_FIELDS}), m AS ({_MAPPINGS})
+SELECT field, (SELECT target_field FROM m WHERE source_field = field) AS target, CASE WHEN field NOT IN (SELECT source_field FROM m) THEN 'unknown_field' WHEN field IN (SELECT source_field FROM m WHERE lossy) THEN 'lossy_field' END AS diagnostic FROM f
+UNION ALL SELECT source_field, NULL, 'required_missing' FROM m WHERE required AND source_field NOT IN (SELECT field FROM f)"""
+)
 def profile_mapping(spark, sf) -> DataFrame:
-    mappings = spark.createDataFrame([("name", "title", False, True), ("when", "at", True, False), ("must", "m", False, True), ("may", "x", False, False)], "source_field string, target_field string, lossy boolean, required boolean")
-    return policy.profile_plan(spark.createDataFrame([("name",), ("when",), ("odd",)], "field string"), mappings)
+    return policy.profile_plan(made(spark, sf, _FIELDS), made(spark, sf, _MAPPINGS))
 
 
 @query("SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'missing:name' WHEN doc_id % 4 = 1 THEN 'choice:color' WHEN doc_id % 4 = 2 THEN 'unknown:more' ELSE '' END AS problems FROM documents")

@@ -265,10 +265,17 @@ def vault_rename_plan(spark, sf) -> DataFrame:
     return vault.rename_plan(made(spark, sf, _LINKED), renames, spark.createDataFrame([("notes/b.md",)], "path string"))[0].select("link_id", "raw_target", "target_path")
 
 
-@query("SELECT p AS path, r AS refusal FROM (VALUES ('a/b', NULL), ('', 'path_required'), ('.', 'path_required'), ('/a', 'path_outside'), ('a/../b', 'path_outside'), ('a//b', NULL), ('./a', NULL)) AS v(p, r)")
+#: Paths of urls as they are, with backslashes, above their root, relative, with empty parts, and blank.
+_PATHS = "SELECT page_id, CASE page_id % 6 WHEN 0 THEN url WHEN 1 THEN replace(url, '/', chr(92)) WHEN 2 THEN concat('..', chr(92), url) WHEN 3 THEN concat('/', url) WHEN 4 THEN concat('./', replace(url, '://', '/../')) ELSE CASE WHEN page_id % 4 = 1 THEN './/' ELSE concat('a..b', replace(url, ':', '')) END END AS path FROM pages"
+
+
+@query(
+    f"""WITH x AS ({_PATHS}), y AS (SELECT page_id, path, replace(path, chr(92), '/') AS s FROM x), z AS (SELECT *, [p FOR p IN string_split(s, '/') IF p NOT IN ('', '.')] AS parts FROM y),
+n AS (SELECT *, CASE WHEN s[1] = '/' THEN '/' ELSE '' END || array_to_string(parts, '/') AS normal FROM z)
+SELECT page_id, normal, CASE WHEN normal = '' THEN 'path_required' WHEN normal[1] = '/' OR list_contains(parts, '..') THEN 'path_outside' END AS refusal FROM n"""
+)
 def path_checks(spark, sf) -> DataFrame:
-    rows = spark.createDataFrame([(p,) for p in ("a/b", "", ".", "/a", "a/../b", "a//b", "./a")], "path string")
-    return rows.select("path", vault.path_refusal(F.col("path")).alias("refusal"))
+    return made(spark, sf, _PATHS).select("page_id", vault.normal_path(F.col("path")).alias("normal"), vault.path_refusal(F.col("path")).alias("refusal"))
 
 
 _BUNDLE = """SELECT CASE doc_id % 5 WHEN 0 THEN 'd' || doc_id || '/index.md' WHEN 1 THEN 'd' || doc_id || '/log.md' WHEN 2 THEN 'references/r' || doc_id || '.md' ELSE 'c/n' || doc_id || '.md' END AS path, CASE WHEN doc_id % 3 = 0 THEN 'thing' END AS type, doc_id, CASE WHEN doc_id % 11 = 0 THEN '  ' ELSE '- before' || chr(10) || '## Citations' || chr(10) || '- [Lab](../x/y.md#h)' || chr(10) || 'text' || chr(10) || '* https://s.org/p' || chr(10) || '# Next' || chr(10) || '- [after](/z.md): what' END AS body FROM documents"""
@@ -318,7 +325,12 @@ def shortened_texts(spark, sf) -> DataFrame:
     return d.select("doc_id", shortened(F.col("text"), 100 + F.col("doc_id") % 50, F.lit(120)).alias("short"))
 
 
-@query("SELECT s AS said, CAST(a AS BIGINT) AS seconds FROM (VALUES ('2024-01-01T00:00:00Z', 1704067200), ('2024-01-01T01:00:00+01:00', 1704067200), ('2024-01-01T00:00:00', 1704067200), ('nonsense', NULL), ('2024-01-01', 1704067200)) AS v(s, a)")
+_SAID = "SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN concat(substr(CAST(o_orderdate AS VARCHAR(40)), 1, 10), 'T12:30:00Z') WHEN 1 THEN concat(substr(CAST(o_orderdate AS VARCHAR(40)), 1, 10), 'T01:00:00+01:00') WHEN 2 THEN concat(substr(CAST(o_orderdate AS VARCHAR(40)), 1, 10), 'T23:59:59') WHEN 3 THEN substr(CAST(o_orderdate AS VARCHAR(40)), 1, 10) ELSE o_orderpriority END AS said FROM orders"
+
+
+@query(
+    f"""SELECT o_orderkey, said, epoch_ms(o_orderdate::DATE::TIMESTAMP) // 1000 + CASE WHEN said LIKE '%Z' THEN 45000 WHEN said LIKE '%+01:00' THEN 0 WHEN length(said) = 19 THEN 86399 WHEN regexp_matches(said, '^[0-9-]{{10}}$') THEN 0 END AS seconds
+FROM ({_SAID}) JOIN orders USING (o_orderkey)"""
+)
 def iso_times(spark, sf) -> DataFrame:
-    rows = spark.createDataFrame([(s,) for s in ("2024-01-01T00:00:00Z", "2024-01-01T01:00:00+01:00", "2024-01-01T00:00:00", "nonsense", "2024-01-01")], "said string")
-    return rows.select("said", F.unix_timestamp(iso_time(F.col("said"))).alias("seconds"))
+    return made(spark, sf, _SAID).select("o_orderkey", "said", F.unix_timestamp(iso_time(F.col("said"))).alias("seconds"))
