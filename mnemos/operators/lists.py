@@ -58,7 +58,7 @@ KINDS = {
 DERIVED = {"touched_at": lambda: F.coalesce("updated_at", "created_at"), "line": lambda: F.coalesce("line_start", F.lit(0))}
 
 
-def listing(df: DataFrame, kind: str, limit: int | None = None, offset: int = 0, namespaces: list | None = None, include_invalidated: bool = False, after: str | None = None, before: str | None = None, **filters) -> DataFrame:
+def listing(df: DataFrame, kind: str, /, limit: int | None = None, offset: int = 0, namespaces: list | None = None, include_invalidated: bool = False, after: str | None = None, before: str | None = None, **filters) -> DataFrame:
     """The rows of a table of this kind. after and before: bounds of its time, both inclusive. A filter that the kind has not is an error."""
     k = KINDS[kind]
     known = {*k.equal, *k.among, *(name for name, _ in k.holds)}

@@ -110,7 +110,7 @@ def view_kept_up(spark, sf) -> DataFrame:
     orders = t.table(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("object_id"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("price"))
     lines = t.table(spark, sf, "lineitem")
     payload = F.to_json(F.struct(F.col("l_linestatus").alias("status"), F.col("l_extendedprice").alias("price")))
-    events = lines.select((F.col("l_linenumber") * 10**9 + F.round(F.col("l_extendedprice") * 100).cast("long")).alias("cursor"), F.col("l_orderkey").cast("string").alias("object_id"), F.when(F.col("l_returnflag") == "R", "delete").otherwise("put").alias("operation"), payload.alias("payload"))
+    events = lines.select((F.col("l_linenumber").cast("long") * 10**9 + F.round(F.col("l_extendedprice") * 100).cast("long")).alias("cursor"), F.col("l_orderkey").cast("string").alias("object_id"), F.when(F.col("l_returnflag") == "R", "delete").otherwise("put").alias("operation"), payload.alias("payload"))
     new = lambda e: e.select("object_id", F.from_json("payload", "status string, price double").alias("p")).select("object_id", "p.*").where("price > 5000")
     _, groups, _ = view_upkeep.maintained(orders, view_upkeep.summarised(orders, "status", ["price"]), events, new, "status", ["price"], 0)
     return groups.withColumn("sum_price", F.round(F.col("sum_price").cast("double"), 2))
