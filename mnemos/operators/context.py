@@ -15,7 +15,7 @@ ACTIVE_STATES, NARROW_STATES = ("trusted", "pinned"), ("provisional",)
 
 
 def local_context(records: DataFrame, seeds: DataFrame, edges: DataFrame, most_paths: int, most_items: int) -> DataFrame:
-    """(id, scope, score, via, included): seeds (id, position) first, then records one edge away, each with the edge that first reached it.
+    """(id, scope, score, via, included, position): seeds (id, position) first, then records one edge away, each with the edge that first reached it.
 
     Each seed looks at its newest `most_paths` edges (edge_id, src, dst, created_at); seeds go in order of position.
     """
@@ -30,8 +30,9 @@ def local_context(records: DataFrame, seeds: DataFrame, edges: DataFrame, most_p
     items = s.select("id", F.lit("seed").alias("scope"), F.lit(1.0).alias("score"), F.lit(None).cast("string").alias("via"), F.lit(0).alias("_a"), F.col("position").cast("long").alias("_b"), F.lit(0).alias("_c")).unionByName(
         first.select(F.col("_to").alias("id"), F.lit("neighbor").alias("scope"), F.lit(0.5).alias("score"), F.col("_f.edge_id").alias("via"), F.lit(1).alias("_a"), F.col("_f.position").cast("long").alias("_b"), F.col("_f._n").alias("_c"))
     )
-    kept = items.orderBy("_a", "_b", "_c", "id").limit(most_items).select("id", F.lit(True).alias("_in"))
-    return items.join(kept, "id", "left").select("id", "scope", "score", "via", F.coalesce("_in", F.lit(False)).alias("included"))
+    order = ["_a", "_b", "_c", "id"]
+    kept = items.orderBy(*order).limit(most_items).select("id", F.row_number().over(Window.orderBy(*order)).cast("long").alias("position"))  # of most_items rows
+    return items.join(kept, "id", "left").select("id", "scope", "score", "via", F.col("position").isNotNull().alias("included"), "position")
 
 
 def summary_context(requests: DataFrame, summaries: DataFrame, most: int, include_invalidated: bool = False) -> DataFrame:

@@ -7,7 +7,8 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mnemos.operators.graph import visible
+from mnemos.functions.shared import settled
+from mnemos.operators.graph import degrees, local_graph, neighbours, planned, shortest_paths, visible
 from mnemos.operators.needles import met
 from mnemos.operators.vault import stable_id
 
@@ -178,25 +179,94 @@ def page(rows: DataFrame, order: list, request: dict, limit: int) -> tuple[DataF
     return ahead.limit(limit), next_cursor(request, start + limit) if more else None
 
 
-def packet(records: DataFrame, edges: DataFrame, links: DataFrame, query: str, filters: dict, limit: int, context_chars: int = 160) -> dict[str, DataFrame]:
-    """Tables of one exploration: the page's hits, the edges between them, facets of sources and tags, and unlinked mentions.
+def backlinks(links: DataFrame, record: str, kinds: tuple = (), types: tuple = (), limit: int | None = None) -> DataFrame:
+    """Links (link_id, source_record_id, target_record_id, link_kind, relation_type) to a record, by source and link; of some kinds and relation types, if wanted."""
+    return _of_kind(links.where(F.col("target_record_id") == record), kinds, types, ["source_record_id", "link_id"], limit)
 
-    The page comes first, by updated_at and id, and the filters run on it.
+
+def outgoing(links: DataFrame, record: str, kinds: tuple = (), types: tuple = (), limit: int | None = None) -> DataFrame:
+    """Links from a record, by place and link."""
+    return _of_kind(links.where(F.col("source_record_id") == record), kinds, types, ["link_id"], limit)
+
+
+def _of_kind(links: DataFrame, kinds: tuple, types: tuple, order: list, limit: int | None) -> DataFrame:
+    """The limit counts links of the wanted relation types; kinds are looked at on the page."""
+    out = (links.where(F.col("relation_type").isin(*types)) if types else links).orderBy(*order)
+    out = out.limit(limit) if limit is not None else out
+    return out.where(F.col("link_kind").isin(*kinds)) if kinds else out
+
+
+def all_facets(records: DataFrame, nodes: DataFrame, links: DataFrame, communities: DataFrame) -> DataFrame:
+    """(field, value, n) of nine fields: a record's scope, type, tier, source and tags, whether a node is an orphan, a link's kind and relation type, and communities by their size."""
+    of = lambda *columns: F.array(*(F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias("value")) for c in columns))
+    tags = F.transform(F.coalesce("tags", F.array().cast("array<string>")), lambda x: F.struct(F.lit("tag").alias("field"), x.alias("value")))
+    rows = records.select(F.inline(F.concat(of("scope", "type", "tier", "source"), tags)))
+    rows = rows.unionByName(nodes.select(F.lit("orphan").alias("field"), F.col("orphan").cast("string").alias("value"))).unionByName(links.select(F.inline(of("link_kind", "relation_type"))))
+    counted = rows.where("value is not null").groupBy("field", "value").agg(F.count("*").alias("n"))
+    return counted.unionByName(communities.select(F.lit("community").alias("field"), F.col("label").alias("value"), F.col("size").cast("long").alias("n")))
+
+
+def packet(records: DataFrame, edges: DataFrame, links: DataFrame, query: str, filters: dict, limit: int, context_chars: int = 160, root: str | None = None, depth: int = 1, link_kinds: tuple = (), labels: DataFrame | None = None, cursor: str | None = None) -> dict:
+    """Tables of one exploration, and the cursor of the next page under `next_cursor`.
+
+    The page comes first, by updated_at and id, and the filters run on it. hits; edges between them; graph: nodes around the root (the first hit if none is given) with their
+    degrees; backlinks and outgoing links of the root; paths: the shortest from the root to each other hit within the graph; common: nodes next to both; communities with a hit
+    (of labels: node_id, label) and source_sets of theirs; facets; mentions without a link; navigation: what can be opened next; plan: rows of each stage.
     """
+    request = {"query": query, "filters": {k: list(v) if isinstance(v, (list, tuple)) else v for k, v in filters.items()}, "limit": limit, "root": root, "cursor": cursor}
     needle = query.lower()
     match = F.lower(F.concat_ws("\n", "title", "key", "content", F.array_join("tags", " "))).contains(needle)
-    paged = records.where(match).orderBy(F.desc("updated_at"), "id").limit(limit)
+    paged, following = page(records.where(match), [F.desc("updated_at"), F.asc("id")], request, limit)
+    paged = settled(paged)
     kept = filtered(paged, **filters)
-    facets = kept.select(F.lit("source").alias("field"), F.col("source").alias("value")).unionByName(kept.select(F.lit("tag").alias("field"), F.explode("tags").alias("value")))
-    return {
-        "hits": hits(kept, query, context_chars),
-        "edges": visible(edges, kept.select(F.col("id").alias("node_id"))),
-        "facets": facets.groupBy("field", "value").agg(F.count("*").alias("n")).orderBy("field", "value"),
-        "mentions": unlinked_mentions(kept, mention_targets(kept), links, context_chars),
-    }
-
-
-def saved(requests: DataFrame, name: str, records: DataFrame, edges: DataFrame, links: DataFrame) -> dict[str, DataFrame]:
+    shown = settled(hits(kept, query, context_chars).join(kept.select("id", "updated_at"), "id"))
+    first = shown.orderBy(F.desc("updated_at"), "id").first()
+    root = root or (first["id"] if first else None)
+    no_links, no_labels = links.limit(0), labels if labels is not None else kept.select(F.col("id").alias("node_id"), F.col("id").alias("label")).limit(0)
+    graph_edges = edges.select("edge_id", "src", "dst")
+    near = settled(local_graph(graph_edges, root, depth).select("node_id", "depth")) if root else kept.select(F.col("id").alias("node_id"), F.lit(0).alias("depth")).limit(0)
+    nodes = degrees(near.select("node_id"), graph_edges, False).withColumn("orphan", F.col("degree") == 0).join(near, "node_id")
+    has = set(links.columns)
+    full = links.withColumns({c: F.lit(None).cast("string") for c in ("link_id", "link_kind", "relation_type", "display", "raw_target") if c not in has})
+    to, out = (backlinks(full, root, link_kinds, limit=limit), outgoing(full, root, link_kinds, limit=limit)) if root else (no_links, no_links)
+    others = shown.where(F.col("id") != F.lit(root)).select(F.col("id").alias("node_id"))
+    inner = visible(graph_edges, near.select("node_id"))
+    source = records.sparkSession.createDataFrame([(root,)] if root else [], "node_id string")
+    paths = settled(shortest_paths(inner, source, others, max(1, depth)))
+    next_to = neighbours(inner).select("node", "neighbour").distinct()
+    both = next_to.where(F.col("node") == F.lit(root)).select(F.col("neighbour").alias("common")).join(next_to.select(F.col("node").alias("id"), F.col("neighbour").alias("common")), "common").join(others.withColumnRenamed("node_id", "id"), "id", "left_semi").where(F.col("common") != F.col("id")).select("id", "common")
+    mine = no_labels.join(shown.select(F.col("id").alias("node_id")), "node_id", "left_semi").select("label").distinct()
+    communities = no_labels.join(mine, "label", "left_semi").groupBy("label").agg(F.count("*").alias("size"), F.min("node_id").alias("seed"))
+    sources = no_labels.join(mine, "label", "left_semi").join(records.select(F.col("id").alias("node_id"), "source"), "node_id").groupBy("label", F.concat(F.lit("source:"), "source").alias("key")).agg(F.count("*").alias("n"))
+    found = unlinked_mentions(kept, mention_targets(kept), links, context_chars)
+    act = lambda df, action, record, label: df.select(F.lit(action).alias("action"), record.alias("id"), label.cast("string").alias("label"))
+    size = F.concat(F.lit("community of "), F.col("size"))
+    both_ways = to.unionByName(out, allowMissingColumns=True)
+    steps = [
+        act(source, "open_root", F.col("node_id"), F.lit("root")),
+        act(shown, "open_hit", F.col("id"), F.coalesce("title", "id")),
+        *((act(to, "follow_backlink", F.col("source_record_id"), F.coalesce("display", "raw_target")), act(out.where("target_record_id is not null"), "follow_outgoing_link", F.col("target_record_id"), F.coalesce("display", "raw_target"))) if root else ()),
+        act(paths, "inspect_path", F.col("target"), F.concat(F.size("hops"), F.lit(" hops"))),
+        act(both, "open_common_neighbor", F.col("common"), F.col("id")),
+        act(nodes.where("orphan"), "open_orphan", F.col("node_id"), F.col("node_id")),
+        act(communities, "open_community", F.col("seed"), size),
+        act(communities, "filter_community", F.col("seed"), size),
+        act(found, "apply_repair_candidate", F.col("candidate_id"), F.col("matched_text")),
+    ]
+    navigation = steps[0]
+    for s in steps[1:]:
+        navigation = navigation.unionByName(s)
+    facets = all_facets(with_columns(kept), nodes, both_ways if root else full.limit(0), communities)
+    stages = {"page": paged, "filters": shown, "graph": near, "backlinks": to, "outgoing_links": out, "paths": paths, "communities": communities, "mentions": found}
+    return {"hits": shown.drop("updated_at"), "edges": visible(edges, kept.select(F.col("id").alias("node_id"))), "graph": nodes, "backlinks": to, "outgoing_links": out, "paths": paths, "common": both, "communities": communities, "source_sets": sources, "facets": facets, "mentions": found, "navigation": navigation, "plan": planned(stages), "next_cursor": following}
+
+
+def with_columns(records: DataFrame) -> DataFrame:
+    """records with null columns where facets look for one that isn't there."""
+    return records.withColumns({c: F.lit(None).cast("string") for c in ("scope", "type", "tier", "source") if c not in records.columns})
+
+
+def saved(requests: DataFrame, name: str, records: DataFrame, edges: DataFrame, links: DataFrame) -> dict:
     """The packet of a stored request (name, request: JSON of query, filters, limit); ValueError if there is none of this name."""
     found = requests.where(F.col("name") == name).select("request").first()
     if found is None:

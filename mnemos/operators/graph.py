@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from mnemos.functions.columns import uuid5
 from mnemos.functions.shared import settled
+from mnemos.operators.ranges import numbered
 
 #: The most sweeps of label propagation; the namespace of URL-named UUIDs.
 SWEEPS, URL_NAMESPACE = 25, "6ba7b811-9dad-11d1-80b4-00c04fd430c8"
@@ -259,9 +260,9 @@ def layout(labels: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def membership_ranks(labels: DataFrame, degree: DataFrame) -> DataFrame:
-    """Place of each node in its group, by degree and then id."""
-    w = Window.partitionBy("label").orderBy(F.desc("degree"), "node_id")
-    return labels.join(degree.select("node_id", "degree"), "node_id").withColumn("rank", F.row_number().over(w))
+    """Place of each node in its group, by degree and then id. Groups are numbered by ranges, so none has to fit in a task."""
+    members = labels.join(degree.select("node_id", "degree"), "node_id")
+    return numbered(members, ["label"], [F.desc("degree"), F.asc("node_id")], "rank")
 
 
 # What an external graph store answers, on the tables

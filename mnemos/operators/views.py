@@ -62,8 +62,13 @@ def viewed(df: DataFrame, where=None, formulas: dict | None = None, columns: lis
 
 
 def groups(df: DataFrame, by: str) -> DataFrame:
-    """(value, ids): the sorted ids of each value's text; null has no group."""
-    return df.where(F.col(by).isNotNull()).groupBy(F.col(by).cast("string").alias("value")).agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    """(value, id): a row for each member of the group of a value's text; null has no group. A group of any size is rows, never one list."""
+    return df.where(F.col(by).isNotNull()).select(F.col(by).cast("string").alias("value"), "id")
+
+
+def group_sizes(members: DataFrame) -> DataFrame:
+    """(value, n, first_id) of the rows of groups."""
+    return members.groupBy("value").agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
 
 
 def summaries(df: DataFrame, wanted: list[tuple[str, str]], by: list[str] | None = None) -> DataFrame:

@@ -34,7 +34,7 @@ def context_local_graph(spark, sf) -> DataFrame:
     nodes = t.nodes(spark, sf).select(F.col("node_id").alias("id"))
     seeds = spark.createDataFrame([("n1", 1), ("r0", 2), ("n2", 3), ("nowhere", 4)], "id string, position int")
     edges = t.edges(spark, sf).withColumn("created_at", F.lit("2024-01-01").cast("timestamp"))
-    return c.local_context(nodes, seeds, edges, 30, 40)
+    return c.local_context(nodes, seeds, edges, 30, 40).drop("position")
 
 
 @query(

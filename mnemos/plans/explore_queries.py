@@ -81,11 +81,36 @@ def explorer_second_page(spark, sf) -> DataFrame:
     return x.page(t.records(spark, sf).select("id", "updated_at"), order, request | {"cursor": cursor}, 40)[0].select("id")
 
 
-@query(f"WITH {_RECORDS}, p AS (SELECT * FROM r WHERE contains(lower(concat_ws(chr(10), title, content, lang)), 'license') ORDER BY updated_at DESC, id LIMIT 60) SELECT 'source' AS field, source AS value, count(*) AS n FROM p WHERE lang = 'en' GROUP BY ALL UNION ALL SELECT 'tag', lang, count(*) FROM p WHERE lang = 'en' GROUP BY ALL")
+#: A page of 60 records with the word, those of it in English, the newest of these, and its links: each document links to the next.
+_PAGE = f"""{_RECORDS}, p AS (SELECT * FROM r WHERE contains(lower(concat_ws(chr(10), title, content, lang)), 'license') ORDER BY updated_at DESC, id LIMIT 60), k AS (SELECT * FROM p WHERE lang = 'en'), root AS (SELECT max(doc_id) AS d FROM k),
+x AS (SELECT d AS x, 'out' AS way FROM root WHERE d IS NOT NULL UNION ALL SELECT d - 1, 'in' FROM root WHERE d - 1 IN (SELECT doc_id FROM r))"""
+
+
+def _packet(spark, sf) -> dict:
+    records = t.records(spark, sf)
+    k = F.col("doc_id")
+    links = records.select(F.concat(F.lit("l-"), k).alias("link_id"), F.col("id").alias("source_record_id"), F.concat(F.lit("doc-"), k + 1).alias("target_record_id"), F.when(k % 2 == 0, "wikilink").otherwise("embed").alias("link_kind"), F.when(k % 3 == 0, "related_to").alias("relation_type"), F.concat(F.lit("to "), k + 1).alias("raw_target"))
+    edges = links.select(F.col("link_id").alias("edge_id"), F.col("source_record_id").alias("src"), F.col("target_record_id").alias("dst"))
+    labels = records.select(F.col("id").alias("node_id"), F.col("source").alias("label"))
+    return x.packet(records, edges, links, "License", {"tags": ["en"]}, 60, labels=labels)
+
+
+@query(
+    f"""WITH {_PAGE} SELECT 'source' AS field, source AS value, count(*) AS n FROM k GROUP BY ALL UNION ALL SELECT 'tag', lang, count(*) FROM k GROUP BY ALL UNION ALL SELECT 'scope', scope, count(*) FROM k GROUP BY ALL UNION ALL SELECT 'tier', tier, count(*) FROM k GROUP BY ALL
+UNION ALL SELECT 'type', 'fact', count(*) FROM k HAVING count(*) > 0 UNION ALL SELECT 'orphan', 'false', count(*) + 1 FROM x HAVING count(*) > 0 UNION ALL SELECT 'link_kind', CASE WHEN x % 2 = 0 THEN 'wikilink' ELSE 'embed' END, count(*) FROM x GROUP BY ALL
+UNION ALL SELECT 'relation_type', 'related_to', count(*) FROM x WHERE x % 3 = 0 HAVING count(*) > 0 UNION ALL SELECT 'community', source, count(*) FROM r WHERE source IN (SELECT source FROM k) GROUP BY ALL"""
+)
 def explorer_packet(spark, sf) -> DataFrame:
-    links = spark.createDataFrame([], "source_record_id string, target_record_id string")
-    edges = spark.createDataFrame([], "edge_id string, src string, dst string")
-    return x.packet(t.records(spark, sf), edges, links, "License", {"tags": ["en"]}, 60)["facets"]
+    return _packet(spark, sf)["facets"]
+
+
+@query(
+    f"""WITH {_PAGE}, a AS (SELECT 'open_root' AS action, d AS id FROM root WHERE d IS NOT NULL UNION ALL SELECT 'open_hit', doc_id FROM k UNION ALL SELECT 'follow_backlink', x FROM x WHERE way = 'in' UNION ALL SELECT 'follow_outgoing_link', x + 1 FROM x WHERE way = 'out'
+UNION ALL SELECT 'inspect_path', doc_id FROM k, root WHERE abs(doc_id - d) = 1 UNION ALL SELECT c, s FROM (SELECT 'doc-' AS c, 0 AS s WHERE FALSE)), c AS (SELECT source, min(id) AS seed FROM r WHERE source IN (SELECT source FROM k) GROUP BY source)
+SELECT action, 'doc-' || id AS id FROM a UNION ALL SELECT 'open_community', seed FROM c UNION ALL SELECT 'filter_community', seed FROM c"""
+)
+def explorer_navigation(spark, sf) -> DataFrame:
+    return _packet(spark, sf)["navigation"].select("action", "id")
 
 
 # Retrieval and context

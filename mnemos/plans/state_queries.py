@@ -49,9 +49,10 @@ def view_summaries(spark, sf) -> DataFrame:
     return v.summaries(t.records(spark, sf), wanted, ["lang"]).withColumn("avg_confidence", F.round("avg_confidence", 9))
 
 
-@query(f"WITH {_RECORDS} SELECT CAST(access_count AS VARCHAR) AS value, string_agg(id, ',' ORDER BY id) AS ids FROM r WHERE tier = 'archival' GROUP BY access_count")
+@query(f"WITH {_RECORDS} SELECT CAST(access_count AS VARCHAR) AS value, id, count(*) OVER (PARTITION BY access_count) AS n, min(id) OVER (PARTITION BY access_count) AS first_id FROM r WHERE tier = 'archival'")
 def view_groups(spark, sf) -> DataFrame:
-    return v.groups(t.records(spark, sf).where("tier = 'archival'"), "access_count").select("value", F.concat_ws(",", "ids").alias("ids"))
+    members = v.groups(t.records(spark, sf).where("tier = 'archival'"), "access_count")
+    return members.join(v.group_sizes(members), "value")
 
 
 @query(f"WITH {_RECORDS} SELECT id, access_count FROM r ORDER BY CAST(access_count AS VARCHAR) DESC, id LIMIT 40")
