@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from mnemos.functions import markdown
 from mnemos.functions.columns import uuid5
 from mnemos.operators.graph import URL_NAMESPACE
+from mnemos.operators.writes import replaced
 
 
 def stable_id(prefix: str, *parts: Column | str) -> Column:
@@ -77,6 +78,34 @@ def import_plan(files: DataFrame, records: DataFrame, tombstone_missing: bool =
     return j.select("path", F.coalesce("_id", stable_id("vault-rec", "path")).alias("record_id"), action.alias("action")).where("action <> 'unseen'")
 
 
+def imported(files: DataFrame, plan: DataFrame, records: DataFrame, links: DataFrame, blocks: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """records, links and blocks after an import plan over files.
+
+    records: record_id, path, title, aliases, tags, body, properties, content_hash, is_deleted. Created and updated files become records under the plan's id, with their links and
+    blocks in place of the earlier ones; deleted and stale records stay as deleted, without links and blocks of their own. Assets and canvases have no text and become records with their name.
+    """
+    taken = plan.where(F.col("action").isin("create", "update")).select("path", F.col("record_id").alias("_id"))
+    texts = notes(files).drop("record_id")
+    other = files.where(file_kind(F.col("path")) != "markdown").select("path", F.substring_index("path", "/", -1).alias("title"), F.array().cast("array<string>").alias("aliases"), F.array().cast("array<string>").alias("tags"), F.lit(None).cast("string").alias("body"), F.lit(None).cast("map<string,string>").alias("properties"))
+    made = texts.unionByName(other).join(taken, "path").join(files.select("path", "content_hash"), "path").withColumnRenamed("_id", "record_id").withColumn("is_deleted", F.lit(False))
+    lost = plan.where(F.col("action").isin("delete", "stale")).select("record_id")
+    owners = taken.select(F.col("_id").alias("record_id")).unionByName(lost).distinct()
+    gone = records.join(lost.distinct(), "record_id", "left_semi").withColumn("is_deleted", F.lit(True)).select(*records.columns)
+    records_after = records.join(owners, "record_id", "left_anti").select(*records.columns).unionByName(gone).unionByName(made.select(*records.columns))
+    links_after = replaced(links, note_links(made).select(*links.columns), "source_record_id", owners.withColumnRenamed("record_id", "source_record_id"))
+    return records_after, links_after, replaced(blocks, note_blocks(made).select(*blocks.columns), "record_id", owners)
+
+
+def renamed(records: DataFrame, links: DataFrame, renames: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """records (record_id, path ..) and links (link_id, raw_target, target_path ..) after renames (old_path, new_path), and the renames that were refused as their new path exists."""
+    touched, conflicts = rename_plan(links, renames, records.select("path"))
+    free = renames.join(conflicts.select(F.col("path").alias("new_path")), "new_path", "left_anti").select("old_path", "new_path")
+    moved = records.join(free, records["path"] == free["old_path"], "left").select(*(F.coalesce("new_path", "path").alias(c) if c == "path" else records[c] for c in records.columns))
+    done = touched.join(free, ["old_path", "new_path"], "left_semi").select("link_id", F.col("raw_target").alias("_raw"), F.col("target_path").alias("_path"))
+    out = links.join(done, "link_id", "left").withColumns({"raw_target": F.coalesce("_raw", "raw_target"), "target_path": F.coalesce("_path", "target_path")}).select(*links.columns)
+    return moved, out, conflicts
+
+
 def plan_counts(plan: DataFrame) -> DataFrame:
     """One row: created, updated, deleted (stale ones too), stale and unchanged."""
     n = lambda *a: F.count(F.when(F.col("action").isin(*a), 1))
@@ -232,3 +261,32 @@ def board_relations(boards: DataFrame, relation_type: str | None, at: Column) ->
     both = ends.join(m, (F.col("board_id") == F.col("_b")) & (F.col("_e.to_node") == F.col("_to")))
     return both.select(F.concat_ws("-", F.lit("canvas"), "board_id", "_e.id").alias("relation_id"), "source_record_id", "target_record_id", F.lit(relation_type).alias("relation_type"), at.alias("created_at"))
 
+
+
+def bundle_imported(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """documents (path, kind, type, title, body, properties), links and findings (path, line, code, severity) of a bundle's Markdown files (path, content).
+
+    links: path, line (from 1, within the body), raw_target, link_kind, target (a path in the bundle), resolution_status: external, resolved if there is a document at the target, else
+    unresolved; an empty target is its own document. Paths that aren't usable, and files that aren't Markdown, are left out.
+    """
+    usable = files.where((file_kind(F.col("path")) == "markdown") & path_refusal(F.col("path")).isNull()).withColumn("path", normal_path(F.col("path")))
+    read = notes(usable.withColumn("deleted", F.lit(False)))
+    type_ = F.nullif(F.trim(markdown.scalar(F.col("properties")["type"])["text"]), F.lit(""))
+    documents = read.select("path", document_kind(F.col("path")).alias("kind"), type_.alias("type"), "title", "body", "properties")
+    raw = documents.select("path", "body", F.explode(F.concat(markdown.wikilinks(F.col("body")), markdown.links(F.col("body")))).alias("_l"))
+    line = F.size(F.split(F.substring(F.col("body"), F.lit(1), F.col("_l.start").cast("int")), "\n"))
+    found = raw.select("path", line.alias("line"), F.col("_l.raw").alias("raw_target"), F.col("_l.kind").alias("link_kind"))
+    bare = F.trim(F.substring_index(F.substring_index("raw_target", "|", 1), "#", 1))
+    target = F.when(bare == "", F.col("path")).otherwise(bundle_target(F.col("path"), F.col("raw_target")))
+    there = documents.select(F.col("path").alias("target"), F.lit(True).alias("_there"))
+    status = F.when(F.col("link_kind") == "external", "external").when(F.col("_there"), "resolved").otherwise("unresolved")
+    links = found.withColumn("target", target).join(there, "target", "left").select("path", "line", "raw_target", "link_kind", "target", status.alias("resolution_status"))
+    of_documents = findings(documents, links.limit(0)).select("path", F.lit(None).cast("int").alias("line"), "code", "severity")
+    climbs = F.when(F.col("target").isNull(), "target_outside_bundle").otherwise("unresolved_link")
+    lost = links.where("resolution_status = 'unresolved'").select("path", "line", climbs.alias("code"), F.lit("warning").alias("severity"))
+    return documents, links, of_documents.unionByName(lost)
+
+
+def bundle_exported(documents: DataFrame) -> DataFrame:
+    """(path, content, content_hash) of a bundle's documents: their frontmatter in the order of its keys, and their body; reading it again gives the same documents."""
+    return exported(documents)

@@ -256,6 +256,21 @@ def vault_first_files(spark, sf) -> DataFrame:
     return first.join(twice, "path").select("path", "doc_id", "skipped")
 
 
+@query(
+    f"""WITH x AS ({_NOTES}), a AS (SELECT path, 'Note ' || doc_id AS title, CASE WHEN doc_id % 10 = 0 THEN doc_id % 3 = 0 ELSE false END AS is_deleted, CASE WHEN doc_id % 10 = 0 OR doc_id % 3 = 0 AND doc_id % 8 > 0 THEN 0 ELSE 4 END AS n_links, doc_id FROM x)
+SELECT path, CASE WHEN doc_id % 3 = 0 AND (doc_id % 8 > 0 OR is_deleted) THEN 'was' ELSE title END AS title, is_deleted, n_links FROM a WHERE doc_id % 10 > 0 OR doc_id % 3 = 0"""
+)
+def vault_imported(spark, sf) -> DataFrame:
+    """Records and how many links each has, after an import over a third of the notes, some of them older and some deleted."""
+    files = _files(spark, sf).withColumn("deleted", F.col("doc_id") % 10 == 0)
+    none = F.lit(None).cast("map<string,string>")
+    had = files.where("doc_id % 3 = 0").select(F.concat(F.lit("r"), "doc_id").alias("record_id"), "path", F.lit("was").alias("title"), F.array().cast("array<string>").alias("aliases"), F.array().cast("array<string>").alias("tags"), F.lit("").alias("body"), none.alias("properties"), F.when(F.col("doc_id") % 8 == 0, "other").otherwise(F.col("content_hash")).alias("content_hash"), F.lit(False).alias("is_deleted"))
+    links, blocks = vault.note_links(vault.notes(files.limit(0))), vault.note_blocks(vault.notes(files.limit(0)))
+    records, links, _ = vault.imported(files, vault.import_plan(files, had.select("path", "record_id", "content_hash", "is_deleted")), had, links, blocks)
+    counts = links.groupBy(F.col("source_record_id").alias("record_id")).agg(F.count("*").alias("_n"))
+    return records.join(counts, "record_id", "left").select("path", "title", "is_deleted", F.coalesce("_n", F.lit(0)).alias("n_links"))
+
+
 _LINKED = "SELECT 'l' || doc_id AS link_id, CASE doc_id % 5 WHEN 0 THEN 'Notes/A' WHEN 1 THEN 'notes/a.md#Some Part' WHEN 2 THEN 'notes/a#^b7|alias' WHEN 3 THEN 'notes/b' ELSE 'elsewhere' END AS raw_target, CASE WHEN doc_id % 5 < 3 OR doc_id % 10 = 4 THEN 'notes/a.md' ELSE 'notes/b.md' END AS target_path FROM documents"
 
 
@@ -301,6 +316,27 @@ def bundle_index(spark, sf) -> DataFrame:
     return vault.index_entries(made(spark, sf, _BUNDLE))
 
 
+#: Documents as a bundle: each links to the next, to one above the bundle's root and to a site; every seventh has no type.
+_FILES = "SELECT concat('c/n', doc_id, '.md') AS path, concat(CASE WHEN doc_id % 7 = 0 THEN '' ELSE concat('---', chr(10), 'type: ', lang, chr(10), 'by: ', source, chr(10), '---', chr(10)) END, '# T', doc_id, chr(10), 'See [next](../c/n', doc_id + 1, '.md#p) and', chr(10), '[up](../../x.md) or [site](https://a.org/b c)', chr(10), substr(text, 1, 20)) AS content, doc_id FROM documents WHERE text IS NOT NULL"
+
+
+@query(
+    f"""WITH x AS ({_FILES}) SELECT path, 2 AS line, 'c/n' || (doc_id + 1) || '.md' AS target, CASE WHEN doc_id + 1 IN (SELECT doc_id FROM x) THEN 'resolved' ELSE 'unresolved' END AS resolution_status, CASE WHEN doc_id + 1 NOT IN (SELECT doc_id FROM x) THEN 'unresolved_link' END AS code FROM x
+UNION ALL SELECT path, 3, NULL, 'unresolved', 'target_outside_bundle' FROM x UNION ALL SELECT path, 3, NULL, 'external', NULL FROM x UNION ALL SELECT path, NULL, NULL, NULL, 'missing_type' FROM x WHERE doc_id % 7 = 0"""
+)
+def bundle_imported(spark, sf) -> DataFrame:
+    _, links, findings = vault.bundle_imported(made(spark, sf, _FILES))
+    told = links.join(findings.where("line is not null").select("path", "line", "code").distinct(), ["path", "line"], "left")
+    code = F.when(F.col("resolution_status") == "unresolved", F.col("code"))
+    return told.select("path", "line", "target", "resolution_status", code.alias("code")).unionByName(findings.where("line is null").select("path", F.col("line"), "code"), allowMissingColumns=True)
+
+
+@query(f"WITH x AS ({_FILES}) SELECT path, CASE WHEN doc_id % 7 = 0 THEN content ELSE replace(content, 'type: ' || regexp_extract(content, 'type: (.*)', 1) || chr(10) || 'by: ' || regexp_extract(content, 'by: (.*)', 1), 'by: ' || regexp_extract(content, 'by: (.*)', 1) || chr(10) || 'type: ' || regexp_extract(content, 'type: (.*)', 1)) END AS content FROM x")
+def bundle_exported(spark, sf) -> DataFrame:
+    documents, _, _ = vault.bundle_imported(made(spark, sf, _FILES))
+    return vault.bundle_exported(documents).select("path", "content")
+
+
 @query("SELECT 'canvas-b' || o_custkey || '-e' || o_orderkey AS relation_id, 'r' || o_custkey AS source_record_id, 'r' || (o_custkey + 1) AS target_record_id FROM orders WHERE o_orderkey % 3 > 0")
 def canvas_relations(spark, sf) -> DataFrame:
     o = t.table(spark, sf, "orders").select("o_orderkey", "o_custkey")
