@@ -12,7 +12,9 @@ Verification: documents with the same set are one class beforehand (sizes and SH
 sets are equal), and one member stands for it. First every document is compared with its hub, the smallest
 document that it agrees with in a band: a hub's documents are cut into blocks of bounded size, the hub's set goes to each, and one task
 counts the exact intersections of all full sets in a block and returns at most a spanning forest of the links. Mostly this joins
-a family to one component. Only families that it leaves in several are compared whole, block by block. So neither
+a family to one component. In families that it leaves in several, documents meet on the rarest shingles of their sets: of n shingles so many
+that two sets as similar as asked must share one of them. Shingles that stand for the same documents are one group, and only groups with documents of several
+components are compared, block by block; so a template that many documents share costs nothing where the rest of them differs. Neither
 candidate pairs nor all links of a group become rows. Links are closed to components.
 """
 
@@ -24,12 +26,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mnemos.llm.graph import components, cut
-from mnemos.llm.words import LOWER_SPACES, U, Words, append, mix, packed, rolled, texts_of, windows
+from mnemos.llm.words import LOWER_SPACES, U, Words, append, mix, packed, pieces, rolled, texts_of, windows
 
 #: Words of a shingle; bins of a band and bands; least similarity in percent; documents and shingles of a block; most rows of ids that are broadcast.
 SHINGLE, ROWS, BANDS, PERCENT, BLOCK, BLOCK_SHINGLES, BROADCAST_IDS = 5, 8, 40, 85, 256, 4_000_000, 1_000_000
 #: Least similarity in percent, bins of a band and bands of the deduplication of a corpus; a pair at 0.80 is missed with a chance under 6e-6.
 CORPUS_PERCENT, CORPUS_ROWS, CORPUS_BANDS = 80, 6, 40
+#: Buckets in which shingles are counted to tell rare ones; any counts give an order that all documents share.
+BUCKET_BITS = 20
 _FULL = ~U(0)
 _GOLD = U(0x9E3779B97F4A7C15)
 
@@ -153,6 +157,48 @@ def _cut_in_blocks(members: DataFrame) -> DataFrame:
     return members.join(need, "group").withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int"))
 
 
+def _rare(docs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """(doc_id, group, n_shingles) of members (doc_id, label): groups of documents of several labels that share one of their rarest shingles.
+
+    Of n shingles the n - ceil(percent n / 100) + 1 that come first by the count of their bucket, and then their hash, are looked at: two sets of at least that
+    similarity have one of these in common.
+    """
+    texts = _on_ids(docs.select("doc_id", "text").where("text is not null"), members, "inner")
+
+    def count(batches):
+        total = np.zeros(1 << BUCKET_BITS, np.int64)
+        for batch in batches:
+            for part in pieces(batch):
+                total += np.bincount((shingle_sets(texts_of(part))[1] >> U(64 - BUCKET_BITS)).astype(np.int64), minlength=len(total))
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["bucket", "n"])
+
+    counts = texts.select("text").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    table = np.zeros(1 << BUCKET_BITS, np.int64)
+    table[counts.column("bucket").to_numpy()] = counts.column("n").to_numpy()
+    shared = docs.sparkSession.sparkContext.broadcast(table)
+
+    def rarest(batches):
+        for batch in batches:
+            for part in pieces(batch):
+                sets = texts_of(part)
+                owner, h = shingle_sets(sets)
+                order = np.lexsort((h, shared.value[(h >> U(64 - BUCKET_BITS)).astype(np.int64)], owner))
+                owner, h = owner[order], h[order]
+                n = np.bincount(owner, minlength=len(sets))
+                first = np.searchsorted(owner, np.arange(len(sets)))
+                keep = np.arange(len(owner)) - first[owner] < (n + 1 + (-percent * n) // 100)[owner]
+                of = pa.array(owner[keep])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(of).cast(pa.int64()), part.column("label").take(of).cast(pa.int64()), pa.array(h[keep].view(np.int64)), pa.array(n[owner[keep]])], ["doc_id", "label", "group", "n_shingles"])
+
+    # Written once: a document's rarest shingles are counted and then met.
+    rows = cut(texts.select("doc_id", "label", "text").mapInArrow(rarest, "doc_id long, label long, group long, n_shingles long"))
+    sums = [F.sum(F.xxhash64(F.lit(i), "doc_id").cast("decimal(20,0)")).alias(f"s{i}") for i in (1, 2)]
+    several = rows.groupBy("group").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("n"), *sums).where("least < most")
+    one = several.groupBy("n", "s1", "s2").agg(F.min("group").alias("group")).select("group")
+    return rows.join(one, "group", "left_semi").select("doc_id", "group", "n_shingles")
+
+
 def components_of(docs: DataFrame, percent: int = PERCENT, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), a row for each row of docs (doc_id, text).
 
@@ -179,10 +225,14 @@ def components_of(docs: DataFrame, percent: int = PERCENT, rows: int = ROWS, ban
     joined = components(first).withColumnRenamed("node", "doc_id")
     members = families.join(joined, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
     open_ = members.groupBy("group").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most").select("group")
-    rest = _cut_in_blocks(members.join(open_, "group", "left_semi").join(sizes, "doc_id").select("doc_id", "group", "n_shingles"))
-    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: part(F.least("block", i), F.greatest("block", i)))
-    placed = cut(rest.select("doc_id", pairs.alias("blocks")))
-    labels = components(first.unionByName(_links(docs, placed, percent)))
+    waiting = cut(members.join(open_, "group", "left_semi").select("doc_id", "label"))
+    links = first
+    if not waiting.isEmpty():
+        rest = _cut_in_blocks(_rare(docs, waiting, percent))
+        pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: part(F.least("block", i), F.greatest("block", i)))
+        placed = cut(rest.select("doc_id", F.explode(pairs).alias("place")).groupBy("doc_id").agg(F.collect_set("place").alias("blocks")))
+        links = first.unionByName(_links(docs, placed, percent))
+    labels = components(links)
 
     of_class = classes.join(labels, classes["rep"] == labels["node"], "left").select("n_shingles", "digest", F.coalesce("label", "rep").alias("of"))
     return (

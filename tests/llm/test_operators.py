@@ -623,6 +623,26 @@ def test_families_are_compared_whole_if_stars_do_not_join_them(spark, monkeypatc
         assert rows(got, "doc_id", "component_id") == sorted(label.items())
 
 
+def test_a_template_makes_no_pairs_where_the_rest_differs(spark):
+    """Documents that share half of their words fall into one family; what is compared follows their copies, not the square of the family."""
+    import random
+
+    r = random.Random(8)
+    template = [f"t{i}" for i in range(60)]
+    texts = [(i, template + [f"d{i}w{j}" for j in range(60)]) for i in range(50)]
+    for i in range(0, 50, 5):
+        w = list(texts[i][1])
+        w[90] = "changed"
+        texts.append((100 + i, w))
+    r.shuffle(texts)
+    texts = [(i, " ".join(w)) for i, w in texts]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    assert rows(neardup.components_of(docs, 85, 1, 30), "doc_id", "component_id") == sorted(families(texts)[1].items())
+    alone = docs.select("doc_id", F.col("doc_id").alias("label"))
+    met = neardup._rare(docs, alone, 85)
+    assert met.count() <= 60 and {x.doc_id % 100 for x in met.collect()} == set(range(0, 50, 5))
+
+
 def test_near_copies_are_found(spark):
     """Of pairs at 0.85 or above, in a table with near copies of many degrees, all are linked."""
     import random
