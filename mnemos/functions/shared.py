@@ -4,6 +4,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Most rows of a table that goes to every task.
+FEW = 100_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -31,3 +35,8 @@ def spilled(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4()}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, most: int = FEW) -> DataFrame:
+    """df for a join that sends it to every task, if it has at most so many rows; else as it is, and the join shuffles both sides."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df

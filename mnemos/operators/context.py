@@ -151,6 +151,11 @@ def described(records: DataFrame, relations: DataFrame) -> DataFrame:
     )
 
 
+def schema_conflicts(described_rows: DataFrame) -> DataFrame:
+    """(property, types) of the properties that have values of several types, of the rows of `described`."""
+    return described_rows.where((F.col("kind") == "property") & (F.size("types") > 1)).select(F.col("name").alias("property"), "types")
+
+
 def namespaces_intersected(left: DataFrame, right: DataFrame, ids: tuple) -> DataFrame:
     """The selectors that two lists allow together: compatible pairs merged, without repeats; null in an id allows any.
 

@@ -47,12 +47,23 @@ def pattern_properties(fields: Column, document: Column, properties: Column) ->
     return _merged(properties, document, fields)
 
 
-def predicate(properties: Column, name: str, operator: str, value=None) -> Column:
-    """A pattern's test of a property: eq, ne, contains, in or exists; a property that isn't there only passes ne."""
-    have = properties[name]
+def predicate(properties: Column, name: str, operator: str, value=None, lists: Column | None = None) -> Column:
+    """A pattern's test of a property: eq, ne, contains, in or exists; a property that isn't there only passes ne.
+
+    lists: the properties that are lists (a map of arrays); a list contains a value if it is one of its items, a text if it is part of it.
+    """
+    if operator == "in" and not isinstance(value, (list, tuple, set)):
+        raise ValueError("in needs several values")
+    have, items = properties[name], lists[name] if lists is not None else F.lit(None).cast("array<string>")
+    there = have.isNotNull() | items.isNotNull()
     if operator == "exists":
-        return have.isNotNull() if value in (None, True) else have.isNull()
-    tests = {"eq": lambda: have == str(value), "ne": lambda: ~have.eqNullSafe(F.lit(str(value))), "contains": lambda: have.contains(str(value)), "in": lambda: have.isin([str(x) for x in value])}
+        return there if value in (None, True) else ~there
+    tests = {
+        "eq": lambda: have == str(value),
+        "ne": lambda: ~have.eqNullSafe(F.lit(str(value))),
+        "contains": lambda: F.coalesce(F.array_contains(items, str(value)), have.contains(str(value))),
+        "in": lambda: have.isin([str(x) for x in value]),
+    }
     if operator not in tests:
         raise ValueError(f"unknown operator {operator!r}")
     return F.coalesce(tests[operator](), F.lit(False))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnemos.functions.columns import duration_seconds, in_namespace
+from mnemos.functions.shared import spread
 
 
 def first_of(rules: list[tuple[Column, str]], otherwise: str | None = None) -> Column:
@@ -140,7 +141,7 @@ def ontology_violations(rows: DataFrame, types: DataFrame, properties: DataFrame
         .when((x["kind"] == "datetime") & F.try_to_timestamp(value(x)).isNull(), F.concat(F.lit("type:"), x["name"]))
     )
     found = F.array_compact(F.concat(F.array(F.when(F.col("_known").isNull(), F.lit("undeclared_category"))), F.transform(F.coalesce("_p", F.array().cast(t.schema["_p"].dataType)), wrong)))
-    return rows.join(F.broadcast(t), "category", "left").select("id", F.array_sort(found).alias("violations")).where(F.size("violations") > 0)
+    return rows.join(spread(t), "category", "left").select("id", F.array_sort(found).alias("violations")).where(F.size("violations") > 0)
 
 
 def publish_plan(records: DataFrame, most: int) -> DataFrame:
@@ -166,7 +167,7 @@ def behind_gateway(table: DataFrame, decisions: DataFrame, actor: str, operation
     mine = decisions.where((F.col("actor") == actor) & (F.col("operation") == operation))
     go = mine.where("allowed")
     spaces = go.select(F.explode_outer("namespaces").alias("_ns")).distinct()
-    seen = table.join(F.broadcast(spaces), F.col("_ns").isNull() | (F.col("namespace") == F.col("_ns")), "left_semi")
+    seen = table.join(spread(spaces), F.col("_ns").isNull() | (F.col("namespace") == F.col("_ns")), "left_semi")
     row = mine.agg(F.coalesce(F.max("allowed"), F.lit(False)).alias("allowed"), F.max("max_results").alias("max_results"), F.min(F.when(~F.col("allowed"), F.col("reason"))).alias("reason"))
     audit = row.select(F.lit(actor).alias("actor"), F.lit(operation).alias("operation"), F.when(F.col("allowed"), "memory.access.allowed").otherwise("memory.access.denied").alias("event_type"), F.when(~F.col("allowed"), F.coalesce("reason", F.lit("grant_required"))).alias("reason"), at.alias("recorded_at"))
     most = row.first()["max_results"]
@@ -209,7 +210,25 @@ def template_plan(forms: DataFrame, fields: DataFrame) -> DataFrame:
     names = F.transform("_s", lambda x: x["name"])
     more = F.transform(F.array_except(F.map_keys("values"), names), lambda k: F.concat(F.lit("unknown:"), k))
     found = F.array_sort(F.array_compact(F.concat(F.transform("_s", wrong), more)))
-    return forms.join(F.broadcast(spec), "template", "left").select("form_id", F.when(F.col("_s").isNull(), F.array(F.lit("unknown_template"))).otherwise(found).alias("problems"))
+    return forms.join(spread(spec), "template", "left").select("form_id", F.when(F.col("_s").isNull(), F.array(F.lit("unknown_template"))).otherwise(found).alias("problems"))
+
+
+def template_applied(forms: DataFrame, fields: DataFrame, defaults: dict[str, str], at: Column) -> tuple[DataFrame, DataFrame]:
+    """Records (id, type, title, properties, created_at) of the forms that have no problems, and the plan of the others (form_id, problems).
+
+    A field's default stands where a form says nothing; the title is the value of the field `title`, or else of the template's first field by name. The id is a hash of template and form,
+    so a form that is applied again gives the same record.
+    """
+    said = F.map_filter(F.coalesce("values", F.create_map().cast("map<string,string>")), lambda k, v: F.coalesce(v, F.lit("")) != "")
+    default = F.map_filter(F.create_map(*(F.lit(x) for kv in sorted(defaults.items()) for x in kv)).cast("map<string,string>"), lambda k, v: ~F.coalesce(F.map_contains_key(said, k), F.lit(False)))
+    own = F.transform(F.filter(F.map_entries(default), lambda e: F.array_contains("_names", e["key"])), lambda e: e)
+    spec = fields.groupBy("template").agg(F.array_sort(F.collect_set("name")).alias("_names"))
+    filled = forms.join(spread(spec), "template", "left").withColumn("values", F.map_concat(said, F.map_from_entries(F.coalesce(own, F.array().cast("array<struct<key:string,value:string>>")))))
+    plan = template_plan(filled.select("form_id", "template", "values"), fields)
+    good = filled.join(plan.where(F.size("problems") == 0).select("form_id"), "form_id", "left_semi")
+    title = F.coalesce(F.col("values")["title"], F.col("values")[F.get("_names", F.lit(0))])
+    records = good.select(F.sha2(F.concat_ws("|", "template", F.col("form_id").cast("string")).cast("binary"), 256).alias("id"), F.col("template").alias("type"), title.alias("title"), F.col("values").alias("properties"), at.alias("created_at"))
+    return records, plan.where(F.size("problems") > 0)
 
 
 #: The field of a record's meta that holds its privacy policy.
@@ -243,6 +262,6 @@ def review_requests(changes: DataFrame, roles: list[str]) -> DataFrame:
 def validated(rows: DataFrame, ontologies: DataFrame, types: DataFrame, properties: DataFrame) -> DataFrame:
     """(id, violations) of rows (id, ontology_id, version, category, properties) under the ontology each names: unknown_ontology first of all."""
     known = ontologies.select("ontology_id", "version", F.lit(True).alias("_o"))
-    j = rows.join(F.broadcast(known), ["ontology_id", "version"], "left")
+    j = rows.join(spread(known), ["ontology_id", "version"], "left")
     lost = j.where("_o is null").select("id", F.array(F.lit("unknown_ontology")).alias("violations"))
     return lost.unionByName(ontology_violations(j.where("_o").select("id", "category", "properties"), types, properties))

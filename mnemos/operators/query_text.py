@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from mnemos.functions.shared import settled
 from mnemos.operators.needles import met
+from mnemos.operators.records import own_tags
 
 #: The parts of a query, the keys it may have, and what it may sort by.
 PART = r'"[^"]+"|\[[^\]]+:[^\]]+\]|\S+'
@@ -68,7 +69,7 @@ def _hits(c: DataFrame, records: DataFrame, links: DataFrame | None, blocks: Dat
     needles = c.where(F.col("kind").isin("phrase", "term")).unionByName(field("content", "path"))
     needles = needles.select(F.col("condition").alias("needle_id"), F.col("value").alias("needle"), F.when(F.col("kind") == "field", F.col("name")).otherwise("all").alias("field"))
     sets = [met(_texts(records), needles, ("field",)).withColumnRenamed("needle_id", "condition")]
-    tags = records.select("id", F.explode(F.transform("tags", lambda t: F.lower(F.ltrim(t, F.lit("#"))))).alias("value"))
+    tags = records.select("id", F.explode(own_tags("properties" in records.columns)).alias("value"))
     sets.append(c.where("kind = 'tag'").select("condition", "value").join(tags, "value"))
     if "properties" in records.columns:
         sets.append(c.where("kind = 'property'").select("condition", "name", "value").join(records.select("id", F.explode("properties").alias("name", "value")), ["name", "value"]))
@@ -80,10 +81,10 @@ def _hits(c: DataFrame, records: DataFrame, links: DataFrame | None, blocks: Dat
             if what in links.columns:
                 sets.append(field(name).select("condition", "value").join(links.select(F.col(of).alias("id"), F.col(what).alias("value")), "value"))
     if blocks is not None:
-        names = F.array(F.struct(F.lit("block").alias("name"), F.col("block_id").alias("value")), F.struct(F.lit("section").alias("name"), F.when(F.col("block_type") == "heading", F.col("anchor")).alias("value")))
+        names = F.array(F.struct(F.lit("block").alias("name"), F.col("block_id").alias("value")), F.struct(F.lit("section").alias("name"), F.col("anchor").alias("value")))
         sets.append(field("block", "section").select("condition", "name", "value").join(blocks.select(F.col("record_id").alias("id"), F.inline(names)), ["name", "value"]))
         tasks = field("task").select(F.col("condition").alias("needle_id"), F.col("value").alias("needle"))
-        sets.append(met(blocks.select(F.col("record_id").alias("id"), F.col("excerpt").alias("text")), tasks).withColumnRenamed("needle_id", "condition"))
+        sets.append(met(blocks.select(F.col("record_id").alias("id"), F.lower("excerpt").alias("text")), tasks).withColumnRenamed("needle_id", "condition"))
     return reduce(DataFrame.unionByName, (s.select("condition", "id") for s in sets)).where("id is not null").distinct()
 
 
@@ -91,13 +92,13 @@ def found(queries: DataFrame, records: DataFrame, links: DataFrame | None = None
     """(query_id, id) of the records that meet all conditions of a stored query; and (query_id, error) of the queries that aren't valid, which find nothing.
 
     records: id, title, key, content, tags and, if wanted, path and properties (a map). links: source_record_id, raw_target, target_record_id and, for
-    relation_type, relation_type. blocks: record_id, block_id, block_type, anchor, excerpt. Words and phrases are looked for in all texts of a record without
+    relation_type, relation_type. blocks: record_id, block_id, anchor, excerpt. Words and phrases are looked for in all texts of a record without
     case, content and path in those alone; file is a path's last part; a tag matches without # and case; properties, blocks, sections and links match exactly, a task is
-    part of a block's excerpt. A condition whose table or column isn't given is met by nothing. A query that only sorts would find every record; it is
+    part of a block's excerpt without case. A condition whose table or column isn't given is met by nothing. A query that only sorts would find every record; it is
     listed with the error `no condition`. A condition that many queries have is looked up once, and a query starts from its rarest one.
     """
     conditions = settled(parsed(queries))
-    without_case = F.col("kind").isin("phrase", "term") | (F.col("name").isin("content", "path", "file") & (F.col("kind") == "field"))
+    without_case = F.col("kind").isin("phrase", "term") | (F.col("name").isin("content", "path", "file", "task") & (F.col("kind") == "field"))
     good = conditions.where("error is null and not (kind = 'field' and name = 'sort')").withColumn("value", F.when(without_case, F.lower("value")).otherwise(F.col("value")))
     good = good.select("query_id", F.concat_ws("\u0001", "kind", F.coalesce("name", F.lit("")), "value").alias("condition"), "kind", "name", "value").dropDuplicates(["query_id", "condition"])
     errors = conditions.where("error is not null").groupBy("query_id").agg(F.min_by("error", F.coalesce("position", F.lit(-1))).alias("error"))

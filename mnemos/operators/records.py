@@ -101,6 +101,14 @@ def candidate_queue(df: DataFrame, statuses=None, least_confidence: float | None
     return listed(df, order, among={"status": statuses, "source": sources}, where=where, limit=limit)
 
 
+def own_tags(with_properties: bool) -> Column:
+    """A record's tags without # and case, and with properties those in a list (JSON) under their key `tags`."""
+    more = F.from_json(F.col("properties")["tags"], "array<string>") if with_properties else None
+    all_ = F.coalesce("tags", F.array().cast("array<string>"))
+    all_ = F.concat(all_, F.coalesce(more, F.array().cast("array<string>"))) if more is not None else all_
+    return F.transform(all_, lambda t: F.lower(F.ltrim(t, F.lit("#"))))
+
+
 def structural_search(
     records: DataFrame,
     links: DataFrame | None = None,
@@ -132,7 +140,7 @@ def structural_search(
     out = records
     for t in (*phrases, *terms):
         out = out.where(hay.contains(t.lower()))
-    own = F.transform("tags", lambda t: F.lower(F.ltrim(t, F.lit("#"))))
+    own = own_tags("properties" in has)
     for t in tags:
         out = out.where(F.array_contains(own, t.lstrip("#").lower()))
     for k, v in (properties or {}).items():
@@ -147,7 +155,7 @@ def structural_search(
         out = out.join(links.where(F.col("raw_target") == link_to).select(F.col("source_record_id").alias("id")), "id", "left_semi")
     if linked_from:
         out = out.join(links.where(F.col("source_record_id") == linked_from).select(F.col("target_record_id").alias("id")), "id", "left_semi")
-    for wanted, test in ((block, F.col("block_id") == block), (section, (F.col("block_type") == "heading") & (F.col("anchor") == section)), (task, F.col("excerpt").contains(task or ""))):
+    for wanted, test in ((block, F.col("block_id") == block), (section, F.col("anchor") == section), (task, F.lower("excerpt").contains((task or "").lower()))):
         if wanted:
             out = out.join(blocks.where(test).select(F.col("record_id").alias("id")), "id", "left_semi")
     if sort == "title":

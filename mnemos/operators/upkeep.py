@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mnemos.functions.shared import spread
 from mnemos.operators.policy import first_of
 
 
@@ -99,7 +100,7 @@ def stale_embeddings(embeddings: DataFrame, records: DataFrame, active: DataFram
     active: provider, model, dimension; a small table.
     """
     providers = active.groupBy("provider").agg(F.collect_set("model").alias("_models"), F.collect_set(F.struct("model", "dimension")).alias("_sizes"))
-    e = embeddings.join(F.broadcast(providers), "provider", "left").join(records.select(F.col("id").alias("record_id"), F.col("updated_at").alias("_changed")), "record_id", "left")
+    e = embeddings.join(spread(providers), "provider", "left").join(records.select(F.col("id").alias("record_id"), F.col("updated_at").alias("_changed")), "record_id", "left")
     fits = F.exists("_sizes", lambda s: (s["model"] == F.col("model")) & (s["dimension"] == F.col("dimension")))
     other = first_of([(F.col("_models").isNull(), "PROVIDER_NOT_IN_ACTIVE_SET"), (~F.array_contains("_models", F.col("model")), "MODEL_NOT_IN_ACTIVE_SET"), (~fits, "DIMENSION_MISMATCH")])
     reasons = F.array_compact(F.array(F.when(F.col("_changed") > F.col("updated_at"), F.lit("RECORD_UPDATED_AFTER_EMBEDDING")), other))

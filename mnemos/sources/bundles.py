@@ -57,13 +57,22 @@ def integrity(df: DataFrame, column: str = "integrity_hash") -> DataFrame:
     return df.withColumn("integrity", F.when(F.col(column).isNull(), "unverified").when(F.col(column) == row_hash(rest), "valid").otherwise("tampered"))
 
 
-def sealed(df: DataFrame, key: bytes, columns: list[str]) -> DataFrame:
-    """df with `columns` replaced by one binary column sealed, their JSON under AES-GCM."""
-    return df.withColumn("sealed", F.aes_encrypt(F.to_json(F.struct(*columns)), F.lit(key))).drop(*columns)
+def sealed(df: DataFrame, key: bytes, columns: list[str], bound: list[str] | None = None) -> DataFrame:
+    """df with `columns` replaced by one binary column sealed, their JSON under AES-GCM; bound: columns that stay readable and that the seal is bound to."""
+    said = F.to_json(F.struct(*columns))
+    if not bound:
+        return df.withColumn("sealed", F.aes_encrypt(said, F.lit(key))).drop(*columns)
+    return df.withColumn("sealed", F.aes_encrypt(said, F.lit(key), F.lit("GCM"), F.lit("DEFAULT"), F.lit(b""), _associated(bound))).drop(*columns)
 
 
-def opened(df: DataFrame, key: bytes, schema: str) -> DataFrame:
-    return df.withColumn("_o", F.from_json(F.aes_decrypt("sealed", F.lit(key)).cast("string"), schema)).select(*[c for c in df.columns if c != "sealed"], "_o.*")
+def _associated(bound: list[str]) -> Column:
+    return F.to_json(F.struct(*sorted(bound)), {"ignoreNullFields": "false"}).cast("binary")
+
+
+def opened(df: DataFrame, key: bytes, schema: str, bound: list[str] | None = None) -> DataFrame:
+    """df with what was sealed. With another key, or where a bound column was changed, Spark raises an error for the row."""
+    plain = F.aes_decrypt("sealed", F.lit(key), F.lit("GCM"), F.lit("DEFAULT"), _associated(bound)) if bound else F.aes_decrypt("sealed", F.lit(key))
+    return df.withColumn("_o", F.from_json(plain.cast("string"), schema)).select(*[c for c in df.columns if c != "sealed"], "_o.*")
 
 
 def write_bundle(tables: dict[str, DataFrame], folder: str) -> None:
