@@ -158,7 +158,7 @@ def _cut_in_blocks(members: DataFrame) -> DataFrame:
 
 
 def _rare(docs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    """(doc_id, group, n_shingles) of members (doc_id, label): groups of documents of several labels that share one of their rarest shingles.
+    """(doc_id, label, group, n_shingles): of each of the members (doc_id, label) the rarest shingles of its set, as groups.
 
     Of n shingles the n - ceil(percent n / 100) + 1 that come first by the count of their bucket, and then their hash, are looked at: two sets of at least that
     similarity have one of these in common.
@@ -191,12 +191,37 @@ def _rare(docs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
                 of = pa.array(owner[keep])
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").take(of).cast(pa.int64()), part.column("label").take(of).cast(pa.int64()), pa.array(h[keep].view(np.int64)), pa.array(n[owner[keep]])], ["doc_id", "label", "group", "n_shingles"])
 
-    # Written once: a document's rarest shingles are counted and then met.
-    rows = cut(texts.select("doc_id", "label", "text").mapInArrow(rarest, "doc_id long, label long, group long, n_shingles long"))
+    return texts.select("doc_id", "label", "text").mapInArrow(rarest, "doc_id long, label long, group long, n_shingles long")
+
+
+def _shared(rows: DataFrame) -> DataFrame:
+    """The rows of `_rare` in groups with several labels, with how many documents the group has; of groups with the same documents one."""
     sums = [F.sum(F.xxhash64(F.lit(i), "doc_id").cast("decimal(20,0)")).alias(f"s{i}") for i in (1, 2)]
-    several = rows.groupBy("group").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("n"), *sums).where("least < most")
-    one = several.groupBy("n", "s1", "s2").agg(F.min("group").alias("group")).select("group")
-    return rows.join(one, "group", "left_semi").select("doc_id", "group", "n_shingles")
+    several = rows.groupBy("group").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("documents"), *sums).where("least < most")
+    one = several.groupBy("documents", "s1", "s2").agg(F.min("group").alias("group")).select("group", "documents")
+    return rows.drop("documents").join(one, "group").select("doc_id", "label", "group", "n_shingles", "documents")
+
+
+def _block_links(docs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """Links within groups (doc_id, group, n_shingles), every block of a group with every other."""
+    place = lambda i: F.struct("group", F.least("block", i).alias("lo"), F.greatest("block", i).alias("hi"))
+    blocks = _cut_in_blocks(members).select("doc_id", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), place)).alias("place"))
+    return _links(docs, cut(blocks.groupBy("doc_id").agg(F.collect_set("place").alias("blocks"))), percent)
+
+
+def _rest_of_links(docs: DataFrame, waiting: DataFrame, first: DataFrame, percent: int) -> DataFrame:
+    """The links that stars have not found between members (doc_id, label) of several components.
+
+    First each document is only compared in its largest group: copies mostly meet there, and once they are one component the many other groups that they share are
+    closed. Then all groups that still have several components are compared.
+    """
+    groups = cut(_shared(_rare(docs, waiting, percent)))
+    largest = groups.groupBy("doc_id").agg(F.max(F.struct("documents", "group")).alias("_g")).select("doc_id", F.col("_g.group").alias("group"))
+    some = cut(_block_links(docs, groups.join(largest, ["doc_id", "group"]).select("doc_id", "group", "n_shingles"), percent))
+    labels = components(first.unionByName(some)).select(F.col("node").alias("doc_id"), F.col("label").alias("_label"))
+    now = groups.join(labels, "doc_id", "left").withColumn("label", F.coalesce("_label", "doc_id")).drop("_label")
+    open_ = cut(_shared(now))
+    return some if open_.isEmpty() else some.unionByName(_block_links(docs, open_.select("doc_id", "group", "n_shingles"), percent))
 
 
 def components_of(docs: DataFrame, percent: int = PERCENT, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
@@ -228,10 +253,7 @@ def components_of(docs: DataFrame, percent: int = PERCENT, rows: int = ROWS, ban
     waiting = cut(members.join(open_, "group", "left_semi").select("doc_id", "label"))
     links = first
     if not waiting.isEmpty():
-        rest = _cut_in_blocks(_rare(docs, waiting, percent))
-        pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: part(F.least("block", i), F.greatest("block", i)))
-        placed = cut(rest.select("doc_id", F.explode(pairs).alias("place")).groupBy("doc_id").agg(F.collect_set("place").alias("blocks")))
-        links = first.unionByName(_links(docs, placed, percent))
+        links = first.unionByName(_rest_of_links(docs, waiting, first, percent))
     labels = components(links)
 
     of_class = classes.join(labels, classes["rep"] == labels["node"], "left").select("n_shingles", "digest", F.coalesce("label", "rep").alias("of"))

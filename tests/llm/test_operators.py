@@ -501,16 +501,18 @@ def test_url_classifier_is_right_on_its_table(spark):
     assert sum((r.verdict == "block") == (r.label == 1) for r in got) / len(got) > 0.95
 
 
-def test_url_classifier_on_unseen_hosts_and_words(spark):
-    """Learned from some forms of host, it judges the words in others; and words that are made of known ones."""
-    labelled = urls.labelled_urls(spark)
-    unseen = F.col("url").rlike("://(m[.]|blog[.])")
-    got = urls.judged(labelled.where(unseen), urls.trained(labelled.where(~unseen)), ()).collect()
-    wrong = sum((r.verdict == "block") != (r.label == 1) for r in got)
-    assert len(got) > 100 and wrong / len(got) <= 0.2
-    made = [(f"https://{h}/x", 1) for h in ("best-casinos.net", "freebets24.com", "onlinepokerroom.org", "pornvideos.info", "mylottery.co", "jackpotcity.com")] + [(f"https://{h}/x", 0) for h in ("citymuseums.org", "newsletters.net", "gardening-club.com", "musicschool.info", "townlibrary.co", "mountains.com")]
-    more = urls.judged(spark.createDataFrame(made, "url string, label int"), urls.trained(labelled), ()).collect()
-    assert sum((r.verdict == "block") == (r.label == 1) for r in more) >= 10
+def test_url_classifier_on_held_out_rows(spark):
+    """Five folds of the table: hosts, and mostly words, that the classifier hasn't seen. Always guessing one kind is wrong for a half."""
+    labelled = [(u, 1.0) for u in urls.UNWANTED] + [(u, 0.0) for u in urls.ALLOWED]
+    assert len({u for u, _ in labelled}) == len(labelled) and {w for u in urls.UNWANTED for w in re.findall("[a-z]{4,}", u)} & {w for u in urls.ALLOWED for w in re.findall("[a-z]{4,}", u)} >= {"free", "casino", "pills", "winner", "sale"}
+    table = spark.createDataFrame([(u, y, i % 5) for i, (u, y) in enumerate(labelled)], "url string, label double, fold int").coalesce(1).cache()
+    wrong = blocked = 0
+    for fold in range(5):
+        model = urls.trained(table.where(F.col("fold") != fold))
+        got = urls.judged(table.where(F.col("fold") == fold), model, ()).collect()
+        wrong += sum((r.verdict == "block") != (r.label == 1) for r in got)
+        blocked += sum(r.verdict == "block" and r.label == 0 for r in got)
+    assert wrong <= 0.25 * len(labelled) and blocked <= 0.3 * len(urls.ALLOWED)
 
 
 def test_url_filter_leaves_columns_of_any_name(spark):
@@ -639,7 +641,7 @@ def test_a_template_makes_no_pairs_where_the_rest_differs(spark):
     docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
     assert rows(neardup.components_of(docs, 85, 1, 30), "doc_id", "component_id") == sorted(families(texts)[1].items())
     alone = docs.select("doc_id", F.col("doc_id").alias("label"))
-    met = neardup._rare(docs, alone, 85)
+    met = neardup._shared(neardup._rare(docs, alone, 85))
     assert met.count() <= 60 and {x.doc_id % 100 for x in met.collect()} == set(range(0, 50, 5))
 
 
