@@ -58,10 +58,15 @@ def common_neighbours(edges: DataFrame, a: str, b: str, limit: int | None = None
 
 def local_graph(edges: DataFrame, root: str, depth: int, direction: str = "both") -> DataFrame:
     """(node_id, depth) of the nodes within `depth` hops of the root."""
-    near = neighbours(edges, direction).select("node", "neighbour").distinct()
-    found = edges.sparkSession.createDataFrame([(root, 0)], "node_id string, depth int")
+    return nearest(edges, edges.sparkSession.createDataFrame([(root,)], "node_id string"), depth, direction)
+
+
+def nearest(edges: DataFrame, roots: DataFrame, depth: int | None, direction: str = "both") -> DataFrame:
+    """(node_id, depth): hops from the nearest of several roots (node_id), up to a depth if there is one."""
+    near = settled(neighbours(edges, direction).select("node", "neighbour").distinct())
+    found = roots.select("node_id").distinct().withColumn("depth", F.lit(0))
     frontier = found
-    for d in range(1, depth + 1):
+    for d in itertools.count(1) if depth is None else range(1, depth + 1):
         step = near.join(frontier.select(F.col("node_id").alias("node")), "node", "left_semi").select(F.col("neighbour").alias("node_id")).distinct()
         frontier = settled(step.join(found.select("node_id"), "node_id", "left_anti").withColumn("depth", F.lit(d)))
         if frontier.isEmpty():
@@ -108,13 +113,23 @@ def _started(sources: DataFrame) -> DataFrame:
 def shortest_paths(edges: DataFrame, sources: DataFrame, targets: DataFrame | None = None, depth: int | None = None, direction: str = "both") -> DataFrame:
     """(source, target, hops): one shortest path from each source to each node reached, that which sorts first.
 
-    One path is kept for each node and level, so levels stay as small as the graph. Without a depth all nodes that can be reached are.
+    One path is kept for each node and level, so levels stay as small as the graph. Without a depth all nodes that can be reached are. With targets only nodes are gone to from
+    which one of them can still be reached in the hops that are left, and the search ends when every source has met every target.
     """
     near = settled(neighbours(edges, direction))
     level = settled(_started(sources.distinct()))
-    found = level
-    for _ in itertools.count() if depth is None else range(depth):
+    found, left, wanted = level, None, None
+    if targets is not None:
+        ends = settled(targets.select("node_id").distinct())
+        left = settled(nearest(edges, ends, depth, {"out": "in", "in": "out"}.get(direction, "both")).select(F.col("node_id").alias("last"), F.col("depth").alias("_left")))
+        ends = ends.select(F.col("node_id").alias("last"))
+        wanted = sources.select("node_id").distinct().count() * ends.count()
+    for i in itertools.count() if depth is None else range(depth):
+        if wanted is not None and found.join(ends, "last", "left_semi").count() == wanted:
+            break
         best = _grown(level, near).groupBy("source", "last").agg(F.min("hops").alias("hops"))
+        if left is not None:
+            best = best.join(left if depth is None else left.where(F.col("_left") <= depth - i - 1), "last", "left_semi").select("source", "last", "hops")
         level = settled(best.join(found.select("source", "last"), ["source", "last"], "left_anti"))
         if level.isEmpty():
             break

@@ -109,14 +109,14 @@ RECORDS = [
     ("r1", "Alpha plan", "k1", "The first text about Spark and ing", ["#Red", "x"], "notes/a.md", {"kind": "plan", "n": "1"}),
     ("r2", "Beta", None, "first aid; alpha beta", ["red"], "notes/sub/b.md", {"kind": "plan"}),
     ("r3", "Gamma ray", "k3", None, None, "c.md", None),
-    ("r4", None, None, "ab", ["blue"], None, {"kind": "note"}),
+    ("r4", None, None, "ab", ["blue"], None, {"kind": "note", "tags": '["#Listed", "b"]'}),
 ]
 LINKS = [("r1", "Beta", "r2", "supports"), ("r1", "Beta", "r2", "supports"), ("r2", "c.md", "r3", "related_to")]
 BLOCKS = [("r1", "b1", "paragraph", None, "do it now"), ("r1", "b2", "heading", "part-one", "Part One"), ("r3", "b1", "heading", "b9", "do it")]
 QUERIES = {
     "alpha": {"r1", "r2"}, '"first aid" #red': {"r2"}, "[kind:plan] first": {"r1", "r2"}, "[kind:plan] [n:1]": {"r1"}, "[kind:x] [kind:note]": {"r4"}, "#RED": {"r1", "r2"}, "tag:#red path:SUB": {"r2"},
-    "file:B.MD": {"r2"}, "content:alpha": {"r2"}, "link_to:Beta": {"r1"}, "linked_from:r1": {"r2"}, "relation_type:supports alpha": {"r1"}, "block:b1": {"r1", "r3"}, "block:b1 section:part-one": {"r1"}, "section:part-one section:b9": {"r3"},
-    "task:it": {"r1", "r3"}, "a b": {"r1", "r2", "r4"}, "ab sort:title": {"r4"}, "nowhere alpha": set(), '"': set(), "first first FIRST": {"r1", "r2"}, "tag:": None, "color:red": None, "sort:size": None, "": None, "  \n": None, "sort:title": None, '[:x] "a b"': None, "[k:v": None,
+    "file:B.MD": {"r2"}, "content:alpha": {"r2"}, "link_to:Beta": {"r1"}, "linked_from:r1": {"r2"}, "relation_type:supports alpha": {"r1"}, "block:b1": {"r1", "r3"}, "block:b1 section:part-one": {"r1"}, "section:part-one section:b9": {"r3"}, "task:DO": {"r1", "r3"}, "#listed": {"r4"},
+    "task:it": {"r1", "r3"}, "a b": {"r1", "r2", "r4"}, "ab sort:title": {"r1", "r4"}, "nowhere alpha": set(), '"': {"r4"}, "first first FIRST": {"r1", "r2"}, "tag:": None, "color:red": None, "sort:size": None, "": None, "  \n": None, "sort:title": None, '[:x] "a b"': None, "[k:v": None,
 }
 
 
