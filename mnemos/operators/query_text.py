@@ -85,7 +85,7 @@ def _hits(c: DataFrame, records: DataFrame, links: DataFrame | None, blocks: Dat
         sets.append(field("block", "section").select("condition", "name", "value").join(blocks.select(F.col("record_id").alias("id"), F.inline(names)), ["name", "value"]))
         tasks = field("task").select(F.col("condition").alias("needle_id"), F.col("value").alias("needle"))
         sets.append(met(blocks.select(F.col("record_id").alias("id"), F.lower("excerpt").alias("text")), tasks).withColumnRenamed("needle_id", "condition"))
-    return reduce(DataFrame.unionByName, (s.select("condition", "id") for s in sets)).where("id is not null").distinct()
+    return reduce(DataFrame.unionByName, (s.select("condition", "id") for s in sets)).distinct().join(records.select("id"), "id", "left_semi").select("condition", "id")
 
 
 def found(queries: DataFrame, records: DataFrame, links: DataFrame | None = None, blocks: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
