@@ -12,7 +12,7 @@ Verification: documents with the same set are one class beforehand (sizes and SH
 sets are equal), and one member stands for it. First every document is compared with its hub, the smallest
 document that it agrees with in a band: a hub's documents are cut into blocks of bounded size, the hub's set goes to each, and one task
 counts the exact intersections of all full sets in a block and returns at most a spanning forest of the links. Mostly this joins
-a family to one component. In families that it leaves in several, documents meet on the rarest shingles of their sets: of n shingles so many
+a family to one component. Families that it leaves in several are compared whole if they fit in a block. In larger ones documents meet on the rarest shingles of their sets: of n shingles so many
 that two sets as similar as asked must share one of them. Shingles that stand for the same documents are one group, and only groups with documents of several
 components are compared, block by block; so a template that many documents share costs nothing where the rest of them differs. Neither
 candidate pairs nor all links of a group become rows. Links are closed to components.
@@ -195,11 +195,12 @@ def _rare(docs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
 
 
 def _shared(rows: DataFrame) -> DataFrame:
-    """The rows of `_rare` in groups with several labels, with how many documents the group has; of groups with the same documents one."""
+    """The rows of `_rare` in groups with several labels; of groups with the same documents one."""
+    rows = cut(rows)
     sums = [F.sum(F.xxhash64(F.lit(i), "doc_id").cast("decimal(20,0)")).alias(f"s{i}") for i in (1, 2)]
-    several = rows.groupBy("group").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("documents"), *sums).where("least < most")
-    one = several.groupBy("documents", "s1", "s2").agg(F.min("group").alias("group")).select("group", "documents")
-    return rows.drop("documents").join(one, "group").select("doc_id", "label", "group", "n_shingles", "documents")
+    several = rows.groupBy("group").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("n"), *sums).where("least < most")
+    one = several.groupBy("n", "s1", "s2").agg(F.min("group").alias("group")).select("group")
+    return rows.join(one, "group", "left_semi").select("doc_id", "group", "n_shingles")
 
 
 def _block_links(docs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
@@ -209,21 +210,6 @@ def _block_links(docs: DataFrame, members: DataFrame, percent: int) -> DataFrame
     return _links(docs, cut(blocks.groupBy("doc_id").agg(F.collect_set("place").alias("blocks"))), percent)
 
 
-def _rest_of_links(docs: DataFrame, waiting: DataFrame, first: DataFrame, percent: int) -> DataFrame:
-    """The links that stars have not found between members (doc_id, label) of several components.
-
-    First each document is only compared in its largest group: copies mostly meet there, and once they are one component the many other groups that they share are
-    closed. Then all groups that still have several components are compared.
-    """
-    groups = cut(_shared(_rare(docs, waiting, percent)))
-    largest = groups.groupBy("doc_id").agg(F.max(F.struct("documents", "group")).alias("_g")).select("doc_id", F.col("_g.group").alias("group"))
-    some = cut(_block_links(docs, groups.join(largest, ["doc_id", "group"]).select("doc_id", "group", "n_shingles"), percent))
-    labels = components(first.unionByName(some)).select(F.col("node").alias("doc_id"), F.col("label").alias("_label"))
-    now = groups.join(labels, "doc_id", "left").withColumn("label", F.coalesce("_label", "doc_id")).drop("_label")
-    open_ = cut(_shared(now))
-    return some if open_.isEmpty() else some.unionByName(_block_links(docs, open_.select("doc_id", "group", "n_shingles"), percent))
-
-
 def components_of(docs: DataFrame, percent: int = PERCENT, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), a row for each row of docs (doc_id, text).
 
@@ -250,10 +236,12 @@ def components_of(docs: DataFrame, percent: int = PERCENT, rows: int = ROWS, ban
     joined = components(first).withColumnRenamed("node", "doc_id")
     members = families.join(joined, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
     open_ = members.groupBy("group").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most").select("group")
-    waiting = cut(members.join(open_, "group", "left_semi").select("doc_id", "label"))
-    links = first
-    if not waiting.isEmpty():
-        links = first.unionByName(_rest_of_links(docs, waiting, first, percent))
+    waiting = cut(_cut_in_blocks(members.join(open_, "group", "left_semi").join(sizes, "doc_id").select("doc_id", "label", "group", "n_shingles")))
+    whole = waiting.where("blocks = 1").select("doc_id", F.array(part(0, F.col("block"))).alias("blocks"))
+    links = first.unionByName(_links(docs, cut(whole), percent))
+    large = waiting.where("blocks > 1").select("doc_id", "label")
+    if not large.isEmpty():
+        links = links.unionByName(_block_links(docs, _shared(_rare(docs, large, percent)), percent))
     labels = components(links)
 
     of_class = classes.join(labels, classes["rep"] == labels["node"], "left").select("n_shingles", "digest", F.coalesce("label", "rep").alias("of"))

@@ -625,10 +625,11 @@ def test_families_are_compared_whole_if_stars_do_not_join_them(spark, monkeypatc
         assert rows(got, "doc_id", "component_id") == sorted(label.items())
 
 
-def test_a_template_makes_no_pairs_where_the_rest_differs(spark):
+def test_a_template_makes_no_pairs_where_the_rest_differs(spark, monkeypatch):
     """Documents that share half of their words fall into one family; what is compared follows their copies, not the square of the family."""
     import random
 
+    monkeypatch.setattr(neardup, "BLOCK", 8)
     r = random.Random(8)
     template = [f"t{i}" for i in range(60)]
     texts = [(i, template + [f"d{i}w{j}" for j in range(60)]) for i in range(50)]
