@@ -26,7 +26,7 @@ ENDS = b".,;:!?\n\x0b\x0c\r"
 TABLE = bytes(32 if b in ENDS or b == 9 else b + 32 if 65 <= b <= 90 else b for b in range(256))
 _END = np.isin(np.arange(256), list(ENDS))
 #: Bytes of texts that a task counts at a time.
-PART = 2 << 20
+PART = 1 << 20
 
 
 def _gathered(raw: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
