@@ -116,18 +116,22 @@ def _forest(percent: int):
             x[owner[part], group[part] - a] = 1
             common += x @ x.T
         linked = 100 * common >= percent * (n[:, None] + n[None, :] - common)
+        # Documents of one label are joined already, so a link to a label is given once.
+        label = np.unique(table.column("label").to_numpy(), return_inverse=True)[1]
         seen, out = np.zeros(len(ids), bool), []
         for start in np.argsort(ids):
             if seen[start]:
                 continue
-            seen[start] = True
-            edge = [start]
+            edge = np.flatnonzero(label == label[start]).tolist()
+            seen[edge] = True
             while edge:
                 x = edge.pop()
                 new = np.flatnonzero(linked[x] & ~seen)
-                seen[new] = True
-                edge.extend(new.tolist())
-                out.extend((ids[x], ids[y]) for y in new)
+                if len(new):
+                    out.extend((ids[x], ids[new[i]]) for i in np.unique(label[new], return_index=True)[1])
+                    new = np.flatnonzero(np.isin(label, label[new]) & ~seen)
+                    seen[new] = True
+                    edge.extend(new.tolist())
         return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
 
     return links
@@ -139,7 +143,7 @@ def _on_ids(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
 
 
 def _links(docs: DataFrame, placed: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) within groups, from rows placed (doc_id, blocks: array of struct<group, lo, hi>): a forest of each of these blocks."""
+    """Links (a, b) within groups, from rows placed (doc_id, label, blocks: array of struct<group, lo, hi>): a forest of the labels in each of these blocks."""
 
     def make(batch):
         texts = texts_of(batch)
@@ -148,7 +152,7 @@ def _links(docs: DataFrame, placed: DataFrame, percent: int) -> DataFrame:
         return [pa.array([packed(h[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())]
 
     sets = append(_on_ids(docs.select("doc_id", "text").where("text is not null"), placed, "inner"), make, "shingles binary").drop("text")
-    return sets.select("doc_id", "shingles", F.inline("blocks")).groupBy("group", "lo", "hi").applyInArrow(_forest(percent), "a long, b long")
+    return sets.select("doc_id", "label", "shingles", F.inline("blocks")).groupBy("group", "lo", "hi").applyInArrow(_forest(percent), "a long, b long")
 
 
 def _cut_in_blocks(members: DataFrame) -> DataFrame:
@@ -200,14 +204,14 @@ def _shared(rows: DataFrame) -> DataFrame:
     sums = [F.sum(F.xxhash64(F.lit(i), "doc_id").cast("decimal(20,0)")).alias(f"s{i}") for i in (1, 2)]
     several = rows.groupBy("group").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("n"), *sums).where("least < most")
     one = several.groupBy("n", "s1", "s2").agg(F.min("group").alias("group")).select("group")
-    return rows.join(one, "group", "left_semi").select("doc_id", "group", "n_shingles")
+    return rows.join(one, "group", "left_semi").select("doc_id", "label", "group", "n_shingles")
 
 
 def _block_links(docs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    """Links within groups (doc_id, group, n_shingles), every block of a group with every other."""
+    """Links within groups (doc_id, label, group, n_shingles), every block of a group with every other."""
     place = lambda i: F.struct("group", F.least("block", i).alias("lo"), F.greatest("block", i).alias("hi"))
-    blocks = _cut_in_blocks(members).select("doc_id", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), place)).alias("place"))
-    return _links(docs, cut(blocks.groupBy("doc_id").agg(F.collect_set("place").alias("blocks"))), percent)
+    blocks = _cut_in_blocks(members).select("doc_id", "label", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), place)).alias("place"))
+    return _links(docs, cut(blocks.groupBy("doc_id").agg(F.min("label").alias("label"), F.collect_set("place").alias("blocks"))), percent)
 
 
 def components_of(docs: DataFrame, percent: int = PERCENT, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
@@ -229,7 +233,7 @@ def components_of(docs: DataFrame, percent: int = PERCENT, rows: int = ROWS, ban
     nearest = _cut_in_blocks(stars.groupBy("doc_id").agg(F.min("hub").alias("group")).join(sizes, "doc_id"))
     own = nearest.select("doc_id", part(0, F.col("block")).alias("place"))
     of_hub = nearest.groupBy("group").agg(F.max("blocks").alias("blocks")).select(F.col("group").alias("doc_id"), F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: part(0, i))).alias("place"))
-    placed = cut(own.unionByName(of_hub).groupBy("doc_id").agg(F.collect_list("place").alias("blocks")))
+    placed = cut(own.unionByName(of_hub).groupBy("doc_id").agg(F.collect_list("place").alias("blocks")).withColumn("label", F.col("doc_id")))
     first = cut(_links(docs, placed, percent))
 
     families = components(stars.select(F.col("doc_id").alias("a"), F.col("hub").alias("b"))).select(F.col("node").alias("doc_id"), F.col("label").alias("group"))
@@ -237,7 +241,7 @@ def components_of(docs: DataFrame, percent: int = PERCENT, rows: int = ROWS, ban
     members = families.join(joined, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
     open_ = members.groupBy("group").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most").select("group")
     waiting = cut(_cut_in_blocks(members.join(open_, "group", "left_semi").join(sizes, "doc_id").select("doc_id", "label", "group", "n_shingles")))
-    whole = waiting.where("blocks = 1").select("doc_id", F.array(part(0, F.col("block"))).alias("blocks"))
+    whole = waiting.where("blocks = 1").select("doc_id", "label", F.array(part(0, F.col("block"))).alias("blocks"))
     links = first.unionByName(_links(docs, cut(whole), percent))
     large = waiting.where("blocks > 1").select("doc_id", "label")
     if not large.isEmpty():
