@@ -95,16 +95,24 @@ def resolved(links_df, records, ids: tuple = ()):
     bare = lambda c: F.regexp_replace(name(c), r"\.md$", "")
     by_name = F.transform(F.array_compact(F.concat(F.array("title"), F.coalesce("aliases", F.array().cast("array<string>")))), lambda x: F.struct(F.lit("name").alias("kind"), name(x).alias("name")))
     by_path = F.transform(F.array_compact(F.array("path")), lambda x: F.struct(F.lit("path").alias("kind"), bare(x).alias("name")))
-    names = records.select("id", *(F.col(c).alias(f"_r_{c}") for c in ids), F.inline(F.array_distinct(F.concat(by_name, by_path))).alias("_kind", "_name"))
+    names = records.select("id", *ids, F.inline(F.array_distinct(F.concat(by_name, by_path))).alias("_kind", "_name"))
+    # A name is one row for each namespace whose records have it, with the least and the last of them; so many records and many links of one name make no pairs.
+    names = names.groupBy("_kind", "_name", *ids).agg(F.min("id").alias("_id"), F.max("id").alias("_last"))
+    names = names.withColumns({"_given": F.array(*(F.col(c).isNotNull() for c in ids)).cast("array<boolean>"), "_ids": F.array(*(F.col(c).cast("string") for c in ids)).cast("array<string>")}).drop(*ids)
     target = F.substring_index(F.substring_index("raw_target", "|", 1), "#", 1)
     is_path = target.contains("/") | name(target).endswith(".md")
-    asked = links_df.select("link_id", *ids, F.when(is_path, "path").otherwise("name").alias("_kind"), F.when(is_path, bare(target)).otherwise(name(target)).alias("_name"))
-    met = asked.join(names, ["_kind", "_name"])
+    links = links_df.drop("target_record_id", "resolution_status").withColumns({"_kind": F.when(is_path, "path").otherwise("name"), "_name": F.when(is_path, bare(target)).otherwise(name(target))})
+    asked = links.select("_kind", "_name", *ids).distinct()
+    # A link looks under its ids once for each set of ids that records have: those that they don't have are null.
+    tried = asked.crossJoin(F.broadcast(names.select("_given").distinct())).withColumn("_ids", F.array(*(F.when(F.col("_given")[i], F.col(c).cast("string")) for i, c in enumerate(ids))).cast("array<string>")) if ids else asked.withColumns({"_given": F.array().cast("array<boolean>"), "_ids": F.array().cast("array<string>")})
+    found = tried.join(names, ["_kind", "_name", "_given", "_ids"]).groupBy("_kind", "_name", *ids).agg(F.min("_id").alias("_id"), F.max("_last").alias("_last"))
+    found = found.select(F.col("_kind").alias("_f_kind"), F.col("_name").alias("_f_name"), *(F.col(c).alias(f"_f_{c}") for c in ids), "_id", "_last")
+    same = (F.col("_kind") == F.col("_f_kind")) & (F.col("_name") == F.col("_f_name"))
     for c in ids:
-        met = met.where(F.col(f"_r_{c}").isNull() | (F.col(f"_r_{c}") == F.col(c)))
-    found = met.groupBy("link_id").agg(F.min("id").alias("_id"), F.max("id").alias("_last"))
+        same = same & F.col(c).eqNullSafe(F.col(f"_f_{c}"))
     status = F.when(F.col("raw_target").rlike(EXTERNAL), "external").when(F.col("_id") == F.col("_last"), "resolved").when(F.col("_id").isNotNull(), "ambiguous").otherwise("unresolved")
-    return links_df.drop("target_record_id", "resolution_status").join(found, "link_id", "left").withColumns({"resolution_status": status}).withColumn("target_record_id", F.when(F.col("resolution_status") == "resolved", F.col("_id"))).drop("_id", "_last")
+    out = links.join(found, same, "left").withColumns({"resolution_status": status}).withColumn("target_record_id", F.when(F.col("resolution_status") == "resolved", F.col("_id")))
+    return out.drop("_id", "_last", "_kind", "_name", *found.columns)
 
 
 def block_ids(body: Column) -> Column:
