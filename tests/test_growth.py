@@ -32,3 +32,55 @@ def test_links_and_records_of_one_name_make_no_pairs(spark):
         got = {r.link_id: (r.resolution_status, r.target_record_id) for r in rows}
         assert len(rows) == 300 and got == {f"l{i}": ("ambiguous", None) if i % 2 == 0 else ("resolved", f"r{i}") for i in range(300)}
         assert most <= 600
+
+
+def test_needles_are_met_alike_in_tasks_and_by_joins(spark, monkeypatch):
+    import random
+
+    from mnemos.operators import needles
+
+    r = random.Random(7)
+    word = lambda n: "".join(r.choice("abé😀") for _ in range(n))
+    texts = [(i, word(r.randrange(0, 60)), r.choice("xy")) for i in range(80)] + [(80, None, "x"), (81, "abab", None), (3, "abab", "x")]
+    asked = [(f"n{i}", word(r.randrange(0, 6)), r.choice("xy")) for i in range(60)] + [("n60", None, "x"), ("n61", "a", None)]
+    t, n = spark.createDataFrame(texts, "id int, text string, kind string"), spark.createDataFrame(asked, "needle_id string, needle string, kind string")
+    want = sorted({(i, j) for i, x, a in texts for j, y, b in asked if x and y and y in x and a and a == b})
+    for few, one_by_one in ((needles.FEW_NEEDLES, needles.ONE_BY_ONE), (needles.FEW_NEEDLES, 0), (0, 0)):
+        monkeypatch.setattr(needles, "FEW_NEEDLES", few)
+        monkeypatch.setattr(needles, "ONE_BY_ONE", one_by_one)
+        assert sorted(map(tuple, needles.met(t, n, ("kind",)).collect())) == want
+        assert needles.met(t, n.limit(0), ("kind",)).count() == 0
+
+
+def test_few_needles_make_no_rows_of_runs(spark):
+    from mnemos.operators.needles import met
+
+    texts = spark.createDataFrame([(i, "one long text of many words " * 20) for i in range(50)], "id int, text string")
+    rows, most = rows_of_joins(met(texts, spark.createDataFrame([(1, "one long"), (2, "no such")], "needle_id int, needle string")))
+    assert sorted(map(tuple, rows)) == [(i, 1) for i in range(50)] and most <= 50
+
+
+def test_stored_query_errors_look_up_no_record(spark, sf, monkeypatch):
+    from mnemos.operators import query_text
+    from mnemos.plans import language_queries
+
+    monkeypatch.setattr(query_text, "_hits", None)
+    assert language_queries.stored_query_errors(spark, sf).count() >= 0
+
+
+def test_words_with_a_line_end_are_one_condition(spark, tmp_path):
+    """Items whose words have a line's end, against the SQL: a record with its halves apart isn't found."""
+    import duckdb
+
+    from mnemos.plans import language_queries
+
+    items = [(0, "Thing.\nErl two thing more"), (6, "plain words here"), (2, "a bo\ndy x"), (3, "a mid\ndle x"), (11, "q\nxyz more"), (1, "first\nx second"), (9, "x y\tz w")]
+    docs = [(1, "thing.\nerl and thing", "en", "src2"), (2, "thing. and erl thing", "en", "src2"), (3, "a bo\ndy", "en", "src0"), (4, "a dy bo", "en", "src0"), (5, "mid\ndle", "de", "src3"), (6, "dle mid", "de", "src3"), (11, "q\nx", "en", "s"), (71, "xq", "en", "s"), (12, "plain here first\nx second", "en", "s"), (7, "y\tz", "de", "src2"), (8, "z y", "de", "src2")]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(*d, len(d[1])) for d in docs], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    duck = duckdb.connect()
+    for name in ("benchmark", "documents"):
+        duck.sql(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    want = sorted(tuple(r) for r in duck.sql(f"SELECT query_id, id FROM ({language_queries.ORACLES['stored_queries']})").fetchall())
+    assert (0, "doc-1") in want and (2, "doc-3") in want and (3, "doc-5") in want and (9, "doc-7") in want
+    assert sorted(map(tuple, language_queries.stored_queries(spark, str(tmp_path)).select("query_id", "id").collect())) == want
