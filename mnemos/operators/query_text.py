@@ -88,6 +88,22 @@ def _hits(c: DataFrame, records: DataFrame, links: DataFrame | None, blocks: Dat
     return reduce(DataFrame.unionByName, (s.select("condition", "id") for s in sets)).distinct().join(records.select("id"), "id", "left_semi").select("condition", "id")
 
 
+def _checked(queries: DataFrame, conditions: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The conditions (query_id, condition, kind, name, value) that are looked up, and (query_id, error) of the queries that aren't valid."""
+    conditions = parsed(queries) if conditions is None else conditions
+    without_case = F.col("kind").isin("phrase", "term") | (F.col("name").isin("content", "path", "file", "task") & (F.col("kind") == "field"))
+    good = conditions.where("error is null and not (kind = 'field' and name = 'sort')").withColumn("value", F.when(without_case, F.lower("value")).otherwise(F.col("value")))
+    good = good.select("query_id", F.concat_ws("\u0001", "kind", F.coalesce("name", F.lit("")), "value").alias("condition"), "kind", "name", "value").dropDuplicates(["query_id", "condition"])
+    errors = conditions.where("error is not null").groupBy("query_id").agg(F.min_by("error", F.coalesce("position", F.lit(-1))).alias("error"))
+    idle = queries.select("query_id").join(good, "query_id", "left_anti").join(errors, "query_id", "left_anti").select("query_id", F.lit("no condition").alias("error"))
+    return good, errors.unionByName(idle)
+
+
+def refused(queries: DataFrame) -> DataFrame:
+    """(query_id, error) of the stored queries that aren't valid, by their text alone."""
+    return _checked(queries)[1]
+
+
 def found(queries: DataFrame, records: DataFrame, links: DataFrame | None = None, blocks: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(query_id, id) of the records that meet all conditions of a stored query; and (query_id, error) of the queries that aren't valid, which find nothing.
 
@@ -97,12 +113,7 @@ def found(queries: DataFrame, records: DataFrame, links: DataFrame | None = None
     part of a block's excerpt without case. A condition whose table or column isn't given is met by nothing. A query that only sorts would find every record; it is
     listed with the error `no condition`. A condition that many queries have is looked up once, and a query starts from its rarest one.
     """
-    conditions = settled(parsed(queries))
-    without_case = F.col("kind").isin("phrase", "term") | (F.col("name").isin("content", "path", "file", "task") & (F.col("kind") == "field"))
-    good = conditions.where("error is null and not (kind = 'field' and name = 'sort')").withColumn("value", F.when(without_case, F.lower("value")).otherwise(F.col("value")))
-    good = good.select("query_id", F.concat_ws("\u0001", "kind", F.coalesce("name", F.lit("")), "value").alias("condition"), "kind", "name", "value").dropDuplicates(["query_id", "condition"])
-    errors = conditions.where("error is not null").groupBy("query_id").agg(F.min_by("error", F.coalesce("position", F.lit(-1))).alias("error"))
-    idle = queries.select("query_id").join(good, "query_id", "left_anti").join(errors, "query_id", "left_anti").select("query_id", F.lit("no condition").alias("error"))
+    good, errors = _checked(queries, settled(parsed(queries)))
     good = good.join(errors, "query_id", "left_anti")
     hits = settled(_hits(good.select("condition", "kind", "name", "value").distinct(), records, links, blocks))
     counts = hits.groupBy("condition").agg(F.count("*").alias("n"))
@@ -112,4 +123,4 @@ def found(queries: DataFrame, records: DataFrame, links: DataFrame | None = None
     rest = good.select("query_id", "condition")
     others = near.join(rest, "query_id").where("condition <> _first").join(hits, ["condition", "id"]).groupBy("query_id", "id").agg(F.count("*").alias("_have"))
     done = near.join(others, ["query_id", "id"], "left").where(F.coalesce("_have", F.lit(0)) + 1 == F.col("_wanted"))
-    return done.select("query_id", "id"), errors.unionByName(idle)
+    return done.select("query_id", "id"), errors
