@@ -8,6 +8,8 @@ differ are joined. Equal tables exchange digests alone.
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mnemos.functions.shared import spilled
+
 #: Digits (of sixteen values) of the ranges that are compared one after another; most ranges that are broadcast to filter by.
 DEPTHS, BROADCAST_RANGES = (3, 6), 100_000
 
@@ -28,24 +30,37 @@ def _digests(placed: DataFrame, digits: int) -> DataFrame:
     return placed.groupBy(F.substring("_place", 1, digits).alias("range")).agg(F.count("*").alias("n"), F.sum(F.col("_h").cast("decimal(20,0)")).alias("digest"))
 
 
+def _rolled(fine: DataFrame, digits: int) -> DataFrame:
+    """Digests of ranges of fewer digits, from those of more."""
+    return fine.groupBy(F.substring("range", 1, digits).alias("range")).agg(F.sum("n").alias("n"), F.sum("digest").cast("decimal(38,0)").alias("digest"))
+
+
 def _differing(a: DataFrame, b: DataFrame) -> DataFrame:
     b = b.select("range", F.col("n").alias("_n"), F.col("digest").alias("_d"))
     return a.join(b, "range", "full_outer").where(~(F.col("n").eqNullSafe(F.col("_n")) & F.col("digest").eqNullSafe(F.col("_d")))).select("range")
 
 
-def _within(placed: DataFrame, ranges: DataFrame, digits: int) -> DataFrame:
+def _within(keyed: DataFrame, ranges: DataFrame, digits: int, by: str) -> DataFrame:
+    """The rows whose place `by` lies in the ranges."""
     few = ranges.limit(BROADCAST_RANGES + 1).count() <= BROADCAST_RANGES
-    keyed = placed.withColumn("range", F.substring("_place", 1, digits))
-    return keyed.join(F.broadcast(ranges) if few else ranges, "range", "left_semi").drop("range")
+    wanted = ranges.select(F.col("range").alias("_in"))
+    return keyed.join(F.broadcast(wanted) if few else wanted, F.substring(by, 1, digits) == F.col("_in"), "left_semi")
 
 
 def differences(a: DataFrame, b: DataFrame, depths: tuple = DEPTHS) -> tuple[DataFrame, DataFrame]:
-    """The rows of two inventories (object_kind, object_id, hash) that lie in ranges that differ: every row that only one has or that has another hash, and few others."""
-    x, y = _placed(a), _placed(b)
+    """The rows of two inventories (object_kind, object_id, hash) that lie in ranges that differ: every row that only one has or that has another hash, and few others.
+
+    Each inventory is worked out once and kept as a file. Its rows are read twice: for the digests of the smallest ranges, from which those of larger ones are summed, and at the end.
+    """
+    x, y = spilled(_placed(a)), spilled(_placed(b))
+    fine, ranges = [_digests(p, depths[-1]) for p in (x, y)], None
+    if len(depths) > 1:
+        fine = [spilled(f) for f in fine]
     for digits in depths:
-        ranges = _differing(_digests(x, digits), _digests(y, digits))
-        x, y = _within(x, ranges, digits), _within(y, ranges, digits)
-    return x.select("object_kind", "object_id", "hash"), y.select("object_kind", "object_id", "hash")
+        ranges = spilled(_differing(*(f if digits == depths[-1] else _rolled(f, digits) for f in fine)))
+        if digits != depths[-1]:
+            fine = [_within(f, ranges, digits, "range") for f in fine]
+    return tuple(_within(p, ranges, depths[-1], "_place").select("object_kind", "object_id", "hash") for p in (x, y))
 
 
 def findings(canonical: DataFrame, target: DataFrame | None, target_id: str, source_cursor: int, watermark: str | None, depths: tuple = DEPTHS) -> DataFrame:

@@ -84,3 +84,19 @@ def test_words_with_a_line_end_are_one_condition(spark, tmp_path):
     want = sorted(tuple(r) for r in duck.sql(f"SELECT query_id, id FROM ({language_queries.ORACLES['stored_queries']})").fetchall())
     assert (0, "doc-1") in want and (2, "doc-3") in want and (3, "doc-5") in want and (9, "doc-7") in want
     assert sorted(map(tuple, language_queries.stored_queries(spark, str(tmp_path)).select("query_id", "id").collect())) == want
+
+
+def test_inventories_are_worked_out_once(spark):
+    from mnemos.operators import range_digests
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rows = spark.range(500).select(F.lit("o").alias("object_kind"), F.col("id").cast("string").alias("object_id"), F.lit("h").alias("hash")).mapInArrow(count, "object_kind string, object_id string, hash string")
+    other = rows.where("object_id <> '7'")
+    assert [tuple(r) for r in range_digests.findings(rows, other, "t", 1, None).select("finding", "object_id").collect()] == [("missing", "7")]
+    assert seen.value == 1000
