@@ -100,3 +100,19 @@ def test_inventories_are_worked_out_once(spark):
     other = rows.where("object_id <> '7'")
     assert [tuple(r) for r in range_digests.findings(rows, other, "t", 1, None).select("finding", "object_id").collect()] == [("missing", "7")]
     assert seen.value == 1000
+
+
+def test_paths_work_out_the_edges_once(spark):
+    from mnemos.operators import graph
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    k = F.col("id")
+    edges = spark.range(60).select(F.concat(F.lit("e"), k).alias("edge_id"), F.concat(F.lit("v"), k).alias("src"), F.concat(F.lit("v"), (k + 1)).alias("dst")).mapInArrow(count, "edge_id string, src string, dst string")
+    assert [[h.node for h in r.hops] for r in graph.simple_paths(edges, "v3", "v5", 3, direction="out").collect()] == [["v4", "v5"]]
+    assert seen.value == 60
