@@ -683,6 +683,43 @@ def test_components_of_chains_and_hubs(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_meet_an_edge_once_not_in_every_round(spark, monkeypatch):
+    """One group in which each document has several hubs, at two sizes: rows of the joins follow the edges, not edges times rounds."""
+    import random
+
+    from mnemos.llm import graph
+    from tests.test_growth import rows_of_joins
+
+    made, real = [], graph.cut
+
+    def counted(df):
+        made.append(rows_of_joins(df)[1])
+        return real(df)
+
+    monkeypatch.setattr(graph, "cut", counted)
+    r = random.Random(3)
+    for n in (150, 300):
+        edges = sorted({(i, r.randrange(min(i, 40))) for i in range(1, n) for _ in range(12)})
+        made.clear()
+        got = components(spark.createDataFrame(edges, "a long, b long"))
+        assert rows(got, "node", "label") == [(i, 0) for i in range(n)]
+        assert sum(made) <= 2 * len(edges) + 8 * n
+
+
+def test_components_of_graphs_of_many_forms(spark):
+    import random
+
+    r = random.Random(4)
+    edges = [(1000 + i, 1000 + i + 1) for i in range(90)] + [(2000 - i, 2000 + i) for i in range(1, 30)] + [(5000, 3000 + i) for i in range(40)] + [(3000, 3050)]
+    edges += [(6000 + r.randrange(200), 6000 + r.randrange(200)) for _ in range(150)] + [(-5, -9), (7, 7), (-9, -5)]
+    label = {x: x for e in edges if e[0] != e[1] for x in e}
+    for _ in label:
+        for a, b in edges:
+            if a != b:
+                label[a] = label[b] = min(label[a], label[b])
+    assert rows(components(spark.createDataFrame(edges, "a long, b long")), "node", "label") == sorted(label.items())
+
+
 # 10 licenses
 
 
