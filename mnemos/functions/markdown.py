@@ -17,27 +17,48 @@ EXTERNAL = r"^[A-Za-z][A-Za-z0-9+.-]*://"
 FRONTMATTER = r"(?s)\A---\n(.*?)\n---\n?"
 #: Characters before and after a link that are its context.
 AROUND = 80
+#: Characters of the blocks from which contexts are taken, at least.
+BLOCK = 256
 
 
-def _linked(body: Column, pattern: str, kind, raw, display, around: int) -> Column:
-    """array<struct<kind, raw, display, target, heading, block, original, start, end, before, after>> of a pattern's matches; kind, raw and display are made from a match."""
+def _linked(body: Column, pattern: str, fields, around: int) -> Column:
+    """array<struct<kind, raw, display, target, heading, block, original, start, end, before, after>> of a pattern's matches, with fields made from a match."""
+    return F.transform(found(body, pattern, around), lambda p: F.struct(*(v.alias(k) for k, v in (fields(p["match"]) | placed(p)).items())))
 
-    def of(text: Column, p: Column) -> Column:
-        m = p["match"]
-        part = target_parts(F.substring_index(raw(m), "|", 1))
+
+def found(body: Column, pattern: str, around: int) -> Column:
+    """array<struct<start, end, match, before, after>> of a pattern's matches, with up to `around` characters on either side.
+
+    A place in a text is found by going through all before it, so the text is first cut into blocks, and what stands around a match is taken from two of them.
+    """
+    size = max(around, BLOCK)
+
+    def part(blocks: Column, first: Column, length: Column) -> Column:
+        q = F.floor(first / size).cast("int")
+        return F.substring(F.concat(F.get(blocks, q), F.coalesce(F.get(blocks, q + 1), F.lit(""))), (first - q * size + 1).cast("int"), length.cast("int"))
+
+    def of(blocks: Column, p: Column) -> Column:
         first = F.greatest(F.lit(0).cast("bigint"), p["start"] - around)
-        before, after = F.substring(text, (first + 1).cast("int"), (p["start"] - first).cast("int")), F.substring(text, (p["end"] + 1).cast("int"), F.lit(around))
-        fields = {"kind": kind(m), "raw": raw(m), "display": display(m), **part, "original": m, "start": p["start"], "end": p["end"], "before": before, "after": after}
-        return F.struct(*(v.alias(k) for k, v in fields.items()))
+        after = F.coalesce(part(blocks, p["end"], F.lit(around)), F.lit(""))
+        return F.struct(p["start"].alias("start"), p["end"].alias("end"), p["match"].alias("match"), part(blocks, first, p["start"] - first).alias("before"), after.alias("after"))
+
+    cut = lambda text: F.regexp_extract_all(text, F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
+    return let(body, lambda text: let(cut(text), lambda blocks: F.transform(places(text, pattern), lambda p: of(blocks, p))))
 
-    return let(body, lambda text: F.transform(places(text, pattern), lambda p: of(text, p)))
+
+def placed(p: Column) -> dict[str, Column]:
+    return {"original": p["match"], "start": p["start"], "end": p["end"], "before": p["before"], "after": p["after"]}
 
 
 def wikilinks(body: Column, around: int = AROUND) -> Column:
     """The [[target#heading|display]] and ![[embedded]] of a text with their places, as `_linked` has them. raw: all between the brackets."""
-    inner = lambda m: F.trim(F.regexp_extract(m, WIKILINK, 2))
-    kind = lambda m: F.when(m.startswith("!"), "embed").otherwise("wikilink")
-    return _linked(body, WIKILINK, kind, inner, lambda m: F.when(inner(m).contains("|"), F.trim(F.regexp_extract(inner(m), r"\|(.*)$", 1))), around)
+    return _linked(body, WIKILINK, wikilink_fields, around)
+
+
+def wikilink_fields(m: Column) -> dict[str, Column]:
+    inner = F.trim(F.regexp_extract(m, WIKILINK, 2))
+    display = F.when(inner.contains("|"), F.trim(F.regexp_extract(inner, r"\|(.*)$", 1)))
+    return {"kind": F.when(m.startswith("!"), "embed").otherwise("wikilink"), "raw": inner, "display": display, **target_parts(F.substring_index(inner, "|", 1))}
 
 
 def target_parts(raw: Column) -> dict[str, Column]:
@@ -49,9 +70,13 @@ def target_parts(raw: Column) -> dict[str, Column]:
 
 def links(body: Column, around: int = AROUND) -> Column:
     """The [text](url) of a text with their places, as `_linked` has them; kind: external with a scheme and ://, else markdown. Images are none, and urls may have spaces."""
-    url = lambda m: F.trim(F.regexp_extract(m, r"\]\(([^)]+)\)$", 1))
-    kind = lambda m: F.when(url(m).rlike(EXTERNAL), "external").otherwise("markdown")
-    return _linked(body, LINK, kind, url, lambda m: F.nullif(F.trim(F.regexp_extract(m, r"^\[([^\]]*)\]", 1)), F.lit("")), around)
+    return _linked(body, LINK, link_fields, around)
+
+
+def link_fields(m: Column) -> dict[str, Column]:
+    url = F.trim(F.regexp_extract(m, r"\]\(([^)]+)\)$", 1))
+    display = F.nullif(F.trim(F.regexp_extract(m, r"^\[([^\]]*)\]", 1)), F.lit(""))
+    return {"kind": F.when(url.rlike(EXTERNAL), "external").otherwise("markdown"), "raw": url, "display": display, **target_parts(F.substring_index(url, "|", 1))}
 
 
 def hrefs(html: Column) -> Column:

@@ -116,3 +116,46 @@ def test_paths_work_out_the_edges_once(spark):
     edges = spark.range(60).select(F.concat(F.lit("e"), k).alias("edge_id"), F.concat(F.lit("v"), k).alias("src"), F.concat(F.lit("v"), (k + 1)).alias("dst")).mapInArrow(count, "edge_id string, src string, dst string")
     assert [[h.node for h in r.hops] for r in graph.simple_paths(edges, "v3", "v5", 3, direction="out").collect()] == [["v4", "v5"]]
     assert seen.value == 60
+
+
+def test_links_of_a_long_note_cost_no_more_than_of_short_ones(spark):
+    """The same links in one note and in many; a context isn't looked for from the note's start."""
+    import time
+
+    from mnemos.operators import vault
+
+    text, seconds, rows = "[[word|é]] some words and [more](to/x.md) ", {}, {}
+    for many in (200, 1):
+        notes = spark.range(many, numPartitions=1).select("id", F.repeat(F.lit(text), 10_000 // many).alias("body"))
+        links = vault.note_links(notes.withColumnRenamed("id", "record_id"), 10).groupBy("link_kind", "raw_target", "display", "context_after").count()
+        links.limit(0).collect()
+        start = time.perf_counter()
+        rows[many] = {tuple(r)[:3]: 0 for r in links.collect()}
+        seconds[many] = time.perf_counter() - start
+    assert rows[1] == rows[200] and len(rows[1]) == 2
+    assert seconds[1] <= 2 * seconds[200] + 2
+
+
+def test_contexts_of_links_are_cut_at_characters(spark):
+    """Against plain loops: texts of characters of one to four bytes, longer than the blocks that contexts are taken from, links at their ends and side by side."""
+    import random
+    import re
+
+    from mnemos.operators import vault
+
+    r = random.Random(11)
+    part = lambda: r.choice(["[[a#B c|d]]", "![[é😀]]", "[x](y.md)", "[u](http://u)", "😀é" * r.randrange(40), "word \n" * r.randrange(30)])
+    texts = [(i, "".join(part() for _ in range(r.randrange(60)))) for i in range(60)] + [(60, ""), (61, None), (62, "[[a]]"), (63, "é" * 251 + "[[a]]"), (64, "é" * 256 + "[[a]]" + "é" * 256), (65, "x" * 512 + "![[b]]")]
+    notes = spark.createDataFrame(texts, "record_id long, body string")
+    for around in (0, 10, 80, 300):
+        want = []
+        for i, t in texts:
+            for kind, pattern in (("wiki", r"!?\[\[[^\]]+\]\]"), ("link", r"(?<!!)\[[^\]]*\]\([^)]+\)")):
+                for m in re.finditer(pattern, t or ""):
+                    a, b = m.span()
+                    name = ("embed" if m[0][0] == "!" else "wikilink") if kind == "wiki" else "external" if "://" in m[0] else "markdown"
+                    want.append((i, name, a, b, t[max(0, a - around) : a], t[b : b + around]))
+        got = vault.note_links(notes, around).select("source_record_id", "link_kind", "start", "end", "context_before", "context_after").collect()
+        assert sorted(map(tuple, got)) == sorted(want)
+        both = notes.select(F.concat(markdown.wikilinks(F.col("body"), around), markdown.links(F.col("body"), around)).alias("l"), "record_id").select("record_id", F.inline("l")).select("record_id", "kind", "start", "end", "before", "after")
+        assert sorted(map(tuple, both.collect())) == sorted(want)
