@@ -11,7 +11,7 @@ included). The chance to miss a pair at similarity 0.85 is (1 - 0.85^ROWS)^BANDS
 Verification: documents with the same set are one class beforehand (sizes and SHA-256 digests of the full
 sets are equal), and one member stands for it. First every document is compared with its hub, the smallest
 document that it agrees with in a band: a hub's documents are cut into blocks of bounded size, the hub's set goes to each, and one task
-counts the exact intersections of all full sets in a block and returns at most a spanning forest of the links. Mostly this joins
+counts the exact intersections of all full sets in a block, range after range of hashes, and returns at most a spanning forest of the links. Mostly this joins
 a family to one component. Families that it leaves in several are compared whole if they fit in a block. In larger ones documents meet on the rarest shingles of their sets: of n shingles so many
 that two sets as similar as asked must share one of them. Shingles that stand for the same documents are one group, and only groups with documents of several
 components are compared, block by block; so a template that many documents share costs nothing where the rest of them differs. Neither
@@ -30,6 +30,8 @@ from mnemos.llm.words import LOWER_SPACES, U, Words, append, mix, packed, pieces
 
 #: Words of a shingle; bins of a band and bands; least similarity in percent; documents and shingles of a block; most rows of ids that are broadcast.
 SHINGLE, ROWS, BANDS, PERCENT, BLOCK, BLOCK_SHINGLES, BROADCAST_IDS = 5, 8, 40, 85, 256, 4_000_000, 1_000_000
+#: Shingles of a block pair that are met at once, and how many of those that are shared go into one matrix product.
+RANGE_SHINGLES, WIDTH = 1 << 18, 4096
 #: Least similarity in percent, bins of a band and bands of the deduplication of a corpus; a pair at 0.80 is missed with a chance under 6e-6.
 CORPUS_PERCENT, CORPUS_ROWS, CORPUS_BANDS = 80, 6, 40
 #: Buckets in which shingles are counted to tell rare ones; any counts give an order that all documents share.
@@ -95,26 +97,38 @@ def sketched(docs: DataFrame, rows: int = ROWS, bands: int = BANDS) -> DataFrame
     return append(docs.select("doc_id", "text"), make, "n_shingles long, digest binary, bands array<long>").drop("text")
 
 
+def _shared_shingles(sets: list[np.ndarray]):
+    """(set, number of the shingle) by number, and how many numbers: of the shingles that several of the sorted sets have, range after range of hashes."""
+    ranges = 1 + sum(map(len, sets)) // RANGE_SHINGLES
+    starts = np.array([(i << 64) // ranges for i in range(1, ranges)], U)
+    cuts = [np.r_[0, np.searchsorted(s, starts), len(s)] for s in sets]
+    for i in range(ranges):
+        parts = [s[c[i] : c[i + 1]] for s, c in zip(sets, cuts, strict=True)]
+        h = np.concatenate(parts)
+        if not len(h):
+            continue
+        order = np.argsort(h, kind="stable")
+        owner, h = np.repeat(np.arange(len(sets)), [len(p) for p in parts])[order], h[order]
+        group = np.cumsum(np.r_[False, h[1:] != h[:-1]])
+        several = np.bincount(group) > 1
+        there = several[group]
+        yield owner[there], (np.cumsum(several) - 1)[group[there]], int(several.sum())
+
+
 def _forest(percent: int):
     """A function from the sets of a block pair to links, a spanning forest of those that hold."""
 
     def links(table: pa.Table) -> pa.Table:
         ids = np.asarray(table.column("doc_id").to_numpy(), np.int64)
-        sets = [np.frombuffer(x, U) for x in table.column("shingles").to_pylist()]
+        sets = [np.frombuffer(x.as_buffer(), U) for x in table.column("shingles")]
         n = np.array([len(s) for s in sets], np.int64)
-        owner, h = np.repeat(np.arange(len(sets)), n), np.concatenate(sets)
-        order = np.argsort(h, kind="stable")
-        owner, h = owner[order], h[order]
-        group = np.cumsum(np.r_[True, h[1:] != h[:-1]]) - 1
-        shared = np.bincount(group)[group] > 1
-        owner, group = owner[shared], np.unique(group[shared], return_inverse=True)[1]
         common = np.zeros((len(ids), len(ids)))
-        width = 4096
-        for a in range(0, int(group[-1]) + 1 if len(group) else 0, width):
-            part = slice(*np.searchsorted(group, (a, a + width)))
-            x = np.zeros((len(ids), width), np.float32)
-            x[owner[part], group[part] - a] = 1
-            common += x @ x.T
+        for owner, group, size in _shared_shingles(sets):
+            for a in range(0, size, WIDTH):
+                part = slice(*np.searchsorted(group, (a, a + WIDTH)))
+                x = np.zeros((len(ids), min(WIDTH, size - a)), np.float32)
+                x[owner[part], group[part] - a] = 1
+                common += x @ x.T
         linked = 100 * common >= percent * (n[:, None] + n[None, :] - common)
         # Documents of one label are joined already, so a link to a label is given once.
         label = np.unique(table.column("label").to_numpy(), return_inverse=True)[1]

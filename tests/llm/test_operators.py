@@ -666,6 +666,48 @@ def test_near_copies_are_found(spark):
     assert len(linked) > 60 and sum(got[i] == want[i] for i in linked) / len(linked) >= 0.99 and all(want[i] == i or got[i] in (want[i], i) for i in got)
 
 
+def test_blocks_of_long_texts_are_compared_in_bounded_memory(monkeypatch):
+    """Besides the sets that it gets, a task that compares two blocks holds a part of them at a time; ranges of hashes don't change the links."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    r = np.random.default_rng(4)
+
+    def block(documents, each):
+        sets = [r.integers(0, 2**64 - 1, each, np.uint64)]
+        while len(sets) < documents:
+            s = sets[-1].copy()
+            s[r.choice(each, each * (2 + len(sets) % 10) // 100 + 1, False)] ^= np.uint64(1)
+            sets.append(s)
+        sets = [np.unique(s) for s in sets]
+        ids = pa.array(range(documents))
+        return sets, pa.table({"doc_id": ids, "label": ids, "shingles": pa.array([s.tobytes() for s in sets], pa.binary())})
+
+    table = block(250, 8000)[1]
+    tracemalloc.start()
+    try:
+        neardup._forest(85)(table)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 3 * table.nbytes
+    sets, table = block(40, 100)
+    linked = [[y for y in range(40) if 100 * len(np.intersect1d(s, sets[y])) >= 85 * len(np.union1d(s, sets[y]))] for s in sets]
+    label = list(range(40))
+    for _ in linked:
+        label = [min(label[y] for y in near) for near in linked]
+    for size in (1, 37, 1000, 1 << 18):
+        monkeypatch.setattr(neardup, "RANGE_SHINGLES", size)
+        got = list(range(40))
+        pairs = neardup._forest(85)(table).to_pylist()
+        for _ in got:
+            for p in pairs:
+                got[p["a"]] = got[p["b"]] = min(got[p["a"]], got[p["b"]])
+        assert got == label and len(pairs) == 40 - len(set(label)) < 39
+
+
 def test_sketch_fills_and_estimates():
     import numpy as np
 
